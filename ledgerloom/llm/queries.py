@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import packing
+from ledgerloom.llm import ann, near_dedup, packing, secrets, toxicity, warc
 
 
 def queries() -> dict:
-    return {"op3_best_fit_packing": packing.op3_best_fit_packing}
+    return {
+        "op2_lexicon_toxicity": toxicity.op2_lexicon_toxicity,
+        "op3_best_fit_packing": packing.op3_best_fit_packing,
+        "op4_blob_ledger_secrets": secrets.op4_blob_ledger_secrets,
+        "op5_hash_prefix_forest": ann.op5_hash_prefix_forest,
+        "op9_setsketch_near_dedup": near_dedup.op9_setsketch_near_dedup,
+        "op10_warc_chunks": warc.op10_warc_chunks,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_blob_ledger_secrets": secrets.SQL_OP4,
+        "op9_setsketch_near_dedup": near_dedup.SQL_OP9,
+        "op10_warc_chunks": warc.SQL_OP10,
+    }
