@@ -3,7 +3,8 @@
 Folding lower-cases, maps homoglyphs and digit substitutions to letters and everything else
 that is not a letter to a space. A lexicon entry is a word prefix, so that one entry covers
 a stem's endings. Entries and weights come from labelled training documents: smoothed log
-odds of document frequencies, greedily chosen so that no entry contains another. A hit that
+odds of document frequencies of prefixes whose likelihood-ratio statistic stands out among
+all that were tried, greedily chosen so that no entry contains another. A hit that
 lies in an exception phrase (a phrase around an entry that only clean training documents
 use) does not count. The sum of hit weights, alone and per length, goes through a logistic
 curve fitted on the same bounded sample.
@@ -34,6 +35,7 @@ from ledgerloom.llm.common import cut, held_out, held_out_py, table
 SAMPLE = 6_000
 CANDIDATES = 4_000
 ENTRIES = 400
+LEAST_ODDS = 2.5
 SHORTEST, LONGEST = 3, 10
 HELD_COUNTS = 400_000
 
@@ -169,7 +171,7 @@ def choose(candidates: Iterable[tuple[str, int, int]], bad: int, good: int) -> d
     for _, _, term, weight in ranked:
         if len(kept) >= ENTRIES:
             break
-        if weight < 2.5 or term in stems or any(term[:k] in kept for k in range(1, len(term) + 1)):
+        if weight < LEAST_ODDS or term in stems or any(term[:k] in kept for k in range(1, len(term) + 1)):
             continue
         kept[term] = weight
         stems.update(term[:k] for k in range(1, len(term) + 1))
@@ -214,9 +216,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tu
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return Lexicon()
-    least = max(3, bad // 200)
-    a, b = (F.col("bad") + 0.5) / (bad + 1), (F.col("good") + 0.5) / (good + 1)
-    strong = _counted(rows, prefixes).where(F.col("bad") >= least).withColumn("s", F.log(a / b) * F.sqrt("bad")).where(F.log(a / b) >= 2.5)
+    counts = cut(_counted(rows, prefixes).where("bad >= 3"))
+    tried = counts.count()
+    both = F.col("bad") + F.col("good")
+    gain = lambda n, share: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) / (both * share))).otherwise(0.0)
+    g2 = 2 * (gain("bad", bad / (bad + good)) + gain("good", good / (bad + good)))
+    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
+    strong = counts.withColumn("s", odds * F.sqrt("bad")).where((odds >= LEAST_ODDS) & (g2 >= 2 * math.log(max(tried, 1)) + 4))
     top = strong.orderBy(F.desc("s"), F.desc("term")).limit(CANDIDATES).collect()
     lexicon = Lexicon(choose(((r["term"], r["bad"], r["good"]) for r in top), bad, good), exceptions)
 
