@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import ann, near_dedup, packing, secrets, toxicity, warc
+from ledgerloom.llm import ann, licenses, near_dedup, packing, quality_rules, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_blob_ledger_secrets": secrets.op4_blob_ledger_secrets,
         "op5_hash_prefix_forest": ann.op5_hash_prefix_forest,
+        "op7_winnowed_licenses": licenses.op7_winnowed_licenses,
+        "op8_weak_supervision_rules": quality_rules.op8_weak_supervision_rules,
         "op9_setsketch_near_dedup": near_dedup.op9_setsketch_near_dedup,
         "op10_warc_chunks": warc.op10_warc_chunks,
     }
