@@ -4,7 +4,8 @@ Each rule votes good, bad or abstains on a document. The rules' accuracies and t
 of good documents are estimated by expectation maximisation without labels (a latent-class
 model with conditionally independent rules); a document's posterior probability of being good
 replaces the all-must-pass filter. The model only needs how often each vote pattern
-occurs, a table of at most 3^len(RULES) rows counted over all documents.
+occurs among the documents that pass the base rules, a table of at most 3^len(RULES) rows
+counted over all of them; documents that fail the base rules are rejected in any case.
 
 Defined results: null text counts as empty; a text without words gets zero counts and fails
 the base rules; a null doc_id is carried as is; repeated rows are scored alike; an empty
@@ -42,7 +43,8 @@ RULES: dict[str, Callable[[dict], int]] = {
     "capitals": _rejects(lambda s: s["upper"] > 0.4 * s["letters"]),
     "exclamations": _rejects(lambda s: s["exclamations"] > 0.15 * s["n_words"]),
     "length": _rejects(lambda s: s["n_words"] < 10),
-    "letters": lambda s: BAD if s["letters"] < 0.6 * s["word_chars"] else GOOD if s["letters"] > 0.85 * s["word_chars"] else ABSTAIN,
+    "symbol_chars": _rejects(lambda s: s["n_symbols"] > 0.05 * s["word_chars"]),
+    "letters": lambda s: BAD if s["letters"] < 0.7 * s["word_chars"] else GOOD if s["letters"] > 0.9 * s["word_chars"] and s["n_symbols"] < 0.02 * s["n_words"] else ABSTAIN,
 }
 
 
@@ -150,10 +152,11 @@ def estimate(histogram: dict[int, int], n_rules: int, rounds: int = 200) -> tupl
 def judged(docs: DataFrame) -> DataFrame:
     """(doc_id, counts, base_failed, posterior, kept) per row."""
     rows = cut(counted(docs))
-    histogram = {r["pattern"]: r["count"] for r in rows.groupBy("pattern").count().collect()}  # at most 3 ** len(RULES) rows
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    passing = rows.groupBy("pattern").agg(F.count_if(~failed).alias("n")).collect()  # at most 3 ** len(RULES) rows
+    histogram = {r["pattern"]: r["n"] for r in passing}
     _, _, posterior = estimate(histogram, len(RULES)) if histogram else (0, None, {})
     known = rows.sparkSession.createDataFrame(list(posterior.items()) or [(-1, 0.0)], "pattern int, posterior double")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.join(F.broadcast(known), "pattern").select("doc_id", *COUNTS, failed.alias("base_failed"), "posterior", (~failed & (F.col("posterior") >= 0.5)).alias("kept"))
 
 
