@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import ann, licenses, near_dedup, packing, quality_rules, secrets, toxicity, warc
+from ledgerloom.llm import ann, kneser_ney, licenses, mixing, near_dedup, packing, quality_rules, secrets, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_kneser_ney_quality": kneser_ney.op1_kneser_ney_quality,
         "op2_lexicon_toxicity": toxicity.op2_lexicon_toxicity,
         "op3_best_fit_packing": packing.op3_best_fit_packing,
         "op4_blob_ledger_secrets": secrets.op4_blob_ledger_secrets,
         "op5_hash_prefix_forest": ann.op5_hash_prefix_forest,
+        "op6_soft_membership_mixing": mixing.op6_soft_membership_mixing,
         "op7_winnowed_licenses": licenses.op7_winnowed_licenses,
         "op8_weak_supervision_rules": quality_rules.op8_weak_supervision_rules,
         "op9_setsketch_near_dedup": near_dedup.op9_setsketch_near_dedup,
