@@ -9,10 +9,10 @@ cardinalities by maximum likelihood, and what may reach the threshold is confirm
 full shingle sets.
 
 Documents with equal sets form one class, represented by its least doc_id; only
-representatives are sketched into bands. Within a band bucket every member is compared
-with the bucket's hub; buckets that still hold several components afterwards have
-the members outside the largest one compared with all members of other components, so no
-candidate is given up and no bucket is expanded into all pairs.
+representatives are sketched into bands. Documents that collide in a band, directly or over
+others, form a cluster; within a cluster what the likelihood does not rule out is confirmed, in blocks of
+bounded size, and only links that connect something new are returned. In large clusters
+most members connect through a few hubs, and only the rest is compared with all.
 
 Defined results: null or wordless text: empty set, linked with nothing, kept. Null doc_id:
 linked with nothing, kept, component null. Rows that share a doc_id are one document. An
@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, table
+from ledgerloom.llm.common import cut, n_shuffle, table
 from ledgerloom.llm.graph import components
 
 WORDS = 5
@@ -39,6 +39,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65534
 NUM, DEN = 85, 100
 SLACK = 0.15  # six standard errors of the estimate at the threshold
 KNOWN_WORDS = 400_000
+BLOCK, HUBS = 400_000, 128  # shingles compared within one task; members that a large cluster is first compared with
 _rng = np.random.default_rng(20240229)
 _ODD = [int(x) | 1 for x in _rng.integers(0, 2**63, WORDS + 1, dtype=np.uint64)]
 _A = _rng.integers(0, 2**32, M, dtype=np.uint32) | np.uint32(1)
@@ -145,92 +146,193 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
-    """(id, n, regs, shingles) of rows with a non-empty set."""
+def may_reach(ra: np.ndarray, rb: np.ndarray, na, nb, j: float) -> np.ndarray:
+    """Whether the maximum-likelihood similarity is at least j: the likelihood is concave, so its slope at j tells."""
+    more, less = (ra > rb).sum(axis=-1), (ra < rb).sum(axis=-1)
+    same = ra.shape[-1] - more - less
+    u, v = na / (na + nb), nb / (na + nb)
+    step = 1e-6
+    x, y = np.minimum(j, np.minimum(u / v, v / u)), None
+    y = x - step
+    c = (BASE - 1) / BASE
+
+    def log_likelihood(t):
+        a, b = (-np.log1p(-np.clip(z, 1e-12, 1) * c) / math.log(BASE) for z in (u - v * t, v - u * t))
+        return more * np.log(np.maximum(a, 1e-300)) + less * np.log(np.maximum(b, 1e-300)) + same * np.log(np.maximum(1 - a - b, 1e-300))
+
+    return log_likelihood(x) >= log_likelihood(y) - 1e-9
+
+
+class Sets:
+    """Sketches and shingle sets of some documents, indexed by shingle."""
+
+    def __init__(self, ids, n, regs, shingles, group=None):
+        self.ids, self.n = np.asarray(ids, np.int64), np.asarray(n, np.float64)
+        self.regs = np.frombuffer(b"".join(regs), np.uint16).reshape(len(self.ids), M)
+        self.sets = [np.frombuffer(x, np.uint64) for x in shingles]
+        self.group = self.ids if group is None else np.asarray(group, np.int64)
+        self._sorted = None
+
+    def common(self, of: np.ndarray, among: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of a set with those of the given rows."""
+        if len(among) <= 16:
+            out = []
+            for k in among:
+                x, y = sorted((of, self.sets[k]), key=len)
+                at = np.searchsorted(y, x)
+                at[at == len(y)] = 0
+                out.append(int((y[at] == x).sum()))
+            return np.array(out, np.int64)
+        if self._sorted is None:
+            every = np.concatenate(self.sets)
+            owner = np.repeat(np.arange(len(self.sets), dtype=np.int32), [len(x) for x in self.sets])
+            order = np.argsort(every, kind="stable")
+            self._sorted = every[order], owner[order]
+        every, owner = self._sorted
+        lo, hi = np.searchsorted(every, of, "left"), np.searchsorted(every, of, "right")
+        size = hi - lo
+        at = np.repeat(hi - size.cumsum(), size) + np.arange(size.sum())
+        return np.bincount(owner[at], minlength=len(self.sets))[among]
+
+
+def spanning_links(asked: Sets, others: Sets) -> list[tuple[int, int]]:
+    """Links between documents of different groups, without those that earlier ones make redundant."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    roots = np.array([root(int(g)) for g in others.group], np.int64)
+    for k in range(len(asked.ids)):
+        mine = root(int(asked.group[k]))
+        lo, hi = np.minimum(asked.n[k], others.n), np.maximum(asked.n[k], others.n)
+        at = np.flatnonzero((roots != mine) & (DEN * lo >= NUM * hi))
+        if len(at):
+            at = at[may_reach(asked.regs[k], others.regs[at], asked.n[k], others.n[at], NUM / DEN - SLACK)]
+        if not len(at):
+            continue
+        both = others.common(asked.sets[k], at)
+        for i in at[DEN * both >= NUM * (asked.n[k] + others.n[at] - both)]:
+            a, b = root(mine), root(int(roots[i]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(asked.ids[k]), int(others.ids[i])))
+                roots[(roots == a) | (roots == b)] = min(a, b)
+                mine = min(a, b)
+    return out
+
+
+def _pairs(rows: list[tuple[int, int]], names: tuple[str, str]) -> pa.Table:
+    return pa.table({n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)})
+
+
+def _within(group: pa.Table) -> pa.Table:
+    """Links inside each cluster of a group of small clusters."""
+    cluster = group.column("cluster").to_numpy()
+    columns = [group.column(c).to_pylist() for c in ("id", "n", "regs", "shingles")]
+    links: list[tuple[int, int]] = []
+    order = np.argsort(cluster, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+        one = Sets(*([c[i] for i in rows] for c in columns))
+        links += spanning_links(one, one)
+    return _pairs(links, ("a", "b"))
+
+
+def _across(group: pa.Table) -> pa.Table:
+    """Links between the asked rows and the others of one part of a large cluster."""
+    ask = group.column("ask").to_numpy(zero_copy_only=False)
+    columns = [group.column(c).to_pylist() for c in ("id", "n", "regs", "shingles", "grp")]
+    sides = [Sets(*([c[i] for i in np.flatnonzero(m)] for c in columns)) if m.any() else None for m in (ask, ~ask)]
+    return _pairs(spanning_links(*sides) if all(sides) else [], ("a", "b"))
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, id, n, regs, shingles of the documents whose doc_id is in wanted (doc_id, keep)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "doc_id")
+    schema = wanted.select(*keep).schema.add("id", "long").add("n", "long").add("regs", "binary").add("shingles", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            keys, n, regs, sets = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            at, n, regs, sets = [], [], [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
                 s = shingle(text.as_py())
                 if len(s):
-                    keys.append(key)
+                    at.append(i)
                     n.append(len(s))
                     regs.append(registers(s).tobytes())
                     sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(regs, pa.binary()), pa.array(sets, pa.binary())], names=["id", "n", "regs", "shingles"])
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(n, pa.int64()), pa.array(regs, pa.binary()), pa.array(sets, pa.binary())], names=[*keep, "id", "n", "regs", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "id long, n long, regs binary, shingles binary")
+    return rows.select(*keep, "doc_id", "text").mapInArrow(run, schema)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose similarity reaches the threshold, by estimate first and full sets then."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b, na, nb, ra, rb, sa, sb = batch.columns
-        regs = [np.frombuffer(b"".join(x.to_pylist()), np.uint16).reshape(-1, M) for x in (ra, rb)]
-        guess = estimate(*regs, na.to_numpy().astype(float), nb.to_numpy().astype(float))
-        keep = []
-        for i in np.flatnonzero(guess >= NUM / DEN - SLACK):
-            x, y = np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.searchsorted(y, x)
-            at[at == len(y)] = 0
-            both = int((y[at] == x).sum())
-            if DEN * both >= NUM * (len(x) + len(y) - both):
-                keep.append(int(i))
-        yield pa.RecordBatch.from_arrays([a.take(pa.array(keep, pa.int64())), b.take(pa.array(keep, pa.int64()))], names=["a", "b"])
+def _blocked(docs: DataFrame, asked: DataFrame, others: DataFrame) -> DataFrame:
+    """Links of asked rows with others of their cluster: both are (doc_id, cluster, grp, n).
 
+    Either side is dealt into blocks of at most about BLOCK shingles, and every asked block
+    meets every block of the others.
+    """
+    weight = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") + 100) / BLOCK).cast("int").alias(name))
+    parts = weight(asked, "asks").join(weight(others, "blocks"), "cluster")
+    mine = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sent = (
+        asked.join(parts, "cluster").select("doc_id", "cluster", "grp", mine("asks").alias("x"), every("blocks").alias("y"), F.lit(True).alias("ask"))
+        .unionByName(others.join(parts, "cluster").select("doc_id", "cluster", "grp", every("asks").alias("x"), mine("blocks").alias("y"), F.lit(False).alias("ask")))
+    )
+    return _sets_of(docs, sent, ["cluster", "grp", "x", "y", "ask"]).groupBy("cluster", "x", "y").applyInArrow(_across, "a long, b long")
 
-def _sizes_allow(x: Column, y: Column) -> Column:
-    return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
 
+def links(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Enough links (a, b) to connect what is connected; members are (key, rep, n), rep's band keys.
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links."""
-    side = lambda s: sets.select(F.col("id").alias(s), F.col("n").alias("n" + s), F.col("regs").alias("r" + s), F.col("shingles").alias("s" + s))
-    both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-    return both.select("a", "b", "na", "nb", "ra", "rb", "sa", "sb").mapInArrow(_confirm, "a long, b long").distinct()
+    Documents that collide in a band, directly or over others, form a cluster. A cluster of up
+    to BLOCK shingles is compared within one task. In a larger one HUBS members are compared with
+    all first; then only what is not yet connected with the largest part is compared with all.
+    """
+    spark = docs.sparkSession
+    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("hub"))).alias("s"), F.count("*").alias("size")).where("size > 1")
+    stars = cut(members.join(hubs.select("key", "s.hub"), "key").select("rep", "hub").distinct())
+    sizes = members.select("rep", "n").distinct()
+    grouped = cut(components(stars, "rep", "hub").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).join(sizes, F.col("doc_id") == F.col("rep")).select("doc_id", "cluster", "n"))
+    weights = cut(grouped.groupBy("cluster").agg(F.sum(F.col("n") + 100).alias("weight"), F.count("*").alias("docs")).where("docs > 1"))
+    small = weights.where(F.col("weight") <= BLOCK)
+    total = small.agg(F.sum("weight")).first()[0] or 0
+    groups = int(max(1, total // (BLOCK // 2)))
+    told = grouped.join(small.select("cluster"), "cluster", "left_semi").select("doc_id", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(groups)).alias("g"))
+    out = cut(_sets_of(docs, told, ["cluster", "g"]).groupBy("g").applyInArrow(_within, "a long, b long"))
+    large = cut(grouped.join(weights.where(F.col("weight") > BLOCK).select("cluster"), "cluster", "left_semi").withColumn("grp", F.col("doc_id")))
+    if not large.take(1):
+        return out
+    salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(n_shuffle(spark)))
+    first = large.withColumn("h", F.xxhash64("doc_id")).withColumn("s", salt).withColumn("k", F.row_number().over(Window.partitionBy("cluster", "s").orderBy("h", "doc_id"))).where(F.col("k") <= HUBS)
+    chosen = first.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("h", "doc_id"))).where(F.col("k") <= HUBS).select(*large.columns)
+    near = cut(_blocked(docs, chosen, large))
+    comps = components(near, "a", "b")
+    now = cut(large.drop("grp").join(comps, F.col("doc_id") == F.col("id"), "left").select("doc_id", "cluster", "n", F.coalesce("component", "doc_id").alias("grp")))
+    largest = now.groupBy("cluster", "grp").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "grp")).alias("m")).select("cluster", F.col("m.grp").alias("grp"))
+    left = cut(now.join(largest, ["cluster", "grp"], "left_anti").select(*now.columns))
+    rest = cut(_blocked(docs, left, now)) if left.take(1) else near.limit(0)
+    return out.unionByName(near).unionByName(rest)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs."""
-    spark = docs.sparkSession
     rows = cut(sketches(docs))
     classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     reps = rows.join(classes, "digest").where("doc_id = rep").select("rep", "n_shingles", "bands")
     members = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
-    hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("hub"), F.col("n").alias("hub_n"))).alias("s"), F.count("*").alias("size")).where("size > 1")
-    buckets = cut(members.join(hubs.select("key", "s.hub", "s.hub_n"), "key"))
-    tried = cut(
-        buckets.where((F.col("rep") != F.col("hub")) & _sizes_allow(F.col("n"), F.col("hub_n")))
-        .select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    )
-    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
-    sets = cut(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")))
-    links = cut(confirmed(tried, sets))
-    comps = components(links, "a", "b")
-    left = unsettled(buckets, comps, tried)
-    if left.take(1):
-        links = links.unionByName(cut(confirmed(left, sets)))
-        comps = components(links, "a", "b")
+    comps = components(links(docs, members), "a", "b")
     where = classes.join(comps, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(where, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def unsettled(buckets: DataFrame, comps: DataFrame, tried: DataFrame) -> DataFrame:
-    """Untried pairs (a, b) that share a bucket but no component."""
-    at = cut(buckets.select("key", "rep", "n").join(comps, F.col("rep") == F.col("id"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c")))
-    largest = at.groupBy("key", "c").agg(F.count("*").alias("k")).groupBy("key").agg(F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("top.c").alias("main"))
-    outside = at.join(largest, "key").where("c != main").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    met = at.join(outside, "key").where((F.col("c") != F.col("cx")) & _sizes_allow(F.col("n"), F.col("nx")))
-    return cut(met.select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-
-
 def op9_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
