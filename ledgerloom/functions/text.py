@@ -54,7 +54,7 @@ def actor(name: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    scaled = lambda unit, name: F.concat(F.format_number(n / unit, "0.0"), F.lit(name))
+    scaled = lambda unit, name: F.concat((F.floor(n / unit * 10 + 0.5) / 10).cast("string"), F.lit(name))
     return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, scaled(1024, " KiB")).when(n < 1024**3, scaled(1024**2, " MiB")).otherwise(scaled(1024**3, " GiB"))
 
 
@@ -150,7 +150,7 @@ def redact(text: pd.Series) -> pd.Series:
     return text.map(redact_text, na_action="ignore")
 
 
-@F.pandas_udf("text string, flags int")
+@F.pandas_udf(T.StructType().add("text", "string").add("flags", "integer"))
 def finish(text: pd.Series, limit: pd.Series) -> pd.DataFrame:
     """Redacted text cut to limit UTF-8 bytes, with flag bits for what was done."""
     out, flags = [], []
@@ -178,7 +178,7 @@ def excerpt(text: pd.Series, side: pd.Series) -> pd.Series:
     return pd.Series([cut(t, n) for t, n in zip(text, side, strict=True)])
 
 
-@F.pandas_udf("page string, next_offset long")
+@F.pandas_udf(T.StructType().add("page", "string").add("next_offset", "long"))
 def text_page(text: pd.Series, offset: pd.Series, most: pd.Series) -> pd.DataFrame:
     """From a character offset, as many characters as `most` UTF-8 bytes hold, and where to go on (null at the end)."""
     pages, following = [], []
@@ -214,7 +214,7 @@ def canonical_json(value: pd.Series) -> pd.Series:
     return value.map(one)
 
 
-@F.pandas_udf("start long, end long")
+@F.pandas_udf(T.StructType().add("start", "long").add("end", "long"))
 def quote_span(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
     """Where a quote stands in the original text, white space compared loosely and case strictly."""
     rows = []

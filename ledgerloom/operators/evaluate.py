@@ -8,6 +8,7 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _below(k: int, n: int, p: float) -> float:
@@ -46,14 +47,14 @@ def proportions(rows: DataFrame, by: str, success: Column, confidence: float = 0
             both = [clopper_pearson(int(s), int(n), confidence) for s, n in zip(pdf.successes, pdf.n, strict=True)]
             yield pdf.assign(low=[b[0] for b in both], high=[b[1] for b in both])
 
-    return sums.mapInPandas(run, sums.schema.add("low", "double").add("high", "double"))
+    return sums.mapInPandas(run, T.StructType(list(sums.schema)).add("low", "double").add("high", "double"))
 
 
 def bootstrap(rows: DataFrame, by: str, family: str, value: str, draws: int = 500, confidence: float = 0.95, seed: int = 1) -> DataFrame:
     """Interval of the mean over families, families drawn with replacement; family means come from Spark."""
     means = rows.groupBy(by, family).agg(F.avg(value).alias("mean")).groupBy(by).agg(F.array_sort(F.collect_list("mean")).alias("means"))
 
-    @F.pandas_udf("mean double, low double, high double")
+    @F.pandas_udf(T.StructType().add("mean", "double").add("low", "double").add("high", "double"))
     def interval(m: pd.Series) -> pd.DataFrame:
         out = []
         for xs in m:

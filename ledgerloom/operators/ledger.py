@@ -152,7 +152,7 @@ def recovered(requests: DataFrame, receipts: DataFrame) -> DataFrame:
 
 def latest_failure(attempts: DataFrame) -> DataFrame:
     """Each request's latest failed attempt with the number of attempts."""
-    failed = F.max_by(F.when(F.col("state") == "failed", F.struct("round", "seconds")), F.when(F.col("state") == "failed", F.col("round")))
+    failed = F.max(F.when(F.col("state") == "failed", F.struct("round", "seconds")))
     return attempts.groupBy("request").agg(failed.alias("f"), F.count("*").alias("attempts")).where("f is not null").select("request", "f.round", "f.seconds", "attempts")
 
 

@@ -168,12 +168,9 @@ def nearest_unique(reports: DataFrame, requests: DataFrame, within: float) -> Da
 
 def first_after(requests: DataFrame, marks: DataFrame, stops: DataFrame) -> DataFrame:
     """For each request (key, at) the first mark after it that comes before the key's next stop."""
-    rows = (
-        requests.select("key", "at", F.lit(0).alias("what"), F.col("id").cast("string").alias("ref"))
-        .unionByName(marks.select("key", "at", F.lit(1).alias("what"), F.col("id").cast("string").alias("ref")))
-        .unionByName(stops.select("key", "at", F.lit(2).alias("what"), F.lit(None).cast("string").alias("ref")))
-    )
+    kind = lambda df, code, ref: df.select("key", "at", F.lit(code).alias("what"), ref.cast("string").alias("ref"))
+    rows = kind(stops, 0, F.lit(None)).unionByName(kind(requests, 1, F.col("id"))).unionByName(kind(marks, 2, F.col("id")))
     w = Window.partitionBy("key").orderBy("at", "what").rowsBetween(1, Window.unboundedFollowing)
     nxt = lambda k: F.first(F.when(F.col("what") == k, F.struct("at", "ref")), ignorenulls=True).over(w)
-    got = rows.withColumn("mark", nxt(1)).withColumn("stop", nxt(2)).where("what = 0")
+    got = rows.withColumn("mark", nxt(2)).withColumn("stop", nxt(0)).where("what = 1")
     return got.select("key", F.col("ref").alias("id"), F.when(F.col("stop").isNull() | (F.col("mark.at") < F.col("stop.at")), F.col("mark.ref")).alias("mark_id"))

@@ -1,0 +1,166 @@
+"""Transcript files as rows of complete lines, in batch and as a stream of growing files."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.types import StructType
+
+MOST_LINE_BYTES = 8 * 1024 * 1024
+READ = 1 << 20
+SCHEMA = "path string, line long, byte_offset long, next_offset long, raw binary"
+
+
+def _fs(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def discover(root: str, suffix: str = ".jsonl", prefix: str = "") -> list[tuple[str, int]]:
+    """(path, size) of regular files below root, by path."""
+    from pyarrow import fs
+
+    system, base = _fs(root)
+    found = system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+    scheme = root.split("://")[0] + "://" if "://" in root else ""
+    return sorted((scheme + f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name.endswith(suffix) and f.base_name.startswith(prefix))
+
+
+def complete_lines(path: str, start: int = 0, number: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int, bytes | None]]:
+    """(number, start, end, raw) of lines that end before `end`; raw is None for an over-long line.
+
+    A tail without a newline is withheld until it is complete. Memory is bounded by the longest line kept.
+    """
+    system, name = _fs(path)
+    with system.open_input_file(name) as f:
+        f.seek(start)
+        at, held, size, over = start, [], 0, False
+        while end is None or at + size < end:
+            block = f.read(READ if end is None else min(READ, end - at - size))
+            if not block:
+                return
+            pos = 0
+            while (nl := block.find(b"\n", pos)) >= 0:
+                number += 1
+                length = size + nl + 1 - pos
+                raw = None if over or length > MOST_LINE_BYTES else b"".join([*held, block[pos:nl]])
+                yield number, at, at + length, raw
+                at, held, size, over, pos = at + length, [], 0, False, nl + 1
+            size += len(block) - pos
+            over = over or size > MOST_LINE_BYTES
+            held = [] if over else [*held, block[pos:]]
+
+
+def _batches(path: str, lines) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+
+    def out() -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["path", "line", "byte_offset", "next_offset", "raw"])
+
+    for row in lines:
+        rows.append(row)
+        size += row[2] - row[1]
+        if len(rows) >= 5_000 or size > 8 * READ:
+            yield out()
+            rows, size = [], 0
+    if rows:
+        yield out()
+
+
+@dataclass
+class FilePart(InputPartition):
+    path: str
+    start: int = 0
+    number: int = 0
+    end: int | None = None
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options):
+        self.options = options
+
+    def partitions(self):
+        o = self.options
+        return [FilePart(p) for p, _ in discover(o["path"], o.get("suffix", ".jsonl"), o.get("prefix", ""))] or [FilePart("")]
+
+    def read(self, partition):
+        if partition.path:
+            yield from _batches(partition.path, complete_lines(partition.path))
+
+
+class _StreamReader(DataSourceStreamReader):
+    """Offsets are {path: [bytes, lines]} of what was handed out; files may grow and new ones appear.
+
+    A line count needs the lines before it, so the newest offset is found by scanning only
+    what was appended since the last one.
+    """
+
+    def __init__(self, options):
+        self.options, self.known = options, {}
+
+    def initialOffset(self):
+        return {}
+
+    def latestOffset(self):
+        now = dict(self.known)
+        for path, size in discover(self.options["path"], self.options.get("suffix", ".jsonl"), self.options.get("prefix", "")):
+            at, number = now.get(path, (0, 0))
+            if size > at:
+                for number, _, at, _ in complete_lines(path, at, number, size):  # noqa: B020
+                    pass
+                now[path] = (at, number)
+        self.known = now
+        return {p: list(v) for p, v in now.items()}
+
+    def partitions(self, start, end):
+        self.known = {**{p: tuple(v) for p, v in end.items()}, **self.known}
+        return [FilePart(p, *start.get(p, (0, 0)), end=at) for p, (at, _) in sorted(end.items()) if at > start.get(p, (0, 0))[0]]
+
+    def read(self, partition):
+        yield from _batches(partition.path, complete_lines(partition.path, partition.start, partition.number, partition.end))
+
+    def commit(self, end):
+        pass
+
+
+class TranscriptLines(DataSource):
+    """Options: path (a folder), suffix, prefix."""
+
+    @classmethod
+    def name(cls):
+        return "transcript_lines"
+
+    def schema(self):
+        return StructType.fromDDL(SCHEMA)
+
+    def reader(self, schema):
+        return _Reader(dict(self.options))
+
+    def streamReader(self, schema):
+        return _StreamReader(dict(self.options))
+
+
+def register(spark) -> None:
+    spark.dataSource.register(TranscriptLines)
+
+
+def journal(text: str) -> list[dict]:
+    """Strict JSONL: every line whole, an object, and without repeated keys."""
+
+    def unique(pairs):
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("repeated key")
+        return dict(pairs)
+
+    if text and not text.endswith("\n"):
+        raise ValueError("torn line")
+    rows = [json.loads(x, object_pairs_hook=unique) for x in text.splitlines()]
+    if not all(isinstance(r, dict) for r in rows):
+        raise ValueError("not an object")
+    return rows

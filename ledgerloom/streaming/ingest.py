@@ -1,0 +1,89 @@
+"""Incremental ingest: change detection against a manifest, a stream of appended lines, exactly-once sinks."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.sources import lines
+
+
+def plan(now: DataFrame, known: DataFrame, version: int) -> DataFrame:
+    """(path, mode) of a manifest against known sources.
+
+    Manifest: path, thread_id, ino, size, mtime_ns, first_hash, anchor_hash (of the bytes up to the known
+    cursor). Modes: new, unchanged, append, replace, moved, missing, and copy for a second path of
+    a thread whose first one is still there.
+    """
+    n, k = now.alias("n"), known.alias("k")
+    both = n.join(k, F.col("n.path") == F.col("k.path"), "full_outer")
+    same = (F.col("n.ino") == F.col("k.ino")) & (F.col("n.size") == F.col("k.size")) & (F.col("n.mtime_ns") == F.col("k.mtime_ns")) & (F.col("k.classifier_version") == version)
+    grown = (F.col("n.first_hash") == F.col("k.first_hash")) & (F.col("n.size") >= F.col("k.size")) & (F.col("n.anchor_hash") == F.col("k.anchor_hash")) & (F.col("k.classifier_version") == version)
+    at = both.select(F.coalesce("n.path", "k.path").alias("path"), F.coalesce("n.thread_id", "k.thread_id").alias("thread_id"), F.when(F.col("k.path").isNull(), "new").when(F.col("n.path").isNull(), "missing").when(same, "unchanged").when(grown, "append").otherwise("replace").alias("mode"))
+    threads = at.groupBy("thread_id").agg(F.bool_or(F.col("mode").isin("unchanged", "append", "replace")).alias("_here"), F.bool_or(F.col("mode") == "missing").alias("_gone"))
+    return at.join(threads, "thread_id", "left").select("path", "thread_id", F.when((F.col("mode") == "new") & F.col("_here"), "copy").when((F.col("mode") == "new") & F.col("_gone"), "moved").otherwise(F.col("mode")).alias("mode"))
+
+
+def appended(spark: SparkSession, folder: str, **options: str) -> DataFrame:
+    """A stream of complete lines appended below a folder."""
+    lines.register(spark)
+    return spark.readStream.format("transcript_lines").options(path=folder, **options).load()
+
+
+def carried(stream: DataFrame) -> DataFrame:
+    """Lines with the directory in force there; the last one is kept as state of each file between batches."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        (cwd,) = state.get if state.exists else (None,)
+        rows = pd.concat(list(batches)).sort_values("line")
+        out = []
+        for given in rows.given:
+            cwd = given if isinstance(given, str) and given else cwd
+            out.append(cwd)
+        state.update((cwd,))
+        yield rows.assign(cwd=out)[["path", "line", "cwd", "raw"]]
+
+    text = F.col("raw").cast("string")
+    given = F.coalesce(F.get_json_object(text, "$.payload.cwd"), F.get_json_object(text, "$.cwd"))
+    rows = stream.select("path", "line", given.alias("given"), text.alias("raw"))
+    return rows.groupBy("path").applyInPandasWithState(run, "path string, line long, cwd string, raw string", "cwd string", "append", "NoTimeout")
+
+
+def to_parquet(stream: DataFrame, folder: str, checkpoint: str, once: bool = True):
+    """Writes each batch into its own partition, overwriting it if the batch is repeated."""
+
+    def sink(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="60 seconds")).start()
+
+
+def merged(old: DataFrame, new: DataFrame, keys: list[str], changed: list[str]) -> DataFrame:
+    """Upsert: new rows replace old ones of the same key; `changed` columns come from new, the rest is kept."""
+    o, n = old.alias("o"), new.alias("n")
+    on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
+    cond = on[0]
+    for c in on[1:]:
+        cond = cond & c
+    pick = lambda c: F.coalesce(f"n.{c}", f"o.{c}") if c in changed or c in keys else F.coalesce(f"o.{c}", f"n.{c}")
+    return o.join(n, cond, "full_outer").select(*(pick(c).alias(c) for c in old.columns))
+
+
+def last_issue(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One issue per (source_id, line): the newest."""
+    return old.unionByName(new).groupBy("source_id", "line").agg(F.max_by("code", "at").alias("code"), F.max("at").alias("at"))
+
+
+def appended_only(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of new whose key is not there yet, once each."""
+    return new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti")
+
+
+def unchanged_imports(digests: DataFrame, known: DataFrame) -> DataFrame:
+    """Conversations to import again, and those that only need a touch, by content digest."""
+    both = digests.join(known.select("conversation", F.col("digest").alias("_old")), "conversation", "left")
+    return both.select("conversation", F.when(F.col("_old").isNull(), "import").when(F.col("_old") == F.col("digest"), "touch").otherwise("replace").alias("action"))
