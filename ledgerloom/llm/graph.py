@@ -8,15 +8,24 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import cut
 
 
+ROWS_A_PARTITION = 200_000
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One star step on rows (u, v): every considered neighbour of u, and u, is tied to the least of them."""
     low = pairs.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("u", "_m"))
     tied = pairs.join(low, "u")
     if large:
-        tied = tied.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("_m").alias("v"))
-    else:
-        tied = tied.select(F.col("v").alias("u"), F.col("_m").alias("v")).unionByName(low.select("u", F.col("_m").alias("v")))
-    return tied.where(F.col("u") != F.col("v")).distinct()
+        return tied.where((F.col("v") > F.col("u")) & (F.col("v") != F.col("_m"))).select(F.col("v").alias("u"), F.col("_m").alias("v"))
+    both = F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("_m").alias("b")), F.struct(F.col("u").alias("a"), F.col("_m").alias("b"))))
+    return tied.select(both.alias("p")).where("p.a != p.b").select(F.col("p.a").alias("u"), F.col("p.b").alias("v")).distinct()
+
+
+def _unsettled(pairs: DataFrame) -> DataFrame:
+    """Ids with two parents, or that are a parent and have one: none once every component is a star."""
+    sides = F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    n = pairs.select(sides.alias("s")).groupBy("s.id").agg(F.sum("s.up").alias("up"), F.sum("s.down").alias("down"))
+    return n.where("up > 1 or up > 0 and down > 0").limit(1)
 
 
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
@@ -29,14 +38,14 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     pairs = cut(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     loops = pairs.where(F.col("u") == F.col("v")).select("u")
-    now, seen = cut(pairs.where(F.col("u") != F.col("v"))), None
+    now = cut(pairs.where(F.col("u") != F.col("v")))
     for _ in range(rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # few rows travel in few partitions, so that small graphs do not leave many tiny files
+        now = now.coalesce(max(1, min(now.rdd.getNumPartitions(), -(-now.count() // ROWS_A_PARTITION))))
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("p")).select("p.*")
         now = cut(_star(_star(both, True), False))
-        mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark == seen:
+        if not _unsettled(now).take(1):
             break
-        seen = mark
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("u")).unionByName(loops.join(now, "u", "left_anti")).distinct()

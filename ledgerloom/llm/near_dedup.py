@@ -249,85 +249,82 @@ def _across(group: pa.Table) -> pa.Table:
     return _pairs(spanning_links(*sides) if all(sides) else [], ("a", "b"))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, id, n, regs, shingles of the documents whose doc_id is in wanted (doc_id, keep)."""
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, n, regs, shingles of the documents whose doc_id is in wanted (doc_id)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.hint("merge"), "doc_id")
-    schema = wanted.select(*keep).schema.add("id", "long").add("n", "long").add("regs", "binary").add("shingles", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            at, n, regs, sets = [], [], [], []
-            for i, text in enumerate(batch.column(batch.num_columns - 1)):
+            ids, n, regs, sets = [], [], [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle(text.as_py())
                 if len(s):
-                    at.append(i)
+                    ids.append(key)
                     n.append(len(s))
                     regs.append(registers(s).tobytes())
                     sets.append(s.tobytes())
-            kept = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(n, pa.int64()), pa.array(regs, pa.binary()), pa.array(sets, pa.binary())], names=[*keep, "id", "n", "regs", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(regs, pa.binary()), pa.array(sets, pa.binary())], names=["id", "n", "regs", "shingles"])
 
-    return rows.select(*keep, "doc_id", "text").mapInArrow(run, schema)
+    return rows.select("doc_id", "text").mapInArrow(run, "id long, n long, regs binary, shingles binary")
 
 
-def _blocked(docs: DataFrame, asked: DataFrame, others: DataFrame) -> DataFrame:
-    """Links of asked rows with others of their cluster: both are (doc_id, cluster, grp, n).
+def _blocked(sets: DataFrame, asked: DataFrame, others: DataFrame) -> DataFrame:
+    """Links of asked rows with others of their cluster: both are (id, cluster, grp, weight).
 
     Either side is dealt into blocks of at most about BLOCK shingles, and every asked block
     meets every block of the others.
     """
-    weight = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.sum(F.col("n") + 100) / BLOCK).cast("int").alias(name))
+    weight = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.sum("weight") / BLOCK).cast("int").alias(name))
     parts = weight(asked, "asks").join(weight(others, "blocks"), "cluster")
-    mine = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sent = (
-        asked.join(parts, "cluster").select("doc_id", "cluster", "grp", mine("asks").alias("x"), every("blocks").alias("y"), F.lit(True).alias("ask"))
-        .unionByName(others.join(parts, "cluster").select("doc_id", "cluster", "grp", every("asks").alias("x"), mine("blocks").alias("y"), F.lit(False).alias("ask")))
+        asked.join(parts, "cluster").select("id", "cluster", "grp", mine("asks").alias("x"), every("blocks").alias("y"), F.lit(True).alias("ask"))
+        .unionByName(others.join(parts, "cluster").select("id", "cluster", "grp", every("asks").alias("x"), mine("blocks").alias("y"), F.lit(False).alias("ask")))
     )
-    return _sets_of(docs, sent, ["cluster", "grp", "x", "y", "ask"]).groupBy("cluster", "x", "y").applyInArrow(_across, "a long, b long")
+    return sets.join(sent, "id").groupBy("cluster", "x", "y").applyInArrow(_across, "a long, b long")
 
 
-def links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Enough links (a, b) to connect what is connected; members are (key, rep, n), rep's band keys.
+def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Enough links (a, b) to connect what is connected; reps are (rep, n_shingles, bands).
 
     Documents that collide in a band, directly or over others, form a cluster. A cluster of up
     to BLOCK shingles is compared within one task. In a larger one HUBS members are compared with
     all first; then only what is not yet connected with the largest part is compared with all.
     """
     spark = docs.sparkSession
+    members = reps.select("rep", F.explode(F.array_distinct("bands")).alias("key"))
     hubs = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep").alias("hub"))).alias("s"), F.count("*").alias("size")).where("size > 1")
-    stars = cut(members.join(hubs.select("key", "s.hub"), "key").select("rep", "hub").distinct())
-    sizes = members.select("rep", "n").distinct()
-    grouped = cut(components(stars, "rep", "hub").select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).join(sizes, F.col("doc_id") == F.col("rep")).select("doc_id", "cluster", "n"))
-    weights = cut(grouped.groupBy("cluster").agg(F.sum(F.col("n") + 100).alias("weight"), F.count("*").alias("docs")).where("docs > 1"))
-    small = weights.where(F.col("weight") <= BLOCK)
-    total = small.agg(F.sum("weight")).first()[0] or 0
-    groups = int(max(1, total // (BLOCK // 2)))
-    told = grouped.join(small.select("cluster"), "cluster", "left_semi").select("doc_id", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(groups)).alias("g"))
-    out = cut(_sets_of(docs, told, ["cluster", "g"]).groupBy("g").applyInArrow(_within, "a long, b long"))
-    large = cut(grouped.join(weights.where(F.col("weight") > BLOCK).select("cluster"), "cluster", "left_semi").withColumn("grp", F.col("doc_id")))
+    stars = cut(members.join(hubs.select("key", "s.hub"), "key").where("rep != hub").select("rep", "hub").distinct())
+    weighed = reps.groupBy("rep").agg((F.max("n_shingles") + 100).alias("weight"))
+    grouped = cut(components(stars, "rep", "hub").join(weighed, F.col("id") == F.col("rep")).select("id", F.col("component").alias("cluster"), "weight"))
+    sets = cut(_sets_of(docs, grouped.select(F.col("id").alias("doc_id"))))
+    sizes = cut(grouped.groupBy("cluster").agg(F.sum("weight").alias("all")))
+    groups = int(max(1, (sizes.where(F.col("all") <= BLOCK).agg(F.sum("all")).first()[0] or 0) // (BLOCK // 2)))
+    told = grouped.join(sizes.where(F.col("all") <= BLOCK).select("cluster"), "cluster").select("id", "cluster", F.pmod(F.xxhash64("cluster"), F.lit(groups)).alias("g"))
+    out = cut(sets.join(told, "id").groupBy("g").applyInArrow(_within, "a long, b long"))
+    large = cut(grouped.join(sizes.where(F.col("all") > BLOCK).select("cluster"), "cluster").select("id", "cluster", "weight", F.col("id").alias("grp")))
     if not large.take(1):
         return out
-    salt = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(n_shuffle(spark)))
-    first = large.withColumn("h", F.xxhash64("doc_id")).withColumn("s", salt).withColumn("k", F.row_number().over(Window.partitionBy("cluster", "s").orderBy("h", "doc_id"))).where(F.col("k") <= HUBS)
-    chosen = first.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("h", "doc_id"))).where(F.col("k") <= HUBS).select(*large.columns)
-    near = cut(_blocked(docs, chosen, large))
-    comps = components(near, "a", "b")
-    now = cut(large.drop("grp").join(comps, F.col("doc_id") == F.col("id"), "left").select("doc_id", "cluster", "n", F.coalesce("component", "doc_id").alias("grp")))
+    salt = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_shuffle(spark)))
+    first = large.withColumn("h", F.xxhash64("id")).withColumn("s", salt).withColumn("k", F.row_number().over(Window.partitionBy("cluster", "s").orderBy("h", "id"))).where(F.col("k") <= HUBS)
+    chosen = first.withColumn("k", F.row_number().over(Window.partitionBy("cluster").orderBy("h", "id"))).where(F.col("k") <= HUBS).select(*large.columns)
+    near = cut(_blocked(sets, chosen, large))
+    comps = components(near, "a", "b").withColumnRenamed("id", "_id")
+    now = cut(large.drop("grp").join(comps, F.col("id") == F.col("_id"), "left").select("id", "cluster", "weight", F.coalesce("component", "id").alias("grp")))
     largest = now.groupBy("cluster", "grp").agg(F.count("*").alias("k")).groupBy("cluster").agg(F.max(F.struct("k", "grp")).alias("m")).select("cluster", F.col("m.grp").alias("grp"))
     left = cut(now.join(largest, ["cluster", "grp"], "left_anti").select(*now.columns))
-    rest = cut(_blocked(docs, left, now)) if left.take(1) else near.limit(0)
+    rest = cut(_blocked(sets, left, now)) if left.take(1) else near.limit(0)
     return out.unionByName(near).unionByName(rest)
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of docs."""
     rows = cut(sketches(docs))
-    classes = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = rows.join(classes, "digest").where("doc_id = rep").select("rep", "n_shingles", "bands")
-    members = reps.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
-    comps = components(links(docs, members), "a", "b")
+    classes = cut(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    reps = cut(rows.join(classes, "digest").where("doc_id = rep").select("rep", "n_shingles", "bands"))
+    comps = components(links(docs, reps), "a", "b")
     where = classes.join(comps, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "digest").join(where, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
