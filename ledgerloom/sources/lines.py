@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType
 
 MOST_LINE_BYTES = 8 * 1024 * 1024
 READ = 1 << 20
@@ -137,7 +136,7 @@ class TranscriptLines(DataSource):
         return "transcript_lines"
 
     def schema(self):
-        return StructType.fromDDL(SCHEMA)
+        return SCHEMA
 
     def reader(self, schema):
         return _Reader(dict(self.options))

@@ -93,7 +93,7 @@ def codex_events(lines: DataFrame) -> DataFrame:
     given = F.when(((F.col("r.type") == "session_meta") & (F.col("line") == 1)) | (F.col("r.type") == "turn_context"), F.nullif(F.col("r.payload.cwd"), F.lit("")))
     own = own.withColumn("cwd", F.last(given, ignorenulls=True).over(_along()))
     inherited = F.coalesce(F.coalesce("r.ordinal", F.col("line") - 1) < F.col("replay_before"), F.lit(False))
-    items = own.where((F.col("r.type") == "response_item") & ~inherited).select("path", "line", F.coalesce("r.ordinal", "line").alias("seq"), F.nullif("r.timestamp", F.lit("")).alias("ts"), "cwd", "thread_class", "r.payload.*")
+    items = own.where((F.col("r.type") == "response_item") & ~inherited).select("path", "line", F.coalesce("r.ordinal", "line").alias("seq"), F.nullif("r.timestamp", F.lit("")).alias("ts"), "cwd", "thread_class", *(f"r.payload.{c}" for c in ("type", "role", "content", "name", "arguments", "input", "call_id", "output")))
     text = F.regexp_replace(_text_of(F.col("content")), r"^\s*(?:<image\b[^>]*>\s*(?:</image>\s*)?)+", "")
     tag = F.when(F.col("role") == "user", _opens(text, CODEX_HARNESS))
     messages = items.where("type = 'message' and role in ('user', 'assistant')").select("path", "line", F.lit(1).alias("part"), "seq", "ts", "role", F.when(F.col("role") == "assistant", "reply").otherwise(user_kind(tag, F.col("thread_class"))).alias("kind"), tag.alias("tag"), "cwd", F.lit(None).cast("string").alias("call_id"), text.alias("text")).where("trim(text) != ''")
