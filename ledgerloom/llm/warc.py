@@ -85,7 +85,7 @@ def write(chunks: DataFrame, folder: str) -> DataFrame:
                 page_id, url, sha1, n, revisit, first, chunk_no, last_no, part = row
                 if out is None:
                     fs, path = _open_fs(uri)
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)
                 if chunk_no == 0:
                     gz = zlib.compressobj(1, zlib.DEFLATED, 31)
                     out.write(gz.compress(_head(page_id, url, sha1, n, revisit, first) + HTTP))
@@ -168,7 +168,7 @@ def read(archives: DataFrame, payload: bool = True) -> DataFrame:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
                 fs, path = _open_fs(uri)
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for fields, parts in Records(stream):
                         head = (page(fields["WARC-Record-ID"]), fields["WARC-Type"], page(fields.get("WARC-Refers-To")), fields["WARC-Payload-Digest"].removeprefix("sha1:"))
                         sha1, size, number, held = hashlib.sha1(), 0, 0, None

