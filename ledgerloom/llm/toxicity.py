@@ -57,13 +57,13 @@ class _Fold(dict):
             out = HOMOGLYPHS[c]
         elif c in SUBSTITUTES:
             out = SUBSTITUTES[c]
-        elif c.isalpha():
-            out = c
         elif 0xFF21 <= code <= 0xFF5A or 0x1D400 <= code <= 0x1D7FF:
             import unicodedata
 
             plain = unicodedata.normalize("NFKC", c).lower()
             out = SUBSTITUTES.get(plain, plain if plain.isalpha() else " ")
+        elif c.isalpha():
+            out = c
         else:
             out = "" if c in "​‌‍⁠﻿­" else " "
         self[code] = out
