@@ -249,3 +249,35 @@ def snippet(terms: list[str], width: int = 32):
         return text.map(one)
 
     return run
+
+
+def iso_date(value: Column) -> Column:
+    """Whether text is an ISO day or instant of the calendar."""
+    shape = value.rlike(r"^\d{4}-\d{2}-\d{2}(?:T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$")
+    return F.coalesce(shape & F.left(value, F.lit(10)).try_cast("date").isNotNull(), F.lit(False))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def redact_parts(parts: pd.Series) -> pd.Series:
+    """Fields redacted as one text, so that a key in one and its value in the next are seen together."""
+
+    def one(fields):
+        if fields is None:
+            return None
+        texts = [f or "" for f in fields]
+        whole, starts, at = "\n".join(texts), [], 0
+        for t in texts:
+            starts.append(at)
+            at += len(t) + 1
+        out = []
+        for t, s in zip(texts, starts, strict=True):
+            pos, new = 0, []
+            for a, b in secret_spans(whole):
+                a, b = max(a - s, 0), min(b - s, len(t))
+                if a < b:
+                    new += [t[pos:a], REDACTION]
+                    pos = b
+            out.append("".join([*new, t[pos:]]))
+        return out
+
+    return parts.map(one)

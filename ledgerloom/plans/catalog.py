@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import erase, evaluate, filters, ledger, lineage, navigation, retrieval, stats, windows
+from ledgerloom.operators import erase, evaluate, filters, ledger, lineage, navigation, retrieval, review, stats, windows
 from ledgerloom.plans.fixtures import Data, with_fixtures
+from ledgerloom.streaming import ingest
 
 TEXT, WORDS = 'thing thble "of the"', ["thing", "thble"]
 INSIDE = [1, 2, 3]
@@ -370,3 +371,43 @@ def _lines_of_logs(d: Data) -> DataFrame:
 query("snk03_accumulate", lambda d: stats.accumulate(*(stats.usage(_calls(d).where(F.col("id") % 2 == k), ["provider", "session_root"]) for k in (0, 1)), ["provider", "session_root"]), "SELECT provider, session_root, count(*)::BIGINT AS calls, (count(*) FILTER (state = 'failed'))::BIGINT AS errors, max(ts) AS last_ts FROM (SELECT *, CASE actor % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' ELSE 'cursor' END AS provider, actor % 50 AS session_root FROM call) GROUP BY 1, 2", "call")
 query("snk07_table_digest", lambda d: stats.table_digest(d.part).select("n"), "SELECT count(*) AS n FROM part")
 query("doctor", lambda d: stats.doctor(d.event, d.source, 3), "SELECT 'missing_sources' AS name, 'warning' AS level, count(*) = 0 AS ok, count(*) AS n FROM source WHERE status = 'missing' UNION ALL SELECT 'other_threads', 'info', count(*) = 0, count(*) FROM source WHERE thread_class NOT IN ('primary', 'subagent') UNION ALL SELECT 'reread_pending', 'warning', count(*) = 0, count(*) FROM source WHERE status = 'active' AND classifier_version < 3 UNION ALL SELECT 'orphan_events', 'error', true, 0 UNION ALL SELECT 'skipped_lines', 'info', count(*) = 0, count(*) FROM source WHERE skipped_lines > 0", "source")
+
+# Review work
+query("knw27_evidence_budget", lambda d: review.select_evidence(d.event.select("source_id", "line", "part", F.octet_length("text").alias("bytes")), "source_id", 1500, 4).select("source_id", "line"), "SELECT source_id, line FROM (SELECT source_id, line, sum(strlen(text)) OVER (PARTITION BY source_id ORDER BY line) AS b, count(*) OVER (PARTITION BY source_id ORDER BY line) AS n FROM event) WHERE b <= 1500 AND n <= 4", "event")
+query("knw29_paired_replies", lambda d: review.paired_replies(d.event), "SELECT source_id, id AS prompt_id, reply_id FROM (SELECT source_id, id, kind, lead(kind) OVER w AS k, lead(id) OVER w AS reply_id FROM event WINDOW w AS (PARTITION BY source_id ORDER BY line)) WHERE kind = 'prompt' AND k = 'reply'", "event")
+query("knw16_candidate_digest", lambda d: d.version.select("knowledge_id", "revision", review.candidate_digest(F.col("project"), F.col("task"), F.col("content")).alias("digest")), "SELECT knowledge_id, revision, sha256(concat(strlen(project), ':', project, '|', CASE WHEN task IS NULL THEN '-' ELSE concat(strlen(task), ':', task) END, '|', strlen(content), ':', content)) AS digest FROM version", "version")
+query("knw16_decided", lambda d: review.decided(*_candidates(d)), "WITH c AS (SELECT p_partkey AS candidate_id, p_size AS digest FROM part WHERE p_partkey % 2 = 0), v AS (SELECT l_partkey AS candidate_id, CAST(l_linenumber * 7 AS INT) AS digest, CASE WHEN l_returnflag = 'R' THEN 'reject' ELSE 'accept' END AS verdict, l_orderkey AS o FROM lineitem), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY o, verdict, digest) AS k FROM v) WHERE k = 1) SELECT c.candidate_id, CASE WHEN verdict IS NULL THEN 'open' WHEN f.digest <> c.digest THEN 'stale' ELSE verdict END AS outcome FROM c LEFT JOIN f USING (candidate_id)")
+query("knw18_commit", lambda d: review.commit(*_commit(d), NOW)[0].select("request_id", "state"), "SELECT request_id, CASE WHEN state = 'queued' THEN CASE WHEN owner % 4 = 1 OR owner % 3 = 0 THEN 'completed' ELSE 'running' END ELSE state END AS state FROM request", "request")
+query("knw24_reserve", lambda d: review.reserve(d.charge.where("round > 4").select("request", F.col("reserved").cast("double").alias("cost")), d.charge.where("round <= 4").groupBy("request", "round").agg(F.max("reserved").cast("double").alias("cost")), 0.155), "WITH s AS (SELECT request, sum(CAST(reserved AS DOUBLE)) AS spent FROM charge WHERE round > 4 GROUP BY 1), w AS (SELECT request, round, CAST(max(reserved) AS DOUBLE) AS cost FROM charge WHERE round <= 4 GROUP BY ALL) SELECT request, round, cost, sum(cost) OVER (PARTITION BY request ORDER BY round) + coalesce(spent, 0) <= 0.155 AS granted FROM w LEFT JOIN s USING (request)", "charge")
+query("top10_rotated", lambda d: review.rotated(d.source.select(F.col("source_id").alias("id"), F.col("source_id").alias("seq")), d.source.where("source_id % 4 = 0").select(F.col("source_id").alias("id"))), "SELECT source_id AS id, source_id AS seq FROM source WHERE source_id % 4 <> 0 UNION ALL SELECT source_id, (SELECT max(source_id) FROM source) + row_number() OVER (ORDER BY source_id) FROM source WHERE source_id % 4 = 0", "source")
+query("str10_cursors", lambda d: review.advance(d.event.where("kind = 'prompt'").groupBy("source_id").agg(F.max("line").alias("examined"), F.min("line").alias("completed")), d.event.where("kind = 'reply'").groupBy("source_id").agg(F.max("line").alias("examined"), F.max("line").alias("completed"))), "SELECT source_id, max(e) AS examined, least(max(c), max(e)) AS completed FROM (SELECT source_id, max(line) AS e, min(line) AS c FROM event WHERE kind = 'prompt' GROUP BY 1 UNION ALL SELECT source_id, max(line), max(line) FROM event WHERE kind = 'reply' GROUP BY 1) GROUP BY 1", "event")
+query("knw33_uncovered", lambda d: review.uncovered(d.event.select("source_id", "line"), d.request.where("state = 'completed'").select(F.expr("cast(substr(thread_id, 5) as bigint)").alias("source_id"), "from_line", "through_line")), "WITH r AS (SELECT DISTINCT source_id, line FROM event e WHERE NOT EXISTS (SELECT 1 FROM request q WHERE q.state = 'completed' AND CAST(substr(thread_id, 5) AS BIGINT) = e.source_id AND e.line BETWEEN q.from_line AND q.through_line)), g AS (SELECT *, line - row_number() OVER (PARTITION BY source_id ORDER BY line) AS k FROM r) SELECT source_id, min(line) AS from_line, max(line) AS through_line FROM g GROUP BY source_id, k", "event", "request")
+query("knw35_notice", lambda d: review.notice(d.request), "SELECT request_id, state, CASE WHEN retry_at IS NULL THEN 'inspect' ELSE 'wait' END AS action FROM request WHERE state = 'failed' ORDER BY created_at DESC, request_id DESC LIMIT 1", "request")
+query("knw35_policy_status", lambda d: d.source.groupBy(review.policy_status(F.when(F.col("status") == "active", "open").otherwise("closed"), F.col("classifier_version"), 2).alias("code")).agg(F.count("*").alias("n")), "SELECT CASE WHEN status <> 'active' THEN 'paused' WHEN classifier_version < 2 THEN 'outdated' WHEN classifier_version > 2 THEN 'newer' ELSE 'ready' END AS code, count(*) AS n FROM source GROUP BY 1", "source")
+query("scl20_owner_authority", lambda d: rows(d).select("id", review.owner_authority(F.col("provider"), F.col("kind"), F.lit(None).cast("string"), F.col("thread_class")).alias("authority")), f"{J} SELECT id, CASE WHEN kind = 'prompt' AND thread_class = 'primary' AND provider IN ('codex', 'claude') THEN 'owner' WHEN kind = 'prompt' THEN 'unverified' ELSE 'agent' END AS authority FROM j", *EV)
+query("era13_decision_locators", lambda d: review.locators_hit(d.request.select("request_id", "provider", "thread_id", F.col("from_line").alias("line")), d.tombstone).select("request_id"), "SELECT request_id FROM request r WHERE EXISTS (SELECT 1 FROM tombstone t WHERE t.provider = r.provider AND t.thread_id = r.thread_id AND (t.level = 'thread' OR t.line = r.from_line))", "request", "tombstone")
+query("era12_admitted_threads", lambda d: d.source.join(d.tombstone.where("level = 'thread'").select("provider", "thread_id"), ["provider", "thread_id"], "left_anti").join(d.tombstone.where("level = 'thread'").select(F.col("thread_id").alias("forked_from_id")), "forked_from_id", "left_anti").select("source_id"), "SELECT source_id FROM source s WHERE NOT EXISTS (SELECT 1 FROM tombstone t WHERE t.level = 'thread' AND (t.provider = s.provider AND t.thread_id = s.thread_id OR t.thread_id = s.forked_from_id))", "source", "tombstone")
+query("flt15_log_fields", lambda d: review.log_record(d.call.select("id", "cmd", "state", F.col("matches").cast("string").alias("matches")), {"id": r"\d+", "cmd": "view|click", "state": "[a-z]+", "matches": r"\d"}), "SELECT id, CASE WHEN cmd IN ('view', 'click') THEN cmd END AS cmd, state, CASE WHEN matches < 10 THEN CAST(matches AS VARCHAR) END AS matches FROM call", "call")
+query("snk10_answer_json", lambda d: review.answer_json(d.documents.select("doc_id", F.left("text", F.lit(500)).alias("text")), ("text",)))
+query("snk08_knowledge_index", lambda d: ledger.eligible(*_ledger(d), now=NOW, everywhere=True).select("knowledge_id", F.explode(X.tokens(F.col("content"))).alias("term")).groupBy("term").agg(F.count_distinct("knowledge_id").alias("df")), f"WITH {ELG}, t AS (SELECT knowledge_id, unnest({TOKENS.format('content')}) AS term FROM eg WHERE expires_at IS NULL OR expires_at > {NOW}) SELECT term, count(DISTINCT knowledge_id) AS df FROM t GROUP BY 1", *LED)
+query("scl02_redact_parts", lambda d: d.documents.select("doc_id", X.redact_parts(F.split(F.left("text", F.lit(2000)), "\n")).alias("p")).select("doc_id", F.array_join("p", "\n").alias("text")))
+query("scl13_iso_dates", lambda d: d.event.select("id", X.iso_date(F.when(F.col("line") % 3 == 0, F.lit("2024-02-30")).when(F.col("line") % 3 == 1, F.col("ts")).otherwise(F.lit("2024-02-29"))).alias("ok")), "SELECT id, CASE line % 3 WHEN 0 THEN false WHEN 1 THEN ts IS NOT NULL ELSE true END AS ok FROM event", "event")
+query("scl17_scalars", lambda d: d.part.agg(F.coalesce(F.sum(F.when(F.col("p_size") > 1000, 1)), F.lit(0)).cast("double").alias("total"), F.max(F.instr("p_name", "e")).cast("long").alias("at"), F.max(F.octet_length("p_name")).cast("long").alias("bytes")), "SELECT 0.0 AS total, max(instr(p_name, 'e')) AS at, max(strlen(p_name)) AS bytes FROM part")
+query("snk04_last_issue", lambda d: ingest.last_issue(*(d.call.where(F.col("id") % 2 == k).select((F.col("id") % 40).alias("source_id"), (F.col("id") % 7).alias("line"), F.col("cmd").alias("code"), F.col("id").alias("at")) for k in (0, 1))), "SELECT source_id, line, max_by(cmd, id) AS code, max(id) AS at FROM (SELECT *, id % 40 AS source_id, id % 7 AS line FROM call) GROUP BY ALL", "call")
+query("snk02_merge", lambda d: ingest.merged(d.source.where("source_id < 60").select("thread_id", "status", "skipped_lines"), d.source.where("source_id >= 40").select("thread_id", F.lit("active").alias("status"), F.lit(0).cast("long").alias("skipped_lines")), ["thread_id"], ["status"]), "SELECT thread_id, CASE WHEN source_id >= 40 THEN 'active' ELSE status END AS status, CASE WHEN source_id < 60 THEN skipped_lines ELSE 0 END AS skipped_lines FROM source", "source")
+query("snk05_append_new", lambda d: ingest.appended_only(d.source.where("source_id % 2 = 0").select("thread_id"), d.source.select("thread_id", "provider"), ["thread_id"]), "SELECT thread_id, provider FROM source WHERE source_id % 2 = 1", "source")
+query("str07_missing", lambda d: d.source.where("status = 'active'").join(d.event.where("line > 3").select("source_id").distinct(), "source_id", "left_anti").select("source_id"), "SELECT source_id FROM source WHERE status = 'active' AND source_id NOT IN (SELECT source_id FROM event WHERE line > 3)", "source", "event")
+query("str11_import_actions", lambda d: ingest.unchanged_imports(d.source.select(F.col("thread_id").alias("conversation"), F.col("source_id").alias("digest")), d.source.where("source_id % 3 > 0").select(F.col("thread_id").alias("conversation"), (F.col("source_id") + F.col("source_id") % 3 - 1).alias("digest"))), "SELECT thread_id AS conversation, CASE source_id % 3 WHEN 0 THEN 'import' WHEN 1 THEN 'touch' ELSE 'replace' END AS action FROM source", "source")
+
+
+def _candidates(d: Data) -> tuple[DataFrame, DataFrame]:
+    c = d.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("candidate_id"), F.col("p_size").alias("digest"))
+    v = d.lineitem.select(F.col("l_partkey").alias("candidate_id"), (F.col("l_linenumber") * 7).alias("digest"), F.when(F.col("l_returnflag") == "R", "reject").otherwise("accept").alias("verdict"), F.struct("l_orderkey", F.when(F.col("l_returnflag") == "R", "reject").otherwise("accept"), "l_linenumber").alias("decided_at"))
+    return c, v
+
+
+def _commit(d: Data) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r = d.request.withColumn("state", F.when(F.col("state") == "queued", "running").otherwise(F.col("state")))
+    results = r.where("owner % 4 = 1").select("request_id", F.lit("applied").alias("outcome"))
+    receipts = r.where("owner % 3 = 0").select("request_id", F.lit(1.0).alias("committed_at"), F.lit("applied").alias("outcome"))
+    return r, results, receipts

@@ -163,3 +163,32 @@ def journal(text: str) -> list[dict]:
     if not all(isinstance(r, dict) for r in rows):
         raise ValueError("not an object")
     return rows
+
+
+def verified(hits, key: str = "id"):
+    """(key, intact): whether the bytes at each hit's path and offset still have its digest (columns path, byte_offset, sha256)."""
+    import hashlib
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, at, sha in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                try:
+                    raw = next((r for _, _, _, r in complete_lines(path, at)), None)
+                except OSError:
+                    raw = None
+                out.append(raw is not None and hashlib.sha256(raw.rstrip(b"\r\n")).hexdigest() == sha)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_())], names=[key, "intact"])
+
+    return hits.select(key, "path", "byte_offset", "sha256").mapInArrow(run, f"{key} long, intact boolean")
+
+
+def heartbeat(path: str, most_bytes: int = 16_384) -> dict:
+    """A small JSON status object; {} if it is missing, too large or no object."""
+    system, name = _fs(path)
+    try:
+        with system.open_input_file(name) as f:
+            value = json.loads(f.read()) if f.size() <= most_bytes else {}
+    except (OSError, ValueError):
+        return {}
+    return value if isinstance(value, dict) else {}
