@@ -326,7 +326,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     reps = cut(rows.join(classes, "digest").where("doc_id = rep").select("rep", "n_shingles", "bands"))
     comps = components(links(docs, reps), "a", "b")
     where = classes.join(comps, F.col("rep") == F.col("id"), "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(where, "digest", "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    out = rows.select("doc_id", "n_shingles", "digest").join(where, "digest", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
