@@ -28,10 +28,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # no name of docs can clash
     found = secrets.scanned(rows)
-    text = secrets.redacted(F.col("text"), F.col("spans"))
-    n_chars = F.when(F.size("spans") > 0, F.char_length(text).cast("long")).otherwise(F.col("row.n_chars"))
-    new = {"text": text, "n_chars": n_chars}
-    return found.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
+    masked = found.select("row", secrets.redacted(F.col("text"), F.col("spans")).alias("masked"), (F.size("spans") > 0).alias("changed"))
+    new = {"text": F.col("masked"), "n_chars": F.when(F.col("changed"), F.char_length("masked").cast("long")).otherwise(F.col("row.n_chars"))}
+    return masked.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,6 +36,7 @@ SAMPLE = 6_000
 CANDIDATES = 4_000
 ENTRIES = 400
 LEAST_ODDS = 2.5
+NO_HIT = 0.49
 SHORTEST, LONGEST = 3, 10
 HELD_COUNTS = 400_000
 
@@ -101,7 +102,8 @@ class Lexicon:
         if not self.curve:
             return 0.0
         x = sum(c * f for c, f in zip(self.curve, features(total, length), strict=True))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+        p = 1 / (1 + math.exp(-max(-500.0, min(500.0, x))))
+        return p if total > 0 else min(p, NO_HIT)  # without a hit nothing speaks for toxicity
 
 
 def features(total: float, length: int) -> tuple[float, float, float]:
@@ -121,8 +123,8 @@ def hits(automaton, folded: str) -> list[tuple[int, int, float]]:
     return found
 
 
-def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic) of the bounded training sample; held-out documents are never in it."""
+def _training(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """(text, toxic) of the bounded training sample, and how many labels there are; held-out documents count in neither."""
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
@@ -130,7 +132,7 @@ def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     for y, n in sizes.items():
         share = F.when(F.col("toxic") == y, min(1_000_000, sample * 1_000_000 // n)).otherwise(share)
     chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic"), sizes
 
 
 def _counted(rows: DataFrame, terms, fields: str = "term string, toxic int") -> DataFrame:
@@ -211,7 +213,8 @@ class _Around:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tuple[str, ...] = ()) -> Lexicon:
-    rows = cut(_training(docs, labels, sample))
+    rows, marks = _training(docs, labels, sample)
+    rows = cut(rows)
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
@@ -239,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tu
     seen = rows.mapInArrow(measure, "total double, length long, toxic int").toPandas()  # one small row per sampled document
     x = np.array([features(t, n) for t, n in zip(seen.total, seen.length, strict=True)])
     y = seen.toxic.to_numpy(dtype=float)
-    lexicon.curve = fit_curve(x, y, np.where(y == 1, 0.5 / bad, 0.5 / good) * len(y))
+    lexicon.curve = fit_curve(x, y, np.where(y == 1, marks[1] / bad, marks[0] / good))
     return lexicon
 
 
