@@ -51,7 +51,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
 def fit_classifier(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float, list[float]]]:
     """{domain: (log prior, log likelihood of each feature and of the rest)} from all labelled documents."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-    rows = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang", "text").join(known, "doc_id")
+    rows = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang", "text").join(known.hint("merge"), "doc_id")
     domain = F.concat_ws(":", "lang", F.when(F.col("_quality") == 1, "good").otherwise("low"))
     sums = measured(rows.withColumn("_domain", domain), ["_domain"]).groupBy("_domain").agg(F.count("*").alias("docs"), F.sum("_n").alias("n"), *(F.sum(f"_f{i}").alias(f"f{i}") for i in range(len(FEATURES))))
     got = sums.orderBy(F.desc("docs"), "_domain").limit(64).collect()  # one row per domain
