@@ -31,7 +31,6 @@ FEATURES = ("th", "ch", "qu", "é", "è", "ü", "ä", "ñ", "ó", "#", "*", "$",
 TEMPER = 40.0  # characters that count as one piece of evidence
 ROUNDS, TOLERANCE = 40, 1e-4
 SHARES = {"low": 0.25}  # share of a domain's own tokens that is asked for; 1 for others
-DEAD_BAND = 0.1
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -112,11 +111,10 @@ def mixed(docs: DataFrame, labels: DataFrame, keep: list[str], shares: dict[str,
 
 
 def copies(rate: Column, key: Column) -> Column:
-    """Whole copies whose expectation is the rate; rates within DEAD_BAND of a whole number are rounded."""
+    """Whole copies whose expectation is the rate: every fractional part is drawn by the key's hash."""
     whole = F.floor(rate)
-    part = rate - whole
     draw = F.pmod(F.xxhash64(key, F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
-    return (whole + F.when(part <= DEAD_BAND, 0).when(part >= 1 - DEAD_BAND, 1).otherwise((draw < part).cast("int"))).cast("int")
+    return (whole + (draw < rate - whole).cast("int")).cast("int")
 
 
 def sample(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:

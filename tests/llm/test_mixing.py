@@ -43,3 +43,16 @@ def test_odd_rows(spark):
         labels = spark.createDataFrame(marks, "doc_id long, quality int, lang int")
         assert mixing.mixed(df, labels, ["doc_id"])[0].count() == len(odd_rows())
         assert mixing.sample(docs(spark, []), labels).collect() == []
+
+
+def test_copies_have_the_rate_as_expectation(spark):
+    for rate in (0.03, 0.08, 0.5, 0.95, 1.08):
+        total = spark.range(20_000).agg(F.sum(mixing.copies(F.lit(rate), F.col("id").cast("string")))).first()[0]
+        assert abs(total - 20_000 * rate) < 300
+
+
+def test_a_domain_cut_below_a_tenth_keeps_its_share(spark):
+    source = [(i, prose(50, i) if i % 2 else "$$$ ### !! " * (20 + i % 9)) for i in range(2_000)]
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(2_000)], "doc_id long, quality int, lang int")
+    n = mixing.sample(docs(spark, source), labels, {"low": 0.08}).where("doc_id % 2 = 0").count()
+    assert 50 <= n <= 110
