@@ -19,7 +19,6 @@ table gives an empty result; columns of docs are kept by sample().
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +37,14 @@ def _count(text: Column, what: str) -> Column:
     return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))) / len(what.encode())
 
 
+def _sum(terms: list[Column]) -> Column:
+    """A sum as a balanced tree, so that its depth stays small for many domains."""
+    if len(terms) < 2:
+        return terms[0] if terms else F.lit(0.0)
+    half = len(terms) // 2
+    return _sum(terms[:half]) + _sum(terms[half:])
+
+
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     """keep, tokens, n (characters) and one count per feature, row by row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -50,7 +57,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float,
     rows = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang", "text").join(known.hint("merge"), "doc_id")
     domain = F.concat_ws(":", "lang", F.when(F.col("_quality") == 1, "good").otherwise("low"))
     sums = measured(rows.withColumn("_domain", domain), ["_domain"]).groupBy("_domain").agg(F.count("*").alias("docs"), F.sum("_n").alias("n"), *(F.sum(f"_f{i}").alias(f"f{i}") for i in range(len(FEATURES))))
-    got = sums.orderBy(F.desc("docs"), "_domain").limit(64).collect()  # one row per domain
+    got = sums.orderBy(F.desc("docs"), "_domain").collect()  # one row per domain, all of them
     total = sum(r["docs"] for r in got)
     model = {}
     for r in got:
@@ -63,13 +70,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float,
 def posteriors(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """keep, _tokens and _p0.._pK-1, the tempered posterior of each domain."""
     rows = measured(docs, keep)
-    rest = F.greatest(F.lit(0.0), F.col("_n") - sum((F.col(f"_f{i}") for i in range(len(FEATURES))), F.lit(0.0)))
+    rest = F.greatest(F.lit(0.0), F.col("_n") - _sum([F.col(f"_f{i}") for i in range(len(FEATURES))]))
     scale = F.when(F.col("_n") > 0, 1 / F.greatest(F.lit(1.0), F.sqrt(F.col("_n") / TEMPER))).otherwise(0.0)
-    scores = [F.lit(prior) + scale * (sum((F.col(f"_f{i}") * w for i, w in enumerate(ws[:-1])), F.lit(0.0)) + rest * ws[-1]) for prior, ws in model.values()]
+    scores = [F.lit(prior) + scale * (_sum([F.col(f"_f{i}") * w for i, w in enumerate(ws[:-1])]) + rest * ws[-1]) for prior, ws in model.values()]
     rows = rows.select(*keep, "_tokens", *(s.alias(f"_s{k}") for k, s in enumerate(scores)))
     top = F.greatest(*(F.col(f"_s{k}") for k in range(len(model)))) if len(model) > 1 else F.col("_s0")
     rows = rows.select(*keep, "_tokens", *(F.exp(F.col(f"_s{k}") - top).alias(f"_e{k}") for k in range(len(model))))
-    whole = sum((F.col(f"_e{k}") for k in range(len(model))), F.lit(0.0))
+    whole = _sum([F.col(f"_e{k}") for k in range(len(model))])
     return rows.select(*keep, "_tokens", *((F.col(f"_e{k}") / whole).alias(f"_p{k}") for k in range(len(model))))
 
 
@@ -83,7 +90,7 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Column, list[float
     def rate() -> Column:
         free = F.lit(1.0)
         for g in steps:
-            free = F.greatest(F.lit(0.0), free - reduce(lambda a, b: a + b, (F.col(f"_p{k}") * g[k] for k in ks)))
+            free = F.greatest(F.lit(0.0), free - _sum([F.col(f"_p{k}") * g[k] for k in ks]))
         return free
 
     now = own

@@ -56,3 +56,12 @@ def test_a_domain_cut_below_a_tenth_keeps_its_share(spark):
     labels = spark.createDataFrame([(i, i % 2, 1) for i in range(2_000)], "doc_id long, quality int, lang int")
     n = mixing.sample(docs(spark, source), labels, {"low": 0.08}).where("doc_id % 2 = 0").count()
     assert 50 <= n <= 110
+
+
+def test_every_labelled_domain_has_a_class_and_a_target(spark):
+    source = [(i, prose(20, i) if i % 2 else "$$$ ### !! " * 9) for i in range(140)]
+    df = docs(spark, source).withColumn("lang", F.concat(F.lit("l"), (F.floor(F.col("doc_id") / 2) % 35).cast("string")))
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(140)], "doc_id long, quality int, lang int")
+    out, fitted = mixing.mixed(df, labels, ["doc_id"])
+    assert set(fitted) == {f"l{k}:{q}" for k in range(35) for q in ("good", "low")} and all(t > 0 for t, _ in fitted.values())
+    assert out.count() == 140
