@@ -352,6 +352,7 @@ query("scl06_starting_tag", lambda d: d.events.select("event_id", X.starting_tag
 query("scl07_join_text", lambda d: d.part.select("p_partkey", X.join_text(F.array(F.struct(F.lit("text").alias("type"), F.col("p_name").alias("text")), F.struct(F.lit("image").alias("type"), F.col("p_type").alias("text")), F.struct(F.lit("text").alias("type"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("text")))).alias("text")), "SELECT p_partkey, CASE WHEN p_size > 25 THEN concat(p_name, chr(10), p_brand) ELSE p_name END AS text FROM part")
 query("scl09_record_hash", lambda d: d.documents.select("doc_id", X.record_hash(F.concat("text", F.lit("\r\n"))).alias("hash")), "SELECT doc_id, sha256(regexp_replace(text, '[\\r\\n]+$', '')) AS hash FROM documents")
 query("scl10_printable", lambda d: d.documents.select("doc_id", X.escape_delimiters(X.printable(F.left("text", F.lit(300)))).alias("text")), "SELECT doc_id, replace(replace(regexp_replace(left(text, 300), '[\\x00-\\x1f\\x7f]', '?', 'g'), '<', '&lt;'), '>', '&gt;') AS text FROM documents")
+query("scl10_printable_whole", lambda d: d.documents.select("doc_id", X.escape_delimiters(X.printable(F.col("text"))).alias("text")))
 query("scl11_freshness", lambda d: d.request.select("request_id", X.fresh(X.seconds_since(F.col("created_at"), 200000.0), 30000.0).alias("state")), "SELECT request_id, CASE WHEN created_at > 200000 THEN 'unknown' WHEN 200000 - created_at <= 90000 THEN 'ok' ELSE 'stale' END AS state FROM request", "request")
 query("scl12_human_bytes", lambda d: d.documents.select("doc_id", X.human_bytes(F.octet_length("text")).alias("size")), "SELECT doc_id, CASE WHEN n < 1024 THEN concat(n, ' B') ELSE concat(CAST(floor(n / 1024.0 * 10 + 0.5) / 10 AS DOUBLE), ' KiB') END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
 query("scl14_longest_prefix", lambda d: navigation.longest_prefix(d.event.where("cwd is not null"), d.scope), "SELECT cwd, arg_max(scope_id, length(key)) AS scope_id FROM (SELECT DISTINCT cwd FROM event) JOIN scope ON cwd = key OR starts_with(cwd, concat(key, '/')) GROUP BY 1", "event", "scope")
@@ -388,9 +389,9 @@ query("scl20_owner_authority", lambda d: rows(d).select("id", review.owner_autho
 query("era13_decision_locators", lambda d: review.locators_hit(d.request.select("request_id", "provider", "thread_id", F.col("from_line").alias("line")), d.tombstone).select("request_id"), "SELECT request_id FROM request r WHERE EXISTS (SELECT 1 FROM tombstone t WHERE t.provider = r.provider AND t.thread_id = r.thread_id AND (t.level = 'thread' OR t.line = r.from_line))", "request", "tombstone")
 query("era12_admitted_threads", lambda d: d.source.join(d.tombstone.where("level = 'thread'").select("provider", "thread_id"), ["provider", "thread_id"], "left_anti").join(d.tombstone.where("level = 'thread'").select(F.col("thread_id").alias("forked_from_id")), "forked_from_id", "left_anti").select("source_id"), "SELECT source_id FROM source s WHERE NOT EXISTS (SELECT 1 FROM tombstone t WHERE t.level = 'thread' AND (t.provider = s.provider AND t.thread_id = s.thread_id OR t.thread_id = s.forked_from_id))", "source", "tombstone")
 query("flt15_log_fields", lambda d: review.log_record(d.call.select("id", "cmd", "state", F.col("matches").cast("string").alias("matches")), {"id": r"\d+", "cmd": "view|click", "state": "[a-z]+", "matches": r"\d"}), "SELECT id, CASE WHEN cmd IN ('view', 'click') THEN cmd END AS cmd, state, CASE WHEN matches < 10 THEN CAST(matches AS VARCHAR) END AS matches FROM call", "call")
-query("snk10_answer_json", lambda d: review.answer_json(d.documents.select("doc_id", F.left("text", F.lit(500)).alias("text")), ("text",)))
+query("snk10_answer_json", lambda d: review.answer_json(d.documents.select("doc_id", "text"), ("text",)))
 query("snk08_knowledge_index", lambda d: ledger.eligible(*_ledger(d), now=NOW, everywhere=True).select("knowledge_id", F.explode(X.tokens(F.col("content"))).alias("term")).groupBy("term").agg(F.count_distinct("knowledge_id").alias("df")), f"WITH {ELG}, t AS (SELECT knowledge_id, unnest({TOKENS.format('content')}) AS term FROM eg WHERE expires_at IS NULL OR expires_at > {NOW}) SELECT term, count(DISTINCT knowledge_id) AS df FROM t GROUP BY 1", *LED)
-query("scl02_redact_parts", lambda d: d.documents.select("doc_id", X.redact_parts(F.split(F.left("text", F.lit(2000)), "\n")).alias("p")).select("doc_id", F.array_join("p", "\n").alias("text")))
+query("scl02_redact_parts", lambda d: d.documents.select("doc_id", X.redact_parts(F.split("text", "\n")).alias("p")).select("doc_id", F.array_join("p", "\n").alias("text")))
 query("scl13_iso_dates", lambda d: d.event.select("id", X.iso_date(F.when(F.col("line") % 3 == 0, F.lit("2024-02-30")).when(F.col("line") % 3 == 1, F.col("ts")).otherwise(F.lit("2024-02-29"))).alias("ok")), "SELECT id, CASE line % 3 WHEN 0 THEN false WHEN 1 THEN ts IS NOT NULL ELSE true END AS ok FROM event", "event")
 query("scl17_scalars", lambda d: d.part.agg(F.coalesce(F.sum(F.when(F.col("p_size") > 1000, 1)), F.lit(0)).cast("double").alias("total"), F.max(F.instr("p_name", "e")).cast("long").alias("at"), F.max(F.octet_length("p_name")).cast("long").alias("bytes")), "SELECT 0.0 AS total, max(instr(p_name, 'e')) AS at, max(strlen(p_name)) AS bytes FROM part")
 query("snk04_last_issue", lambda d: ingest.last_issue(*(d.call.where(F.col("id") % 2 == k).select((F.col("id") % 40).alias("source_id"), (F.col("id") % 7).alias("line"), F.col("cmd").alias("code"), F.col("id").alias("at")) for k in (0, 1))), "SELECT source_id, line, max_by(cmd, id) AS code, max(id) AS at FROM (SELECT *, id % 40 AS source_id, id % 7 AS line FROM call) GROUP BY ALL", "call")
