@@ -1,13 +1,18 @@
-"""Perplexity under an interpolated modified Kneser-Ney model of trusted text.
+"""Perplexity of words under an interpolated modified Kneser-Ney model of trusted text.
 
-The unit is the character: the SIZE - 2 most frequent characters of the corpus, with one
-symbol for all others and one that starts a text, so that the number of n-grams is bounded by
-SIZE ** ORDER whatever the corpus. Counts of the ORDER-grams of all trusted documents are
-summed per task, then by n-gram across shards; continuation counts, discounts
-(Chen and Goodman's three per order) and back-off masses are grouped sums and joins of those count
-tables. The tables' bounded size is checked before they travel to the tasks that score
-every whole text. Each language's threshold is a quantile of its trusted documents'
-scores; documents above it are rejected.
+Counts of word trigrams of the trusted documents, continuation counts, discounts (Chen and
+Goodman's three per order) and back-off masses are grouped sums and joins over shards, and stay
+sharded: every document's n-grams, summed per document, are joined with them order by order.
+The tables hold every word that trusted text has, in any script.
+
+Words that trusted text lacks need a base probability: that of their spelling under a Kneser-Ney model
+of characters. Its symbols are the SIZE - 2 most frequent characters, one symbol whose
+probability is dealt evenly to all other characters that occur, and one that starts a text; its
+table is bounded by SIZE ** ORDER whatever the corpus, and is broadcast.
+
+A fifth of the trusted documents is held out from the word counts, as a document scores far better under
+a model that holds its own words. Each language's threshold is a quantile of its held-out trusted
+documents' scores; documents above it are rejected. Scores are per character, whatever the length of words.
 
 Defined results: null or empty text scores the trusted mean and is kept; null lang is
 a language of its own; a language without trusted documents uses the threshold of
@@ -17,23 +22,28 @@ trusted; repeated rows are scored alike; an empty table gives an empty result; o
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, table
+from ledgerloom.llm.common import cut, held_out, table
 
 SIZE, ORDER = 64, 4
 START, OTHER = 0, 1
 QUANTILE, SLACK = 0.995, 0.05  # of log perplexity
 PRIOR_CHARS = 60.0
 LEAST_ROWS = 20
-MOST_ROWS = 4_000_000
+MOST_ROWS = SIZE**ORDER
 HELD_GRAMS = 8_000_000
 STEP = 0.001
+ROWS = 200  # texts whose n-grams a task holds at once
+WORDS = 3  # order of the word model
+KEYS = [f"g{o}" for o in range(WORDS, 0, -1)] + [f"c{o}" for o in range(WORDS, 1, -1)]  # keys of a gram, its shorter ends, and the contexts of these
 
 
 class Alphabet:
@@ -68,8 +78,8 @@ class Alphabet:
         return out
 
 
-def characters(texts: DataFrame) -> list[str]:
-    """The most frequent characters of column text."""
+def character_counts(texts: DataFrame) -> DataFrame:
+    """(code, n) of all characters of column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0x110000, np.int64)
@@ -84,8 +94,16 @@ def characters(texts: DataFrame) -> list[str]:
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(seen[at], pa.int64())], names=["code", "n"])
 
-    top = texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(SIZE - 2)
-    return [chr(r["code"]) for r in top.collect()]
+    return texts.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame) -> list[str]:
+    return [chr(r["code"]) for r in counts.orderBy(F.desc("n"), "code").limit(SIZE - 2).collect()]
+
+
+def characters(texts: DataFrame) -> list[str]:
+    """The most frequent characters of column text."""
+    return most_frequent(character_counts(texts))
 
 
 def gram_counts(texts: DataFrame, alphabet: Alphabet) -> DataFrame:
@@ -108,6 +126,15 @@ def gram_counts(texts: DataFrame, alphabet: Alphabet) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c"))
 
 
+def discount(counts: DataFrame) -> Column:
+    """Chen and Goodman's discount of a count c."""
+    sizes = counts.agg(*(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
+    n1, n2, n3, n4 = (max(1, sizes[f"n{k}"] or 0) for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+    d = [min(max(x, 0.05), k - 0.05) for k, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+
+
 def smoothed(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     """{order: ((gram, kept), (context, back_off))}: discounted shares and back-off masses by sharded joins.
 
@@ -116,12 +143,7 @@ def smoothed(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     """
     out, now = {}, counts
     for order in range(ORDER, 0, -1):
-        sizes = now.agg(*(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-        n1, n2, n3, n4 = (max(1, sizes[f"n{k}"] or 0) for k in (1, 2, 3, 4))
-        y = n1 / (n1 + 2 * n2)
-        d = [min(max(x, 0.05), k - 0.05) for k, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
-        cutoff = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        rows = now.withColumn("context", F.floor(F.col("gram") / SIZE)).withColumn("d", cutoff)
+        rows = now.withColumn("context", F.floor(F.col("gram") / SIZE)).withColumn("d", discount(now))
         context = rows.groupBy("context").agg(F.sum("c").alias("all"), F.sum("d").alias("lost"))
         kept = rows.join(context, "context").select("gram", ((F.col("c") - F.col("d")) / F.col("all")).alias("kept"))
         out[order] = (kept, context.select("context", (F.col("lost") / F.col("all")).alias("back_off")))
@@ -157,41 +179,146 @@ def log_table(parts: dict[int, tuple[np.ndarray, ...]]) -> np.ndarray:
     return np.log(p)
 
 
-def scored(docs: DataFrame, keep: list[str], alphabet: Alphabet, parts: dict) -> DataFrame:
-    """keep, n (characters) and total (summed log probability) per row."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((alphabet.chars, parts))
-    schema = docs.select(*keep).schema.add("n", "long").add("total", "double")
+def spelled(words: list[str], letters: Alphabet, log_p: np.ndarray, others: int) -> np.ndarray:
+    """Log probability of each word's characters and the space that ends it."""
+    text = "".join(f"\0\0\0 {w.replace(chr(0), chr(1))} " for w in words)
+    code, x = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), letters(text).astype(np.int32)
+    x[code == 0] = START
+    gram = x[: len(x) - ORDER + 1].copy()
+    for k in range(1, ORDER):
+        gram *= SIZE
+        gram += x[k : len(x) - ORDER + 1 + k]
+    p = np.zeros(len(x))
+    p[ORDER - 1 :] = log_p[gram]
+    p[x == OTHER] -= np.log(max(1, others))
+    p[code == 0] = 0
+    starts = np.flatnonzero((code == 0) & (np.r_[1, code[:-1]] != 0)) if len(code) else np.zeros(0, int)
+    p[starts + 3] = 0  # the space before the word is given
+    return np.add.reduceat(p, starts) if len(starts) else p
+
+
+def key(words: tuple[str, ...]) -> int:
+    """64 bits for an n-gram of words; None starts a text. Words have no whitespace, so the text is unambiguous."""
+    return int.from_bytes(blake2b(" ".join(w or "" for w in words).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(KEYS, c) of the word n-grams in column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, tables = Alphabet(sent.value[0]), sent.value[1]
-        log_p = log_table(tables)
-        for batch in batches:
-            n, total = [], []
-            for text in batch.column(batch.num_columns - 1):
-                grams = letters.grams(text.as_py() or "")
-                n.append(len(grams))
-                total.append(float(log_p[grams].sum(dtype=np.float64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=[*keep, "n", "total"])
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            seen = Counter()
+            for text in batch.column(0):
+                x = [None] * (WORDS - 1) + (text.as_py() or "").split()
+                seen.update(zip(*(x[k:] for k in range(WORDS)), strict=False))
+            yield pa.RecordBatch.from_arrays([*keyed(seen), pa.array(seen.values(), pa.int64())], names=[*KEYS, "n"])
+
+    rows = texts.select("text").mapInArrow(run, ", ".join(f"{k} long" for k in [*KEYS, "n"]))
+    return rows.groupBy(f"g{WORDS}").agg(*(F.first(k).alias(k) for k in KEYS if k != f"g{WORDS}"), F.sum("n").alias("c"))
+
+
+def keyed(grams) -> list[pa.Array]:
+    """The columns KEYS of word n-grams."""
+    known: dict = {}
+
+    def of(words):
+        if (k := known.get(words)) is None:
+            k = known[words] = key(words)
+        return k
+
+    ends = [pa.array([key(g) for g in grams] if o == WORDS else [of(g[WORDS - o :]) for g in grams], pa.int64()) for o in range(WORDS, 0, -1)]
+    return ends + [pa.array([of(g[WORDS - o : -1]) for g in grams], pa.int64()) for o in range(WORDS, 1, -1)]
+
+
+def word_tables(counts: DataFrame) -> tuple[dict[int, tuple[DataFrame, DataFrame]], float]:
+    """({order: ((g, kept), (c, back_off))}, mass of unseen words); as smoothed(), by sharded joins."""
+    out, now = {}, counts
+    for order in range(WORDS, 0, -1):
+        rows = now.withColumn("d", discount(now))
+        if order == 1:
+            got = rows.agg(F.sum("c").alias("all"), F.sum("d").alias("lost")).first()
+            out[1] = (rows.select("g1", ((F.col("c") - F.col("d")) / got["all"]).alias("kept1")), None)
+            return out, got["lost"] / got["all"]
+        g, c = f"g{order}", f"c{order}"
+        context = cut(rows.groupBy(c).agg(F.sum("c").alias("all"), F.sum("d").alias("lost")))
+        kept = rows.join(context, c).select(g, ((F.col("c") - F.col("d")) / F.col("all")).alias(f"kept{order}"))
+        out[order] = (cut(kept), context.select(c, (F.col("lost") / F.col("all")).alias(f"back_off{order}")))
+        now = cut(now.groupBy(f"g{order - 1}").agg(*(F.first(k).alias(k) for k in KEYS if int(k[1:]) < order and k != f"g{order - 1}"), F.count("*").alias("c")))
+
+
+def no_words(counts: DataFrame) -> tuple[dict[int, tuple[DataFrame, DataFrame]], float]:
+    """The tables of trusted text without a word: every word is unseen."""
+    out = {o: (counts.select(f"g{o}", F.lit(0.0).alias(f"kept{o}")), counts.select(f"c{o}", F.lit(1.0).alias(f"back_off{o}")) if o > 1 else None) for o in range(1, WORDS + 1)}
+    return out, 1.0
+
+
+def document_grams(docs: DataFrame, keep: list[str], alphabet: Alphabet, parts: dict, others: int) -> DataFrame:
+    """keep, n (characters), KEYS, times and base (probability of the last word's spelling): a row per document and n-gram; a document without words has one with times 0."""
+    sent = docs.sparkSession.sparkContext.broadcast((alphabet.chars, parts))
+    schema = docs.select(*keep).schema.add("n", "long")
+    for k in [*KEYS, "times"]:
+        schema = schema.add(k, "long")
+    schema = schema.add("base", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, log_p = Alphabet(sent.value[0]), log_table(sent.value[1])
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
+            index, n, grams, times = [], [], [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1)):
+                words = (text.as_py() or "").split()
+                x = [None] * (WORDS - 1) + words
+                seen = Counter(zip(*(x[k:] for k in range(WORDS)), strict=False)) if words else {(None,) * WORDS: 0}
+                index += [i] * len(seen)
+                n += [sum(map(len, words)) + len(words)] * len(seen)
+                grams += seen
+                times += seen.values()
+            types = {g[-1] or "": 0 for g in grams}
+            types = dict(zip(types, np.exp(spelled(list(types), letters, log_p, others)), strict=True))
+            columns = [c.take(pa.array(index, pa.int64())) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), *keyed(grams), pa.array(times, pa.int64()), pa.array([types[g[-1] or ""] for g in grams], pa.float64())], names=schema.names)
 
     return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def scored(docs: DataFrame, keep: list[str], alphabet: Alphabet, parts: dict, others: int, tables: dict, unseen: float) -> DataFrame:
+    """keep, n (characters) and total (summed log probability of the words) per row, by joins of the documents' n-grams with the shards."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = document_grams(numbered, [*keep, "_row"], alphabet, parts, others)
+    p = F.greatest(unseen * F.col("base"), F.lit(1e-300))
+    for order in range(1, WORDS + 1):
+        kept, context = tables[order]
+        rows = rows.join(kept.hint("merge"), f"g{order}", "left")
+        if context is not None:
+            rows = rows.join(context.hint("merge"), f"c{order}", "left")
+            p = p * F.coalesce(f"back_off{order}", F.lit(1.0))
+        p = F.coalesce(f"kept{order}", F.lit(0.0)) + p
+    return rows.groupBy(*keep, "_row", "n").agg(F.sum(F.when(F.col("times") > 0, F.col("times") * F.log(p)).otherwise(0.0)).alias("total")).drop("_row")
+
+
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """(doc_id, lang, perplexity, score, threshold, kept) per row; score is a length-shrunk log perplexity."""
+    """(doc_id, lang, perplexity, score, threshold, kept) per row; perplexity and the length-shrunk log score are per character."""
     trusted = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     texts = rows.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi")
-    alphabet = Alphabet(characters(rows))
+    found = cut(character_counts(rows))
+    alphabet = Alphabet(most_frequent(found))
+    others = found.count() - len(alphabet.chars) + 1
     counts = cut(gram_counts(texts, alphabet))
     if not counts.take(1):
         return rows.select("doc_id", "lang", F.lit(0.0).alias("perplexity"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
     parts = gathered(smoothed(counts))
-    marks = cut(scored(rows, ["doc_id", "lang"], alphabet, parts)).join(trusted, "doc_id", "left")
-    mean = marks.where("trusted").agg((-F.sum("total") / F.sum("n")).alias("m")).first()["m"] or 0.0
+    words = cut(word_counts(texts.where(~held_out(F.col("doc_id")))))
+    split = bool(words.take(1))
+    words = words if split else cut(word_counts(texts))
+    tables, unseen = word_tables(words) if words.take(1) else no_words(words)
+    marks = cut(scored(rows, ["doc_id", "lang"], alphabet, parts, others, tables, unseen)).join(trusted, "doc_id", "left")
+    aside = F.col("trusted") & held_out(F.col("doc_id"))
+    if not split or not marks.where(aside).take(1):
+        aside = F.col("trusted")  # too few to hold any out
+    mean = marks.where(aside).agg((-F.sum("total") / F.sum("n")).alias("m")).first()["m"] or 0.0
     score = (-F.col("total") + mean * PRIOR_CHARS) / (F.col("n") + PRIOR_CHARS)
     marks = marks.withColumn("score", score)
-    bins = marks.where("trusted").groupBy("lang", F.ceil(F.col("score") / STEP).alias("bin")).agg(F.count("*").alias("k"))
+    bins = marks.where(aside).groupBy("lang", F.ceil(F.col("score") / STEP).alias("bin")).agg(F.count("*").alias("k"))
     bins = cut(bins)
     limits = quantiles(bins, ["lang"], quantile).where(F.col("rows") >= LEAST_ROWS)
     everyone = quantiles(bins.groupBy("bin").agg(F.sum("k").alias("k")), [], quantile).first()["limit"]

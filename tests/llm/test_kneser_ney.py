@@ -70,3 +70,60 @@ def test_odd_rows(spark):
     some = spark.createDataFrame([(6, 1), (8, 1), (None, 1)], "doc_id long, quality int")
     assert len(kn.judged(df, some).collect()) == len(odd_rows())
     assert kn.judged(docs(spark, []), some).collect() == []
+
+
+def test_word_model_equals_brute_force(spark):
+    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "the cat and the dog sat on a mat", ""]
+    df = docs(spark, list(enumerate(texts)))
+    alphabet = kn.Alphabet(kn.characters(df))
+    parts = kn.gathered(kn.smoothed(kn.gram_counts(df, alphabet)))
+    tables, unseen = kn.word_tables(kn.word_counts(df).cache())
+    log_p = kn.log_table(parts)
+    want_p = brute_words(texts, lambda w: np.exp(kn.spelled([w], alphabet, log_p, 3)[0]))
+    asked = [(0, "the cat sat on a cat"), (1, "zebra the zebra"), (2, ""), (3, None), (4, "dog dog dog the dog sat")]
+    got = {r.doc_id: r for r in kn.scored(docs(spark, asked), ["doc_id"], alphabet, parts, 3, tables, unseen).collect()}
+    for i, text in asked:
+        words = (text or "").split()
+        x = [None, None, *words]
+        assert np.isclose(got[i].total, sum(np.log(want_p(tuple(x[k : k + 3]))) for k in range(len(words))), atol=1e-6)
+        assert got[i].n == sum(map(len, words)) + len(words)
+
+
+def brute_words(texts, base):
+    top = Counter()
+    for t in texts:
+        x = [None, None, *t.split()]
+        top.update(zip(x, x[1:], x[2:]))
+    levels = {3: top}
+    for o in (2, 1):
+        levels[o] = Counter(g[1:] for g in levels[o + 1])
+
+    def p(gram):
+        if not gram:
+            return None
+        counts = levels[len(gram)]
+        n = [max(1, sum(c == k for c in counts.values())) for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1])
+        d = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3)]
+        same = {g: c for g, c in counts.items() if g[:-1] == gram[:-1]}
+        lower = base(gram[0]) if len(gram) == 1 else p(gram[1:])
+        if not same:
+            return lower
+        lost = sum(d[min(c, 3) - 1] for c in same.values())
+        c = counts.get(gram, 0)
+        return ((c - d[min(c, 3) - 1] if c else 0) + lost * lower) / sum(same.values())
+
+    return p
+
+
+def test_prose_in_a_rarer_script_is_told_from_junk_in_it(spark):
+    rng = np.random.default_rng(1)
+    rare = [chr(0x10A0 + k) for k in range(40)]
+    lexicon = ["".join(rng.choice(rare, 6)) for _ in range(30)]
+    common = "".join(chr(c) for c in range(0x30, 0x7B))  # more characters than the alphabet holds
+    latin = [(i, " ".join("".join(rng.choice(list(common), 5)) for _ in range(40)) + " " + prose(40, i)) for i in range(60)]
+    good = [(1000 + i, " ".join(rng.choice(lexicon, 40))) for i in range(40)]
+    junk = [(2000 + i, " ".join("".join(rng.choice(rare, 6)) for _ in range(40))) for i in range(10)]
+    labels = spark.createDataFrame([(i, 1) for i, _ in latin + good[::2]], "doc_id long, quality int")
+    got = {r.doc_id: r.perplexity for r in kn.judged(docs(spark, latin + good + junk), labels).collect()}
+    assert max(got[i] for i, _ in good) * 2 < min(got[i] for i, _ in junk)
