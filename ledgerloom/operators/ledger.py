@@ -190,9 +190,14 @@ def gaps(points: DataFrame) -> DataFrame:
 
 def unsuppressed(windows: DataFrame, cancelled: DataFrame) -> DataFrame:
     """Windows without the prefix that cancelled ones of the same thread cover; empty ones go."""
-    top = windows.join(cancelled.select("provider", "thread_id", F.col("from_line").alias("_f"), F.col("through_line").alias("_t")), ["provider", "thread_id"], "left")
-    cut = F.max(F.when((F.col("_f") <= F.col("from_line")) & (F.col("_t") >= F.col("from_line")), F.col("_t") + 1))
-    return top.groupBy("request_id", "provider", "thread_id", "from_line", "through_line").agg(cut.alias("_c")).select("request_id", F.greatest("from_line", F.coalesce("_c", "from_line")).alias("from_line"), "through_line").where("from_line <= through_line")
+    key = ["provider", "thread_id", "from_line"]
+    ends = cancelled.groupBy(*key).agg(F.max("through_line").alias("_t"))
+    asked = windows.select(*key).distinct().withColumn("_t", F.lit(None).cast(ends.schema["_t"].dataType))
+    reach = F.max("_t").over(Window.partitionBy("provider", "thread_id").orderBy("from_line"))  # of all that start at or before the line
+    points = ends.unionByName(asked).where("provider is not null and thread_id is not null and from_line is not null").withColumn("_r", reach)
+    cuts = points.where("_r >= from_line").groupBy(*key).agg((F.max("_r") + 1).alias("_c"))
+    top = windows.select("request_id", *key, "through_line").distinct().join(cuts, key, "left")
+    return top.select("request_id", F.greatest("from_line", F.coalesce("_c", "from_line")).alias("from_line"), "through_line").where("from_line <= through_line")
 
 
 def with_receipts(requests: DataFrame, attempts: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,9 +132,29 @@ def nearest_rank(rows: DataFrame, value: str, shares: tuple[float, ...] = (0.5,
 
 
 def snapshot(rows: DataFrame, *columns: str, by: str) -> DataFrame:
-    """A digest of each group's ordered rows: equal digests, equal content."""
+    """A digest of each group's ordered rows: equal digests, equal content. Rows stream through the hash, so no task holds a group."""
     line = F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in columns))
-    return rows.groupBy(by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"), F.count("*").alias("n"))
+    dealt = rows.select(F.col(by), line.alias("_line")).repartition(by).sortWithinPartitions(by, "_line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, n = None, None, 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([now, pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], names=[by, "digest", "n"])
+
+        for batch in batches:
+            for i, text in enumerate(batch.column(1)):
+                key = batch.column(0).slice(i, 1)
+                if now is None or key != now:
+                    if now is not None:
+                        yield done()
+                    now, digest, n = key, hashlib.sha256(), 0
+                digest.update(("\n" if n else "").encode() + text.as_py().encode())
+                n += 1
+        if now is not None:
+            yield done()
+
+    return dealt.mapInArrow(run, rows.select(by).schema.add("digest", "string").add("n", "long"))
 
 
 def table_digest(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.shared import cut
+
 MOST_LINES = 200
 
 
@@ -81,27 +82,39 @@ def split_windows(lines: DataFrame, most_bytes: int, most_lines: int = MOST_LINE
     """Greedy windows of each source's lines (source_id, line, bytes, is_prompt).
 
     A window takes lines while both limits hold. Where it would cut a turn, it ends before the
-    turn's prompt, if it holds an earlier one; the next window starts there. The fold needs the lines in
-    order, so each source, whose size the transcript format bounds, is one group.
+    turn's prompt, if it holds an earlier one; the next window starts there. Where the next window
+    starts depends on most_lines lines ahead only; these pointers are followed from each source's
+    first line by joins that double their reach, so no task holds a source.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line")
-        line, size, prompt = pdf.line.to_list(), pdf.bytes.fillna(0).to_list(), pdf.is_prompt.to_list()
-        out, i = [], 0
-        while i < len(line):
-            used, j = 0, i
-            while j < len(line) and j - i < most_lines and (j == i or used + size[j] <= most_bytes):
-                used += size[j]
-                j += 1
-            if j < len(line) and not prompt[j]:
-                back = next((k for k in range(j - 1, i, -1) if prompt[k]), None)
-                j = back or j
-            out.append((pdf.source_id.iloc[0], len(out), line[i], line[j - 1], j - i, int(sum(size[i:j]))))
-            i = j
-        return pd.DataFrame(out, columns=["source_id", "window", "from_line", "through_line", "lines", "bytes"])
-
-    return lines.groupBy("source_id").applyInPandas(fold, "source_id long, window long, from_line long, through_line long, lines long, bytes long")
+    order = Window.partitionBy("source_id").orderBy("line", "bytes", "is_prompt")
+    line = F.struct("line", F.coalesce(F.col("bytes").cast("long"), F.lit(0)).alias("b"), F.coalesce("is_prompt", F.lit(False)).alias("p"))
+    rows = lines.select("source_id", "line", F.row_number().over(order).cast("long").alias("pos"), F.collect_list(line).over(order.rowsBetween(0, most_lines)).alias("ahead"))
+    more = lambda acc, x: acc["on"] & (acc["m"] < most_lines) & ((acc["m"] == 0) | (acc["used"] + x["b"] <= most_bytes))
+    taken = F.aggregate(
+        "ahead",
+        F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("m"), F.lit(True).alias("on")),
+        lambda acc, x: F.struct(F.when(more(acc, x), acc["used"] + x["b"]).otherwise(acc["used"]).alias("used"), F.when(more(acc, x), acc["m"] + 1).otherwise(acc["m"]).alias("m"), more(acc, x).alias("on")),
+    )["m"]
+    rows = rows.withColumn("m", taken)
+    back = F.array_max(F.transform("ahead", lambda x, i: F.when(x["p"] & (i > 0) & (i < F.col("m")), i)))
+    cuts_turn = (F.col("m") < F.size("ahead")) & ~F.try_element_at("ahead", F.col("m") + 1)["p"]
+    rows = rows.withColumn("last", F.col("m") < F.size("ahead")).withColumn("m", F.when(cuts_turn, F.coalesce(back, "m")).otherwise(F.col("m")))
+    size = F.aggregate(F.slice("ahead", 1, F.col("m")), F.lit(0).cast("long"), lambda acc, x: acc + x["b"])
+    rows = cut(rows.select("source_id", "pos", F.when(F.col("last"), F.col("pos") + F.col("m")).alias("next"), F.col("line").cast("long").alias("from_line"), F.element_at("ahead", F.col("m"))["line"].cast("long").alias("through_line"), F.col("m").cast("long").alias("lines"), size.alias("bytes")))
+
+    def at(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+        r = right.select(F.col("source_id").alias("_source"), F.col("pos").alias("_pos"), *(F.col(c).alias(f"_{c}") for c in right.columns if c not in ("source_id", "pos")))
+        return left.join(r, F.col("source_id").eqNullSafe(F.col("_source")) & (F.col(column) == F.col("_pos")))
+
+    jump = rows.where("next is not null").select("source_id", "pos", "next")
+    starts, reach = rows.where("pos = 1").select("source_id", "pos", F.lit(0).cast("long").alias("window")), 1
+    while True:
+        new = cut(at(starts, jump, "pos").select("source_id", F.col("_next").alias("pos"), (F.col("window") + reach).alias("window")))
+        if not new.take(1):
+            break
+        starts = cut(starts.unionByName(new))
+        jump, reach = cut(at(jump, jump, "next").select("source_id", "pos", F.col("_next").alias("next"))), reach * 2
+    return at(starts, rows, "pos").select(F.col("source_id").cast("long").alias("source_id"), "window", *(F.col(f"_{c}").alias(c) for c in ("from_line", "through_line", "lines", "bytes")))
 
 
 def page_fill(items: DataFrame, order: list[str], size: str, most_bytes: int, most_items: int) -> DataFrame:
