@@ -8,8 +8,8 @@ occurs among the documents that pass the base rules, a table of at most 3^len(RU
 counted over all of them; documents that fail the base rules are rejected in any case.
 
 Defined results: null text counts as empty; a text without words gets zero counts and fails
-the base rules; a null doc_id is carried as is; repeated rows are scored alike; an empty
-table gives an empty result; other columns are ignored.
+the base rules; a null doc_id is carried as is; repeated rows are scored alike; a posterior of
+exactly one half is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,7 +125,8 @@ def estimate(histogram: dict[int, int], n_rules: int, rounds: int = 200) -> tupl
     """(share of good documents, vote probabilities [rule, class, vote], posterior by pattern).
 
     Starts from rules that seldom reject good documents; Dirichlet pseudo-counts, worth one
-    document in a hundred, keep every probability defined and the classes in place.
+    document in a hundred (ten documents for the share), keep every probability defined and the
+    classes in place, so that any share of good documents can be found.
     """
     keys = np.array(sorted(histogram), dtype=np.int64)
     n = np.array([histogram[int(k)] for k in keys], dtype=float)
@@ -139,7 +140,7 @@ def estimate(histogram: dict[int, int], n_rules: int, rounds: int = 200) -> tupl
         log = np.log([share, 1 - share])[:, None] + sum(np.log(prob[r][:, v[:, r]]) for r in range(n_rules))
         new = 1 / (1 + np.exp(np.clip(log[1] - log[0], -700, 700)))
         moved, post = np.abs(new - post).max(initial=0), new
-        share = float(np.clip((n @ post + 8.5) / (n.sum() + 10), 0.5, 0.999))
+        share = float((n @ post + 8.5) / (n.sum() + 10))
         for r in range(n_rules):
             for c, weight in enumerate((n * post, n * (1 - post))):
                 got = np.bincount(v[:, r], weights=weight, minlength=3) + prior[c]

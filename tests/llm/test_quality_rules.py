@@ -47,5 +47,39 @@ def test_estimate_finds_accuracies():
     assert all((post[p] >= 0.5) == (truth[p] >= hist[p] / 2) for p in hist if hist[p] > 50)
 
 
+def test_estimate_finds_any_share_of_good_documents():
+    import random
+
+    for share_good in (0.05, 0.2, 0.5, 0.95):
+        rng, hist, truth = random.Random(2), Counter(), Counter()
+        for _ in range(20_000):
+            good = rng.random() < share_good
+            p = q.pattern([(q.BAD if rng.random() < (0.02 if good else 0.7) else q.ABSTAIN) for _ in range(4)])
+            hist[p] += 1
+            truth[p] += good
+        share, _, post = q.estimate(dict(hist), 4)
+        best = sum(min(truth[p], hist[p] - truth[p]) for p in hist)
+        missed = sum(hist[p] - truth[p] if post[p] >= 0.5 else truth[p] for p in hist)
+        assert abs(share - share_good) < 0.03 and missed <= best + 100
+
+
+def test_verdict_equals_bayes_over_single_rows(spark):
+    """The kept rows are those whose posterior, computed row by row from the fitted model, is at least one half."""
+    import math
+
+    source = [(i, prose(60 + i, i)) for i in range(60)] + [(500 + i, " ".join(w + "$$$" for w in prose(90, i).split())) for i in range(15)] + [(None, None), (7, "")]
+    got = q.judged(docs(spark, source)).collect()
+    count = q.Counter()
+    marks = [count(t) for _, t in source]
+    passing = [s for s in marks if not (s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"])]
+    share, prob, _ = q.estimate(dict(Counter(q.pattern(q.votes(s)) for s in passing)), len(q.RULES))
+    want = []
+    for (key, _), s in zip(source, marks, strict=True):
+        log = [math.log(p) + sum(math.log(prob[r, c, v + 1]) for r, v in enumerate(q.votes(s))) for c, p in ((0, share), (1, 1 - share))]
+        failed = s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]
+        want.append((key, not failed and log[0] >= log[1]))
+    assert sorted(((r.doc_id, r.kept) for r in got), key=repr) == sorted(want, key=repr)
+
+
 def test_empty_table(spark):
     assert q.judged(docs(spark, [])).collect() == []
