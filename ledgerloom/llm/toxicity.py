@@ -10,20 +10,24 @@ use) does not count. The sum of hit weights, alone and per length, goes through
 curve fitted on the same bounded sample.
 
 Training reads at most about SAMPLE labelled documents per class, chosen by a hash of the
-id; statistics over them are sums in Spark, of which the strongest CANDIDATES come to the
-driver. Scoring reads every whole text in one narrow pass.
+id; that bound on rows is the only one. Statistics over them are sums in Spark, of which every
+prefix that stands out comes to the driver: prefixes of words of the bounded sample. Scoring
+reads every whole text in one narrow pass.
 
 Defined results: null or empty text has no hits and gets the curve's least score; a null
-doc_id is scored, never held out; repeated rows are scored alike; without labels of both
+doc_id is scored, never held out; repeated rows are scored alike; of several labels of a
+document toxic counts; entries of equal strength are taken longest first; without labels of both
 classes every score is 0; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +37,6 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import cut, held_out, held_out_py, table
 
 SAMPLE = 6_000
-CANDIDATES = 4_000
-ENTRIES = 400
 LEAST_ODDS = 2.5
 NO_HIT = 0.49
 SHORTEST, LONGEST = 3, 10
@@ -119,7 +121,9 @@ def hits(automaton, folded: str) -> list[tuple[int, int, float]]:
     for end, (n, weight) in automaton.iter(folded):
         (free if weight is None else found).append((end - n + 1, end + 1, weight))
     if free and found:
-        found = [h for h in found if not any(s <= h[0] and h[1] <= e for s, e, _ in free)]
+        free.sort()
+        starts, reach = [s for s, _, _ in free], list(accumulate((e for _, e, _ in free), max))  # how far phrases that start by then go
+        found = [h for h in found if not ((k := bisect_right(starts, h[0])) and reach[k - 1] >= h[1])]
     return found
 
 
@@ -171,8 +175,6 @@ def choose(candidates: Iterable[tuple[str, int, int]], bad: int, good: int) -> d
     kept: dict[str, float] = {}
     stems: set[str] = set()
     for _, _, term, weight in ranked:
-        if len(kept) >= ENTRIES:
-            break
         if weight < LEAST_ODDS or term in stems or any(term[:k] in kept for k in range(1, len(term) + 1)):
             continue
         kept[term] = weight
@@ -226,11 +228,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exceptions: tu
     g2 = 2 * (gain("bad", bad / (bad + good)) + gain("good", good / (bad + good)))
     odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     strong = counts.withColumn("s", odds * F.sqrt("bad")).where((odds >= LEAST_ODDS) & (g2 >= 2 * math.log(max(tried, 1)) + 4))
-    top = strong.orderBy(F.desc("s"), F.desc("term")).limit(CANDIDATES).collect()
-    lexicon = Lexicon(choose(((r["term"], r["bad"], r["good"]) for r in top), bad, good), exceptions)
+    lexicon = Lexicon(choose(((r["term"], r["bad"], r["good"]) for r in strong.collect()), bad, good), exceptions)
 
     if lexicon.weights:
-        clean = _counted(rows, _Around(lexicon)).where(f"bad = 0 and good >= {max(3, good // 500)}").orderBy(F.desc("good"), "term").limit(ENTRIES)
+        clean = _counted(rows, _Around(lexicon)).where(f"bad = 0 and good >= {max(3, good // 500)}").orderBy(F.desc("good"), "term")
         lexicon.exceptions += tuple(r["term"] for r in clean.collect())
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

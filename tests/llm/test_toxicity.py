@@ -47,3 +47,35 @@ def test_odd_rows_without_labels(spark):
     assert len(toxicity.score(df, lexicon).collect()) == len(odd_rows())
     assert toxicity.clean(df, lexicon).count() == len(odd_rows()) and toxicity.clean(df, lexicon).columns == df.columns
     assert toxicity.score(docs(spark, []), lexicon).collect() == []
+
+
+def brute_hits(weights, phrases, folded):
+    """Entries at word starts, without those inside an exception phrase, by plain comparison at every place."""
+    found = [(i, i + len(w) + 1, x) for i in range(len(folded)) for w, x in weights.items() if folded.startswith(" " + w, i)]
+    free = [(i, i + len(p) + 2) for i in range(len(folded)) for p in phrases if folded.startswith(f" {p} ", i)]
+    return sorted(h for h in found if not any(a <= h[0] and h[1] <= b for a, b in free))
+
+
+def test_hits_equal_brute_force():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(300):
+        weights = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 4))): rng.random() for _ in range(rng.randint(1, 6))}
+        phrases = tuple(" ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(0, 4)))
+        folded = toxicity.fold(" ".join("".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) for _ in range(60)))
+        assert sorted(toxicity.hits(toxicity.Lexicon(weights, phrases).automaton(), folded)) == brute_hits(weights, phrases, folded)
+
+
+def test_every_entry_that_stands_out_is_kept():
+    words = [f"q{chr(97 + i // 26 // 26)}{chr(97 + i // 26 % 26)}{chr(97 + i % 26)}x" for i in range(5_000)]
+    assert len(toxicity.choose([(w, 40, 0) for w in words], 6_000, 6_000)) == 5_000
+
+
+def test_many_hits_and_phrases_take_linear_time():
+    import time
+
+    lexicon = toxicity.Lexicon({"trash": 3.0}, ("trash can",))
+    began = time.time()
+    assert toxicity.hits(lexicon.automaton(), toxicity.fold("trash can " * 100_000)) == []
+    assert time.time() - began < 10
