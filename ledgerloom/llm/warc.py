@@ -13,7 +13,9 @@ retried leaves nothing behind that is read.
 Defined results: null payload counts as empty; empty payloads are payloads like others;
 the largest page_id of equal payloads is the response, all rows with that id if they are
 repeated; with only null ids every row is a response; a null url is written as the
-record's own name; an empty table gives an empty result; other columns are ignored.
+record's own name; records that share page and payload are numbered, so that identifiers are
+unique; a payload that differs from its digest, or a revisit without its response, is an error;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, shared_dir, table
@@ -51,22 +53,29 @@ def chunked(pages: DataFrame, least_bytes: int = LEAST_BYTES, chunk: int = CHUNK
     """A row per payload chunk, with the record's type decided; revisit records have one empty chunk."""
     body = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("body")).withColumn("sha1", F.sha1("body")).withColumn("bytes", F.octet_length("body").cast("long"))
-    first = rows.where(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
-    told = rows.join(first, ["sha1", "bytes"], "left").withColumn("revisit", F.coalesce(~F.col("page_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
+    rows = rows.withColumn("key", F.coalesce(F.col("page_id").cast("string"), F.lit("none")))
+    names = rows.select("key", "page_id", "sha1", "bytes")
+    first = names.where(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").drop("copies")
+    # decided on names alone, so that the copies of a common page do not meet with their bodies
+    revisits = names.join(first, ["sha1", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select("key", "sha1", "bytes", "first").distinct()
+    told = rows.join(revisits, ["key", "sha1", "bytes"], "left").withColumn("revisit", F.col("first").isNotNull())
+    told = told.withColumn("copy", F.row_number().over(Window.partitionBy("key", "sha1", "bytes").orderBy("url")))
     n = F.when(F.col("revisit"), 0).otherwise(F.greatest(F.ceil(F.col("bytes") / chunk).cast("int") - 1, F.lit(0)))
     part = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.substring("body", F.col("chunk_no") * chunk + 1, F.lit(chunk)))
-    return told.withColumn("last_no", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), "last_no"))).select("page_id", "url", "sha1", "bytes", "revisit", "first", "chunk_no", "last_no", part.alias("part"))
+    return told.withColumn("last_no", n).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), "last_no"))).select("page_id", "url", "sha1", "bytes", "revisit", "first", "chunk_no", "last_no", part.alias("part"), "copy")
 
 
-def _name(page_id) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}"
+def _name(page_id, sha1: str, copy: int) -> str:
+    """A record's identifier: rows that share a page_id differ in the payload's digest or are numbered."""
+    return f"urn:page:{'' if page_id is None else page_id}:{sha1}:{copy}"
 
 
-def _head(page_id, url, sha1, size, revisit, first) -> bytes:
-    uri = quote(url, safe="/:?#[]@!$&'()*+,;=%~-._") if url else _name(page_id)
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{_name(page_id)}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{base32(sha1)}"]
+def _head(page_id, url, sha1, size, revisit, first, copy) -> bytes:
+    name = _name(page_id, sha1, copy)
+    uri = quote(url, safe="/:?#[]@!$&'()*+,;=%~-._") if url else name
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{base32(sha1)}"]
     if revisit:
-        lines += [f"WARC-Refers-To: <{_name(first)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        lines += [f"WARC-Refers-To: <{_name(first, sha1, 1)}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(HTTP) + (0 if revisit else size)}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode("utf-8")
 
@@ -81,14 +90,14 @@ def write(chunks: DataFrame, folder: str) -> DataFrame:
         uri = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         out, records, size, gz = None, 0, 0, None
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), batch.column(8), strict=True):
-                page_id, url, sha1, n, revisit, first, chunk_no, last_no, part = row
+            for row in zip(*(batch.column(i).to_pylist() for i in range(8)), batch.column(8), batch.column(9).to_pylist(), strict=True):
+                page_id, url, sha1, n, revisit, first, chunk_no, last_no, part, copy = row
                 if out is None:
                     fs, path = _open_fs(uri)
                     out = fs.open_output_stream(path, compression=None)
                 if chunk_no == 0:
                     gz = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    out.write(gz.compress(_head(page_id, url, sha1, n, revisit, first) + HTTP))
+                    out.write(gz.compress(_head(page_id, url, sha1, n, revisit, first, copy) + HTTP))
                     records += 1
                 out.write(gz.compress(part.as_buffer()))
                 if chunk_no == last_no:
@@ -157,7 +166,7 @@ def read(archives: DataFrame, payload: bool = True) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "record_type", "refers_to", "claimed", "chunk_no", "part", "bytes", "digest", "last"]
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
-        page = lambda s: int(x) if s and (x := s.strip("<>").removeprefix("urn:page:")) else None
+        page = lambda s: int(x) if s and (x := s.strip("<>").removeprefix("urn:page:").split(":")[0]) else None
         rows: list[tuple] = []
 
         def out() -> pa.RecordBatch:
@@ -190,12 +199,21 @@ def read(archives: DataFrame, payload: bool = True) -> DataFrame:
     return archives.select("path").mapInArrow(run, "page_id long, record_type string, refers_to long, claimed string, chunk_no long, part binary, bytes long, digest string, last boolean")
 
 
+def _sure(holds: Column, what: str) -> Column:
+    """A filter that keeps every row and fails on one for which the condition does not hold."""
+    return F.when(holds, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"{what}, page "), F.coalesce(F.col("page_id").cast("string"), F.lit("without id")))).cast("boolean"))
+
+
 def records(chunks: DataFrame) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) from the last chunk of each record."""
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) from the last chunk of each record.
+
+    A payload that differs from its digest, and a revisit whose response is not there, are errors.
+    """
     ends = chunks.where("last").select("page_id", "record_type", "refers_to", "claimed", "bytes", "digest")
-    whole = ends.where("record_type = 'response'").where(F.col("digest") == F.col("claimed"))
+    whole = ends.where("record_type = 'response'").where(_sure(F.col("digest") == F.col("claimed"), "payload differs from its digest"))
     full = whole.where("page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("digest").alias("claimed"), "bytes").distinct()
-    seen = ends.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "claimed").join(full, ["refers_to", "claimed"])
+    seen = ends.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "claimed").join(full, ["refers_to", "claimed"], "left")
+    seen = seen.where(_sure(F.col("bytes").isNotNull(), "revisit of a response that is not there"))
     return whole.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to").unionByName(seen.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("claimed").alias("payload_digest"), "record_type", "refers_to"))
 
 

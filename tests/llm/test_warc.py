@@ -54,3 +54,22 @@ def test_torn_archives_are_refused(tmp_path):
 
     with pytest.raises(ValueError):
         list(warc.Records(io.BytesIO(gzip.compress(b"WARC/1.1\r\nContent-Length: 9"))))
+
+
+def test_damage_is_an_error_and_not_a_shorter_result(spark, tmp_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    chunks = trip(spark, tmp_path, [(1, "u", "same"), (2, "u", "same"), (3, "u", "other")])
+    assert warc.records(chunks).count() == 3
+    for bad in (chunks.withColumn("digest", F.when(F.col("page_id") == 3, "X").otherwise(F.col("digest"))), chunks.where("page_id != 2")):
+        with pytest.raises(Exception, match="page"):
+            warc.records(bad).collect()
+
+
+def test_record_identifiers_are_unique(spark, tmp_path):
+    trip(spark, tmp_path, [(None, None, "a"), (None, None, "a"), (None, "u", "b"), (3, "u", "a"), (3, "v", "a"), (3, "u", "c"), (4, None, "a")]).count()
+    heads = b"".join(gzip.open(f).read() for f in glob.glob(f"{tmp_path}/*.warc.gz")).split(b"\r\n")
+    ids = [h for h in heads if h.startswith(b"WARC-Record-ID")]
+    assert len(ids) == 7 == len(set(ids))
+    assert {h.split(b": ")[1] for h in heads if h.startswith(b"WARC-Refers-To")} <= {h.split(b": ")[1] for h in ids}
