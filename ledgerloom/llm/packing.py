@@ -11,11 +11,13 @@ with it and a salted rank place every piece without collecting any of them.
 
 Defined results: null text counts as empty (one piece holding id 0); a null
 doc_id is carried as is; repeated rows are separate documents; an empty table
-gives an empty result; columns other than doc_id and text are ignored.
+gives an empty result; columns other than doc_id and text are ignored. Of equally good
+bins the one opened first is taken; a plan too large to broadcast is an error.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -31,7 +33,10 @@ from ledgerloom.llm.common import cut, n_shuffle, table
 
 CAPACITY = 2048
 CACHED_CHUNKS = 600_000
+MOST_PLAN_ROWS = 4_000_000  # the plan grows with the square of the capacity at most, not with the corpus
 LONGEST_CACHED = 64
+# Fixed value: the pattern of a pre-tokeniser that keeps runs of letters, single digits and runs of signs, and drops white space.
+WORDS_ONLY = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -41,13 +46,24 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def chunk_wise(spec: dict) -> tuple[bool, list[bytes]]:
+    """(whether a tokenizer's ids are those of lower-cased chunks between white space, the lower-cased starts of its added tokens)."""
+    parts = lambda x, many: [] if not x else x[many] if x["type"] == "Sequence" else [x]
+    normal, pre = parts(spec.get("normalizer"), "normalizers"), parts(spec.get("pre_tokenizer"), "pretokenizers")
+    plain = [n for n in normal if not (n["type"] == "Replace" and n["pattern"] == {"Regex": "\\s+"} and n["content"] == " ")]
+    lower = sorted(n["type"] for n in plain) in (["Lowercase"], ["Lowercase", "NFC"])
+    splits = bool(pre) and (pre[0]["type"] in ("Whitespace", "WhitespaceSplit") or pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and pre[0]["pattern"] == {"Regex": WORDS_ONLY})
+    quiet = all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in pre[1:])
+    return lower and splits and quiet, [t["content"][:2].lower().encode() for t in spec.get("added_tokens", [])]
+
+
 class Encoder:
     """Token ids of a text as little-endian uint32 bytes.
 
-    The vocabulary's pre-tokeniser lets no token cross ASCII white space, and it lower-cases,
-    so a text's ids are those of its lower-cased white-space-separated chunks. Chunks repeat,
-    hence the bounded cache. Texts that NFC would change, or that may spell a special token,
-    go to the tokenizer whole.
+    Where the tokenizer lower-cases and its pre-tokeniser drops white space, so that no token crosses it,
+    a text's ids are those of its lower-cased white-space-separated chunks. Chunks repeat, hence the
+    bounded cache. Texts that NFC would change, or that may spell an added token, go to the
+    tokenizer whole, and so do all texts of any other tokenizer.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -56,6 +72,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.known: dict[bytes, bytes] = {}
+        self.by_chunks, self.added = chunk_wise(json.loads(self.tokenizer.to_str()))
 
     def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
         encoded = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
@@ -63,7 +80,7 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         low = text.encode("utf-8", "replace").lower()
-        if b"<|" in low or not (text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low.decode("utf-8"))):
+        if not self.by_chunks or any(a in low for a in self.added) or not (text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low.decode("utf-8"))):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         chunks, known = low.split(), self.known
         fresh = set(chunks).difference(known)
@@ -189,6 +206,8 @@ def place(pieces: DataFrame, plan: list[tuple]) -> DataFrame:
     """Adds sequence_id and offset. The plan's size depends on the number of distinct lengths only."""
     spark = pieces.sparkSession
     salts = n_shuffle(spark)
+    if len(plan) > MOST_PLAN_ROWS:
+        raise ValueError(f"a plan of {len(plan)} rows is too large to broadcast")
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
