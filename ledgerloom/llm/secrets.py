@@ -3,25 +3,28 @@
 Every version of every path is addressed by the SHA-256 of its content. Each distinct blob
 is scanned once per rule version: pairs of blob and rule version that the ledger already
 holds are skipped, so a later run over more history, or with one changed rule, only scans
-what is new. Findings are then joined back to every path that holds the blob.
+what is new. Findings, each with its rule's version, are then joined back to every path that
+holds the blob; what only an earlier version of a rule found no longer counts.
 
 Only DataFrame functions are used. Spans are exact: the text between matches (split) and
 the matches (regexp_extract_all) alternate, so running sums of their lengths, in code
 points, give every start and end.
 
 Defined results: null text counts as empty; empty texts have no spans; a null path is
-carried as is; repeated rows each get their findings; an empty table gives an empty
-result; of other columns only those asked for are carried.
+carried as is; repeated rows each get their findings; spans that start together come in the order
+of their rules; an empty table gives an empty result; other columns, maps among them, are carried.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ledgerloom.llm.common import table
+from ledgerloom.llm.common import shared_dir, table
 
 
 @dataclass(frozen=True)
@@ -58,7 +61,9 @@ MORE_RULES = (
 )
 RULES = BASE_RULES + MORE_RULES
 SALTS = 16
-SPAN = "struct<start:long,rank:int,end:long,kind:string>"
+SPAN = "struct<start:long,rank:int,end:long,kind:string,version:int>"
+LEDGER = f"blob string, rules array<string>, spans array<{SPAN}>"
+RUN, PIECE = 512, 4_096  # matches, and characters of a text, that one pass over a growing value handles
 
 
 def blob_id(content: Column) -> Column:
@@ -73,24 +78,46 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     long = lambda x: F.char_length(x).cast("long")
     steps = F.filter(F.zip_with(gaps, F.arrays_zip(hits.alias("hit"), kept.alias("kept")), lambda gap, m: F.struct(long(gap).alias("gap"), long(m["hit"]).alias("hit"), (F.char_length(m["kept"]) >= rule.least).alias("ok"))), lambda x: x["hit"].isNotNull())
     none = F.array().cast(f"array<{SPAN}>")
-    found = F.aggregate(
-        steps,
-        F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["hit"]).alias("at"),
-            F.when(
-                x["ok"],
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(rank).alias("rank"), (acc["at"] + x["gap"] + x["hit"]).alias("end"), F.lit(rule.kind).alias("kind")).cast(SPAN))),
-            ).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+    span = lambda a, b: F.struct(a.alias("start"), F.lit(rank).alias("rank"), b.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version")).cast(SPAN)
+
+    def run(some: Column) -> Column:
+        """Length and spans of a run of matches; a run is short, so that appending to its array costs little."""
+        zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+        return F.aggregate(
+            some, zero,
+            lambda acc, x: F.struct(
+                (acc["at"] + x["gap"] + x["hit"]).alias("at"),
+                F.when(x["ok"], F.concat(acc["out"], F.array(span(acc["at"] + x["gap"], acc["at"] + x["gap"] + x["hit"])))).otherwise(acc["out"]).alias("out"),
+            ),
+        )
+
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int")), lambda i: run(F.slice(steps, i * RUN + 1, F.lit(RUN))))
+    placed = F.aggregate(
+        runs,
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<array<{SPAN}>>").alias("out")),
+        lambda acc, r: F.struct((acc["at"] + r["at"]).alias("at"), F.concat(acc["out"], F.array(F.transform(r["out"], lambda s: span(acc["at"] + s["start"], acc["at"] + s["end"])))).alias("out")),
+        lambda acc: F.flatten(acc["out"]),
+    )
+    return F.when(text.rlike(rule.pattern), placed).otherwise(none)
 
 
 def new_ledger(spark: SparkSession) -> DataFrame:
-    """A ledger that has seen nothing: the rule versions a blob was scanned with, and the spans found."""
-    return spark.createDataFrame([], f"blob string, rules array<string>, spans array<{SPAN}>")
+    """A ledger that has seen nothing: the rule versions a blob was scanned with, and the spans each of them found."""
+    return spark.createDataFrame([], LEDGER)
+
+
+def open_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger kept as a table in a folder, which is made if it is not there."""
+    new_ledger(spark).write.mode("append").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def record(versions: DataFrame, folder: str, content: str = "content", rules: tuple[Rule, ...] | None = None) -> DataFrame:
+    """Scans what the ledger in folder lacks of these versions and rules, appends it there, and returns the ledger."""
+    spark = versions.sparkSession
+    known = open_ledger(spark, folder)
+    scan(distinct_blobs(versions, content), known, rules or RULES).write.mode("append").parquet(folder)
+    return spark.read.schema(LEDGER).parquet(folder)
 
 
 def scan(blobs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -111,16 +138,29 @@ def distinct_blobs(versions: DataFrame, content: str = "content") -> DataFrame:
     return versions.select(blob_id(text).alias("blob"), text.alias("content")).groupBy("blob").agg(F.any_value("content").alias("content"))
 
 
+def _can_be_hashed(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_can_be_hashed(f.dataType) for f in kind.fields)
+    return _can_be_hashed(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
 def findings(versions: DataFrame, ledger: DataFrame, content: str = "content", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """versions with `blob` and `spans`: what the ledger knows of each path's content under these rule versions."""
-    kinds = F.array(*(F.lit(r.kind) for r in rules))
-    known = ledger.where(F.arrays_overlap("rules", F.array(*(F.lit(r.key) for r in rules)))).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    known = known.select("blob", F.filter("spans", lambda s: F.array_contains(kinds, s["kind"])).alias("spans")).where(F.size("spans") > 0)
+    """versions with `blob` and `spans`: what the ledger knows of each path's content under these rule versions.
+
+    Columns of versions with these two names give way to them.
+    """
+    kinds, keys = F.array(*(F.lit(r.kind) for r in rules)), F.array(*(F.lit(r.key) for r in rules))
+    now = lambda s: F.array_contains(keys, F.concat(s["kind"], F.lit("@"), s["version"].cast("string")))
+    ranked = lambda s: F.struct(s["start"].alias("start"), (F.array_position(kinds, s["kind"]) - 1).cast("int").alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["version"].alias("version"))
+    known = ledger.where(F.arrays_overlap("rules", keys)).select("blob", F.transform(F.filter("spans", now), ranked).alias("spans")).where(F.size("spans") > 0)
+    known = known.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     # a blob may stand at a third of all paths: its findings go to SALTS partitions, each path to one of them
-    salt = F.pmod(F.xxhash64(F.lit(0), *(c for c in versions.columns if c != content)), F.lit(SALTS))
-    known = known.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    out = versions.withColumn("blob", blob_id(F.col(content))).withColumn("_part", salt).join(known, ["blob", "_part"], "left").drop("_part")
-    return out.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
+    kept = [c for c in versions.columns if c not in ("blob", "spans")]
+    salt = F.pmod(F.xxhash64(F.lit(0), *(f"`{c}`" for c in kept if c != content and _can_be_hashed(versions.schema[c].dataType))), F.lit(SALTS))
+    known = known.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rows = versions.select(F.struct(*(f"`{c}`" for c in kept)).alias("row"), blob_id(F.col(content)).alias("blob"), salt.alias("part"))
+    out = rows.join(known, ["blob", "part"], "left")
+    return out.select("row.*", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -129,19 +169,29 @@ def joined(spans: Column) -> Column:
 
 
 def redacted(text: Column, spans: Column, mark: str = "[redacted]") -> Column:
-    """text with every span, overlapping ones as one, replaced by mark."""
-    part = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    out = F.aggregate(
-        spans,
-        start,
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when((s["start"] >= acc["at"]) & ((s["start"] > acc["at"]) | (acc["at"] == 0)), F.concat(acc["out"], part(acc["at"], s["start"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: F.concat(acc["out"], part(acc["at"], F.char_length(text).cast("long"))),
-    )
-    return F.when(F.size(spans) > 0, out).otherwise(text)
+    """text with every span, overlapping or touching ones as one, replaced by mark.
+
+    The text is taken in pieces, each with the spans that reach it, so that no span is looked for from the text's start.
+    """
+
+    def piece(part: Column, number: Column) -> Column:
+        low = number.cast("long") * PIECE
+        high = low + F.char_length(part)
+        cut = lambda a, b: F.substring(part, (a - low + 1).cast("int"), (b - a).cast("int"))
+        opens = lambda acc, s: ~(acc["in"] & (s["start"] <= acc["at"]))
+        return F.aggregate(
+            F.filter(spans, lambda s: (s["end"] >= low) & (s["start"] < high)),
+            F.struct(low.alias("at"), F.lit(False).alias("in"), F.lit("").alias("out")),
+            lambda acc, s: F.struct(
+                F.greatest(acc["at"], s["end"]).alias("at"),
+                F.lit(True).alias("in"),
+                F.when((s["start"] >= low) & opens(acc, s), F.concat(acc["out"], cut(acc["at"], s["start"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+            ),
+            lambda acc: F.concat(acc["out"], F.when(acc["at"] < high, cut(acc["at"], high)).otherwise("")),
+        )
+
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, F.array_join(F.transform(pieces, piece), "")).otherwise(text)
 
 
 def scanned(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
@@ -151,7 +201,11 @@ def scanned(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
 
 
 def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Two rounds over a ledger table of its own: the base rules, then all rules, of which only the unseen ones are scanned."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    record(docs, folder, "text", BASE_RULES)
+    found = findings(docs, record(docs, folder, "text"), "text")
     base = F.filter("spans", lambda s: F.array_contains(F.array(*(F.lit(r.kind) for r in BASE_RULES)), s["kind"]))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))

@@ -62,3 +62,33 @@ def test_overlapping_spans_become_one_mask(spark):
 
 def test_empty_table(spark):
     assert rows(secrets.scanned(docs(spark, []))) == []
+
+
+def test_findings_of_an_earlier_rule_version_do_not_count(spark, tmp_path):
+    versions = docs(spark, [(1, "deadbeef00"), (2, "password=xyzxyz12"), (3, None)])
+    folder = f"file://{tmp_path}/ledger"
+    old, new = (secrets.Rule("hex", "[0-9a-f]{8,}"),), (secrets.Rule("hex", "[0-9a-f]{40,}", version=2),)
+    kept = secrets.record(versions, folder, "text", old)
+    seen = lambda ledger, rules: {r.doc_id: [s.kind for s in r.spans] for r in secrets.findings(versions, ledger, "text", rules).collect()}
+    assert seen(kept, old) == {1: ["hex"], 2: [], 3: []}
+    both = secrets.record(versions, folder, "text", new)
+    assert both.count() == 6
+    assert seen(both, new) == {1: [], 2: [], 3: []} and seen(both, old) == {1: ["hex"], 2: [], 3: []}
+    assert secrets.record(versions, folder, "text", new).count() == 6  # nothing was left to scan
+
+
+def test_clashing_and_unhashable_columns(spark):
+    from pyspark.sql import functions as F
+
+    df = docs(spark, [(1, TEXTS[0]), (2, None)]).withColumn("spans", F.lit(1)).withColumn("blob", F.lit("b")).withColumn("_part", F.lit(9)).withColumn("part", F.lit(8)).withColumn("m", F.create_map(F.lit("a"), F.lit(1)))
+    got = {r.doc_id: r for r in secrets.scanned(df).collect()}
+    assert len(got[1].spans) == 2 and got[2].spans == [] and got[1]._part == 9 and got[1].part == 8 and got[1].m == {"a": 1} and len(got[1].blob) == 64
+
+
+def test_long_texts_with_many_secrets(spark):
+    import re
+
+    text = " ".join(f"é{i} token={i:08d}" + (" 😀" * 7 if i % 50 == 0 else "") for i in range(6_000))
+    found = secrets.scanned(docs(spark, [(1, text), (2, "token=" + "x" * 9_000 + " z")]))
+    got = {r.doc_id: (r.t, len(r.spans)) for r in found.select("doc_id", "spans", secrets.redacted(found["text"], found["spans"]).alias("t")).collect()}
+    assert got == {1: (re.sub(r"token=\d{8}", "[redacted]", text), 6_000), 2: ("[redacted] z", 1)}
