@@ -8,27 +8,38 @@ misfit, preconditioned by the tokens, where each step is one sum over all docume
 as many numbers as there are domains pass the driver. Starting from rate 1, the result
 is the nearest such set of rates in the token-weighted sense.
 
-Only DataFrame functions are used; features are character counts computed within the row.
+The features are character sequences whose counts tell the domains apart, learnt from a
+bounded sample of labelled rows (about SAMPLE of each quality): of every domain in turn the
+most telling one that neither holds nor lies in one already taken. Everything else covers
+all rows: the classifier all labelled documents, the rates all documents.
+
+Copies are drawn systematically: within a domain, ordered by length, a document gets another
+copy where the running sum of fractional rates passes a whole number, so that the sampled
+tokens stay near the expected ones. Only DataFrame functions are used.
 
 Defined results: null text counts as empty, with no tokens and prior posteriors; null labels
-are left out of the fit; without labels there is one domain; a null doc_id is carried; repeated rows
-are documents of their own; a target for a domain without tokens is left unmet; an empty
-table gives an empty result; columns of docs are kept by sample().
+are left out of the fit; of several labels of a document the better counts; without labels there is
+one domain; a null doc_id is carried; repeated rows are documents of their own; a target for a
+domain without tokens is left unmet; rates that do not settle are an error; of domains of equal posterior the
+first by name is named; an empty table gives an empty result; columns of docs, whatever their names, are
+kept by sample().
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, table
+from ledgerloom.llm.common import cut, n_shuffle, table
 
-# What is counted; each string is one feature.
-FEATURES = ("th", "ch", "qu", "é", "è", "ü", "ä", "ñ", "ó", "#", "*", "$", "%", "&", "|", "!", "E", " de ", " the ", " der ")
+N_FEATURES, LONGEST_FEATURE, SAMPLE = 24, 3, 1_000
+TELLING = 100  # sequences of each domain that features are chosen among
 TEMPER = 40.0  # characters that count as one piece of evidence
-ROUNDS, TOLERANCE = 40, 1e-4
+ROUNDS, TOLERANCE = 60, 1e-4
+SETTLED = 1e-3  # of a domain's tokens: a misfit that still moves by more after the last round is an error
+WHOLE = 1_000_000_000  # fractional rates are counted in such parts
 SHARES = {"low": 0.25}  # share of a domain's own tokens that is asked for; 1 for others
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -45,32 +56,80 @@ def _sum(terms: list[Column]) -> Column:
     return _sum(terms[:half]) + _sum(terms[half:])
 
 
-def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+def measured(docs: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
     """keep, tokens, n (characters) and one count per feature, row by row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*keep, F.regexp_count(text, F.lit(WORD)).cast("double").alias("_tokens"), F.char_length(text).cast("double").alias("_n"), *(_count(text, f).alias(f"_f{i}") for i, f in enumerate(FEATURES)))
-
-
-def fit_classifier(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float, list[float]]]:
-    """{domain: (log prior, log likelihood of each feature and of the rest)} from all labelled documents."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
-    rows = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang", "text").join(known.hint("merge"), "doc_id")
-    domain = F.concat_ws(":", "lang", F.when(F.col("_quality") == 1, "good").otherwise("low"))
-    sums = measured(rows.withColumn("_domain", domain), ["_domain"]).groupBy("_domain").agg(F.count("*").alias("docs"), F.sum("_n").alias("n"), *(F.sum(f"_f{i}").alias(f"f{i}") for i in range(len(FEATURES))))
-    got = sums.orderBy(F.desc("docs"), "_domain").collect()  # one row per domain, all of them
+    return docs.select(*keep, F.regexp_count(text, F.lit(WORD)).cast("double").alias("_tokens"), F.char_length(text).cast("double").alias("_n"), *(_count(text, f).alias(f"_f{i}") for i, f in enumerate(features)))
+
+
+def _known(labels: DataFrame) -> DataFrame:
+    return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_quality"))
+
+
+def _with_domain(docs: DataFrame, known: DataFrame) -> DataFrame:
+    rows = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang", "text").join(known, "doc_id")
+    return rows.select(F.concat_ws(":", "lang", F.when(F.col("_quality") == 1, "good").otherwise("low")).alias("_domain"), "text")
+
+
+def choose_features(ranked: dict[str, list[str]], most: int) -> list[str]:
+    """The domains' best sequences in turn, none holding another."""
+    out: list[str] = []
+    left = {d: list(grams) for d, grams in sorted(ranked.items())}
+    while len(out) < most and any(left.values()):
+        for grams in left.values():
+            while grams:
+                gram = grams.pop(0)
+                if not any(gram in o or o in gram for o in out):
+                    out.append(gram)
+                    break
+            if len(out) == most:
+                break
+    return out
+
+
+def learn_features(docs: DataFrame, labels: DataFrame, most: int = N_FEATURES, sample: int = SAMPLE) -> list[str]:
+    """Character sequences that tell the domains of a bounded sample of labelled rows apart."""
+    known = _known(labels)
+    sizes = {r["_quality"]: r["count"] for r in known.groupBy("_quality").count().collect()}
+    share = F.lit(0)
+    for quality, n in sizes.items():
+        share = F.when(F.col("_quality") == quality, min(1_000_000, sample * 1_000_000 // n)).otherwise(share)
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    grams = F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in range(1, LONGEST_FEATURE + 1)))
+    counts = _with_domain(docs, F.broadcast(chosen)).select("_domain", F.explode(grams).alias("gram")).groupBy("_domain", "gram").agg(F.count("*").alias("n"))
+    counts = cut(counts)
+    size, every = F.sum("n").over(Window.partitionBy("_domain")), F.sum("n").over(Window.partitionBy("gram"))
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.withColumn("size", size).withColumn("every", every)
+    odds = F.log((F.col("n") + 0.5) / F.col("size")) - F.log((F.col("every") - F.col("n") + 0.5) / (F.lit(float(whole)) - F.col("size") + 1))
+    best = rows.withColumn("telling", F.col("n") * odds).where("telling > 0").withColumn("k", F.row_number().over(Window.partitionBy("_domain").orderBy(F.desc("telling"), "gram"))).where(F.col("k") <= TELLING)
+    ranked: dict[str, list[str]] = {}
+    for r in best.select("_domain", "gram", "k").orderBy("_domain", "k").collect():  # TELLING rows per domain
+        ranked.setdefault(r["_domain"], []).append(r["gram"])
+    return choose_features(ranked, most)
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame) -> tuple[list[str], dict[str, tuple[float, list[float]]]]:
+    """(features, {domain: (log prior, log likelihood of each feature and of the rest)}) from all labelled documents."""
+    features = learn_features(docs, labels)
+    rows = _with_domain(docs, _known(labels).hint("merge"))
+    sums = measured(rows, ["_domain"], features).groupBy("_domain").agg(F.count("*").alias("docs"), F.sum("_n").alias("n"), *(F.sum(f"_f{i}").alias(f"f{i}") for i in range(len(features))))
+    got = sums.orderBy("_domain").collect()  # one row per domain, all of them
     total = sum(r["docs"] for r in got)
     model = {}
     for r in got:
-        counts = [r[f"f{i}"] + 0.5 for i in range(len(FEATURES))]
+        counts = [r[f"f{i}"] + 0.5 for i in range(len(features))]
         whole = sum(counts) + max(0.0, r["n"] - sum(counts)) + 0.5
         model[r["_domain"]] = (math.log(r["docs"] / total), [math.log(c / whole) for c in counts] + [math.log(max(whole - sum(counts), 0.5) / whole)])
-    return model or {"all": (0.0, [0.0] * (len(FEATURES) + 1))}
+    return features, model or {"all": (0.0, [0.0] * (len(features) + 1))}
 
 
-def posteriors(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
+def posteriors(docs: DataFrame, fitted: tuple[list[str], dict], keep: list[str]) -> DataFrame:
     """keep, _tokens and _p0.._pK-1, the tempered posterior of each domain."""
-    rows = measured(docs, keep)
-    rest = F.greatest(F.lit(0.0), F.col("_n") - _sum([F.col(f"_f{i}") for i in range(len(FEATURES))]))
+    features, model = fitted
+    rows = measured(docs, keep, features)
+    rest = F.greatest(F.lit(0.0), F.col("_n") - _sum([F.col(f"_f{i}") for i in range(len(features))]))
     scale = F.when(F.col("_n") > 0, 1 / F.greatest(F.lit(1.0), F.sqrt(F.col("_n") / TEMPER))).otherwise(0.0)
     scores = [F.lit(prior) + scale * (_sum([F.col(f"_f{i}") * w for i, w in enumerate(ws[:-1])]) + rest * ws[-1]) for prior, ws in model.values()]
     rows = rows.select(*keep, "_tokens", *(s.alias(f"_s{k}") for k, s in enumerate(scores)))
@@ -93,42 +152,66 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Column, list[float
             free = F.greatest(F.lit(0.0), free - _sum([F.col(f"_p{k}") * g[k] for k in ks]))
         return free
 
-    now = own
+    now, before = own, None
     for _ in range(ROUNDS):
         gap = [(s - t) / n if n > 0 else 0.0 for s, t, n in zip(now, targets, own, strict=True)]
-        if max(map(abs, gap), default=0.0) <= TOLERANCE:
-            break
+        moved = max((abs(a - b) for a, b in zip(gap, before, strict=True)), default=0.0) if before else math.inf
+        if max(map(abs, gap), default=0.0) <= TOLERANCE or moved <= TOLERANCE / 10:
+            break  # met, or as near as nonnegative rates come
+        before = gap
         if len(steps) >= 2 and steps[-1] and not clipped:
             steps[-1] = [a + b for a, b in zip(steps[-1], gap, strict=True)]  # steps that clip nothing add up
         else:
             steps.append(gap)
         got = rows.select("_tokens", *(f"_p{k}" for k in ks), rate().alias("_r")).agg(*(F.sum(F.col("_tokens") * F.col("_r") * F.col(f"_p{k}")).alias(f"s{k}") for k in ks), F.count_if(F.col("_r") <= 0).alias("zero")).first()
         now, clipped = [got[k] or 0.0 for k in ks], bool(got["zero"])
+    else:
+        if moved > SETTLED:
+            raise RuntimeError(f"rates did not settle in {ROUNDS} rounds; misfit by domain {gap}")
     return rate(), now
 
 
-def mixed(docs: DataFrame, labels: DataFrame, keep: list[str], shares: dict[str, float] = SHARES) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+def rated(docs: DataFrame, fitted: tuple[list[str], dict], keep: list[str], shares: dict[str, float]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """(keep, tokens, posteriors and rate per row, {domain: (target, expected tokens)})."""
-    model = fit_classifier(docs, labels)
-    rows = cut(posteriors(docs, model, keep))
-    totals = rows.agg(*(F.sum(F.col("_tokens") * F.col(f"_p{k}")) for k in range(len(model)))).first()
-    targets = [(totals[k] or 0.0) * shares.get(d, shares.get(d.rpartition(":")[2], 1.0)) for k, d in enumerate(model)]
+    domains = list(fitted[1])
+    rows = cut(posteriors(docs, fitted, keep))
+    totals = rows.agg(*(F.sum(F.col("_tokens") * F.col(f"_p{k}")) for k in range(len(domains)))).first()
+    targets = [(totals[k] or 0.0) * shares.get(d, shares.get(d.rpartition(":")[2], 1.0)) for k, d in enumerate(domains)]
     rate, reached = fit_rates(rows, targets)
-    return rows.withColumn("_rate", rate), dict(zip(model, zip(targets, reached, strict=True), strict=True))
+    return rows.withColumn("_rate", rate), dict(zip(domains, zip(targets, reached, strict=True), strict=True))
+
+
+def mixed(docs: DataFrame, labels: DataFrame, keep: list[str], shares: dict[str, float] = SHARES) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+    """rated() with a classifier fitted on the labelled documents."""
+    return rated(docs, fit_classifier(docs, labels), keep, shares)
+
+
+def domain_number(n: int) -> Column:
+    """The number, from 0, of the domain with the largest of n posteriors."""
+    ps = [F.col(f"_p{k}") for k in range(n)]
+    return (F.array_position(F.array(*ps), F.greatest(*ps)) - 1).cast("int") if n > 1 else F.lit(0)
+
 
+def drawn(rows: DataFrame, n: int) -> DataFrame:
+    """rows (row, _tokens, posteriors of n domains, _rate) with _copies: the whole part of the rate, and one more where the domain's running sum of fractional parts passes a whole number.
 
-def copies(rate: Column, key: Column) -> Column:
-    """Whole copies whose expectation is the rate: every fractional part is drawn by the key's hash."""
-    whole = F.floor(rate)
-    draw = F.pmod(F.xxhash64(key, F.lit("mixing")), F.lit(1_000_000)) / 1_000_000
-    return (whole + (draw < rate - whole).cast("int")).cast("int")
+    A domain is dealt over as many parts as there are shuffle partitions; the sums of earlier parts carry over.
+    """
+    spark = rows.sparkSession
+    parts = rows.withColumn("_h", F.xxhash64("row.doc_id", "row.text")).withColumn("_d", domain_number(n)).withColumn("_s", F.pmod("_h", F.lit(n_shuffle(spark)))).withColumn("_part", F.round((F.col("_rate") - F.floor("_rate")) * WHOLE).cast("long"))
+    before = parts.groupBy("_d", "_s").agg(F.sum("_part").alias("_all")).select("_d", "_s", (F.sum("_all").over(Window.partitionBy("_d").orderBy("_s")) - F.col("_all")).alias("_before"))
+    run = F.sum("_part").over(Window.partitionBy("_d", "_s").orderBy("_tokens", "_h").rowsBetween(Window.unboundedPreceding, 0))
+    reached = parts.withColumn("_run", run).join(before, ["_d", "_s"]).withColumn("_run", F.col("_run") + F.col("_before") + F.pmod(F.xxhash64("_d"), F.lit(WHOLE)))
+    more = F.floor(F.col("_run") / WHOLE) - F.floor((F.col("_run") - F.col("_part")) / WHOLE)
+    return reached.withColumn("_copies", (F.floor("_rate") + more).cast("int"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
     """Rows of docs repeated or dropped by their rates."""
-    rows, _ = mixed(docs, labels, docs.columns, shares)
-    n = copies(F.col("_rate"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")))
-    return rows.withColumn("_copies", n).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    fitted = fit_classifier(docs, labels)
+    rows, _ = rated(docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "text"), fitted, ["row"], shares)
+    copies = drawn(rows, len(fitted[1])).where("_copies > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def op6_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +219,5 @@ def op6_soft_membership_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, fitted = mixed(docs, table(spark, sf_dir, "labels"), ["doc_id"])
     k = range(len(fitted))
     names = F.array(*(F.lit(d) for d in fitted))
-    best = F.greatest(*(F.col(f"_p{i}") for i in k)) if len(fitted) > 1 else F.col("_p0")
-    domain = F.element_at(names, F.array_position(F.array(*(F.col(f"_p{i}") for i in k)), best).cast("int"))
+    domain = F.element_at(names, domain_number(len(fitted)) + 1)
     return rows.select("doc_id", F.col("_tokens").cast("long").alias("n_tokens"), domain.alias("domain"), F.map_from_arrays(names, F.array(*(F.round(f"_p{i}", 6) for i in k))).alias("posteriors"), F.col("_rate").alias("rate"))

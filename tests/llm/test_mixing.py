@@ -45,10 +45,72 @@ def test_odd_rows(spark):
         assert mixing.sample(docs(spark, []), labels).collect() == []
 
 
-def test_copies_have_the_rate_as_expectation(spark):
-    for rate in (0.03, 0.08, 0.5, 0.95, 1.08):
-        total = spark.range(20_000).agg(F.sum(mixing.copies(F.lit(rate), F.col("id").cast("string")))).first()[0]
-        assert abs(total - 20_000 * rate) < 300
+def test_drawn_copies_sum_to_the_rates(spark):
+    for rate in (0.03, 0.08, 0.5, 0.95, 1.08, 2.0):
+        rows = spark.range(20_000).select(F.struct(F.col("id").alias("doc_id"), F.lit("t").alias("text")).alias("row"), F.lit(5.0).alias("_tokens"), F.lit(1.0).alias("_p0"), F.lit(rate).alias("_rate"))
+        got = mixing.drawn(rows, 1).agg(F.sum("_copies"), F.min("_copies"), F.max("_copies")).first()
+        assert abs(got[0] - 20_000 * rate) <= 1 and got[1] >= int(rate) and got[2] <= int(rate) + (rate % 1 > 0)
+
+
+def test_sampled_tokens_are_near_the_targets(spark):
+    source = [(i, prose(20 + i % 200, i) if i % 3 else "$$$ ### !! " * (5 + i % 97)) for i in range(3_000)]
+    df, labels = docs(spark, source), spark.createDataFrame([(i, int(i % 3 > 0), 1) for i in range(3_000)], "doc_id long, quality int, lang int")
+    shares = {"low": 0.3, "good": 0.7}
+    _, fitted = mixing.mixed(df, labels, ["doc_id"], shares)
+    words = F.size(F.split(F.trim("text"), "\\s+"))
+    got = {r.low: r.n for r in mixing.sample(df, labels, shares).groupBy((F.col("doc_id") % 3 == 0).alias("low")).agg(F.sum(words).alias("n")).collect()}
+    for low, domain in ((True, "en:low"), (False, "en:good")):
+        assert abs(got[low] / fitted[domain][0] - 1) < 0.01
+
+
+def test_rates_are_the_least_squares_solution(spark):
+    """Against plain projected gradient over all rates, whose domains overlap."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    t, p = rng.uniform(1, 50, 60), rng.dirichlet([0.4, 0.4, 0.4], 60)
+    for shares in ([0.2, 1.0, 1.4], [0.5, 0.9, 1.2], [1.0, 1.0, 1.0]):
+        own = (t[:, None] * p).sum(axis=0)
+        target = own * shares
+        r = np.ones(60)
+        for _ in range(200_000):
+            step = p @ (((t * r) @ p - target) / own)
+            new = np.maximum(0, r - 0.2 * step)
+            if np.abs(new - r).max() < 1e-12:
+                break
+            r = new
+        rows = spark.createDataFrame([(i, float(t[i]), *map(float, p[i])) for i in range(60)], "i int, _tokens double, _p0 double, _p1 double, _p2 double")
+        rate, reached = mixing.fit_rates(rows, list(target))
+        got = np.array([x.r for x in rows.select("i", rate.alias("r")).orderBy("i").collect()])
+        misfit = lambda x: ((((t * x) @ p - target) ** 2) / own).sum()
+        assert misfit(got) <= misfit(r) + 1e-5 * own.sum()
+        assert np.allclose(reached, (t * got) @ p) and (got >= 0).all()
+
+
+def test_rates_that_do_not_settle_are_an_error(spark, monkeypatch):
+    import pytest
+
+    df, labels = corpus(spark)
+    monkeypatch.setattr(mixing, "ROUNDS", 1)
+    with pytest.raises(RuntimeError, match="settle"):
+        mixing.mixed(df, labels, ["doc_id"], {"low": 0.25})
+
+
+def test_columns_with_clashing_names_are_kept(spark):
+    df, labels = corpus(spark)
+    odd = df.withColumns({c: F.lit(7) for c in ("_tokens", "_copies", "_copy", "_rate", "_p0", "_d", "_s", "row", "_domain", "_quality")})
+    kept = mixing.sample(odd, labels)
+    assert kept.columns == odd.columns and {tuple(r) for r in kept.select("_tokens", "_copies", "_copy", "_rate", "_p0", "row").collect()} == {(7,) * 6}
+
+
+def test_features_are_learnt_from_the_labels(spark):
+    source = [(i, ("zq wx " if i % 2 else "ab cd ") * 30) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(200)], "doc_id long, quality int, lang int")
+    features = mixing.learn_features(docs(spark, source), labels)
+    assert features and all(set(f) <= set("zqwxabcd ") for f in features)
+    out, _ = mixing.mixed(docs(spark, source), labels, ["doc_id"])
+    assert out.where("doc_id % 2 = 1 and _p0 > 0.9 or doc_id % 2 = 0 and _p1 > 0.9").count() == 200
+    assert mixing.choose_features({"a": ["xy", "x", "q"], "b": ["xyz", "r"]}, 3) == ["xy", "r", "q"]
 
 
 def test_a_domain_cut_below_a_tenth_keeps_its_share(spark):
