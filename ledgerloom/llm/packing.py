@@ -54,7 +54,7 @@ def chunk_wise(spec: dict) -> tuple[bool, list[bytes]]:
     lower = sorted(n["type"] for n in plain) in (["Lowercase"], ["Lowercase", "NFC"])
     splits = bool(pre) and (pre[0]["type"] in ("Whitespace", "WhitespaceSplit") or pre[0]["type"] == "Split" and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and pre[0]["pattern"] == {"Regex": WORDS_ONLY})
     quiet = all(p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in pre[1:])
-    return lower and splits and quiet, [t["content"][:2].lower().encode() for t in spec.get("added_tokens", [])]
+    return lower and splits and quiet, sorted({t["content"][:2].lower().encode() for t in spec.get("added_tokens", [])})
 
 
 class Encoder:
