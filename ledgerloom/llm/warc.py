@@ -57,8 +57,8 @@ def chunked(pages: DataFrame, least_bytes: int = LEAST_BYTES, chunk: int = CHUNK
     names = rows.select("key", "page_id", "sha1", "bytes")
     first = names.where(F.col("bytes") >= least_bytes).groupBy("sha1", "bytes").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").drop("copies")
     # decided on names alone, so that the copies of a common page do not meet with their bodies
-    revisits = names.join(first, ["sha1", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select("key", "sha1", "bytes", "first").distinct()
-    told = rows.join(revisits, ["key", "sha1", "bytes"], "left").withColumn("revisit", F.col("first").isNotNull())
+    revisits = names.join(first.hint("merge"), ["sha1", "bytes"]).where(~F.col("page_id").eqNullSafe(F.col("first"))).select("key", "sha1", "bytes", "first").distinct()
+    told = rows.join(revisits.hint("merge"), ["key", "sha1", "bytes"], "left").withColumn("revisit", F.col("first").isNotNull())
     told = told.withColumn("copy", F.row_number().over(Window.partitionBy("key", "sha1", "bytes").orderBy("url")))
     n = F.when(F.col("revisit"), 0).otherwise(F.greatest(F.ceil(F.col("bytes") / chunk).cast("int") - 1, F.lit(0)))
     part = F.when(F.col("revisit"), F.lit(b"")).otherwise(F.substring("body", F.col("chunk_no") * chunk + 1, F.lit(chunk)))
@@ -212,7 +212,7 @@ def records(chunks: DataFrame) -> DataFrame:
     ends = chunks.where("last").select("page_id", "record_type", "refers_to", "claimed", "bytes", "digest")
     whole = ends.where("record_type = 'response'").where(_sure(F.col("digest") == F.col("claimed"), "payload differs from its digest"))
     full = whole.where("page_id is not null").select(F.col("page_id").alias("refers_to"), F.col("digest").alias("claimed"), "bytes").distinct()
-    seen = ends.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "claimed").join(full, ["refers_to", "claimed"], "left")
+    seen = ends.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", "claimed").join(full.hint("merge"), ["refers_to", "claimed"], "left")
     seen = seen.where(_sure(F.col("bytes").isNotNull(), "revisit of a response that is not there"))
     return whole.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to").unionByName(seen.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("claimed").alias("payload_digest"), "record_type", "refers_to"))
 
