@@ -37,12 +37,13 @@ def copies_of(event: DataFrame, source: DataFrame, doomed: DataFrame) -> DataFra
     """Events with a doomed event's role and text: anywhere in its ancestors, in descendants only within the replayed run."""
     who = source.select("source_id", "thread_id")
     named = doomed.join(who, "source_id").select("thread_id", "role", "text").distinct()
-    up = lineage.ancestors(source).where("depth > 0").join(named, "thread_id").select(F.col("ancestor").alias("thread_id"), "role", "text").distinct()
+    asked = named.select("thread_id").distinct()
+    up = lineage.ancestors(source, asked, None).where("depth > 0").join(named, "thread_id").select(F.col("ancestor").alias("thread_id"), "role", "text").distinct()
     above = event.join(who, "source_id").join(up, ["thread_id", "role", "text"], "left_semi").select(*event.columns)
     ids = who.select(F.col("thread_id").alias("parent"), F.col("source_id").alias("parent_id"))
     child = source.where("forked_from_id is not null").select("source_id", F.col("forked_from_id").alias("parent")).join(ids, "parent")
     run = leading_run(event.join(child, "source_id").withColumn("child_id", F.col("source_id")), event, ["role", "text"])
-    down = lineage.descendants(source).where("depth > 0").join(named, "thread_id").select(F.col("descendant").alias("thread_id"), "role", "text").distinct()
+    down = lineage.descendants(source, asked).where("depth > 0").join(named, "thread_id").select(F.col("descendant").alias("thread_id"), "role", "text").distinct()
     below = run.join(who, "source_id").join(down, ["thread_id", "role", "text"], "left_semi").select(*event.columns)
     return above.unionByName(below).distinct()
 

@@ -10,15 +10,17 @@ from ledgerloom.shared import cut
 MOST_DEPTH = 128
 
 
-def walk(start: DataFrame, edges: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
-    """(root, node, depth): everything reachable from start (root, node) over edges (node, next); loops end.
+def walk(start: DataFrame, edges: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """(root, node, depth): everything reachable from start (root, node) over edges (node, next), or what lies within most_depth steps; loops end.
 
     Each level is a join of the newest nodes with the edges and an anti join with those
     already seen; levels go to the shared folder, so lineage stays short.
     """
     seen = cut(start.select("root", "node", F.lit(0).alias("depth")).distinct())
     newest = seen
-    for depth in range(1, most_depth + 1):
+    depth = 0
+    while most_depth is None or depth < most_depth:
+        depth += 1
         step = newest.join(edges, "node").select("root", F.col("next").alias("node")).distinct()
         newest = cut(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not newest.take(1):
@@ -32,17 +34,21 @@ def fork_edges(source: DataFrame) -> DataFrame:
     return source.where("forked_from_id is not null").select("provider", F.col("thread_id").alias("child"), F.col("forked_from_id").alias("parent"))
 
 
-def descendants(source: DataFrame) -> DataFrame:
-    """(thread_id, descendant, depth) along forks, itself included."""
+def _starts(source: DataFrame, of: DataFrame | None) -> DataFrame:
+    threads = source if of is None else of
+    return threads.select(F.col("thread_id").alias("root"), F.col("thread_id").alias("node"))
+
+
+def descendants(source: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(thread_id, descendant, depth) along forks, itself included; of all threads, or of those in `of` (thread_id)."""
     edges = fork_edges(source).select(F.col("parent").alias("node"), F.col("child").alias("next"))
-    got = walk(source.select(F.col("thread_id").alias("root"), F.col("thread_id").alias("node")), edges)
-    return got.select(F.col("root").alias("thread_id"), F.col("node").alias("descendant"), "depth")
+    return walk(_starts(source, of), edges).select(F.col("root").alias("thread_id"), F.col("node").alias("descendant"), "depth")
 
 
-def ancestors(source: DataFrame) -> DataFrame:
+def ancestors(source: DataFrame, of: DataFrame | None = None, most_depth: int | None = MOST_DEPTH) -> DataFrame:
+    """(thread_id, ancestor, depth) along forks, itself included; a family has most_depth generations, None for all there are."""
     edges = fork_edges(source).select(F.col("child").alias("node"), F.col("parent").alias("next"))
-    got = walk(source.select(F.col("thread_id").alias("root"), F.col("thread_id").alias("node")), edges)
-    return got.select(F.col("root").alias("thread_id"), F.col("node").alias("ancestor"), "depth")
+    return walk(_starts(source, of), edges, most_depth).select(F.col("root").alias("thread_id"), F.col("node").alias("ancestor"), "depth")
 
 
 def session_closure(source: DataFrame, session: str) -> DataFrame:

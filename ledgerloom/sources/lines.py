@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,14 +21,42 @@ def _fs(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def discover(root: str, suffix: str = ".jsonl", prefix: str = "") -> list[tuple[str, int]]:
-    """(path, size) of regular files below root, by path."""
+def _linked(base: str, path: str) -> bool:
+    """Whether a local path, or a folder between it and the base, is a symbolic link."""
+    while len(path) > len(base):
+        if os.path.islink(path):
+            return True
+        path = os.path.dirname(path)
+    return False
+
+
+def listed(root: str, suffix: str = ".jsonl", prefix: str = "") -> list[tuple[str, int, int]]:
+    """(path, size, mtime_ns) of regular files below root, by path; links, pipes and what lies behind links are left out."""
     from pyarrow import fs
 
     system, base = _fs(root)
     found = system.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+    local = system.type_name == "local"
     scheme = root.split("://")[0] + "://" if "://" in root else ""
-    return sorted((scheme + f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name.endswith(suffix) and f.base_name.startswith(prefix))
+    fits = lambda f: f.type == fs.FileType.File and f.base_name.endswith(suffix) and f.base_name.startswith(prefix)
+    return sorted((scheme + f.path, f.size, f.mtime_ns or 0) for f in found if fits(f) and not (local and _linked(base.rstrip("/"), f.path)))
+
+
+def discover(root: str, suffix: str = ".jsonl", prefix: str = "") -> list[tuple[str, int]]:
+    """(path, size) of regular files below root, by path."""
+    return [(path, size) for path, size, _ in listed(root, suffix, prefix)]
+
+
+# The named roots of transcripts and how their files are named.
+ROOTS = {"codex-sessions": ("rollout-", ".jsonl"), "codex-archived": ("rollout-", ".jsonl"), "claude-projects": ("", ".jsonl")}
+
+
+def discover_roots(folders: dict[str, str]) -> list[tuple[str, str, int]]:
+    """(root name, path, size) of the transcripts below the named roots that are given."""
+    unknown = set(folders) - set(ROOTS)
+    if unknown:
+        raise ValueError(f"unknown roots {sorted(unknown)}")
+    return [(name, path, size) for name in ROOTS if name in folders for path, size in discover(folders[name], ROOTS[name][1], ROOTS[name][0])]
 
 
 def complete_lines(path: str, start: int = 0, number: int = 0, end: int | None = None) -> Iterator[tuple[int, int, int, bytes | None]]:
@@ -55,6 +84,30 @@ def complete_lines(path: str, start: int = 0, number: int = 0, end: int | None =
             held = [] if over else [*held, block[pos:]]
 
 
+def arrived_lines(path: str, start: int, end: int | None) -> Iterator[tuple[int, int, int, bytes | None]]:
+    """As complete_lines, of the lines whose line end lies in [start, end); numbers count from 1. A line that began before start is read whole."""
+    begin = 0
+    if start:
+        system, name = _fs(path)
+        with system.open_input_file(name) as f:
+            floor, at = max(0, start - MOST_LINE_BYTES - 1), start
+            while at > floor:
+                size = min(1 << 16, at - floor)
+                f.seek(at - size)
+                nl = f.read(size).rfind(b"\n")
+                if nl >= 0:
+                    begin = at - size + nl + 1
+                    break
+                at -= size
+            else:
+                begin = floor
+    number = 0
+    for _, first, after, raw in complete_lines(path, begin, 0, end):
+        if after > start:
+            number += 1
+            yield number, first, after, raw
+
+
 def _batches(path: str, lines) -> Iterator[pa.RecordBatch]:
     rows, size = [], 0
 
@@ -94,35 +147,26 @@ class _Reader(DataSourceReader):
 
 
 class _StreamReader(DataSourceStreamReader):
-    """Offsets are {path: [bytes, lines]} of what was handed out; files may grow and new ones appear.
+    """Offsets are {path: bytes} handed out; files may grow and new ones appear. The driver only lists files.
 
-    A line count needs the lines before it, so the newest offset is found by scanning only
-    what was appended since the last one.
+    A range's lines are those whose end arrived in it; their numbers count from the range's start, as
+    only a reader of all earlier ranges knows how many lines came before (see streaming.ingest.carried).
     """
 
     def __init__(self, options):
-        self.options, self.known = options, {}
+        self.options = options
 
     def initialOffset(self):
         return {}
 
     def latestOffset(self):
-        now = dict(self.known)
-        for path, size in discover(self.options["path"], self.options.get("suffix", ".jsonl"), self.options.get("prefix", "")):
-            at, number = now.get(path, (0, 0))
-            if size > at:
-                for number, _, at, _ in complete_lines(path, at, number, size):  # noqa: B020
-                    pass
-                now[path] = (at, number)
-        self.known = now
-        return {p: list(v) for p, v in now.items()}
+        return dict(discover(self.options["path"], self.options.get("suffix", ".jsonl"), self.options.get("prefix", "")))
 
     def partitions(self, start, end):
-        self.known = {**{p: tuple(v) for p, v in end.items()}, **self.known}
-        return [FilePart(p, *start.get(p, (0, 0)), end=at) for p, (at, _) in sorted(end.items()) if at > start.get(p, (0, 0))[0]]
+        return [FilePart(p, start.get(p, 0), end=at) for p, at in sorted(end.items()) if at > start.get(p, 0)]
 
     def read(self, partition):
-        yield from _batches(partition.path, complete_lines(partition.path, partition.start, partition.number, partition.end))
+        yield from _batches(partition.path, arrived_lines(partition.path, partition.start, partition.end))
 
     def commit(self, end):
         pass
@@ -149,6 +193,37 @@ def register(spark) -> None:
     spark.dataSource.register(TranscriptLines)
 
 
+def numbered(spark, folder: str, range_bytes: int = 128 << 20, suffix: str = ".jsonl", prefix: str = ""):
+    """SCHEMA rows of all complete lines below a folder, long files in ranges: line ends are counted range by range, summed up along each file, and the lines read with what came before."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    parts = [(p, at, min(at + range_bytes, size)) for p, size in discover(folder, suffix, prefix) for at in range(0, size, range_bytes)]
+    ranges = spark.createDataFrame(parts, "path string, start long, end long").repartition(max(1, min(len(parts), 10_000)), "path", "start")
+
+    def count(batches):
+        for batch in batches:
+            n = []
+            for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, name = _fs(path)
+                with system.open_input_file(name) as f:
+                    f.seek(start)
+                    left, seen = end - start, 0
+                    while left and (block := f.read(min(READ, left))):
+                        seen, left = seen + block.count(b"\n"), left - len(block)
+                n.append(seen)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["path", "start", "end", "n"])
+
+    def read(batches):
+        for batch in batches:
+            for path, start, end, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield from _batches(path, ((before + k, a, b, raw) for k, a, b, raw in arrived_lines(path, start, end)))
+
+    counts = ranges.mapInArrow(count, "path string, start long, end long, n long")
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start")) - F.col("n")
+    return counts.select("path", "start", "end", before.alias("before")).repartition(max(1, min(len(parts), 10_000)), "path", "start").mapInArrow(read, SCHEMA)
+
+
 def journal(text: str) -> list[dict]:
     """Strict JSONL: every line whole, an object, and without repeated keys."""
 

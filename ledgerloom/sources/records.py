@@ -22,7 +22,7 @@ CLAUDE = "timestamp string, type string, sessionId string, isSidechain boolean,
 # How texts that no person typed begin.
 CODEX_HARNESS = ("<environment_context>", "# AGENTS.md instructions", "<user_instructions>", "<hook_prompt", "<subagent_notification>", "<turn_aborted>", "<recommended_plugins>", "<INSTRUCTIONS>", "<codex_internal_context", "<user_shell_command>", "<skill", "<task")
 CLAUDE_HARNESS = ("<command-name>", "<command-message>", "<local-command-stdout>", "<local-command-caveat>", "<system-reminder>", "[Request interrupted", "Caveat:", "Base directory for this skill", "<task-notification>", "This session is being continued")
-EVENT = ["path", "line", "part", "seq", "ts", "role", "kind", "tag", "cwd", "call_id", "text"]
+EVENT = ["path", "line", "part", "seq", "ts", "role", "kind", "tag", "cwd", "call_id", "text", "parent_line", "parent_part"]
 
 
 @F.pandas_udf(T.IntegerType())
@@ -101,13 +101,38 @@ def codex_events(lines: DataFrame) -> DataFrame:
     body = F.when(F.col("type") == "function_call", F.col("arguments")).otherwise(F.col("input"))
     calls = items.where("type in ('function_call', 'custom_tool_call')").select("path", "line", F.lit(1).alias("part"), "seq", "ts", F.lit("assistant").alias("role"), F.lit("tool_call").alias("kind"), name.alias("tag"), "cwd", "call_id", F.concat(name, F.lit(": "), F.coalesce(body, F.lit("null"))).alias("text"))
     outputs = items.where("type in ('function_call_output', 'custom_tool_call_output')").select("path", "line", F.lit(1).alias("part"), "seq", "ts", "cwd", "call_id", _text_of(F.col("output")).alias("text"))
-    return messages.unionByName(calls).unionByName(tool_errors(calls, outputs.where(X.is_error_text(F.col("text"))))).select(*EVENT)
+    return messages.unionByName(calls).unionByName(tool_errors(calls, outputs.where(X.is_error_text(F.col("text")))), allowMissingColumns=True).select(*EVENT)
 
 
 def tool_errors(calls: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Failing outputs whose call came earlier in the same file, tagged with its tool."""
-    seen = calls.where("call_id is not null").groupBy("path", "call_id").agg(F.min_by("tag", "line").alias("tag"), F.min("line").alias("_from"))
-    return outputs.join(seen, ["path", "call_id"]).where(F.col("_from") <= F.col("line")).select("path", "line", "part", "seq", "ts", F.lit("user").alias("role"), F.lit("tool_error").alias("kind"), "tag", "cwd", "call_id", "text")
+    """Failing outputs whose call came earlier in the same file, tagged with its tool and linked to it."""
+    seen = calls.where("call_id is not null").groupBy("path", "call_id").agg(F.min(F.struct("line", "part", "tag")).alias("_call"))
+    return outputs.join(seen, ["path", "call_id"]).where(F.col("_call.line") <= F.col("line")).select(
+        "path", "line", "part", "seq", "ts", F.lit("user").alias("role"), F.lit("tool_error").alias("kind"), F.col("_call.tag").alias("tag"), "cwd", "call_id", "text",
+        F.col("_call.line").alias("parent_line"), F.col("_call.part").alias("parent_part"),
+    )
+
+
+def open_lines(lines: DataFrame, provider: str) -> DataFrame:
+    """The lines (path, line, json) that lines still to come may refer to: the first, the last that tells a directory, and calls without an output."""
+    text = F.col("json")
+    at = lambda path: F.get_json_object(text, path)
+    if provider == "codex":
+        kind = at("$.payload.type")
+        called = F.array(F.when(kind.isin("function_call", "custom_tool_call"), at("$.payload.call_id")))
+        answered = F.array(F.when(kind.isin("function_call_output", "custom_tool_call_output"), at("$.payload.call_id")))
+        given = F.nullif(at("$.payload.cwd"), F.lit(""))
+    else:
+        blocks = F.coalesce(F.from_json(at("$.message.content"), BLOCKS), F.array().cast(BLOCKS))
+        ids = lambda kind, name: F.transform(F.filter(blocks, lambda b: b["type"] == kind), lambda b: b[name])
+        called, answered = ids("tool_use", "id"), ids("tool_result", "tool_use_id")
+        given = F.lit(None).cast("string")
+    rows = lines.where("json is not null").select("path", "line", "json", F.array_compact(called).alias("called"), F.array_compact(answered).alias("answered"), given.isNotNull().alias("given"))
+    done = rows.select("path", F.explode("answered").alias("call_id")).distinct()
+    waiting = rows.select("path", "line", F.explode("called").alias("call_id")).join(done, ["path", "call_id"], "left_anti").select("path", "line")
+    last = rows.where("given").groupBy("path").agg(F.max("line").alias("line"))
+    first = rows.where("line = 1").select("path", "line")
+    return rows.select("path", "line", "json").join(waiting.union(last).union(first).distinct(), ["path", "line"], "left_semi")
 
 
 def claude_threads(rows: DataFrame) -> DataFrame:
@@ -144,7 +169,7 @@ def claude_events(lines: DataFrame) -> DataFrame:
     got = own.where("role = 'user' and result").select("path", "line", "seq", "ts", "cwd", F.posexplode(F.filter("blocks", lambda b: b["type"] == "tool_result")).alias("_k", "b"))
     outputs = got.select("path", "line", (F.col("_k") + 1).alias("part"), "seq", "ts", "cwd", F.col("b.tool_use_id").alias("call_id"), _text_of(F.col("b.content")).alias("text"), F.coalesce("b.is_error", F.lit(False)).alias("bad"))
     failed = outputs.where(F.col("bad") | X.is_error_text(F.col("text"))).drop("bad")
-    return prompts.unionByName(replies).unionByName(calls).unionByName(tool_errors(calls, failed)).select(*EVENT)
+    return prompts.unionByName(replies).unionByName(calls).unionByName(tool_errors(calls, failed), allowMissingColumns=True).select(*EVENT)
 
 
 def cursor_events(pairs: DataFrame, conversation: str) -> DataFrame:

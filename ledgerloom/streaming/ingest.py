@@ -2,13 +2,29 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.sources import lines
+from ledgerloom.functions import text as X
+from ledgerloom.operators import lineage, windows
+from ledgerloom.shared import cut
+from ledgerloom.sources import lines, records
+
+CLASSIFIER = 1  # raised whenever the adapters read something else; sources of an earlier version are read again
+INDEXED = ("primary", "subagent")  # classes of threads that get events; others are only known
+MANIFEST = "path string, thread_id string, ino long, size long, mtime_ns long, first_hash string, anchor_hash string"
+CURSORS = MANIFEST + ", classifier_version long, cursor_bytes long, cursor_line long, anchor_offset long, since long, prefix_open boolean, status string"
+EVENTS = "pass long, thread_id string, line long, part long, byte_offset long, line_sha256 string, seq long, ts string, role string, kind string, tag string, cwd string, call_id string, parent_line long, parent_part long, flags int, text string"
+THREADS = "thread_id string, provider string, session_root string, parent_thread_id string, forked_from_id string, thread_class string, class_reason string, replay_mode string, replay_before long"
+OPEN = "thread_id string, line long, json string"
 
 
 def plan(now: DataFrame, known: DataFrame, version: int) -> DataFrame:
@@ -27,6 +43,163 @@ def plan(now: DataFrame, known: DataFrame, version: int) -> DataFrame:
     return at.join(threads, "thread_id", "left").select("path", "thread_id", F.when((F.col("mode") == "new") & F.col("_here"), "copy").when((F.col("mode") == "new") & F.col("_gone"), "moved").otherwise(F.col("mode")).alias("mode"))
 
 
+def _digest(raw: bytes | None) -> str | None:
+    """Identity of a line, as functions.text.record_hash has it."""
+    return None if raw is None else hashlib.sha256(raw.rstrip(b"\r\n")).hexdigest()
+
+
+def _thread(raw: bytes | None, path: str) -> str:
+    """The thread that a file's first line names, else the file's own name; side files name themselves."""
+    stem = path.rsplit("/", 1)[-1].removesuffix(".jsonl")
+    try:
+        first = json.loads(raw or b"")
+        named = first["payload"].get("id") if first.get("type") == "session_meta" else first.get("sessionId")
+    except (ValueError, TypeError, KeyError, AttributeError):
+        return stem
+    return stem if "/subagents/" in path or first.get("isSidechain") or not isinstance(named, str) or not named else named
+
+
+def manifest(spark: SparkSession, folder: str, known: DataFrame | None = None, suffix: str = ".jsonl", prefix: str = "") -> DataFrame:
+    """MANIFEST rows of a folder's files. The driver lists; tasks read a file's first line and the line at its known anchor."""
+    found = spark.createDataFrame(lines.listed(folder, suffix, prefix), "path string, size long, mtime_ns long").repartition("path")
+    anchors = (known if known is not None else spark.createDataFrame([], CURSORS)).select("path", "anchor_offset")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, size, mtime, anchor in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first = next((r for _, _, _, r in lines.complete_lines(path)), None)
+                held = next((r for _, _, _, r in lines.complete_lines(path, anchor)), None) if anchor is not None and anchor < size else None
+                local = path.removeprefix("file://")
+                out.append((path, _thread(first, path), os.stat(local).st_ino if local.startswith("/") and os.path.exists(local) else None, size, mtime, _digest(first), _digest(held)))
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=[f.split()[0] for f in MANIFEST.split(", ")])
+
+    return found.join(anchors, "path", "left").select("path", "size", "mtime_ns", "anchor_offset").mapInArrow(run, MANIFEST)
+
+
+@dataclass
+class Store:
+    """Events, threads, cursors and open lines below a folder; a pass counts once its marker is there.
+
+    Every pass appends its own events and rewrites the three tables that describe sources. What a pass wrote
+    without its marker is overwritten by the next one, so a pass that dies leaves nothing behind.
+    """
+
+    spark: SparkSession
+    folder: str
+
+    def passes(self) -> list[int]:
+        """Numbers of the committed passes."""
+        return sorted(int(p.rsplit("/", 1)[1]) for p, _ in lines.discover(f"{self.folder}/commits", ""))
+
+    def _last(self, name: str, schema: str) -> DataFrame:
+        done = self.passes()
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}/pass={done[-1]}") if done else self.spark.createDataFrame([], schema)
+
+    def cursors(self) -> DataFrame:
+        return self._last("cursors", CURSORS)
+
+    def threads(self) -> DataFrame:
+        return self._last("threads", THREADS)
+
+    def open_lines(self) -> DataFrame:
+        return self._last("open", OPEN)
+
+    def events(self) -> DataFrame:
+        """Events of the committed passes, those of a source only since it was last read from its start."""
+        done = self.passes()
+        if not done:
+            return self.spark.createDataFrame([], EVENTS)
+        rows = self.spark.read.schema(EVENTS).option("basePath", f"{self.folder}/events").parquet(*(f"{self.folder}/events/pass={n}" for n in done))
+        since = self.cursors().select("thread_id", "since").dropDuplicates(["thread_id"])
+        return rows.join(since, "thread_id").where(F.col("pass") >= F.col("since")).drop("since").select(*self.spark.createDataFrame([], EVENTS).columns)
+
+    def commit(self, number: int, **tables: DataFrame) -> None:
+        for name, rows in tables.items():
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/pass={number}")
+        system, path = lines._fs(f"{self.folder}/commits")
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/{number}") as f:
+            f.write(b"")
+
+
+def _read(todo: DataFrame) -> DataFrame:
+    """(path, thread_id, line, byte_offset, next_offset, raw) of complete lines from each file's cursor on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, thread, at, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for got in lines._batches(path, lines.complete_lines(path, at, number)):
+                    yield pa.RecordBatch.from_arrays([got.column(0), pa.array([thread] * got.num_rows, pa.string()), *got.columns[1:]], names=["path", "thread_id", "line", "byte_offset", "next_offset", "raw"])
+
+    return todo.select("path", "thread_id", "_at", "_line").repartition("path").mapInArrow(run, "path string, thread_id string, line long, byte_offset long, next_offset long, raw binary")
+
+
+def without_inherited(events: DataFrame, threads: DataFrame, earlier: DataFrame) -> DataFrame:
+    """events (thread_id, line, part, role, text, ...) without the leading run that content-prefix forks repeat of any ancestor.
+
+    Forks come last by data flow: their ancestors' events are those committed (earlier) and all of this pass.
+    """
+    forks = threads.where("replay_mode = 'content_prefix' and prefix_open").select("thread_id", "forked_from_id")
+    if not forks.take(1):
+        return events
+    up = lineage.ancestors(threads, of=forks.select("thread_id"), most_depth=None).where("depth > 0").select("thread_id", F.col("ancestor").alias("source_id"))
+    every = events.select("thread_id", "role", "text").unionByName(earlier.select("thread_id", "role", "text")).withColumnRenamed("thread_id", "source_id")
+    parent = up.join(every, "source_id").select(F.col("thread_id").alias("source_id"), "role", "text").distinct()
+    child = events.join(forks.select("thread_id"), "thread_id", "left_semi").withColumn("child_id", F.col("thread_id")).withColumn("parent_id", F.col("thread_id"))
+    run = windows.leading_run(child, parent, ["role", "text"]).select("thread_id", "line", "part")
+    return events.join(run, ["thread_id", "line", "part"], "left_anti")
+
+
+def run_pass(store: Store, folder: str, provider: str = "codex", version: int = CLASSIFIER, full: bool = False) -> DataFrame:
+    """One pass over a folder: plan, read what is new, decode, commit together; returns (path, thread_id, mode).
+
+    Lines that earlier ones leave open (the first, the directory in force, calls without an output) are
+    read back beside the new ones, so an output finds its call however many passes lie between.
+    """
+    spark = store.spark
+    number, known = (store.passes() or [0])[-1] + 1, cut(store.cursors())
+    now = cut(manifest(spark, folder, known))
+    modes = cut(plan(now, known, version if not full else -1))
+    old = known.select("thread_id", "cursor_bytes", "cursor_line", "since", "prefix_open", F.col("anchor_offset").alias("_anchor")).dropDuplicates(["thread_id"])
+    at = modes.join(old, "thread_id", "left").withColumn("_kept", F.col("mode").isin("append", "moved") & F.col("cursor_bytes").isNotNull())
+    todo = cut(at.where(F.col("mode").isin("new", "append", "replace", "moved")).withColumn("_at", F.when(F.col("_kept"), F.col("cursor_bytes")).otherwise(0)).withColumn("_line", F.when(F.col("_kept"), F.col("cursor_line")).otherwise(0)))
+    raw = cut(_read(todo))
+    fresh = records.decoded(raw.withColumn("line_sha256", X.record_hash(F.col("raw").cast("string"))))
+    held = store.open_lines().join(todo.where("_kept").select("thread_id", "path"), "thread_id")
+    every = cut(fresh.select("path", "thread_id", "line", "json").unionByName(held.select("path", "thread_id", "line", "json")))
+    rows = every.select("path", "line", "json")
+    adapt = {"codex": records.codex_events, "claude": records.claude_events}[provider]
+    named = {"codex": records.codex_threads, "claude": records.claude_threads}[provider]
+    parsed = rows.where("json is not null").select("path", "line", F.from_json("json", records.CODEX if provider == "codex" else records.CLAUDE).alias("r"))
+    met = named(parsed).join(todo.select("path", F.col("thread_id").alias("_id"), "_kept", "prefix_open"), "path").drop("path", "thread_id").withColumnRenamed("_id", "thread_id")
+    met = met.dropDuplicates(["thread_id"])
+    threads = cut(met.select(*(c.split()[0] for c in THREADS.split(", "))).unionByName(store.threads().join(met.select("thread_id"), "thread_id", "left_anti")))
+    own = todo.select("path", "thread_id", "_line")
+    new = adapt(rows).join(own, "path").where(F.col("line") > F.col("_line")).join(fresh.select("path", "line", "byte_offset", "line_sha256"), ["path", "line"])
+    limit = F.when(F.col("kind") == "tool_call", X.MOST_CALL_BYTES).otherwise(X.MOST_EVENT_BYTES)
+    new = new.join(threads.where(F.col("thread_class").isin(*INDEXED)).select("thread_id"), "thread_id", "left_semi")
+    new = cut(new.withColumn("_f", X.finish("text", limit)).select("thread_id", "line", F.col("part").cast("long").alias("part"), "byte_offset", "line_sha256", "seq", "ts", "role", "kind", "tag", "cwd", "call_id", "parent_line", F.col("parent_part").cast("long").alias("parent_part"), F.col("_f.flags").alias("flags"), F.col("_f.text").alias("text")))
+    prefix = threads.join(met.select("thread_id", F.coalesce(F.when(F.col("_kept"), F.col("prefix_open")), F.lit(True)).alias("prefix_open")), "thread_id", "left").withColumn("prefix_open", F.coalesce("prefix_open", F.lit(False)))
+    kept = cut(without_inherited(new, prefix, store.events()))
+    ends = raw.groupBy("thread_id").agg(F.max("next_offset").alias("_bytes"), F.max("line").alias("_lines"), F.max_by("byte_offset", "line").alias("_last"), F.max_by(X.record_hash(F.col("raw").cast("string")), "line").alias("_hash"))
+    grown = kept.groupBy("thread_id").agg(F.lit(False).alias("_open"))
+    done = now.join(modes.select("path", "mode"), "path").where("mode != 'copy'").join(old, "thread_id", "left").join(ends, "thread_id", "left").join(grown, "thread_id", "left").join(known.select("thread_id", F.col("anchor_hash").alias("_old_hash"), F.col("path").alias("_old_path")).dropDuplicates(["thread_id"]), "thread_id", "left")
+    restarted = F.col("mode").isin("new", "replace")
+    cursors = done.select(
+        "path", "thread_id", "ino", "size", "mtime_ns", "first_hash", F.coalesce("_hash", F.when(~restarted, F.col("_old_hash"))).alias("anchor_hash"), F.lit(version).cast("long").alias("classifier_version"),
+        F.coalesce("_bytes", F.when(~restarted, F.col("cursor_bytes")), F.lit(0)).alias("cursor_bytes"), F.coalesce("_lines", F.when(~restarted, F.col("cursor_line")), F.lit(0)).alias("cursor_line"),
+        F.coalesce("_last", F.when(~restarted, F.col("_anchor"))).alias("anchor_offset"), F.when(restarted, F.lit(number)).otherwise(F.coalesce("since", F.lit(number))).cast("long").alias("since"),
+        F.coalesce("_open", F.when(~restarted, F.col("prefix_open")), F.lit(True)).alias("prefix_open"), F.lit("active").alias("status"),
+    )
+    gone = known.join(cursors.select("thread_id"), "thread_id", "left_anti").withColumn("status", F.lit("missing"))
+    still = records.open_lines(rows, provider).join(own.select("path", "thread_id"), "path").select("thread_id", "line", "json")
+    rest = store.open_lines().join(own.select("thread_id"), "thread_id", "left_anti")
+    store.commit(number, events=kept, threads=threads, cursors=cursors.unionByName(gone.select(*cursors.columns)), open=still.unionByName(rest))
+    return modes
+
+
 def appended(spark: SparkSession, folder: str, **options: str) -> DataFrame:
     """A stream of complete lines appended below a folder."""
     lines.register(spark)
@@ -34,22 +207,22 @@ def appended(spark: SparkSession, folder: str, **options: str) -> DataFrame:
 
 
 def carried(stream: DataFrame) -> DataFrame:
-    """Lines with the directory in force there; the last one is kept as state of each file between batches."""
+    """Lines with their number in the file and the directory in force there; both are kept as state of each file between batches."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        (cwd,) = state.get if state.exists else (None,)
-        rows = pd.concat(list(batches)).sort_values("line")
+        cwd, before = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(batches)).sort_values("byte_offset")
         out = []
         for given in rows.given:
             cwd = given if isinstance(given, str) and given else cwd
             out.append(cwd)
-        state.update((cwd,))
-        yield rows.assign(cwd=out)[["path", "line", "cwd", "raw"]]
+        state.update((cwd, before + len(rows)))
+        yield rows.assign(cwd=out, line=range(before + 1, before + len(rows) + 1))[["path", "line", "cwd", "raw"]]
 
     text = F.col("raw").cast("string")
     given = F.coalesce(F.get_json_object(text, "$.payload.cwd"), F.get_json_object(text, "$.cwd"))
-    rows = stream.select("path", "line", given.alias("given"), text.alias("raw"))
-    return rows.groupBy("path").applyInPandasWithState(run, "path string, line long, cwd string, raw string", "cwd string", "append", "NoTimeout")
+    rows = stream.select("path", "byte_offset", given.alias("given"), text.alias("raw"))
+    return rows.groupBy("path").applyInPandasWithState(run, "path string, line long, cwd string, raw string", "cwd string, lines long", "append", "NoTimeout")
 
 
 def to_parquet(stream: DataFrame, folder: str, checkpoint: str, once: bool = True):
