@@ -248,6 +248,15 @@ def text_page(text: pd.Series, offset: pd.Series, most: pd.Series) -> pd.DataFra
     return pd.DataFrame({"page": pages, "next_offset": pd.Series(following, dtype="Int64")})
 
 
+def opened(text: Column, offset: Column, most: Column) -> Column:
+    """A page of text at a character offset: error (bad_offset, offset_past_end or null), page, next_offset and chars."""
+    whole = F.coalesce(text, F.lit(""))
+    error = F.when(offset < 0, "bad_offset").when(offset > F.char_length(whole), "offset_past_end")
+    page = text_page(whole, F.when(error.isNull(), offset).otherwise(0).cast("long"), most)
+    good = lambda c: F.when(error.isNull(), c)
+    return F.struct(error.alias("error"), good(page["page"]).alias("page"), good(page["next_offset"]).alias("next_offset"), F.char_length(whole).alias("chars"))
+
+
 def content_tag(key: bytes):
     """Keyed digest of framed fields, so that a tombstone does not reveal what was erased."""
 

@@ -58,15 +58,20 @@ def timeline(event: DataFrame, source: DataFrame, session: str, limit: int = 50,
 
 
 def neighbours(event: DataFrame, pivot: DataFrame, n: int = 3) -> DataFrame:
-    """Up to n events before and after each pivot (pivot_id, source_id, line, part) with their signed distance."""
+    """Up to n events before and after each pivot (pivot_id, source_id, line, part) with their signed distance.
+
+    One ordered pass over both tells each pivot how many events come before it; the events near it
+    are then an equi join on their place, so a source's pivots do not meet all of its events.
+    """
     n = max(0, min(n, MOST_CONTEXT))
-    at = event.join(pivot.select("source_id", "pivot_id", F.struct("line", "part").alias("_at")), "source_id").withColumn("_key", F.struct("line", "part"))
-    side = F.when(F.col("_key") < F.col("_at"), -1).when(F.col("_key") > F.col("_at"), 1).otherwise(0)
-    rows = at.withColumn("_side", side)
-    before = F.row_number().over(Window.partitionBy("pivot_id", "_side").orderBy(F.desc("line"), F.desc("part")))
-    after = F.row_number().over(Window.partitionBy("pivot_id", "_side").orderBy("line", "part"))
-    rows = rows.withColumn("rel", F.when(F.col("_side") < 0, -before).when(F.col("_side") > 0, after).otherwise(0))
-    return rows.where(F.abs("rel") <= n).select("pivot_id", "rel", "id", "line", "part", "kind")
+    order = Window.partitionBy("source_id").orderBy("line", "part")
+    placed = event.withColumn("_r", F.row_number().over(order)).select("source_id", "_r", "id", "line", "part", "kind")
+    both = event.select("source_id", "line", "part", F.lit(1).alias("_e"), F.lit(None).cast("long").alias("pivot_id")).unionByName(pivot.select("source_id", "line", "part", F.lit(0).alias("_e"), F.col("pivot_id").cast("long")))
+    upto, here = F.sum("_e").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.sum("_e").over(Window.partitionBy("source_id", "line", "part"))
+    asked = both.withColumn("_upto", upto).withColumn("_before", upto - here).where("_e = 0")
+    near = asked.select("source_id", "pivot_id", "_upto", "_before", F.explode(F.sequence(F.col("_before") - n + 1, F.col("_upto") + n)).alias("_r"))
+    rel = F.when(F.col("_r") <= F.col("_before"), F.col("_r") - F.col("_before") - 1).when(F.col("_r") > F.col("_upto"), F.col("_r") - F.col("_upto")).otherwise(0)
+    return near.join(placed, ["source_id", "_r"]).select("pivot_id", rel.cast("int").alias("rel"), "id", "line", "part", "kind")
 
 
 def scope_as_of(event: DataFrame, points: DataFrame) -> DataFrame:

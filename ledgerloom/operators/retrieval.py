@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.errors import QueryError
@@ -65,6 +65,46 @@ def lengths(event: DataFrame) -> DataFrame:
     return event.select("id", F.size(X.tokens(F.col("text"))).alias("len"))
 
 
+BUCKETS, SLICES = 64, 8
+
+
+@dataclass(frozen=True)
+class Index:
+    """A written index: postings by a hash of their term, lengths, and one row of totals. A search reads the buckets of its terms and tokenises nothing."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    totals: DataFrame
+
+    @staticmethod
+    def bucket(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+    @staticmethod
+    def write(event: DataFrame, folder: str) -> None:
+        """Buckets are sorted by term, so that files are skipped by their statistics; a frequent term is dealt over SLICES files."""
+        rows = postings(event).withColumn("bucket", Index.bucket(F.col("term")))
+        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SLICES))).sortWithinPartitions("bucket", "term", "id", "pos").write.partitionBy("bucket").parquet(f"{folder}/postings")
+        lengths(event).write.parquet(f"{folder}/lengths")
+        event.sparkSession.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len")).write.parquet(f"{folder}/totals")
+
+    @staticmethod
+    def read(spark: SparkSession, folder: str) -> Index:
+        rows = spark.read.schema("id long, pos int, term string, bucket int").parquet(f"{folder}/postings")
+        return Index(rows, spark.read.schema("id long, len int").parquet(f"{folder}/lengths"), spark.read.schema("n_docs long, mean_len double").parquet(f"{folder}/totals"))
+
+    def of(self, terms: list[str]) -> DataFrame:
+        """Postings of some terms. Their buckets are computed here, so that the scan is pruned when it is planned."""
+        spark = self.postings.sparkSession
+        named = spark.createDataFrame([(t,) for t in terms], "term string")
+        buckets = sorted({r[0] for r in named.select(Index.bucket(F.col("term"))).collect()})  # one row per query term
+        return self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
+
+
+def _of(index: DataFrame | Index, terms: list[str]) -> DataFrame:
+    return index.of(terms) if isinstance(index, Index) else index.where(F.col("term").isin(terms))
+
+
 def _occurrences(index: DataFrame, element: tuple[str, ...]) -> DataFrame:
     """(id, tf) of a word, or of a phrase as consecutive positions."""
     at = index.where(F.col("term") == element[0]).select("id", "pos")
@@ -73,8 +113,9 @@ def _occurrences(index: DataFrame, element: tuple[str, ...]) -> DataFrame:
     return at.groupBy("id").agg(F.count("*").alias("tf"))
 
 
-def matched(index: DataFrame, elements: list[tuple[str, ...]]) -> DataFrame:
+def matched(index: DataFrame | Index, elements: list[tuple[str, ...]]) -> DataFrame:
     """(id, element, tf) for every element found; single words share one pass over the index."""
+    index = _of(index, sorted({part for e in elements for part in e})) if isinstance(index, Index) else index
     words = [e[0] for e in elements if len(e) == 1]
     number = {e: i for i, e in enumerate(elements)}
     out = None
@@ -90,10 +131,11 @@ def matched(index: DataFrame, elements: list[tuple[str, ...]]) -> DataFrame:
     return out
 
 
-def bm25(index: DataFrame, sizes: DataFrame, elements: list[tuple[str, ...]]) -> DataFrame:
-    """(id, score), lower is better; document counts and mean length are those of the whole index."""
+def bm25(index: DataFrame | Index, sizes: DataFrame | None, elements: list[tuple[str, ...]]) -> DataFrame:
+    """(id, score), lower is better; document counts and mean length are those of the whole index. A written index has its own sizes."""
     hits = matched(index, elements)
-    whole = sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))  # one row
+    sizes = index.lengths if isinstance(index, Index) else sizes
+    whole = index.totals if isinstance(index, Index) else sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))  # one row
     df = hits.groupBy("element").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
@@ -102,12 +144,12 @@ def bm25(index: DataFrame, sizes: DataFrame, elements: list[tuple[str, ...]]) ->
     return rows.groupBy("id").agg(F.round(-F.sum(gain), 9).alias("score"))
 
 
-def document_frequency(index: DataFrame, words: list[str] | None = None) -> DataFrame:
-    rows = index if words is None else index.where(F.col("term").isin(words))
+def document_frequency(index: DataFrame | Index, words: list[str] | None = None) -> DataFrame:
+    rows = (index.postings if isinstance(index, Index) else index) if words is None else _of(index, words)
     return rows.select("id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
-def df_rule(index: DataFrame, n_events: int, words: list[str], ratio: float) -> list[str]:
+def df_rule(index: DataFrame | Index, n_events: int, words: list[str], ratio: float) -> list[str]:
     """Words in at most ratio * n_events events, the rarest if none is; small stores use the stopword list."""
     if n_events < LEAST_DF_EVENTS:
         return [w for w in words if w not in X.STOPWORDS]
@@ -170,20 +212,19 @@ class Search:
     composed: DataFrame
 
     def page(self, limit: int = 10, page: int = 1, recent: bool = False, per_session: int = PER_SESSION) -> DataFrame:
-        if not 1 <= limit <= MOST_LIMIT or page < 1:
-            raise QueryError("bad_page")
+        limit, page = max(1, min(limit, MOST_LIMIT)), max(1, page)
         rows = recent_first(self.composed) if recent else self.composed
         rows = more_in_session(rows, self.counts, per_session)
         at = rows.withColumn("_n", F.row_number().over(Window.orderBy("rank")))
         return at.where((F.col("_n") > limit * (page - 1)) & (F.col("_n") <= limit * page)).drop("_n")
 
 
-def search(event: DataFrame, source: DataFrame, scope: DataFrame, text: str, where: Column | None = None, inside: Column | None = None, per_session: int = PER_SESSION, drop: frozenset[str] | None = None) -> Search:
-    """Scores come from the whole index; eligibility and scope apply before the best matches are taken."""
+def search(event: DataFrame, source: DataFrame, scope: DataFrame, text: str, where: Column | None = None, inside: Column | None = None, per_session: int = PER_SESSION, drop: frozenset[str] | None = None, index: Index | None = None) -> Search:
+    """Scores come from the whole index, the written one if it is given; eligibility and scope apply before the best matches are taken."""
     query = parse(text, drop)
     if not query.elements:
         raise QueryError("no_terms", text)
-    scores = bm25(postings(event), lengths(event), query.elements)
+    scores = bm25(index or postings(event), None if index else lengths(event), query.elements)
     eligible = filters.joined(event, source, scope).where(filters.eligible() if where is None else where).join(scores, "id")
     inside = F.lit(True) if inside is None else inside
     ranked = candidates(eligible.where(F.coalesce(inside, F.lit(False))))
@@ -195,12 +236,12 @@ def hits(page: DataFrame) -> DataFrame:
     return page.select("id", filters.ref().alias("ref"), "ts", "provider", F.left("session_root", F.lit(8)).alias("session"), F.left("thread_id", F.lit(8)).alias("thread"), "kind", "role", F.col("label").alias("scope"), F.col("status").alias("source_status"), filters.citable().alias("answer_citable"), "repeats", X.preview(F.col("text")).alias("preview"))
 
 
-def recall(found: Search, index: DataFrame, words: list[str], least: int = 3, most: int = 3, pool: int = 20) -> DataFrame:
+def recall(found: Search, index: DataFrame | Index, words: list[str], least: int = 3, most: int = 3, pool: int = 20) -> DataFrame:
     """The best hits of the first `pool` that match at least `least` different words."""
     if len(words) < least:
         return found.composed.limit(0).withColumn("n_words", F.lit(0).cast("long"))
     top = found.composed.orderBy("rank").limit(pool)
-    n = index.where(F.col("term").isin(words)).select("id", "term").distinct().groupBy("id").agg(F.count("*").alias("n_words"))
+    n = _of(index, words).select("id", "term").distinct().groupBy("id").agg(F.count("*").alias("n_words"))
     return top.join(n, "id").where(F.col("n_words") >= least).orderBy("rank").limit(most)
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as X
 from ledgerloom.operators.windows import merge_ranges
 
+HALVINGS = 16  # more than a list of one record can have
+RECALL_BYTES, RECALL_CAPS = 1500, (300, 200, 120, 100, 60, 1)
+RECALL_OPEN, RECALL_CLOSE, FRAME_DELIMITER = '<recalled trust="untrusted-data">', "</recalled>", r"(?i)<(?=\s*/?\s*recalled)"
 STATES = ("queued", "running", "completed", "failed", "cancelled")
 
 
@@ -98,14 +101,44 @@ def locators_hit(decisions: DataFrame, tombstone: DataFrame) -> DataFrame:
     return by_thread.unionByName(decisions.join(line, ["provider", "thread_id", "line"], "left_semi").select(*keys)).distinct()
 
 
-def log_record(record: DataFrame, shapes: dict[str, str], most_bytes: int = 1024) -> DataFrame:
-    """Allow-listed fields only, each null unless it has its shape; records that stay too long lose their optional fields."""
-    clean = record.select(*(F.when(F.col(c).cast("string").rlike(f"^(?:{p})$"), F.col(c)).alias(c) for c, p in shapes.items()))
+def log_record(record: DataFrame, shapes: dict[str, str], most_bytes: int = 1024, lists: tuple[str, ...] = ()) -> DataFrame:
+    """Allow-listed fields only, each null unless it has its shape; lists (of which every item has the shape) are halved
+    in turn until the record fits; records that stay too long lose their optional fields."""
+    fits_shape = lambda c, p: (F.forall(c, lambda x: F.coalesce(x.cast("string").rlike(f"^(?:{p})$"), F.lit(False))) if c in lists else F.col(c).cast("string").rlike(f"^(?:{p})$"))
+    clean = record.select(*(F.when(fits_shape(c, p), F.col(c)).alias(c) for c, p in shapes.items()))
+    for name in lists:
+        size = lambda short: F.octet_length(F.to_json(F.struct(*(short.alias(c) if c == name else F.col(c) for c in shapes))))  # noqa: B023, E731
+        halves = F.transform(F.sequence(F.lit(0), F.lit(HALVINGS)), lambda k: F.slice(F.col(name), F.lit(1), F.floor(F.size(name) / F.pow(F.lit(2), k)).cast("int")))  # noqa: B023
+        shortest = F.slice(F.col(name), F.lit(1), F.lit(0))
+        clean = clean.withColumn(name, F.when(F.col(name).isNotNull(), F.coalesce(F.try_element_at(F.filter(halves, lambda x: size(x) <= most_bytes), F.lit(1)), shortest)))
     size = F.octet_length(F.to_json(F.struct(*shapes)))
     first = next(iter(shapes))
     return clean.select(*((F.col(c) if c == first else F.when(size <= most_bytes, F.col(c))).alias(c) for c in shapes))
 
 
+def framed(text: Column, most: Column) -> Column:
+    """One line without delimiters of the frame, at most `most` characters, the last of them an ellipsis where it was cut."""
+    safe = F.regexp_replace(X.collapse(text), FRAME_DELIMITER, "&lt;")
+    return F.when(F.char_length(safe) > most, F.concat(F.left(safe, most - 1), F.lit("…"))).otherwise(safe)
+
+
+def recall_block(items: DataFrame, key: str, notes: tuple[str, ...] = (), most_bytes: int = RECALL_BYTES) -> DataFrame:
+    """(key, block, items, cap): the block of lines for each prompt within a byte limit.
+
+    items are (key, place, head, text), a bounded page of them per key: knowledge first, then events. Of the
+    caps on a text the largest is tried first; within a cap the last items go until the block fits. What fits
+    not even with one item gives an empty block.
+    """
+    safe = items.select(key, "place", "head", X.redact(F.col("text")).alias("text"))
+    pages = safe.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "head", "text"))).alias("_items"))
+    wrap = lambda lines: F.concat_ws("\n", F.lit(RECALL_OPEN), lines, *map(F.lit, notes), F.lit(RECALL_CLOSE))
+    lines = lambda cap: F.transform("_items", lambda i: F.concat(F.lit("- ["), i["head"], F.lit("] "), framed(i["text"], cap)))
+    tried = lambda cap: F.transform(F.sequence(F.size("_items"), F.lit(1)), lambda n: F.struct(wrap(F.slice(lines(cap), F.lit(1), n)).alias("block"), n.alias("items"), cap.alias("cap")))
+    fitting = F.filter(F.flatten(F.array(*(tried(F.lit(cap)) for cap in RECALL_CAPS))), lambda b: F.octet_length(b["block"]) <= most_bytes)
+    best = pages.select(key, F.try_element_at(fitting, F.lit(1)).alias("_b"))
+    return best.select(key, F.coalesce("_b.block", F.lit("")).alias("block"), F.coalesce("_b.items", F.lit(0)).alias("items"), "_b.cap")
+
+
 def answer_json(rows: DataFrame, text_fields: tuple[str, ...]) -> DataFrame:
     """Rows as JSON lines with their text fields redacted again."""
     clean = rows.select(*(X.redact(c).alias(c) if c in text_fields else F.col(c) for c in rows.columns))

@@ -158,9 +158,10 @@ def snapshot(rows: DataFrame, *columns: str, by: str) -> DataFrame:
 
 
 def table_digest(rows: DataFrame) -> DataFrame:
-    """Order-free check of a copy: row count and a sum of row hashes."""
-    h = F.xxhash64(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
-    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).alias("digest"))
+    """Order-free check of a copy: row count and the sum of 60 bits of each row's SHA-256, over length-framed values."""
+    framed = [F.coalesce(F.concat(F.octet_length(F.col(f"`{c}`").cast("string")).cast("string"), F.lit(":"), F.col(f"`{c}`").cast("string")), F.lit("-")) for c in rows.columns]
+    h = F.conv(F.left(F.sha2(F.concat_ws("|", *framed), 256), F.lit(15)), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)")).alias("digest"))
 
 
 def ratings(reports: DataFrame, key: str, rating: str, values: list) -> DataFrame:

@@ -67,8 +67,10 @@ def leading_run(child: DataFrame, parent: DataFrame, on: list[str]) -> DataFrame
 
 def linked_outputs(calls: DataFrame, outputs: DataFrame) -> DataFrame:
     """Each output with the last call of the same id before it in its source."""
-    both = outputs.alias("o").join(calls.alias("c"), (F.col("o.source_id") == F.col("c.source_id")) & (F.col("o.call_id") == F.col("c.call_id")) & (F.col("c.line") < F.col("o.line")), "left")
-    return both.groupBy("o.source_id", "o.line", "o.call_id").agg(F.max("c.line").alias("call_line"))
+    both = calls.select("source_id", "call_id", "line", F.lit(1).alias("_out")).unionByName(outputs.select("source_id", "call_id", "line", F.lit(0).alias("_out")))
+    # an output comes before calls of its own line
+    earlier = F.max(F.when(F.col("_out") == 1, F.col("line"))).over(Window.partitionBy("source_id", "call_id").orderBy("line", "_out").rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn("call_line", earlier).where("_out = 0").select("source_id", "line", "call_id", "call_line").distinct()
 
 
 def fit_from_end(lines: DataFrame, most_bytes: int, most_lines: int = MOST_LINES) -> DataFrame:

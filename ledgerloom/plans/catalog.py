@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
 from ledgerloom.operators import erase, evaluate, filters, ledger, lineage, navigation, retrieval, review, stats, windows
+from ledgerloom.plans import transcripts
 from ledgerloom.plans.fixtures import Data, with_fixtures
+from ledgerloom.shared import shared_dir
 from ledgerloom.streaming import ingest
 
 TEXT, WORDS = 'thing thble "of the"', ["thing", "thble"]
@@ -44,8 +47,21 @@ REF = "concat(provider, ':', thread_id, ':', line, '.', part)"
 ELIGIBLE = "thread_class = 'primary' AND kind IN ('prompt', 'reply') AND flags & 1 = 0"
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(d: Data) -> retrieval.Index:
+    """The written index of a folder's events; the first query of a session writes it, all read it."""
+    key = (d.spark.sparkContext.applicationId, d.sf_dir)
+    if key not in _INDEXES:
+        folder = f"{shared_dir(d.spark)}/index-{uuid.uuid4().hex}"
+        retrieval.Index.write(d.event, folder)
+        _INDEXES[key] = folder
+    return retrieval.Index.read(d.spark, _INDEXES[key])
+
+
 def searched(d: Data) -> retrieval.Search:
-    return retrieval.search(d.event, d.source, d.scope, TEXT, inside=filters.in_scope(scope_ids=INSIDE))
+    return retrieval.search(d.event, d.source, d.scope, TEXT, inside=filters.in_scope(scope_ids=INSIDE), index=_index(d))
 
 
 def rows(d: Data) -> DataFrame:
@@ -79,7 +95,7 @@ query("prj06_scope_label", lambda d: rows(d).groupBy("label").agg(F.count("*").a
 query("prj07_knowledge_preview", lambda d: d.version.select("knowledge_id", "revision", F.left("content", F.lit(20)).alias("preview")), "SELECT knowledge_id, revision, left(content, 20) AS preview FROM version", "version")
 
 # Joins
-query("jn01_search_join", lambda d: rows(d).join(retrieval.bm25(retrieval.postings(d.event), retrieval.lengths(d.event), retrieval.parse(TEXT).elements), "id").select("id", "provider", "label", F.round("score", 6).alias("score")), f"{J}, {TOK}, {SC} SELECT id, provider, label, round(score, 6) AS score FROM j JOIN sc USING (id)", *EV)
+query("jn01_search_join", lambda d: rows(d).join(retrieval.bm25(_index(d), None, retrieval.parse(TEXT).elements), "id").select("id", "provider", "label", F.round("score", 6).alias("score")), f"{J}, {TOK}, {SC} SELECT id, provider, label, round(score, 6) AS score FROM j JOIN sc USING (id)", *EV)
 query("jn02_sessions_join", lambda d: rows(d).groupBy("session_root", "label").agg(F.count("*").alias("n")), f"{J} SELECT session_root, label, count(*) AS n FROM j GROUP BY ALL", *EV)
 query("jn03_current_version", lambda d: ledger.current(d.knowledge, d.version).select("knowledge_id", "revision", "state", "content"), "SELECT knowledge_id, revision, state, content FROM knowledge k JOIN version v USING (knowledge_id) WHERE v.revision = k.current_revision", "knowledge", "version")
 query("jn04_live_evidence", lambda d: ledger.evidence_sources(d.support, d.evidence), "SELECT s.*, e.authority FROM support s LEFT JOIN evidence e ON s.evidence_id = e.evidence_id AND e.state = 'live'", "support", "evidence")
@@ -90,7 +106,7 @@ query("jn08_range_anti", lambda d: stats.not_in_window(rows(d), d.request.where(
 query("jn09_level_dependent", lambda d: _by_level(d), "SELECT request_id FROM request r WHERE EXISTS (SELECT 1 FROM tombstone t WHERE t.provider = r.provider AND t.thread_id = r.thread_id AND (t.level = 'thread' OR t.level = 'line' AND t.line BETWEEN r.from_line AND r.through_line))", "request", "tombstone")
 query("jn10_line_tombstones", lambda d: erase.replay_plan(d.event, d.source, d.tombstone).select("id", "provider", "thread_id", "line"), f"{J} SELECT id, provider, thread_id, line FROM j JOIN (SELECT DISTINCT provider, thread_id, line FROM tombstone WHERE level = 'line') t USING (provider, thread_id, line)", *EV, "tombstone")
 query("jn11_blocked", lambda d: erase.blocked(d.event, d.source, d.tombstone).select("id"), f"{J} SELECT id FROM j WHERE NOT EXISTS (SELECT 1 FROM tombstone t WHERE t.provider = j.provider AND t.thread_id = j.thread_id AND (t.level = 'thread' OR t.line = j.line))", *EV, "tombstone")
-query("jn12_leading_copies", lambda d: _leading(d).select("id", "source_id"), "WITH f AS (SELECT e.*, p.source_id AS parent_id FROM event e JOIN source s USING (source_id) JOIN source p ON p.thread_id = s.forked_from_id), m AS (SELECT f.*, EXISTS (SELECT 1 FROM event q WHERE q.source_id = f.parent_id AND q.role = f.role AND length(q.text) % 3 = length(f.text) % 3) AS known FROM f), n AS (SELECT *, min(CASE WHEN NOT known THEN line END) OVER (PARTITION BY source_id) AS stop FROM m) SELECT id, source_id FROM n WHERE stop IS NULL OR line < stop", "event", "source")
+query("jn12_leading_copies", lambda d: _leading(d).select("id", "source_id"), "WITH f AS (SELECT e.*, p.source_id AS parent_id FROM event e JOIN source s USING (source_id) JOIN source p ON p.thread_id = s.forked_from_id), m AS (SELECT f.*, EXISTS (SELECT 1 FROM event q WHERE q.source_id = f.parent_id AND q.role = f.role AND sha256(lower(left(q.text, 1))) = sha256(lower(left(f.text, 1)))) AS known FROM f), n AS (SELECT *, min(CASE WHEN NOT known THEN line END) OVER (PARTITION BY source_id) AS stop FROM m) SELECT id, source_id FROM n WHERE stop IS NULL OR line < stop", "event", "source")
 query("jn13_neighbours", lambda d: navigation.neighbours(d.event, d.event.where("line = 3").select("source_id", F.col("id").alias("pivot_id"), "line", "part"), 2), "SELECT p.id AS pivot_id, CAST(CASE WHEN e.line < p.line THEN -(SELECT count(*) FROM event q WHERE q.source_id = e.source_id AND q.line >= e.line AND q.line < p.line) WHEN e.line > p.line THEN (SELECT count(*) FROM event q WHERE q.source_id = e.source_id AND q.line <= e.line AND q.line > p.line) ELSE 0 END AS INT) AS rel, e.id, e.line, e.part, e.kind FROM event p JOIN event e USING (source_id) WHERE p.line = 3 AND abs(e.line - p.line) <= 2", "event")
 query("jn14_scope_as_of", lambda d: navigation.scope_as_of(d.event, d.request.select(F.expr("cast(substr(thread_id, 5) as bigint)").alias("source_id"), F.col("through_line").alias("at_line")).distinct()), "SELECT q.source_id, q.at_line, (SELECT e.scope_id FROM event e WHERE e.source_id = q.source_id AND e.line <= q.at_line ORDER BY e.line DESC LIMIT 1) AS scope_id FROM (SELECT DISTINCT CAST(substr(thread_id, 5) AS BIGINT) AS source_id, through_line AS at_line FROM request) q", "event", "request")
 query("jn15_lateral", lambda d: ledger.affected(d.unresolved), "SELECT unresolved_id, state, k1 AS knowledge_id, r1 AS revision FROM unresolved UNION SELECT unresolved_id, state, k2, r2 FROM unresolved", "unresolved")
@@ -110,7 +126,7 @@ def _by_level(d: Data) -> DataFrame:
 def _leading(d: Data) -> DataFrame:
     ids = d.source.select(F.col("thread_id").alias("forked_from_id"), F.col("source_id").alias("parent_id"))
     child = d.source.where("forked_from_id is not null").select("source_id", "forked_from_id").join(ids, "forked_from_id")
-    event = d.event.withColumn("digest", F.length("text") % 3)
+    event = d.event.withColumn("digest", F.sha2(F.lower(F.left("text", F.lit(1))), 256))
     return windows.leading_run(event.join(child, "source_id").withColumn("child_id", F.col("source_id")), event, ["role", "digest"])
 
 
@@ -146,14 +162,14 @@ query("agg14_ages", lambda d: stats.ages(d.request, 600000.0), "SELECT greatest(
 query("agg15_logical_records", lambda d: stats.logical_records(d.event.select("source_id", F.floor(F.col("line") / 2).cast("long").alias("line"), F.sha2("text", 256).alias("sha"))), "SELECT source_id, CAST(floor(line / 2) AS BIGINT) AS line, CASE WHEN count(DISTINCT sha256(text)) = 1 THEN min(sha256(text)) END AS sha, count(*) AS parts FROM event GROUP BY 1, 2", "event")
 query("agg16_coverage", lambda d: stats.coverage(rows(d).select("provider", "thread_id", "line"), d.request), f"{J} SELECT provider, count(*) AS eligible, count(*) FILTER (done) AS receipted, count(*) - count(*) FILTER (done) AS gap FROM (SELECT j.*, EXISTS (SELECT 1 FROM request r WHERE r.state = 'completed' AND r.provider = j.provider AND r.thread_id = j.thread_id AND j.line BETWEEN r.from_line AND r.through_line) AS done FROM j) GROUP BY 1", *EV, "request")
 query("agg17_health", lambda d: stats.health(d.request, 300000.0, 100000.0), "SELECT count(*) FILTER (state = 'queued' AND 300000.0 - created_at > 100000.0) AS late, count(*) FILTER (state = 'queued' AND coalesce(retry_at, 0) > 300000.0) AS backing_off, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'completed' AND trigger = 'history') AS history_done, count(*) AS requests FROM request", "request")
-query("agg18_document_frequency", lambda d: retrieval.document_frequency(retrieval.postings(d.event)), f"WITH {TOK} SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY 1", "event")
-query("agg19_matched_terms", lambda d: retrieval.postings(d.event).where(F.col("term").isin(*WORDS, "with", "that")).groupBy("id").agg(F.count_distinct("term").alias("n")), f"WITH {TOK} SELECT id, count(DISTINCT term) AS n FROM tok WHERE term IN ('thing', 'thble', 'with', 'that') GROUP BY 1", "event")
+query("agg18_document_frequency", lambda d: retrieval.document_frequency(_index(d)), f"WITH {TOK} SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY 1", "event")
+query("agg19_matched_terms", lambda d: _index(d).of([*WORDS, "with", "that"]).groupBy("id").agg(F.count_distinct("term").alias("n")), f"WITH {TOK} SELECT id, count(DISTINCT term) AS n FROM tok WHERE term IN ('thing', 'thble', 'with', 'that') GROUP BY 1", "event")
 query("agg20_diversity", lambda d: retrieval.diversity(searched(d).composed), f"{SEARCH} SELECT count(*) AS sessions, round(max(n) / sum(n), 6) AS largest_share, sum(b)::BIGINT AS bytes FROM (SELECT session_root, count(*) AS n, sum(strlen(text)) AS b FROM cp GROUP BY 1)", *EV)
 query("agg21_replay_rates", lambda d: retrieval.replay_summary(retrieval.replay(searched(d).ranked, _questions(d))), f"{SEARCH}, q AS (SELECT id % 20 AS question, id AS required FROM event WHERE id % 7 = 0), r AS (SELECT question, rank, coalesce(rank <= 10, false) AS in_final FROM q LEFT JOIN rk ON rk.id = required), e AS (SELECT question, bool_and(in_final) AS complete, avg((rank IS NOT NULL)::INT) AS recall FROM r GROUP BY 1) SELECT count(*) AS questions, round(avg(recall), 6) AS candidate_recall, round(avg(complete::INT), 6) AS complete_at_final FROM e", *EV)
 query("agg22_percentiles", lambda d: stats.nearest_rank(d.lineitem, "l_extendedprice", by=["l_returnflag"]), "SELECT l_returnflag, " + ", ".join(f"list_sort(list(l_extendedprice))[CAST(ceil(count(*) * {p}) AS BIGINT)] AS p{round(p * 100)}" for p in (0.5, 0.75, 0.9, 0.95, 0.99)) + ", max(l_extendedprice) AS max FROM lineitem GROUP BY 1")
 query("agg23_recent_estimate", lambda d: stats.recent_estimate(d.charge), "SELECT median(seconds) AS median_seconds, round(avg(CAST(coalesce(reported, reserved) AS DOUBLE)), 6) AS mean_cost, count(*) AS calls FROM (SELECT * FROM charge WHERE state = 'completed' ORDER BY request DESC, round DESC LIMIT 50)", "charge")
-query("agg24_budget", lambda d: stats.budget(d.charge, 5, "0.40").withColumn("cost", F.col("cost").cast("double")), "SELECT request, rounds, CAST(cost AS DOUBLE) AS cost, seconds, CASE WHEN rounds > 5 THEN 'rounds' WHEN cost > 0.40 THEN 'cost' ELSE 'ok' END AS verdict FROM (SELECT request, count(*) AS rounds, sum(CASE WHEN state = 'completed' THEN coalesce(reported, reserved) ELSE greatest(reserved, coalesce(reported, reserved)) END) AS cost, sum(seconds) AS seconds FROM charge GROUP BY 1)", "charge")
-query("agg25_rare_terms", lambda d: erase.rare_terms(retrieval.postings(d.event), d.event.where("source_id % 9 = 0")), f"WITH {TOK}, p AS (SELECT DISTINCT id, term FROM tok) SELECT term, count(*) AS erased FROM p GROUP BY 1 HAVING bool_and(CAST(floor(id / 1000) AS BIGINT) % 9 = 0) AND count(*) <= 3", "event")
+query("agg24_budget", lambda d: stats.budget(d.charge, 5, "0.40").withColumn("cost", F.col("cost").cast("string")), "SELECT request, rounds, CAST(CAST(cost AS DECIMAL(38,2)) AS VARCHAR) AS cost, seconds, CASE WHEN rounds > 5 THEN 'rounds' WHEN cost > 0.40 THEN 'cost' ELSE 'ok' END AS verdict FROM (SELECT request, count(*) AS rounds, sum(CASE WHEN state = 'completed' THEN coalesce(reported, reserved) ELSE greatest(reserved, coalesce(reported, reserved)) END) AS cost, sum(seconds) AS seconds FROM charge GROUP BY 1)", "charge")
+query("agg25_rare_terms", lambda d: erase.rare_terms(_index(d).postings, d.event.where("source_id % 9 = 0")), f"WITH {TOK}, p AS (SELECT DISTINCT id, term FROM tok) SELECT term, count(*) AS erased FROM p GROUP BY 1 HAVING bool_and(CAST(floor(id / 1000) AS BIGINT) % 9 = 0) AND count(*) <= 3", "event")
 query("agg26_clopper_pearson", lambda d: evaluate.proportions(d.labels, "quality", F.col("toxic") == 1).select("quality", "successes", "n", F.round("low", 9).alias("low"), F.round("high", 9).alias("high")))
 query("agg27_bootstrap", lambda d: evaluate.bootstrap(d.labels.withColumn("family", F.col("doc_id") % 25), "quality", "family", "toxic"))
 query("agg28_paired", lambda d: evaluate.paired(_trials(d), "case_id", "family", "arm", ("a", "b"), "value"), "WITH t AS (SELECT o_custkey % 40 AS family, o_custkey AS case_id, CASE WHEN o_orderkey % 2 = 0 THEN 'a' ELSE 'b' END AS arm, CAST(o_totalprice AS DOUBLE) / 1000 AS value FROM orders), w AS (SELECT family, case_id, avg(value) FILTER (arm = 'a') AS a, avg(value) FILTER (arm = 'b') AS b FROM t GROUP BY ALL) SELECT family, count(*) AS cases, round(avg(a - b), 6) AS difference FROM w WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1")
@@ -248,11 +264,11 @@ def _journal(d: Data) -> tuple[DataFrame, DataFrame]:
 # Full text
 query("fts01_tokens", lambda d: d.documents.select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("n"), F.element_at(X.tokens(F.col("text")), 1).alias("first")), f"SELECT doc_id, len(t) AS n, t[1] AS first FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents)")
 query("fts02_parsed_query", lambda d: d.spark.createDataFrame([(" ".join(e),) for e in retrieval.parse('open hook_core.py "In  Memory" and the thing a').elements], "element string"), "SELECT unnest(['open', 'hook core', 'py', 'thing', 'in memory', 'hook core py']) AS element")
-query("fts03_stopwords", lambda d: retrieval.postings(d.event).where(~F.col("term").isin(list(X.STOPWORDS))).groupBy("term").agg(F.count("*").alias("n")), f"WITH {TOK} SELECT term, count(*) AS n FROM tok WHERE term NOT IN ({', '.join(repr(w) for w in X.STOPWORDS)}) GROUP BY 1", "event")
+query("fts03_stopwords", lambda d: _index(d).postings.where(~F.col("term").isin(list(X.STOPWORDS))).groupBy("term").agg(F.count("*").alias("n")), f"WITH {TOK} SELECT term, count(*) AS n FROM tok WHERE term NOT IN ({', '.join(repr(w) for w in X.STOPWORDS)}) GROUP BY 1", "event")
 query("fts04_df_rule", lambda d: d.spark.createDataFrame([(w,) for w in retrieval.df_rule(_index(d), 2000, ["the", "and", "thing", "thble"], 0.02)], "word string"), f"WITH {TOK}, f AS (SELECT term, count(DISTINCT id) AS n FROM tok GROUP BY 1) SELECT w AS word FROM (SELECT unnest(['the', 'and', 'thing', 'thble']) AS w) LEFT JOIN f ON f.term = w WHERE coalesce(n, 0) <= 40", "event")
 query("fts05_or_match", lambda d: retrieval.matched(_index(d), retrieval.parse(TEXT).elements).select("id").distinct(), f"WITH {TOK}, {SC} SELECT DISTINCT id FROM hit", "event")
 query("fts06_phrase", lambda d: retrieval.matched(_index(d), [("of", "the", "and")]).select("id", "tf"), f"WITH {TOK} SELECT a.id, count(*) AS tf FROM tok a JOIN tok b ON a.id = b.id AND b.pos = a.pos + 1 JOIN tok c ON a.id = c.id AND c.pos = a.pos + 2 WHERE a.term = 'of' AND b.term = 'the' AND c.term = 'and' GROUP BY 1", "event")
-query("fts07_bm25", lambda d: retrieval.bm25(_index(d), retrieval.lengths(d.event), retrieval.parse(TEXT).elements).select("id", F.round("score", 6).alias("score")), f"WITH {TOK}, {SC} SELECT id, round(score, 6) AS score FROM sc", "event")
+query("fts07_bm25", lambda d: retrieval.bm25(_index(d), None, retrieval.parse(TEXT).elements).select("id", F.round("score", 6).alias("score")), f"WITH {TOK}, {SC} SELECT id, round(score, 6) AS score FROM sc", "event")
 query("fts08_snippet", lambda d: searched(d).composed.select("id", X.snippet(WORDS)("text").alias("snippet")))
 query("fts09_knowledge_search", lambda d: _knowledge_hits(d), f"WITH t AS (SELECT knowledge_id, revision, unnest({TOKENS.format('content')}) AS term FROM version), h AS (SELECT DISTINCT knowledge_id, revision FROM t WHERE term IN ('steel', 'anodized', 'small')) SELECT knowledge_id, revision FROM h JOIN knowledge k USING (knowledge_id) WHERE revision = current_revision AND state = 'active'", "knowledge", "version")
 query("fts10_search", lambda d: searched(d).page(10).select("id", "rank", F.round("score", 6).alias("score"), "label", "repeats"), f"{SEARCH} SELECT id, rank, round(score, 6) AS score, label, repeats FROM cp ORDER BY rank LIMIT 10", *EV)
@@ -260,11 +276,7 @@ query("fts11_recall", lambda d: retrieval.recall(searched(d), _index(d), ["thing
 query("fts12_quote", lambda d: retrieval.quoted(d.event, "continue   with the").select("id"), "SELECT id FROM event WHERE contains(trim(regexp_replace(text, '\\s+', ' ', 'g')), 'continue with the')", "event")
 query("fts12_quote_span", lambda d: retrieval.quoted(d.event, "with the").select("id", X.quote_span("text", F.lit("with the")).alias("s")).select("id", "s.start", "s.end"))
 query("fts13_replay", lambda d: retrieval.replay(searched(d).ranked, _questions(d)), f"{SEARCH}, q AS (SELECT id % 20 AS question, id AS required FROM event WHERE id % 7 = 0) SELECT question, required, rank, coalesce(rank <= 10, false) AS in_final FROM q LEFT JOIN rk ON rk.id = required", *EV)
-query("fts14_vocabulary", lambda d: _index(d).groupBy("term").agg(F.count("*").alias("instances"), F.count_distinct("id").alias("rows")), f"WITH {TOK} SELECT term, count(*) AS instances, count(DISTINCT id) AS rows FROM tok GROUP BY 1", "event")
-
-
-def _index(d: Data) -> DataFrame:
-    return retrieval.postings(d.event)
+query("fts14_vocabulary", lambda d: _index(d).postings.groupBy("term").agg(F.count("*").alias("instances"), F.count_distinct("id").alias("rows")), f"WITH {TOK} SELECT term, count(*) AS instances, count(DISTINCT id) AS rows FROM tok GROUP BY 1", "event")
 
 
 def _knowledge_hits(d: Data) -> DataFrame:
@@ -339,7 +351,8 @@ query("era06_content_tags", lambda d: rows(d).select("id", X.content_tag(b"key")
 query("era07_remaining", lambda d: erase.remaining(d.event, erase.plan_match(d.event, "thing")).select("id"), "SELECT id FROM event WHERE NOT contains(text, 'thing')", "event")
 query("era08_dry_run", lambda d: erase.dry_run(erase.plan_match(d.event, "thing")), "SELECT count(*) AS events, count(DISTINCT source_id) AS threads, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes FROM event WHERE contains(text, 'thing')", "event")
 query("era09_survivors", lambda d: (lambda gone: erase.survivors(erase.remaining(d.event, gone), erase.needles(gone)).select("id"))(d.event.where("source_id % 4 = 0")), "WITH g AS (SELECT DISTINCT text FROM event WHERE source_id % 4 = 0 AND strlen(text) >= 12 ORDER BY strlen(text) DESC, text LIMIT 50), n AS (SELECT DISTINCT left(text, 48) AS needle FROM g) SELECT id FROM event e WHERE source_id % 4 <> 0 AND EXISTS (SELECT 1 FROM n WHERE contains(e.text, needle))", "event")
-query("era10_rare_terms", lambda d: erase.rare_terms(_index(d), erase.plan_match(d.event, "nicht")), f"WITH {TOK}, p AS (SELECT DISTINCT id, term FROM tok), g AS (SELECT id FROM event WHERE contains(text, 'nicht')) SELECT term, count(*) AS erased FROM p GROUP BY 1 HAVING bool_and(id IN (SELECT id FROM g)) AND count(*) <= 3", "event")
+query("era09_survivors_found", lambda d: (lambda gone: erase.survivors(erase.remaining(d.event, gone), erase.needles(gone)).select("id"))(d.event.where("source_id % 4 = 0 and line % 4 = 3")), "SELECT id FROM event WHERE NOT (source_id % 4 = 0 AND line % 4 = 3) AND contains(text, 'please continue with the thing')", "event")
+query("era10_rare_terms", lambda d: erase.rare_terms(_index(d).postings, erase.plan_match(d.event, "nicht")), f"WITH {TOK}, p AS (SELECT DISTINCT id, term FROM tok), g AS (SELECT id FROM event WHERE contains(text, 'nicht')) SELECT term, count(*) AS erased FROM p GROUP BY 1 HAVING bool_and(id IN (SELECT id FROM g)) AND count(*) <= 3", "event")
 query("era11_tombstones", lambda d: erase.tombstones(d.event.where("line = 2"), d.source).select("provider", "thread_id", "line", "line_sha256"), f"{J} SELECT DISTINCT provider, thread_id, line, sha256(regexp_replace(text, '[\\r\\n]+$', '')) AS line_sha256 FROM j WHERE line = 2", *EV)
 query("str05_fork_state", lambda d: erase.last_parent_state(d.source.where("source_id % 5 <> 0")), "SELECT s.thread_id, s.forked_from_id, CASE WHEN p.thread_id IS NULL THEN 'unverified' ELSE 'verified' END AS fork_state FROM source s LEFT JOIN source p ON p.thread_id = s.forked_from_id AND p.source_id % 5 <> 0 WHERE s.forked_from_id IS NOT NULL AND s.source_id % 5 <> 0", "source")
 
@@ -359,7 +372,7 @@ query("scl14_longest_prefix", lambda d: navigation.longest_prefix(d.event.where(
 query("scl15_safe_limit", lambda d: d.part.select("p_partkey", X.safe_limit(F.col("p_partkey") * 10).cast("long").alias("bytes")), "SELECT p_partkey, greatest(CAST(floor(p_partkey * 10 * 3 / 4) AS BIGINT), 1024) AS bytes FROM part")
 query("scl16_json_path", lambda d: d.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")), "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 query("scl18_actor", lambda d: d.customer.select("c_custkey", X.actor(F.col("c_name")).alias("actor")), "SELECT c_custkey, nullif(left(regexp_replace(lower(c_name), '[^a-z0-9-]+', '-', 'g'), 32), '') AS actor FROM customer")
-query("scl19_exact_decimals", lambda d: d.charge.groupBy("state").agg(F.sum("reserved").cast("double").alias("reserved")), "SELECT state, CAST(sum(reserved) AS DOUBLE) AS reserved FROM charge GROUP BY 1", "charge")
+query("scl19_exact_decimals", lambda d: d.charge.groupBy("state").agg(F.sum("reserved").cast("string").alias("reserved")), "SELECT state, CAST(sum(reserved) AS VARCHAR) AS reserved FROM charge GROUP BY 1", "charge")
 query("scl21_canonical_json", lambda d: d.events.select("event_id", X.canonical_json("props").alias("json")), "SELECT event_id, concat('{\"k\":', json_extract(props, '$.k'), '}') AS json FROM events")
 
 
@@ -370,7 +383,8 @@ def _lines_of_logs(d: Data) -> DataFrame:
 
 # Sinks, copies, health
 query("snk03_accumulate", lambda d: stats.accumulate(*(stats.usage(_calls(d).where(F.col("id") % 2 == k), ["provider", "session_root"]) for k in (0, 1)), ["provider", "session_root"]), "SELECT provider, session_root, count(*)::BIGINT AS calls, (count(*) FILTER (state = 'failed'))::BIGINT AS errors, max(ts) AS last_ts FROM (SELECT *, CASE actor % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' ELSE 'cursor' END AS provider, actor % 50 AS session_root FROM call) GROUP BY 1, 2", "call")
-query("snk07_table_digest", lambda d: stats.table_digest(d.part).select("n"), "SELECT count(*) AS n FROM part")
+FRAMED = "concat_ws('|', " + ", ".join(f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', CAST({c} AS VARCHAR)), '-')" for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")) + ")"
+query("snk07_table_digest", lambda d: stats.table_digest(d.part.select("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")).withColumn("digest", F.col("digest").cast("string")), f"SELECT count(*) AS n, CAST(sum(CAST(concat('0x', left(sha256({FRAMED}), 15)) AS BIGINT)) AS VARCHAR) AS digest FROM part")
 query("doctor", lambda d: stats.doctor(d.event, d.source, 3), "SELECT 'missing_sources' AS name, 'warning' AS level, count(*) = 0 AS ok, count(*) AS n FROM source WHERE status = 'missing' UNION ALL SELECT 'other_threads', 'info', count(*) = 0, count(*) FROM source WHERE thread_class NOT IN ('primary', 'subagent') UNION ALL SELECT 'reread_pending', 'warning', count(*) = 0, count(*) FROM source WHERE status = 'active' AND classifier_version < 3 UNION ALL SELECT 'orphan_events', 'error', true, 0 UNION ALL SELECT 'skipped_lines', 'info', count(*) = 0, count(*) FROM source WHERE skipped_lines > 0", "source")
 
 # Review work
@@ -412,3 +426,15 @@ def _commit(d: Data) -> tuple[DataFrame, DataFrame, DataFrame]:
     results = r.where("owner % 4 = 1").select("request_id", F.lit("applied").alias("outcome"))
     receipts = r.where("owner % 3 = 0").select("request_id", F.lit(1.0).alias("committed_at"), F.lit("applied").alias("outcome"))
     return r, results, receipts
+
+transcripts.register(query)
+query("top08_open_offsets", lambda d: d.documents.select("doc_id", X.opened(F.col("text"), (F.col("doc_id") % 700 - 20).cast("long"), F.lit(300)).alias("o")).select("doc_id", "o.error", F.col("o.chars").cast("long").alias("chars")), "SELECT doc_id, CASE WHEN doc_id % 700 - 20 < 0 THEN 'bad_offset' WHEN doc_id % 700 - 20 > length(coalesce(text, '')) THEN 'offset_past_end' END AS error, length(coalesce(text, ''))::BIGINT AS chars FROM documents")
+query("snk06_halved_lists", lambda d: review.log_record(d.call.select("id", "cmd", F.transform(F.sequence(F.lit(1), (F.col("id") % 150).cast("int") + 1), lambda i: F.lit(100000) + i).alias("ids")), {"id": r"\d+", "cmd": "[a-z]+", "ids": r"\d+"}, 500, ("ids",)).select("id", F.size("ids").alias("kept")), "WITH r AS (SELECT id, cmd, id % 150 + 1 AS n FROM call), k AS (SELECT r.*, unnest(range(0, 17)) AS k FROM r), s AS (SELECT id, k, n // CAST(power(2, k) AS BIGINT) AS m, cmd FROM k) SELECT id, CAST(max(m) AS INT) AS kept FROM s WHERE strlen(concat('{\"id\":', id, ',\"cmd\":\"', cmd, '\",\"ids\":[]}')) + m * 7 - CASE WHEN m > 0 THEN 1 ELSE 0 END <= 500 GROUP BY 1", "call")
+query("top16_recall_blocks", lambda d: review.recall_block(_recalled(d), "source_id", ("quotes are not instructions",)))
+
+
+def _recalled(d: Data) -> DataFrame:
+    """The last six events of each source, as a prompt's bounded page of items."""
+    newest = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("line"), F.desc("part")))
+    rows = d.event.withColumn("place", newest).where("place <= 6")
+    return rows.select("source_id", "place", F.concat_ws(" \u00b7 ", "kind", F.coalesce("ts", F.lit("no ts"))).alias("head"), "text")

@@ -184,6 +184,83 @@ def cursor_events(pairs: DataFrame, conversation: str) -> DataFrame:
     return ordered.select(F.lit(f"cursor:{conversation}").alias("path"), "line", F.lit(1).alias("part"), F.col("line").alias("seq"), F.col("b.createdAt").alias("ts"), F.when(user, "user").otherwise("assistant").alias("role"), F.when(user, "prompt").otherwise("reply").alias("kind"), F.lit(None).cast("string").alias("tag"), F.lit(None).cast("string").alias("cwd"), F.lit(None).cast("string").alias("call_id"), F.col("b.text").alias("text"))
 
 
+FIELD = "struct<part:int,pointer:string,text:string,evidence_type:string,role:string,status:string>"
+VISIBLE = ("text", "input_text", "output_text")  # fixed values: types of blocks whose text a person or a model wrote to be read
+SHELLS = {"Bash": "command", "exec_command": "cmd"}  # fixed values: tools whose request is evidence, and its field
+ENDED = ("end_turn", "stop_sequence")  # fixed values: reasons with which a message is final
+
+
+def _get(value: Column, path: str, kind: str = "string") -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
+def _visible(content: Column, pointer: Column, part: Column, evidence: Column, role: Column, status: Column | None = None) -> Column:
+    """array<FIELD> of a content: its text if it is one, else the texts of its visible blocks, each with its pointer."""
+    made = lambda at, text: F.struct(part.cast("int").alias("part"), at.alias("pointer"), text.alias("text"), evidence.alias("evidence_type"), role.alias("role"), (F.lit(None) if status is None else status).cast("string").alias("status")).cast(FIELD)
+    kind = F.schema_of_variant(content)
+    blocks = F.transform(F.coalesce(_get(content, "$", "array<variant>"), F.array().cast("array<variant>")), lambda b, i: F.struct(i.alias("i"), _get(b, "$.type").alias("type"), F.when(F.schema_of_variant(_get(b, "$.text", "variant")) == "STRING", _get(b, "$.text")).alias("text")))
+    many = F.transform(F.filter(blocks, lambda b: b["type"].isin(*VISIBLE) & b["text"].isNotNull()), lambda b: made(F.concat(pointer, F.lit("/"), b["i"].cast("string"), F.lit("/text")), b["text"]))
+    return F.when(kind == "STRING", F.array(made(pointer, _get(content, "$")))).when(kind.startswith("ARRAY"), many).otherwise(F.array().cast(f"array<{FIELD}>"))
+
+
+def evidence_fields(lines: DataFrame, provider: str) -> DataFrame:
+    """(path, line, and FIELD): the fields of a record that may be cited as evidence, and as what; a finite list per provider."""
+    rows = lines.where("json is not null").select("path", "line", F.try_parse_json("json").alias("v"))
+    v = F.col("v")
+    said = lambda role: F.when(role == "user", "owner_statement").otherwise("assistant_report")
+    if provider == "codex":
+        kind, role, channel = _get(v, "$.payload.type"), _get(v, "$.payload.role"), _get(v, "$.payload.channel")
+        message = (kind == "message") & role.isin("user", "assistant") & F.coalesce(channel == "final", F.lit(True))
+        output = kind.isin("function_call_output", "custom_tool_call_output")
+        name = F.when(message, "content").when(kind == "function_call", "arguments").when(kind == "custom_tool_call", "input").when(output, "output")
+        content = F.coalesce(*(F.when(name == n, _get(v, f"$.payload.{n}", "variant")) for n in ("content", "arguments", "input", "output")))
+        evidence = F.when(message, said(role)).when(output, "tool_result").otherwise("tool_request")
+        who = F.when(message, role).when(output, "user").otherwise("assistant")
+        found = rows.where((_get(v, "$.type") == "response_item") & name.isNotNull()).select("path", "line", _visible(content, F.concat(F.lit("/payload/"), name), F.lit(1), evidence, who).alias("f"))
+    elif provider == "claude":
+        role, stop = _get(v, "$.type"), _get(v, "$.message.stop_reason")
+        own = rows.where(role.isin("user", "assistant") & F.coalesce(_get(v, "$.message.role") == role, F.lit(True)))
+        content = _get(v, "$.message.content", "variant")
+        own = own.select("path", "line", role.alias("role"), content.alias("c"), (F.coalesce(stop.isin(*ENDED), F.lit(True)) | (role != "assistant")).alias("final"))
+        role = F.col("role")
+        whole = own.where((F.schema_of_variant("c") == "STRING") & F.col("final")).select("path", "line", _visible(F.col("c"), F.lit("/message/content"), F.lit(1), said(role), role).alias("f"))
+        block = own.select("path", "line", "role", "final", F.posexplode(_get(F.col("c"), "$", "array<variant>")).alias("i", "b"))
+        b, at, part = F.col("b"), F.concat(F.lit("/message/content/"), F.col("i").cast("string")), F.col("i") + 1
+        kind, tool = _get(b, "$.type"), _get(b, "$.name")
+        none = F.array().cast(f"array<{FIELD}>")
+        fields = (
+            F.when((kind == "text") & F.col("final"), _visible(_get(b, "$.text", "variant"), F.concat(at, F.lit("/text")), part, said(role), role))
+            .when((kind == "tool_result") & (role == "user"), _visible(_get(b, "$.content", "variant"), F.concat(at, F.lit("/content")), part, F.lit("tool_result"), role, F.when(_get(b, "$.is_error", "boolean"), "reported_error")))
+        )
+        for shell, key in SHELLS.items():
+            fields = fields.when((kind == "tool_use") & (role == "assistant") & (tool == shell), _visible(_get(b, f"$.input.{key}", "variant"), F.concat(at, F.lit(f"/input/{key}")), part, F.lit("tool_request"), role))
+        found = whole.unionByName(block.select("path", "line", fields.otherwise(none).alias("f")))
+    else:
+        kind = _get(v, "$.type", "int")
+        found = rows.where(kind.isin(1, 2)).select("path", "line", _visible(_get(v, "$.text", "variant"), F.lit("/text"), F.lit(1), F.when(kind == 1, "owner_statement").otherwise("assistant_report"), F.when(kind == 1, "user").otherwise("assistant")).alias("f"))
+    return found.select("path", "line", F.inline("f"))
+
+
+def selected_evidence(fields: DataFrame, selectors: DataFrame) -> DataFrame:
+    """selectors (id, path, line, part, pointer, start, end) with problem, or evidence_type and excerpt.
+
+    A selector names exactly one field; a span lies within it, and may not be cut from a text that redaction changed.
+    """
+    both = selectors.join(fields.withColumnRenamed("text", "_text"), ["path", "line", "part", "pointer"], "left")
+    one = both.groupBy("id", "start", "end").agg(F.count("_text").alias("_n"), F.first("_text").alias("_text"), F.first("evidence_type").alias("evidence_type"))
+    first, last = F.coalesce("start", F.lit(0)), F.coalesce("end", F.char_length("_text"))
+    safe = one.withColumn("_safe", X.redact(F.col("_text")))
+    excerpt = F.substring(F.col("_safe"), (first + 1).cast("int"), (last - first).cast("int"))
+    spanned = F.col("start").isNotNull() | F.col("end").isNotNull()
+    problem = (
+        F.when(F.col("_n") != 1, "forbidden_selector").when((last > F.char_length("_text")) | (first >= last), "invalid_span")
+        .when(spanned & (F.col("_safe") != F.col("_text")), "redacted_span").when(F.trim(X.collapse(F.when(spanned, excerpt).otherwise(F.col("_safe")))) == "", "empty_evidence")
+    )
+    out = safe.select("id", problem.alias("problem"), "evidence_type", F.when(spanned, excerpt).otherwise(F.col("_safe")).alias("excerpt"))
+    good = lambda c: F.when(F.col("problem").isNull(), F.col(c)).alias(c)
+    return out.select("id", "problem", good("evidence_type"), good("excerpt"))
+
+
 def call_log(spark, files: list[str]) -> DataFrame:
     """Allow-listed fields of the call log's generations; torn and foreign lines are left out."""
     fields = "at double, cmd string, ok boolean, actor string, stages map<string,long>, _bad string"
