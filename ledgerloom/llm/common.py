@@ -2,39 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
+import sys
+import types
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.shared import cut, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor shares; one of our own only where the cluster names none (tests)."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir") or spark.conf.get("ledgerloom.shared.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("ledgerloom.shared.dir", path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, computed once and kept in the shared folder (reliable checkpoint)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def n_shuffle(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def kept(name: str, make: Callable):
+    """An object that a Python worker keeps between tasks, made by the first that asks for it; the functions themselves travel with each task."""
+    held = vars(sys.modules.setdefault("ledgerloom_worker", types.ModuleType("ledgerloom_worker")))
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def held_out(doc_id: Column) -> Column:
     """One fifth of the documents, by a hash of the id alone."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -22,19 +22,20 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
-from unicodedata import is_normalized
+from unicodedata import combining
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, n_shuffle, table
+from ledgerloom.llm.common import cut, kept, n_shuffle, table
 
 CAPACITY = 2048
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 1_000_000
 MOST_PLAN_ROWS = 4_000_000  # the plan grows with the square of the capacity at most, not with the corpus
 LONGEST_CACHED = 64
+WHOLE = "whole"  # stands for the ids of a chunk that needs its text
 # Fixed value: the pattern of a pre-tokeniser that keeps runs of letters, single digits and runs of signs, and drops white space.
 WORDS_ONLY = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -62,8 +63,9 @@ class Encoder:
 
     Where the tokenizer lower-cases and its pre-tokeniser drops white space, so that no token crosses it,
     a text's ids are those of its lower-cased white-space-separated chunks. Chunks repeat, hence the
-    bounded cache. Texts that NFC would change, or that may spell an added token, go to the
-    tokenizer whole, and so do all texts of any other tokenizer.
+    bounded cache. Texts with combining marks, which compose with some capitals only or some small
+    letters only, or that may spell an added token, go to the tokenizer whole, and so do all texts of any other
+    tokenizer.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -74,26 +76,32 @@ class Encoder:
         self.known: dict[bytes, bytes] = {}
         self.by_chunks, self.added = chunk_wise(json.loads(self.tokenizer.to_str()))
 
-    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        encoded = self.tokenizer.encode_batch_fast([c.decode("utf-8") for c in chunks], add_special_tokens=False)
-        return {c: array("I", e.ids).tobytes() for c, e in zip(chunks, encoded, strict=True)}
+    def _learn(self, chunks: list[bytes]) -> dict[bytes, bytes | str]:
+        """Ids of chunks; WHOLE for one whose ids may depend on its capitals."""
+        texts = [c.decode("utf-8") for c in chunks]
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return {c: array("I", e.ids).tobytes() if t.isascii() or not any(map(combining, t)) else WHOLE for c, t, e in zip(chunks, texts, encoded, strict=True)}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         low = text.encode("utf-8", "replace").lower()
-        if not self.by_chunks or any(a in low for a in self.added) or not (text.isascii() or is_normalized("NFC", text) and is_normalized("NFC", low.decode("utf-8"))):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if not self.by_chunks or any(a in low for a in self.added):
+            return self.whole(text)
         chunks, known = low.split(), self.known
-        fresh = set(chunks).difference(known)
-        if fresh and len(known) + len(fresh) > CACHED_CHUNKS:
-            known.clear()
-            fresh = set(chunks)
-        if fresh:
+        parts = list(map(known.get, chunks))
+        if None in parts:
+            fresh = {c for c, ids in zip(chunks, parts, strict=True) if ids is None}
+            if len(known) + len(fresh) > CACHED_CHUNKS:
+                known.clear()
+                fresh = set(chunks)
             known.update(self._learn(list(fresh)))
-        out = b"".join(map(known.__getitem__, chunks))
-        for c in fresh:
-            if len(c) > LONGEST_CACHED:
-                del known[c]
-        return out
+            parts = list(map(known.get, chunks))
+            for c in fresh:
+                if len(c) > LONGEST_CACHED:
+                    del known[c]
+        return self.whole(text) if WHOLE in parts else b"".join(parts)
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, end_id: int = 0) -> DataFrame:
@@ -101,7 +109,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str
     path = tokenizer_path or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = kept(f"encoder {path}", lambda: Encoder(path))
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             doc, piece, start, length, crc = [], [], [], [], []
