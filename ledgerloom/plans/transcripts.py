@@ -17,16 +17,17 @@ from ledgerloom.streaming import ingest
 
 _S = "CAST({} AS VARCHAR(20))"
 _CLASS = "CASE conv_id % 4 WHEN 1 THEN 'subagent' WHEN 2 THEN 'guardian_review' ELSE 'user' END"
-# (file, at, value): a line of a file, and where it stands there
-RAW = f"""SELECT conv_id AS file, turn AS at, CASE turn % 5 WHEN 1 THEN '{{bad' WHEN 2 THEN '[1]' ELSE concat('{{"n":', {_S.format('turn')}, ',"len":', {_S.format('length(text)')}, '}}') END AS value FROM conversations"""
-_HEAD = f"""concat('{{"type":"response_item","ordinal":', {_S.format('turn + 1')}, ',"timestamp":"2024-01-01T00:00:0', {_S.format('turn % 10')}, 'Z","payload":'"""
-ROLLOUT = f"""SELECT DISTINCT conv_id AS file, CAST(-1 AS BIGINT) AS at, concat('{{"type":"session_meta","payload":{{"id":"thr-', {_S.format('conv_id')}, '","session_id":"ses-', {_S.format('conv_id')}, '","cwd":"/w', {_S.format('conv_id % 5')}, '","thread_source":"', {_CLASS}, '"}}}}') AS value FROM conversations
+# (file, place, value): a line of a file, and where it stands there
+RAW = f"""SELECT conv_id AS file, turn AS place, CASE turn % 5 WHEN 1 THEN '{{bad' WHEN 2 THEN '[1]' ELSE concat('{{"n":', {_S.format('turn')}, ',"len":', {_S.format('length(text)')}, '}}') END AS value FROM conversations"""
+_HEAD = f"""concat('{{"type":"response_item","ordinal":', {_S.format('turn + 1')}, ',"timestamp":"2024-01-01T00:00:0', {_S.format('turn % 10')}, 'Z","payload":"""
+ROLLOUT = f"""SELECT DISTINCT conv_id AS file, CAST(-1 AS BIGINT) AS place, concat('{{"type":"session_meta","payload":{{"id":"thr-', {_S.format('conv_id')}, '","session_id":"ses-', {_S.format('conv_id')}, '","cwd":"/w', {_S.format('conv_id % 5')}, '","thread_source":"', {_CLASS}, '"}}}}') AS value FROM conversations
 UNION ALL SELECT conv_id, turn * 10, {_HEAD}{{"type":"message","role":"', role, '","content":[{{"type":"input_text","text":"say ', {_S.format('turn')}, '"}}]}}}}') FROM conversations
 UNION ALL SELECT conv_id, turn * 10 + 1, {_HEAD}{{"type":"function_call","name":"run","arguments":"{{}}","call_id":"c', {_S.format('turn')}, '"}}}}') FROM conversations WHERE role = 'assistant'
 UNION ALL SELECT conv_id, turn * 10 + 2, {_HEAD}{{"type":"function_call_output","call_id":"c', {_S.format('turn')}, '","output":"Process exited with code ', {_S.format('turn % 2')}, '"}}}}') FROM conversations WHERE role = 'assistant'"""
-LOG = f"""SELECT event_id % 3 AS file, event_id AS at, CASE WHEN event_id % 13 = 0 THEN '{{"at' ELSE concat('{{"at":', {_S.format('event_id')}, ',"cmd":"', event_type, '","ok":true,"actor":"A ', {_S.format('user_id % 5')}, '"}}') END AS value FROM events"""
-PLACED = "p AS (SELECT *, row_number() OVER w AS line, CAST(sum(strlen(value) + 1) OVER w AS BIGINT) AS next_offset FROM f WINDOW w AS (PARTITION BY file ORDER BY at))"
+LOG = f"""SELECT event_id % 3 AS file, event_id AS place, CASE WHEN event_id % 13 = 0 THEN '{{"at' ELSE concat('{{"at":', {_S.format('event_id')}, ',"cmd":"', event_type, '","ok":true,"actor":"A ', {_S.format('user_id % 5')}, '"}}') END AS value FROM events"""
+PLACED = "p AS (SELECT *, row_number() OVER w AS line, CAST(sum(strlen(value) + 1) OVER w AS BIGINT) AS next_offset FROM f WINDOW w AS (PARTITION BY file ORDER BY place))"
 _WRITTEN: dict[tuple[str, str, str], str] = {}
+_STORES: dict[tuple[str, str], tuple[ingest.Store, DataFrame]] = {}
 
 
 def folder(d: Data, name: str, sql: str) -> str:
@@ -42,7 +43,7 @@ def folder(d: Data, name: str, sql: str) -> str:
         for t in tables:
             safe = safe.replace(f"{{{{{t}}}}}", f"{{{t}}}")
         rows = d.spark.sql(safe, **tables)
-        rows.repartition("file").sortWithinPartitions("file", "at").select("file", "value").write.partitionBy("file").text(path)
+        rows.repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
 
@@ -66,9 +67,12 @@ def threads(d: Data) -> DataFrame:
 
 def passes(d: Data) -> tuple[ingest.Store, DataFrame]:
     """The store after two passes, and the modes of the second: first the files' beginnings, then the whole files at other paths."""
-    store = ingest.Store(d.spark, f"{shared_dir(d.spark)}/store-{uuid.uuid4().hex}")
-    ingest.run_pass(store, folder(d, "begun", f"SELECT * FROM ({ROLLOUT}) AS r WHERE at < 32"), suffix=".txt")
-    return store, ingest.run_pass(store, folder(d, "rollout", ROLLOUT), suffix=".txt")
+    key = (d.spark.sparkContext.applicationId, d.sf_dir)
+    if key not in _STORES:
+        store = ingest.Store(d.spark, f"{shared_dir(d.spark)}/store-{uuid.uuid4().hex}")
+        ingest.run_pass(store, folder(d, "begun", f"SELECT * FROM ({ROLLOUT}) AS r WHERE place < 32"), suffix=".txt")
+        _STORES[key] = store, ingest.run_pass(store, folder(d, "rollout", ROLLOUT), suffix=".txt")
+    return _STORES[key]
 
 
 def verified(d: Data) -> DataFrame:
@@ -92,9 +96,9 @@ def cursor(d: Data) -> DataFrame:
 
 
 _ISSUE = "CASE WHEN value = '{bad' THEN 'invalid_json' WHEN value = '[1]' THEN 'not_object' END"
-_EVENTS = f"""WITH f AS ({ROLLOUT}), {PLACED}, k AS (SELECT p.*, CASE WHEN at % 10 = 0 AND at >= 0 THEN json_extract_string(value, '$.payload.role') END AS role, json_extract_string(value, '$.payload.call_id') AS call_id FROM p),
-e AS (SELECT file, line, CASE WHEN role = 'assistant' THEN 'reply' WHEN role = 'user' AND file % 4 = 1 THEN 'delegation' WHEN role = 'user' THEN 'prompt' WHEN at % 10 = 1 THEN 'tool_call' WHEN at % 10 = 2 AND (at // 10) % 2 = 1 THEN 'tool_error' END AS kind,
-  concat('/w', file % 5) AS cwd, CASE WHEN at % 10 = 2 THEN line - 1 END AS parent_line FROM k WHERE at >= 0)
+_EVENTS = f"""WITH f AS ({ROLLOUT}), {PLACED}, k AS (SELECT p.*, CASE WHEN place % 10 = 0 AND place >= 0 THEN json_extract_string(value, '$.payload.role') END AS role, json_extract_string(value, '$.payload.call_id') AS call_id FROM p),
+e AS (SELECT file, line, CASE WHEN role = 'assistant' THEN 'reply' WHEN role = 'user' AND file % 4 = 1 THEN 'delegation' WHEN role = 'user' THEN 'prompt' WHEN place % 10 = 1 THEN 'tool_call' WHEN place % 10 = 2 AND (place // 10) % 2 = 1 THEN 'tool_error' END AS kind,
+  concat('/w', file % 5) AS cwd, CASE WHEN place % 10 = 2 THEN line - 1 END AS parent_line FROM k WHERE place >= 0)
 SELECT file, line, kind, cwd, parent_line FROM e WHERE kind IS NOT NULL"""
 
 

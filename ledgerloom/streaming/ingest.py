@@ -152,7 +152,7 @@ def without_inherited(events: DataFrame, threads: DataFrame, earlier: DataFrame)
     return events.join(run, ["thread_id", "line", "part"], "left_anti")
 
 
-def run_pass(store: Store, folder: str, provider: str = "codex", version: int = CLASSIFIER, full: bool = False) -> DataFrame:
+def run_pass(store: Store, folder: str, provider: str = "codex", version: int = CLASSIFIER, full: bool = False, suffix: str = ".jsonl", prefix: str = "") -> DataFrame:
     """One pass over a folder: plan, read what is new, decode, commit together; returns (path, thread_id, mode).
 
     Lines that earlier ones leave open (the first, the directory in force, calls without an output) are
@@ -160,7 +160,7 @@ def run_pass(store: Store, folder: str, provider: str = "codex", version: int =
     """
     spark = store.spark
     number, known = (store.passes() or [0])[-1] + 1, cut(store.cursors())
-    now = cut(manifest(spark, folder, known))
+    now = cut(manifest(spark, folder, known, suffix, prefix))
     modes = cut(plan(now, known, version if not full else -1))
     old = known.select("thread_id", "cursor_bytes", "cursor_line", "since", "prefix_open", F.col("anchor_offset").alias("_anchor")).dropDuplicates(["thread_id"])
     at = modes.join(old, "thread_id", "left").withColumn("_kept", F.col("mode").isin("append", "moved") & F.col("cursor_bytes").isNotNull())
