@@ -11,10 +11,20 @@ from ledgerloom.llm.common import cut
 ROWS_A_PARTITION = 200_000
 
 
-def _star(pairs: DataFrame, large: bool) -> DataFrame:
-    """One star step on rows (u, v): every considered neighbour of u, and u, is tied to the least of them."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("_m")).withColumn("_m", F.least("u", "_m"))
-    tied = pairs.join(low, "u")
+HUBS, LEAST_HUB = 1_024, 1_000
+
+
+def _star(pairs: DataFrame, large: bool, n_pairs: int) -> DataFrame:
+    """One star step on rows (u, v): every considered neighbour of u, and u, is tied to the least of them.
+
+    A hub is a vertex of more than n_pairs / HUBS (and LEAST_HUB) rows, so there are fewer than HUBS: their
+    minima are broadcast, and their rows stay where they are. All others have few rows and meet theirs in a join.
+    """
+    low = pairs.groupBy("u").agg(F.min("v").alias("_m"), F.count("*").alias("_n")).select("u", F.least("u", "_m").alias("_m"), "_n")
+    is_hub = F.col("_n") > max(LEAST_HUB, n_pairs // HUBS)
+    hubs = F.broadcast(low.where(is_hub).select("u", "_m"))
+    marked = pairs.join(hubs, "u", "left")
+    tied = marked.where(F.col("_m").isNotNull()).unionByName(marked.where(F.col("_m").isNull()).drop("_m").join(low.where(~is_hub).select("u", "_m"), "u"))
     if large:
         return tied.where((F.col("v") > F.col("u")) & (F.col("v") != F.col("_m"))).select(F.col("v").alias("u"), F.col("_m").alias("v"))
     both = F.explode(F.array(F.struct(F.col("v").alias("a"), F.col("_m").alias("b")), F.struct(F.col("u").alias("a"), F.col("_m").alias("b"))))
@@ -31,9 +41,8 @@ def _unsettled(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(id, component) for every id on an edge; component is the least id reachable.
 
-    Alternating large-star and small-star steps; each is a grouped minimum and a join, so
-    a vertex of any degree is split by adaptive execution. Every round's edges go to the
-    shared folder. Null ends are ignored; self loops yield their own component.
+    Alternating large-star and small-star steps; each is a grouped minimum and a join in which
+    the rows of a vertex of high degree stay spread. Every round's edges go to the shared folder. Null ends are ignored; self loops yield their own component.
     """
     ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     pairs = cut(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -41,9 +50,10 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     now = cut(pairs.where(F.col("u") != F.col("v")))
     for _ in range(rounds):
         # few rows travel in few partitions, so that small graphs do not leave many tiny files
-        now = now.coalesce(max(1, min(now.rdd.getNumPartitions(), -(-now.count() // ROWS_A_PARTITION))))
+        n = now.count()
+        now = now.coalesce(max(1, min(now.rdd.getNumPartitions(), -(-n // ROWS_A_PARTITION))))
         both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("p")).select("p.*")
-        now = cut(_star(_star(both, True), False))
+        now = cut(_star(_star(both, True, 2 * n), False, 2 * n))
         if not _unsettled(now).take(1):
             break
     else:

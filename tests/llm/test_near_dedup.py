@@ -67,3 +67,26 @@ def test_components_of_chains_rings_and_loops(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, 2), (2, 3), (3, 1), (7, 7), (None, 4)]
     got = dict(graph.components(spark.createDataFrame(edges, "x long, y long"), "x", "y").collect())
     assert got == {**{i: 100 for i in range(100, 161)}, 1: 1, 2: 1, 3: 1, 7: 7}
+
+
+def test_components_of_hubs_equal_union_find(spark, monkeypatch):
+    import random
+
+    from ledgerloom.llm import graph
+
+    monkeypatch.setattr(graph, "LEAST_HUB", 5)
+    monkeypatch.setattr(graph, "HUBS", 16)
+    rng = random.Random(9)
+    edges = [(rng.choice((7, 800)), k) for k in range(400)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(300)] + [(399, 1399)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    assert got == {x: root(x) for x in parent}
