@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import json
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,9 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
-# Letters whose diacritics the index drops.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+MARKS = "".join(map(chr, range(0x300, 0x370)))  # combining diacritics, which the index drops
+
+
+def _plain_letters() -> dict[str, str]:
+    """Small letters that are one letter with diacritics, and that letter."""
+    split = {c: unicodedata.normalize("NFD", c) for c in map(chr, range(0xC0, 0x2100)) if c == c.lower()}
+    return {c: d[0] for c, d in split.items() if len(d) > 1 and d[0].isalpha() and all(m in MARKS for m in d[1:])}
+
+
+_LETTERS = _plain_letters()
+ACCENTED, PLAIN = "".join(_LETTERS), "".join(_LETTERS.values())
+FOLDED = str.maketrans(ACCENTED, PLAIN, MARKS)
 # Words that a query does not search for.
 STOPWORDS = tuple("a an and are as at be but by for from have how if in is it its of on or not that the this to was we were what when where which who will with you".split())
 REDACTION = "[redacted:secret]"
@@ -24,7 +34,7 @@ MARKER, REDACTED, TRUNCATED = 1, 2, 4
 
 
 def folded(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    return F.translate(F.lower(text), ACCENTED + MARKS, PLAIN)  # marks have no counterpart and go
 
 
 def tokens(text: Column) -> Column:
@@ -294,14 +304,14 @@ def quote_span(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
 
 def snippet(terms: list[str], width: int = 32):
     """The window of `width` tokens that holds most distinct terms, matches between « and »."""
-    wanted = {t.translate(str.maketrans(ACCENTED, PLAIN)) for t in terms}
+    wanted = {t.translate(FOLDED) for t in terms}
 
     @F.pandas_udf(T.StringType())
     def run(text: pd.Series) -> pd.Series:
         def one(t):
             if t is None:
                 return None
-            at = [(m.start(), m.end(), m.group().lower().translate(str.maketrans(ACCENTED, PLAIN))) for m in re.finditer(r"[^\W_]+", t)]
+            at = [(m.start(), m.end(), m.group().lower().translate(FOLDED)) for m in re.finditer(r"[^\W_]+", t)]
             hit = [i for i, x in enumerate(at) if x[2] in wanted]
             if not at:
                 return ""

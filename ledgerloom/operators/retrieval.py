@@ -30,7 +30,7 @@ class Query:
 
 
 def _plain(s: str) -> str:
-    return s.lower().translate(str.maketrans(X.ACCENTED, X.PLAIN))
+    return s.lower().translate(X.FOLDED)
 
 
 def _parts(s: str) -> list[str]:

@@ -179,7 +179,7 @@ query("agg31_liveness", lambda d: ledger.liveness(d.support, d.evidence), "SELEC
 query("agg32_coverage_advance", lambda d: windows.advanced(d.request.where("state = 'completed'").select("thread_id", F.col("from_line"), F.col("through_line")), "thread_id", "from_line", "through_line"), "WITH RECURSIVE r AS (SELECT thread_id, from_line, through_line FROM request WHERE state = 'completed'), c AS (SELECT DISTINCT thread_id, 0::BIGINT AS completed FROM r UNION SELECT c.thread_id, max(r.through_line) OVER (PARTITION BY c.thread_id) FROM c JOIN r ON r.thread_id = c.thread_id AND r.from_line <= c.completed + 1 AND r.through_line > c.completed) SELECT thread_id, max(completed) AS completed FROM c GROUP BY 1", "request")
 query("agg33_merge_ranges", lambda d: windows.merge_ranges(d.request.select("thread_id", (F.col("from_line") * 4 + F.col("owner") % 50 * 9).alias("a"), (F.col("from_line") * 4 + F.col("owner") % 50 * 9 + F.col("through_line")).alias("b")), "thread_id", "a", "b"), "WITH r AS (SELECT DISTINCT thread_id, from_line * 4 + owner % 50 * 9 AS a, from_line * 4 + owner % 50 * 9 + through_line AS b FROM request), m AS (SELECT *, CASE WHEN a > coalesce(max(b) OVER (PARTITION BY thread_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -10) + 1 THEN 1 ELSE 0 END AS f FROM r), k AS (SELECT *, sum(f) OVER (PARTITION BY thread_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT thread_id, min(a) AS a, max(b) AS b FROM k GROUP BY thread_id, g", "request")
 query("agg34_pass_sums", lambda d: stats.accumulate(*(_usage_half(d, k) for k in (0, 1)), ["provider"]), "SELECT provider, count(*)::BIGINT AS calls, (count(*) FILTER (state = 'failed'))::BIGINT AS errors, max(ts) AS last_ts FROM (SELECT *, CASE actor % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' ELSE 'cursor' END AS provider FROM call) GROUP BY 1", "call")
-query("agg35_partition_problems", lambda d: evaluate.partition_problems(_cases(d)), "WITH c AS (SELECT o_custkey AS case_id, o_custkey % 60 AS family, CASE WHEN o_custkey % 120 < 100 THEN 'train' ELSE 'test' END AS part, o_custkey % 97 AS chronology, concat('s', o_custkey % 400) AS session_root FROM orders WHERE o_orderkey % 8 = 0) SELECT 'duplicate_case' AS problem, CAST(case_id AS VARCHAR) AS subject FROM c GROUP BY case_id HAVING count(*) > 1 UNION ALL SELECT 'family_in_two_partitions', CAST(family AS VARCHAR) FROM c GROUP BY family HAVING count(DISTINCT part) > 1 UNION ALL SELECT DISTINCT 'chronology', CAST(family AS VARCHAR) FROM (SELECT family, chronology, lag(chronology) OVER (PARTITION BY family ORDER BY case_id) AS p FROM c) WHERE chronology <= p UNION ALL SELECT 'session_in_two_families', session_root FROM c GROUP BY session_root HAVING count(DISTINCT family) > 1")
+query("agg35_partition_problems", lambda d: evaluate.partition_problems(_cases(d)), "WITH c AS (SELECT o_custkey AS case_id, o_custkey % 60 AS family, CASE WHEN o_custkey % 120 < 100 THEN 'train' ELSE 'test' END AS part, o_custkey % 97 AS chronology, concat('s', o_custkey % 400) AS session_root FROM orders) SELECT 'duplicate_case' AS problem, CAST(case_id AS VARCHAR) AS subject FROM c GROUP BY case_id HAVING count(*) > 1 UNION ALL SELECT 'family_in_two_partitions', CAST(family AS VARCHAR) FROM c GROUP BY family HAVING count(DISTINCT part) > 1 UNION ALL SELECT DISTINCT 'chronology', CAST(family AS VARCHAR) FROM (SELECT family, chronology, lag(chronology) OVER (PARTITION BY family ORDER BY case_id) AS p FROM c) WHERE chronology <= p UNION ALL SELECT 'session_in_two_families', session_root FROM c GROUP BY session_root HAVING count(DISTINCT family) > 1")
 query("agg36_trial_problems", lambda d: evaluate.trial_problems(*_trial_frames(d), 2), "WITH t AS (SELECT o_custkey AS case_id, o_orderstatus AS arm, o_orderkey % 4 AS repetition FROM orders), c AS (SELECT c_custkey AS case_id FROM customer WHERE c_custkey % 10 <> 0) SELECT DISTINCT 'unknown_case' AS problem, CAST(case_id AS VARCHAR) AS subject FROM t WHERE case_id NOT IN (SELECT case_id FROM c) UNION ALL SELECT DISTINCT 'duplicate_trial', CAST(case_id AS VARCHAR) FROM (SELECT case_id FROM t GROUP BY case_id, arm, repetition HAVING count(*) > 1) UNION ALL SELECT DISTINCT 'repetitions', CAST(case_id AS VARCHAR) FROM (SELECT case_id FROM t GROUP BY case_id, arm HAVING count(DISTINCT repetition) > 2)")
 query("agg37_verdict", lambda d: d.part.select("p_partkey", evaluate.verdict(F.col("p_size") / 50, F.col("p_size") / 50 + 0.2, 0.5).alias("verdict")), "SELECT p_partkey, CASE WHEN p_size / 50.0 >= 0.5 THEN 'accept' WHEN CAST(p_size AS DOUBLE) / 50 + 0.2 < 0.5 THEN 'revise' ELSE 'inconclusive' END AS verdict FROM part")
 
@@ -203,7 +203,7 @@ def _trials(d: Data) -> DataFrame:
 
 def _cases(d: Data) -> DataFrame:
     k = F.col("o_custkey")
-    return d.orders.where("o_orderkey % 8 = 0").select(k.alias("case_id"), (k % 60).alias("family"), F.when(k % 120 < 100, "train").otherwise("test").alias("part"), (k % 97).alias("chronology"), F.concat(F.lit("s"), (k % 400).cast("string")).alias("session_root"))
+    return d.orders.select(k.alias("case_id"), (k % 60).alias("family"), F.when(k % 120 < 100, "train").otherwise("test").alias("part"), (k % 97).alias("chronology"), F.concat(F.lit("s"), (k % 400).cast("string")).alias("session_root"))
 
 
 def _trial_frames(d: Data) -> tuple[DataFrame, DataFrame]:
@@ -253,7 +253,7 @@ query("set06_ancestors", lambda d: lineage.ancestors(d.source), "WITH RECURSIVE
 query("set07_descendants", lambda d: lineage.descendants(d.source), "WITH RECURSIVE w AS (SELECT thread_id, thread_id AS descendant, 0 AS depth FROM source UNION SELECT w.thread_id, s.thread_id, depth + 1 FROM w JOIN source s ON s.forked_from_id = w.descendant WHERE depth < 128) SELECT * FROM w", "source")
 query("set08_session_closure", lambda d: lineage.session_closure(d.source, "ses-0"), "WITH RECURSIVE w AS (SELECT thread_id FROM source WHERE session_root = 'ses-0' UNION SELECT n.thread_id FROM w JOIN source s ON s.thread_id = w.thread_id JOIN source n ON n.forked_from_id = s.thread_id OR n.session_root = s.session_root) SELECT thread_id FROM w", "source")
 query("set09_support_closure", lambda d: lineage.support_closure(d.evidence.where("state = 'erased'").select(F.concat(F.lit("E:"), "evidence_id").alias("node")), d.support, d.unresolved), "WITH e AS (SELECT concat('E:', evidence_id) AS node, 0 AS depth FROM evidence WHERE state = 'erased'), k AS (SELECT DISTINCT concat('K:', knowledge_id, '@', revision) AS node, 1 AS depth FROM support WHERE concat('E:', evidence_id) IN (SELECT node FROM e)), u AS (SELECT DISTINCT concat('U:', unresolved_id) AS node, 2 AS depth FROM unresolved WHERE concat('K:', k1, '@', r1) IN (SELECT node FROM k) OR concat('K:', k2, '@', r2) IN (SELECT node FROM k)) SELECT * FROM e UNION ALL SELECT * FROM k UNION ALL SELECT * FROM u", "support", "unresolved", "evidence")
-query("set10_ordered_distinct", lambda d: d.documents.select("doc_id", F.array_join(F.array_distinct(F.slice(X.tokens(F.col("text")), 1, 30)), " ").alias("words")), f"SELECT doc_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(t), lambda w: {{'p': list_position(t, w), 'w': w}})), lambda x: x.w), ' ') AS words FROM (SELECT doc_id, {TOKENS.format('text')}[1:30] AS t FROM documents)")
+query("set10_ordered_distinct", lambda d: d.documents.select("doc_id", F.array_join(F.array_distinct(X.tokens(F.col("text"))), " ").alias("words")), f"WITH t AS (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents), w AS (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS p FROM t), f AS (SELECT doc_id, w, min(p) AS p FROM w GROUP BY 1, 2), g AS (SELECT doc_id, string_agg(w, ' ' ORDER BY p) AS words FROM f GROUP BY 1) SELECT d.doc_id, coalesce(words, CASE WHEN text IS NOT NULL THEN '' END) AS words FROM documents d LEFT JOIN g USING (doc_id)")
 
 
 def _journal(d: Data) -> tuple[DataFrame, DataFrame]:
@@ -320,7 +320,7 @@ query("knw20_recovered", lambda d: ledger.recovered(d.request.withColumn("state"
 query("knw21_gaps", lambda d: ledger.gaps(d.event.where("flags > 0").select("source_id", "line")), "SELECT source_id, coalesce(lag(line) OVER (PARTITION BY source_id ORDER BY line), 0) + 1 AS from_line, line AS through_line FROM event WHERE flags > 0", "event")
 query("knw22_unsuppressed", lambda d: ledger.unsuppressed(d.request.where("state = 'queued'"), d.request.where("state = 'failed'")), "SELECT q.request_id, greatest(q.from_line, coalesce(max(c.through_line + 1), q.from_line)) AS from_line, q.through_line FROM request q LEFT JOIN request c ON c.state = 'failed' AND c.provider = q.provider AND c.thread_id = q.thread_id AND c.from_line <= q.from_line AND c.through_line >= q.from_line WHERE q.state = 'queued' GROUP BY q.request_id, q.from_line, q.through_line HAVING greatest(q.from_line, coalesce(max(c.through_line + 1), q.from_line)) <= q.through_line", "request")
 query("knw23_covered", lambda d: windows.merge_ranges(d.request.where("state <> 'failed' and retry_at is null").select("thread_id", "from_line", "through_line"), "thread_id", "from_line", "through_line"), "WITH r AS (SELECT DISTINCT thread_id, from_line, through_line FROM request WHERE state <> 'failed' AND retry_at IS NULL), m AS (SELECT *, CASE WHEN from_line > coalesce(max(through_line) OVER (PARTITION BY thread_id ORDER BY from_line, through_line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -10) + 1 THEN 1 ELSE 0 END AS f FROM r), k AS (SELECT *, sum(f) OVER (PARTITION BY thread_id ORDER BY from_line, through_line ROWS UNBOUNDED PRECEDING) AS g FROM m) SELECT thread_id, min(from_line) AS from_line, max(through_line) AS through_line FROM k GROUP BY thread_id, g", "request")
-query("knw30_batch_problems", lambda d: ledger.batch_problems(d.orders.where("o_orderkey % 4 = 0").select(F.concat(F.lit("K_"), F.col("o_custkey").cast("string")).alias("knowledge_id"), F.when(F.col("o_orderkey") % 8 == 0, F.lit(1)).cast("long").alias("expected_revision")), d.knowledge.where("state = 'active'")), "WITH c AS (SELECT concat('K_', o_custkey) AS knowledge_id, CASE WHEN o_orderkey % 8 = 0 THEN 1 END AS e FROM orders WHERE o_orderkey % 4 = 0) SELECT knowledge_id, 'duplicate_target' AS problem FROM c GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT knowledge_id, 'unknown_target' FROM c WHERE e IS NOT NULL AND knowledge_id NOT IN (SELECT knowledge_id FROM knowledge WHERE state = 'active')", "knowledge")
+query("knw30_batch_problems", lambda d: ledger.batch_problems(d.orders.select(F.concat(F.lit("K_"), F.col("o_custkey").cast("string")).alias("knowledge_id"), F.when(F.col("o_orderkey") % 8 == 0, F.lit(1)).cast("long").alias("expected_revision")), d.knowledge.where("state = 'active'")), "WITH c AS (SELECT concat('K_', o_custkey) AS knowledge_id, CASE WHEN o_orderkey % 8 = 0 THEN 1 END AS e FROM orders) SELECT knowledge_id, 'duplicate_target' AS problem FROM c GROUP BY 1 HAVING count(*) > 1 UNION ALL SELECT DISTINCT knowledge_id, 'unknown_target' FROM c WHERE e IS NOT NULL AND knowledge_id NOT IN (SELECT knowledge_id FROM knowledge WHERE state = 'active')", "knowledge")
 query("knw31_requests_with_attempts", lambda d: ledger.with_receipts(d.request, d.charge.select(F.concat(F.lit("R_"), F.col("request").cast("string")).alias("request_id"), "round", "state")), "SELECT r.request_id, r.state, coalesce(n, 0) AS n_attempts, l AS last_attempt FROM request r LEFT JOIN (SELECT concat('R_', request) AS request_id, CAST(count(*) AS INT) AS n, max_by(state, (round, state)) AS l FROM charge GROUP BY 1) USING (request_id)", "request", "charge")
 query("knw32_latest_failure", lambda d: ledger.latest_failure(d.charge), "SELECT request, round, seconds, attempts FROM (SELECT *, row_number() OVER (PARTITION BY request, state ORDER BY round DESC, seconds DESC) AS k, count(*) OVER (PARTITION BY request) AS attempts FROM charge) WHERE state = 'failed' AND k = 1", "charge")
 query("knw26_baseline", lambda d: d.event.groupBy("source_id").agg(F.max(F.when(F.coalesce(F.try_to_timestamp("ts") <= F.lit("2024-05-14 04:00:00").cast("timestamp"), F.lit(True)), F.col("line"))).alias("line")), "SELECT source_id, max(CASE WHEN ts IS NULL OR CAST(replace(replace(ts, 'T', ' '), 'Z', '') AS TIMESTAMP) <= TIMESTAMP '2024-05-14 04:00:00' THEN line END) AS line FROM event GROUP BY 1", "event")

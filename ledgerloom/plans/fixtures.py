@@ -39,11 +39,11 @@ VERSION = f"""SELECT concat('K_', {_S.format('p_partkey')}) AS knowledge_id, rev
  concat(p_name, ' ', p_type, ' rev ', {_S.format('revision')}) AS content, p_retailprice + revision AS created_at, CASE WHEN p_partkey % 9 = 0 THEN p_retailprice + 500 END AS expires_at
  FROM {{part}} CROSS JOIN (SELECT CAST(1 AS BIGINT) AS revision UNION ALL SELECT 2 UNION ALL SELECT 3) r WHERE revision <= 1 + p_partkey % 3"""
 SUPPORT = f"""SELECT DISTINCT concat('K_', {_S.format('l_partkey')}) AS knowledge_id, CAST(1 + l_linenumber % 3 AS BIGINT) AS revision, concat('c', {_S.format('l_linenumber')}) AS claim_key,
- concat('E_', {_S.format('l_suppkey')}) AS evidence_id FROM {{lineitem}} WHERE l_linenumber <= 4"""
+ concat('E_', {_S.format('l_suppkey')}) AS evidence_id FROM {{lineitem}}"""
 EVIDENCE = f"""SELECT concat('E_', {_S.format('s_suppkey')}) AS evidence_id, CASE WHEN s_suppkey % 7 = 0 THEN 'erased' ELSE 'live' END AS state,
  CASE WHEN s_suppkey % 19 = 0 THEN NULL ELSE s_name END AS excerpt, CASE s_suppkey % 3 WHEN 0 THEN 'owner' ELSE 'agent' END AS authority, s_nationkey AS nation FROM {{supplier}}"""
-UNRESOLVED = f"""SELECT concat('U_', {_S.format('o_orderkey')}) AS unresolved_id, CASE WHEN o_orderkey % 3 = 0 THEN 'closed' ELSE 'open' END AS state,
- concat('K_', {_S.format('1 + o_custkey % 200')}) AS k1, CAST(1 + o_orderkey % 3 AS BIGINT) AS r1, concat('K_', {_S.format('1 + o_orderkey % 150')}) AS k2, CAST(1 + o_custkey % 3 AS BIGINT) AS r2 FROM {{orders}} WHERE o_orderkey % 40 = 0"""
+UNRESOLVED = f"""SELECT concat('U_', {_S.format('o_orderkey')}) AS unresolved_id, CASE WHEN o_orderkey % 40 = 0 AND o_orderkey % 3 <> 0 THEN 'open' ELSE 'closed' END AS state,
+ concat('K_', {_S.format('1 + o_custkey % parts')}) AS k1, CAST(1 + o_orderkey % 3 AS BIGINT) AS r1, concat('K_', {_S.format('1 + o_orderkey % parts')}) AS k2, CAST(1 + o_custkey % 3 AS BIGINT) AS r2 FROM {{orders}} CROSS JOIN (SELECT count(*) AS parts FROM {{part}}) AS n"""
 REQUEST = f"""SELECT concat('R_', {_S.format('o_orderkey')}) AS request_id, CASE o_custkey % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' ELSE 'cursor' END AS provider, concat('thr-', {_S.format('o_custkey % 100')}) AS thread_id,
  1 + o_orderkey % 5 AS from_line, 1 + o_orderkey % 5 + o_custkey % 4 AS through_line, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'failed' END AS state,
  CASE WHEN o_orderpriority LIKE '1%' THEN 'history' ELSE 'live' END AS trigger, CAST(o_totalprice AS DOUBLE) AS created_at, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_totalprice AS DOUBLE) + 1000 END AS retry_at, o_custkey AS owner FROM {{orders}}"""

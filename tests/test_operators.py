@@ -119,3 +119,12 @@ def test_erased_text_is_not_found(spark):
     gone = erase.plan_match(event, "secretword")
     left = erase.remaining(event, gone)
     assert rows(left.select("id")) == [(1,)] and erase.plan_match(left, "secretword").count() == 0
+
+
+def test_tokens_lose_diacritics_of_any_letter(spark):
+    import unicodedata
+
+    texts = ["Čeština ŐSZI žluťoučký Ǟ ǆ ł", unicodedata.normalize("NFD", "Čeština Őszi é"), "ÅNGSTRÖM naïve"]
+    got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(X.tokens(F.col("t")).alias("t")).collect()]
+    assert got == [["cestina", "oszi", "zlutoucky", "a", "ǆ", "ł"], ["cestina", "oszi", "e"], ["angstrom", "naive"]]
+    assert retrieval.parse("Čeština ŐSZI").elements == [("cestina",), ("oszi",)]
