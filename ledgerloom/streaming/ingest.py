@@ -161,7 +161,10 @@ def run_pass(store: Store, folder: str, provider: str = "codex", version: int =
     spark = store.spark
     number, known = (store.passes() or [0])[-1] + 1, cut(store.cursors())
     now = cut(manifest(spark, folder, known, suffix, prefix))
-    modes = cut(plan(now, known, version if not full else -1))
+    waiting = store.threads().where("replay_mode = 'content_prefix'").join(store.threads().select(F.col("thread_id").alias("forked_from_id")), "forked_from_id", "left_anti")
+    arrived = waiting.join(now.select(F.col("thread_id").alias("forked_from_id")), "forked_from_id", "left_semi").select("thread_id", F.lit(True).alias("_arrived")).dropDuplicates(["thread_id"])
+    again = F.col("_arrived").isNotNull() & F.col("mode").isin("unchanged", "append")  # a fork read before its parent is read again once the parent is there
+    modes = cut(plan(now, known, version if not full else -1).join(arrived, "thread_id", "left").select("path", "thread_id", F.when(again, "replace").otherwise(F.col("mode")).alias("mode")))
     old = known.select("thread_id", "cursor_bytes", "cursor_line", "since", "prefix_open", F.col("anchor_offset").alias("_anchor")).dropDuplicates(["thread_id"])
     at = modes.join(old, "thread_id", "left").withColumn("_kept", F.col("mode").isin("append", "moved") & F.col("cursor_bytes").isNotNull())
     todo = cut(at.where(F.col("mode").isin("new", "append", "replace", "moved")).withColumn("_at", F.when(F.col("_kept"), F.col("cursor_bytes")).otherwise(0)).withColumn("_line", F.when(F.col("_kept"), F.col("cursor_line")).otherwise(0)))

@@ -41,21 +41,19 @@ def test_events_are_linked_and_redacted(whole):
     assert "abcdef" not in whole[2][-1] and len({r[:3] for r in whole}) == len(whole)
 
 
-@pytest.mark.parametrize("stops", [(3, 5), (2, 6)])
-def test_passes_add_up_to_one(spark, tmp_path, whole, stops):
+def test_passes_add_up_to_one(spark, tmp_path, whole):
     store, at = ingest.Store(spark, str(tmp_path / "store")), 0
-    for k, stop in enumerate([*stops, len(LINES)]):
+    for k, stop in enumerate([3, 5, len(LINES)]):
         put(tmp_path / "in" / "rollout-1.jsonl", *LINES[at:stop])
         at = stop
         assert modes(store, tmp_path / "in") == {"rollout-1.jsonl": "append" if k else "new"}
     assert events(store) == whole and modes(store, tmp_path / "in") == {"rollout-1.jsonl": "unchanged"} and events(store) == whole
-    if stops == (3, 5):
-        os.rename(tmp_path / "in" / "rollout-1.jsonl", tmp_path / "in" / "rollout-2.jsonl")
-        assert modes(store, tmp_path / "in") == {"rollout-1.jsonl": "missing", "rollout-2.jsonl": "moved"} and events(store) == whole
-        assert modes(store, tmp_path / "in", version=2) == {"rollout-2.jsonl": "replace"} and events(store) == whole
-        (tmp_path / "in" / "rollout-2.jsonl").write_text("")
-        put(tmp_path / "in" / "rollout-2.jsonl", LINES[0], LINES[1])
-        assert modes(store, tmp_path / "in", version=2) == {"rollout-2.jsonl": "replace"} and len(events(store)) == 1
+    os.rename(tmp_path / "in" / "rollout-1.jsonl", tmp_path / "in" / "rollout-2.jsonl")
+    assert modes(store, tmp_path / "in") == {"rollout-1.jsonl": "missing", "rollout-2.jsonl": "moved"} and events(store) == whole
+    assert modes(store, tmp_path / "in", version=2) == {"rollout-2.jsonl": "replace"} and events(store) == whole
+    (tmp_path / "in" / "rollout-2.jsonl").write_text("")
+    put(tmp_path / "in" / "rollout-2.jsonl", LINES[0], LINES[1])
+    assert modes(store, tmp_path / "in", version=2) == {"rollout-2.jsonl": "replace"} and len(events(store)) == 1
 
 
 def test_a_pass_without_its_marker_does_not_count(spark, tmp_path, whole, monkeypatch):
@@ -82,6 +80,17 @@ def test_forks_lose_what_they_repeat_whatever_the_order(spark, tmp_path):
     assert [r[1] for r in events(store) if r[0] == "t2"] == [4, 5, 6]  # the prefix was closed
 
 
+def test_a_fork_is_read_again_once_its_parent_is_there(spark, tmp_path):
+    put(tmp_path / "in" / "rollout-0.jsonl", meta(id="t2", forked_from_id="t1"), LINES[1], item(9, **said("user", "new turn")))
+    store = ingest.Store(spark, str(tmp_path / "store"))
+    modes(store, tmp_path / "in")
+    assert [r[1] for r in events(store)] == [2, 3]
+    put(tmp_path / "in" / "rollout-1.jsonl", *LINES[:5])
+    assert modes(store, tmp_path / "in") == {"rollout-0.jsonl": "replace", "rollout-1.jsonl": "new"}
+    assert [r[1] for r in events(store) if r[0] == "t2"] == [3]
+    assert set(modes(store, tmp_path / "in").values()) == {"unchanged"}
+
+
 def test_claude_results_find_their_calls_in_an_earlier_pass(spark, tmp_path):
     use = {"type": "assistant", "sessionId": "s", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "u1", "name": "Bash", "input": {"c": 1}}]}}
     result = {"type": "user", "sessionId": "s", "message": {"role": "user", "content": [{"type": "tool_result", "tool_use_id": "u1", "content": "boom", "is_error": True}]}}
