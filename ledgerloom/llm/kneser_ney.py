@@ -12,12 +12,13 @@ table is bounded by SIZE ** ORDER whatever the corpus, and is broadcast.
 
 A fifth of the trusted documents is held out from the word counts, as a document scores far better under
 a model that holds its own words. Each language's threshold is a quantile of its held-out trusted
-documents' scores; documents above it are rejected. Scores are per character, whatever the length of words.
+documents' scores, drawn towards that of all by PRIOR_ROWS rows; documents above it are rejected. Scores are per character, whatever the length of words.
 
 Defined results: null or empty text scores the trusted mean and is kept; null lang is
 a language of its own; a language without trusted documents uses the threshold of
 all; without trusted documents everything is kept with score 0; a null doc_id is never
-trusted; repeated rows are scored alike; an empty table gives an empty result; other columns are ignored.
+trusted; repeated rows are scored alike; of equally frequent characters the lower code counts as the more
+frequent; a score at the threshold is kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ SIZE, ORDER = 64, 4
 START, OTHER = 0, 1
 QUANTILE, SLACK = 0.995, 0.05  # of log perplexity
 PRIOR_CHARS = 60.0
-LEAST_ROWS = 20
+PRIOR_ROWS = 20.0  # held-out rows that the threshold of all languages counts for in a language's own
 MOST_ROWS = SIZE**ORDER
 HELD_GRAMS = 8_000_000
 STEP = 0.001
@@ -320,9 +321,10 @@ def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> Da
     marks = marks.withColumn("score", score)
     bins = marks.where(aside).groupBy("lang", F.ceil(F.col("score") / STEP).alias("bin")).agg(F.count("*").alias("k"))
     bins = cut(bins)
-    limits = quantiles(bins, ["lang"], quantile).where(F.col("rows") >= LEAST_ROWS)
+    limits = quantiles(bins, ["lang"], quantile)
     everyone = quantiles(bins.groupBy("bin").agg(F.sum("k").alias("k")), [], quantile).first()["limit"]
-    limits = limits.select(F.col("lang").alias("_lang"), F.col("limit"))
+    own = (F.col("rows") * F.col("limit") + F.lit(PRIOR_ROWS * everyone)) / (F.col("rows") + PRIOR_ROWS)
+    limits = limits.select(F.col("lang").alias("_lang"), own.alias("limit"))
     threshold = F.coalesce("limit", F.lit(everyone)) + SLACK
     out = marks.join(F.broadcast(limits), F.col("lang").eqNullSafe(F.col("_lang")), "left").withColumn("threshold", threshold)
     return out.select("doc_id", "lang", F.exp(F.when(F.col("n") > 0, -F.col("total") / F.col("n")).otherwise(mean)).alias("perplexity"), "score", "threshold", (F.col("score") <= F.col("threshold")).alias("kept"))
