@@ -150,7 +150,7 @@ def _rule(pattern: str) -> re.Pattern:
 _RULES = {
     "name and value": _rule(rf"(?i){_one_of(NAMES)}\s*[:=]\s*VALUE"),
     "value on the line after its name": _rule(rf"(?i){_one_of(NAMES_ABOVE)}[ \t]*\r?\n\s*[:=]\s*VALUE"),
-    "quoted name and value, quotes escaped or not": _rule(rf"""(?i)\\?["']{_one_of(NAMES_QUOTED)}\\?["']\s*:\s*\\?["'](?P<value>(?:[^"'\\]|\\(?!["']))+)\\?["']"""),
+    "quoted name and value, quotes escaped or not": _rule(rf"""(?i)\\?["']{_one_of(NAMES_QUOTED)}\\?["']\s*:\s*\\?["'](?P<value>[^"']+?)\\?["']"""),
     "bearer token": _rule(r"(?i)bearer\s+VALUE"),
     "authorization": _rule(r"(?i)auth(?:orization)?\s*[:=]\s*(?!basic[ \t])VALUE"),
     "vendor token": _rule(_STARTS + "(?:(?i:" + "|".join(VENDOR_TOKENS_ANY_CASE) + ")|" + "|".join(VENDOR_TOKENS) + ")"),
