@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import ann, kneser_ney, licenses, mixing, near_dedup, packing, quality_rules, secrets, toxicity, warc
+from ledgerloom.llm import ann, filter_audit, fim, kneser_ney, licenses, mixing, near_dedup, packing, quality_rules, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_weak_supervision_rules": quality_rules.op8_weak_supervision_rules,
         "op9_setsketch_near_dedup": near_dedup.op9_setsketch_near_dedup,
         "op10_warc_chunks": warc.op10_warc_chunks,
+        "op11_lookaround_fim": fim.op11_lookaround_fim,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
@@ -25,4 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_blob_ledger_secrets": secrets.SQL_OP4,
         "op9_setsketch_near_dedup": near_dedup.SQL_OP9,
         "op10_warc_chunks": warc.SQL_OP10,
+        "op11_lookaround_fim": fim.SQL_OP11,
+        "op13_filter_audit": filter_audit.SQL_OP13,
     }
