@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import ann, filter_audit, fim, kneser_ney, licenses, mixing, near_dedup, packing, quality_rules, secrets, toxicity, warc
+from ledgerloom.llm import ann, filter_audit, fim, kneser_ney, licenses, mixing, near_dedup, packing, quality_rules, secrets, toxicity, vector_dedup, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_setsketch_near_dedup": near_dedup.op9_setsketch_near_dedup,
         "op10_warc_chunks": warc.op10_warc_chunks,
         "op11_lookaround_fim": fim.op11_lookaround_fim,
+        "op12_hyperplane_dedup": vector_dedup.op12_hyperplane_dedup,
         "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
