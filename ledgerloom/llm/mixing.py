@@ -8,10 +8,13 @@ misfit, preconditioned by the tokens, where each step is one sum over all docume
 as many numbers as there are domains pass the driver. Starting from rate 1, the result
 is the nearest such set of rates in the token-weighted sense.
 
-The features are character sequences whose counts tell the domains apart, learnt from a
-bounded sample of labelled rows (about SAMPLE of each quality): of every domain in turn the
-most telling one that neither holds nor lies in one already taken. Everything else covers
-all rows: the classifier all labelled documents, the rates all documents.
+The evidence is every piece of a text: what is not white space, cut into pieces of up to PIECE
+characters from the start of each word. Pieces fall into BUCKETS by their hash, so every domain is told by
+all of its labelled text, and a document is scored in one pass over its pieces, whatever the
+number of domains is. A domain's frequencies lean on those of its language and of all domains in
+fixed parts, so that a piece which no domain knows favours none, however much labelled text
+each has. The classifier covers all labelled documents, the rates all documents. The model
+is a list of BUCKETS numbers per domain; more than MOST_DOMAINS domains are an error.
 
 Copies are drawn systematically: within a domain, ordered by length, a document gets another
 copy where the running sum of fractional rates passes a whole number, so that the sampled
@@ -34,8 +37,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import cut, n_shuffle, table
 
-N_FEATURES, LONGEST_FEATURE, SAMPLE = 24, 3, 1_000
-TELLING = 100  # sequences of each domain that features are chosen among
+PIECE, BUCKETS = 3, 8_192
+OWN, LANGUAGE, COMMON = 0.85, 0.13, 0.02  # parts of a domain's frequencies: its own, the mean of its language, the mean of all
+MOST_DOMAINS = 512
 TEMPER = 40.0  # characters that count as one piece of evidence
 ROUNDS, TOLERANCE = 60, 1e-4
 SETTLED = 1e-3  # of a domain's tokens: a misfit that still moves by more after the last round is an error
@@ -44,10 +48,6 @@ SHARES = {"low": 0.25}  # share of a domain's own tokens that is asked for; 1 fo
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def _count(text: Column, what: str) -> Column:
-    return (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(what), F.lit("")))) / len(what.encode())
-
-
 def _sum(terms: list[Column]) -> Column:
     """A sum as a balanced tree, so that its depth stays small for many domains."""
     if len(terms) < 2:
@@ -56,10 +56,9 @@ def _sum(terms: list[Column]) -> Column:
     return _sum(terms[:half]) + _sum(terms[half:])
 
 
-def measured(docs: DataFrame, keep: list[str], features: list[str]) -> DataFrame:
-    """keep, tokens, n (characters) and one count per feature, row by row."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(*keep, F.regexp_count(text, F.lit(WORD)).cast("double").alias("_tokens"), F.char_length(text).cast("double").alias("_n"), *(_count(text, f).alias(f"_f{i}") for i, f in enumerate(features)))
+def pieces(text: Column) -> Column:
+    """The buckets, from 1, of all pieces of a text."""
+    return F.transform(F.regexp_extract_all(text, F.lit(f"[^\\x20\\x09-\\x0D]{{1,{PIECE}}}"), F.lit(0)), lambda g: (F.pmod(F.xxhash64(g), F.lit(BUCKETS)) + 1).cast("int"))
 
 
 def _known(labels: DataFrame) -> DataFrame:
@@ -71,68 +70,37 @@ def _with_domain(docs: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(":", "lang", F.when(F.col("_quality") == 1, "good").otherwise("low")).alias("_domain"), "text")
 
 
-def choose_features(ranked: dict[str, list[str]], most: int) -> list[str]:
-    """The domains' best sequences in turn, none holding another."""
-    out: list[str] = []
-    left = {d: list(grams) for d, grams in sorted(ranked.items())}
-    while len(out) < most and any(left.values()):
-        for grams in left.values():
-            while grams:
-                gram = grams.pop(0)
-                if not any(gram in o or o in gram for o in out):
-                    out.append(gram)
-                    break
-            if len(out) == most:
-                break
-    return out
-
-
-def learn_features(docs: DataFrame, labels: DataFrame, most: int = N_FEATURES, sample: int = SAMPLE) -> list[str]:
-    """Character sequences that tell the domains of a bounded sample of labelled rows apart."""
-    known = _known(labels)
-    sizes = {r["_quality"]: r["count"] for r in known.groupBy("_quality").count().collect()}
-    share = F.lit(0)
-    for quality, n in sizes.items():
-        share = F.when(F.col("_quality") == quality, min(1_000_000, sample * 1_000_000 // n)).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    grams = F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in range(1, LONGEST_FEATURE + 1)))
-    counts = _with_domain(docs, F.broadcast(chosen)).select("_domain", F.explode(grams).alias("gram")).groupBy("_domain", "gram").agg(F.count("*").alias("n"))
-    counts = cut(counts)
-    size, every = F.sum("n").over(Window.partitionBy("_domain")), F.sum("n").over(Window.partitionBy("gram"))
-    whole = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.withColumn("size", size).withColumn("every", every)
-    odds = F.log((F.col("n") + 0.5) / F.col("size")) - F.log((F.col("every") - F.col("n") + 0.5) / (F.lit(float(whole)) - F.col("size") + 1))
-    best = rows.withColumn("telling", F.col("n") * odds).where("telling > 0").withColumn("k", F.row_number().over(Window.partitionBy("_domain").orderBy(F.desc("telling"), "gram"))).where(F.col("k") <= TELLING)
-    ranked: dict[str, list[str]] = {}
-    for r in best.select("_domain", "gram", "k").orderBy("_domain", "k").collect():  # TELLING rows per domain
-        ranked.setdefault(r["_domain"], []).append(r["gram"])
-    return choose_features(ranked, most)
-
-
-def fit_classifier(docs: DataFrame, labels: DataFrame) -> tuple[list[str], dict[str, tuple[float, list[float]]]]:
-    """(features, {domain: (log prior, log likelihood of each feature and of the rest)}) from all labelled documents."""
-    features = learn_features(docs, labels)
+def fit_classifier(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float, str]]:
+    """{domain: (log prior, log likelihood of each bucket, comma-joined)} from all labelled documents."""
     rows = _with_domain(docs, _known(labels).hint("merge"))
-    sums = measured(rows, ["_domain"], features).groupBy("_domain").agg(F.count("*").alias("docs"), F.sum("_n").alias("n"), *(F.sum(f"_f{i}").alias(f"f{i}") for i in range(len(features))))
-    got = sums.orderBy("_domain").collect()  # one row per domain, all of them
-    total = sum(r["docs"] for r in got)
-    model = {}
-    for r in got:
-        counts = [r[f"f{i}"] + 0.5 for i in range(len(features))]
-        whole = sum(counts) + max(0.0, r["n"] - sum(counts)) + 0.5
-        model[r["_domain"]] = (math.log(r["docs"] / total), [math.log(c / whole) for c in counts] + [math.log(max(whole - sum(counts), 0.5) / whole)])
-    return features, model or {"all": (0.0, [0.0] * (len(features) + 1))}
-
-
-def posteriors(docs: DataFrame, fitted: tuple[list[str], dict], keep: list[str]) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    seen = rows.select("_domain", F.explode(F.concat(F.array(F.lit(0)), pieces(text))).alias("_b"))  # bucket 0 counts documents
+    counts = cut(seen.groupBy("_domain", "_b").agg(F.count("*").alias("_n")))
+    sizes = counts.groupBy("_domain").agg(F.sum(F.when(F.col("_b") == 0, F.col("_n"))).alias("_docs"), F.greatest(F.lit(1), F.sum(F.when(F.col("_b") > 0, F.col("_n")).otherwise(0))).alias("_size"))
+    if sizes.limit(MOST_DOMAINS + 1).count() > MOST_DOMAINS:
+        raise ValueError(f"more than {MOST_DOMAINS} domains")
+    grid = sizes.select("_domain", "_docs", "_size", F.explode(F.sequence(F.lit(1), F.lit(BUCKETS))).alias("_b")).join(counts, ["_domain", "_b"], "left")
+    language = F.expr("left(_domain, char_length(_domain) - char_length(substring_index(_domain, ':', -1)))")
+    mine = grid.withColumns({"_x": F.coalesce(F.col("_n") / F.col("_size"), F.lit(0.0)), "_lang": language})
+    spoken, common = F.avg("_x").over(Window.partitionBy("_lang", "_b")), (F.avg("_x").over(Window.partitionBy("_b")) + 1e-6) / (1 + 1e-6 * BUCKETS)
+    weighed = mine.select("_domain", "_docs", "_b", F.round(F.log(OWN * F.col("_x") + LANGUAGE * spoken + COMMON * common), 4).cast("string").alias("_w"))
+    lists = weighed.groupBy("_domain", "_docs").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_w"))), lambda c: c["_w"]), ",").alias("_w"))
+    got = lists.orderBy("_domain").collect()  # a row per domain
+    total = sum(r["_docs"] for r in got)
+    return {r["_domain"]: (math.log(r["_docs"] / total), r["_w"]) for r in got} or {"all": (0.0, ",".join(["0"] * BUCKETS))}
+
+
+def posteriors(docs: DataFrame, model: dict[str, tuple[float, str]], keep: list[str]) -> DataFrame:
     """keep, _tokens and _p0.._pK-1, the tempered posterior of each domain."""
-    features, model = fitted
-    rows = measured(docs, keep, features)
-    rest = F.greatest(F.lit(0.0), F.col("_n") - _sum([F.col(f"_f{i}") for i in range(len(features))]))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(*keep, F.regexp_count(text, F.lit(WORD)).cast("double").alias("_tokens"), F.char_length(text).cast("double").alias("_n"), pieces(text).alias("_at"))
     scale = F.when(F.col("_n") > 0, 1 / F.greatest(F.lit(1.0), F.sqrt(F.col("_n") / TEMPER))).otherwise(0.0)
-    scores = [F.lit(prior) + scale * (_sum([F.col(f"_f{i}") * w for i, w in enumerate(ws[:-1])]) + rest * ws[-1]) for prior, ws in model.values()]
-    rows = rows.select(*keep, "_tokens", *(s.alias(f"_s{k}") for k, s in enumerate(scores)))
+
+    def score(prior: float, weights: str) -> Column:
+        table = F.split(F.lit(weights), ",").cast("array<double>")  # folded to a constant
+        return F.lit(prior) + scale * F.aggregate("_at", F.lit(0.0), lambda s, at: s + F.get(table, at - 1))
+
+    rows = rows.select(*keep, "_tokens", *(score(*m).alias(f"_s{k}") for k, m in enumerate(model.values())))
     top = F.greatest(*(F.col(f"_s{k}") for k in range(len(model)))) if len(model) > 1 else F.col("_s0")
     rows = rows.select(*keep, "_tokens", *(F.exp(F.col(f"_s{k}") - top).alias(f"_e{k}") for k in range(len(model))))
     whole = _sum([F.col(f"_e{k}") for k in range(len(model))])
@@ -171,10 +139,10 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Column, list[float
     return rate(), now
 
 
-def rated(docs: DataFrame, fitted: tuple[list[str], dict], keep: list[str], shares: dict[str, float]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+def rated(docs: DataFrame, model: dict[str, tuple[float, str]], keep: list[str], shares: dict[str, float]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """(keep, tokens, posteriors and rate per row, {domain: (target, expected tokens)})."""
-    domains = list(fitted[1])
-    rows = cut(posteriors(docs, fitted, keep))
+    domains = list(model)
+    rows = cut(posteriors(docs, model, keep))
     totals = rows.agg(*(F.sum(F.col("_tokens") * F.col(f"_p{k}")) for k in range(len(domains)))).first()
     targets = [(totals[k] or 0.0) * shares.get(d, shares.get(d.rpartition(":")[2], 1.0)) for k, d in enumerate(domains)]
     rate, reached = fit_rates(rows, targets)
@@ -208,9 +176,9 @@ def drawn(rows: DataFrame, n: int) -> DataFrame:
 
 def sample(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHARES) -> DataFrame:
     """Rows of docs repeated or dropped by their rates."""
-    fitted = fit_classifier(docs, labels)
-    rows, _ = rated(docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "text"), fitted, ["row"], shares)
-    copies = drawn(rows, len(fitted[1])).where("_copies > 0")
+    model = fit_classifier(docs, labels)
+    rows, _ = rated(docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "text"), model, ["row"], shares)
+    copies = drawn(rows, len(model)).where("_copies > 0")
     return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 

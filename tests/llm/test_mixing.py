@@ -103,14 +103,78 @@ def test_columns_with_clashing_names_are_kept(spark):
     assert kept.columns == odd.columns and {tuple(r) for r in kept.select("_tokens", "_copies", "_copy", "_rate", "_p0", "row").collect()} == {(7,) * 6}
 
 
-def test_features_are_learnt_from_the_labels(spark):
-    source = [(i, ("zq wx " if i % 2 else "ab cd ") * 30) for i in range(200)]
-    labels = spark.createDataFrame([(i, i % 2, 1) for i in range(200)], "doc_id long, quality int, lang int")
-    features = mixing.learn_features(docs(spark, source), labels)
-    assert features and all(set(f) <= set("zqwxabcd ") for f in features)
-    out, _ = mixing.mixed(docs(spark, source), labels, ["doc_id"])
-    assert out.where("doc_id % 2 = 1 and _p0 > 0.9 or doc_id % 2 = 0 and _p1 > 0.9").count() == 200
-    assert mixing.choose_features({"a": ["xy", "x", "q"], "b": ["xyz", "r"]}, 3) == ["xy", "r", "q"]
+def brute_posteriors(labelled, text):
+    """The tempered posterior of each domain, from the pieces of all labelled texts."""
+    import math
+    import re
+    from collections import Counter
+
+    import pandas as pd
+
+    cut = lambda t: re.findall(r"[^\x20\x09-\x0D]{1,3}", t)
+    counts = {d: Counter(g for e, t in labelled if e == d for g in cut(t)) for d in {d for d, _ in labelled}}
+    shares = pd.DataFrame({d: {g: n / c.total() for g, n in c.items()} for d, c in counts.items()}).fillna(0.0)
+    seen = sorted(set(cut(text)) & set(shares.index))
+    scores = {}
+    for d in shares:
+        spoken = shares[[e for e in shares if e.split(":")[0] == d.split(":")[0]]].mean(axis=1)
+        common = lambda g: ((shares.loc[g].mean() if g in seen else 0.0) + 1e-6) / (1 + 1e-6 * mixing.BUCKETS)  # noqa: B023, E731
+        w = lambda g: mixing.OWN * (shares[d][g] if g in seen else 0) + mixing.LANGUAGE * (spoken[g] if g in seen else 0) + mixing.COMMON * common(g)  # noqa: B023, E731
+        scale = 1 / max(1, math.sqrt(len(text) / mixing.TEMPER)) if text else 0
+        scores[d] = math.log(sum(e == d for e, _ in labelled) / len(labelled)) + scale * sum(math.log(w(g)) for g in cut(text))
+    top = max(scores.values())
+    whole = sum(math.exp(s - top) for s in scores.values())
+    return {d: math.exp(s - top) / whole for d, s in scores.items()}
+
+
+def test_posteriors_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKETS", 1 << 14)  # so few pieces hardly ever share a bucket
+    source = [(i, ["abc def ghi", "abd xyz", "$$ ## abc", "\u4f60\u597d\u4e16\u754c \u4f60"][i % 4] * (1 + i % 3)) for i in range(24)]
+    df = docs(spark, source).withColumn("lang", F.when(F.col("doc_id") % 4 == 3, "zh").otherwise("en"))
+    labels = spark.createDataFrame([(i, int(i % 4 != 2), 1) for i in range(20)], "doc_id long, quality int, lang int")
+    labelled = [(f"{'zh' if i % 4 == 3 else 'en'}:{'low' if i % 4 == 2 else 'good'}", t) for i, t in source[:20]]
+    model = mixing.fit_classifier(df, labels)
+    more = docs(spark, [*source, (90, None), (91, "never seen before"), (92, "abc $$ " * 40)])
+    for r in mixing.posteriors(more, model, ["doc_id", "text"]).collect():
+        want = brute_posteriors(labelled, r.text or "")
+        assert all(abs(r[f"_p{k}"] - want[d]) < 2e-3 for k, d in enumerate(model)), (r.text, want)
+
+
+def test_forty_languages_of_two_qualities_are_told_apart(spark):
+    import random
+
+    rng = random.Random(1)
+    source, labels, langs = [], [], []
+    for k in range(40):
+        words = ["".join(chr(0x4E00 + 128 * k + rng.randrange(24)) for _ in range(rng.randrange(2, 8))) for _ in range(200)]
+        for _ in range(48):
+            low = rng.random() < 0.3
+            source.append((len(source), " ".join(rng.choice(["$$", "##", rng.choice(words)]) if low else rng.choice(words) for _ in range(40 if low else 60))))
+            labels.append((len(labels), int(not low), 0))
+            langs.append(f"l{k:02d}")
+    df = docs(spark, source).drop("lang").join(spark.createDataFrame(list(enumerate(langs)), "doc_id long, lang string"), "doc_id")
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+    def hits(known, asked):
+        model = mixing.fit_classifier(df, told.where(known))
+        assert len(model) == 80
+        domain = F.element_at(F.array(*map(F.lit, model)), mixing.domain_number(80) + 1)
+        right = mixing.posteriors(df, model, ["doc_id", "lang"]).select("doc_id", "lang", domain.alias("domain")).join(told, "doc_id").where(asked)
+        hit = F.avg((F.col("domain") == F.concat("lang", F.lit(":"), F.when(F.col("quality") == 1, "good").otherwise("low"))).cast("int"))
+        return [r.hit for r in right.groupBy("lang").agg(hit.alias("hit")).collect()]
+
+    assert min(hits("true", "true")) >= 0.95
+    held_out = hits("doc_id % 2 = 0", "doc_id % 2 = 1")
+    assert sum(held_out) / 40 >= 0.97
+
+
+def test_too_many_domains_are_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(mixing, "MOST_DOMAINS", 1)
+    df, labels = corpus(spark)
+    with pytest.raises(ValueError, match="domains"):
+        mixing.fit_classifier(df, labels)
 
 
 def test_a_domain_cut_below_a_tenth_keeps_its_share(spark):
