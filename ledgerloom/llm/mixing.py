@@ -14,7 +14,7 @@ all of its labelled text, and a document is scored in one pass over its pieces,
 number of domains is. A domain's frequencies lean on those of its language and of all domains in
 fixed parts, so that a piece which no domain knows favours none, however much labelled text
 each has. The classifier covers all labelled documents, the rates all documents. The model
-is a list of BUCKETS numbers per domain; more than MOST_DOMAINS domains are an error.
+is a table of BUCKETS rows and a column per domain; more than MOST_DOMAINS domains are an error.
 
 Copies are drawn systematically: within a domain, ordered by length, a document gets another
 copy where the running sum of fractional rates passes a whole number, so that the sampled
@@ -31,11 +31,12 @@ kept by sample().
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, n_shuffle, table
+from ledgerloom.llm.common import cut, join_hot, n_shuffle, table
 
 PIECE, BUCKETS = 3, 8_192
 OWN, LANGUAGE, COMMON = 0.85, 0.13, 0.02  # parts of a domain's frequencies: its own, the mean of its language, the mean of all
@@ -70,8 +71,16 @@ def _with_domain(docs: DataFrame, known: DataFrame) -> DataFrame:
     return rows.select(F.concat_ws(":", "lang", F.when(F.col("_quality") == 1, "good").otherwise("low")).alias("_domain"), "text")
 
 
-def fit_classifier(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float, str]]:
-    """{domain: (log prior, log likelihood of each bucket, comma-joined)} from all labelled documents."""
+@dataclass
+class Model:
+    """Log prior of each domain, and a row per bucket: _b, and _wK, its log likelihood in the K-th domain."""
+
+    priors: dict[str, float]
+    weights: DataFrame
+
+
+def fit_classifier(docs: DataFrame, labels: DataFrame) -> Model:
+    """The classifier of all labelled documents; a single domain without evidence if there are none."""
     rows = _with_domain(docs, _known(labels).hint("merge"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     seen = rows.select("_domain", F.explode(F.concat(F.array(F.lit(0)), pieces(text))).alias("_b"))  # bucket 0 counts documents
@@ -83,28 +92,35 @@ def fit_classifier(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[float,
     language = F.expr("left(_domain, char_length(_domain) - char_length(substring_index(_domain, ':', -1)))")
     mine = grid.withColumns({"_x": F.coalesce(F.col("_n") / F.col("_size"), F.lit(0.0)), "_lang": language})
     spoken, common = F.avg("_x").over(Window.partitionBy("_lang", "_b")), (F.avg("_x").over(Window.partitionBy("_b")) + 1e-6) / (1 + 1e-6 * BUCKETS)
-    weighed = mine.select("_domain", "_docs", "_b", F.round(F.log(OWN * F.col("_x") + LANGUAGE * spoken + COMMON * common), 4).cast("string").alias("_w"))
-    lists = weighed.groupBy("_domain", "_docs").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_b", "_w"))), lambda c: c["_w"]), ",").alias("_w"))
-    got = lists.orderBy("_domain").collect()  # a row per domain
-    total = sum(r["_docs"] for r in got)
-    return {r["_domain"]: (math.log(r["_docs"] / total), r["_w"]) for r in got} or {"all": (0.0, ",".join(["0"] * BUCKETS))}
+    domains = {r["_domain"]: r["_docs"] for r in sizes.select("_domain", "_docs").orderBy("_domain").collect()}
+    if not domains:
+        return Model({"all": 0.0}, docs.sparkSession.range(1, BUCKETS + 1).select(F.col("id").cast("int").alias("_b"), F.lit(0.0).alias("_w0")))
+    weighed = mine.select("_domain", "_b", F.log(OWN * F.col("_x") + LANGUAGE * spoken + COMMON * common).alias("_w"))
+    columns = (F.max(F.when(F.col("_domain") == d, F.col("_w"))).alias(f"_w{k}") for k, d in enumerate(domains))
+    total = sum(domains.values())
+    return Model({d: math.log(n / total) for d, n in domains.items()}, cut(weighed.groupBy("_b").agg(*columns)))
+
 
+def posteriors(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """keep, _tokens and _p0.._pK-1, the tempered posterior of each domain.
 
-def posteriors(docs: DataFrame, model: dict[str, tuple[float, str]], keep: list[str]) -> DataFrame:
-    """keep, _tokens and _p0.._pK-1, the tempered posterior of each domain."""
+    Pieces meet a table of BUCKETS rows and are summed up by the hash of their text before they travel; equal texts
+    share one row of sums, told to all of them.
+    """
+    ks = range(len(model.priors))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(*keep, F.regexp_count(text, F.lit(WORD)).cast("double").alias("_tokens"), F.char_length(text).cast("double").alias("_n"), pieces(text).alias("_at"))
+    key = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("_key")
+    told = docs.select(key, F.regexp_count(text, F.lit(WORD)).cast("double").alias("_tokens"), F.char_length(text).cast("double").alias("_n"), F.concat(F.array(F.lit(0)), pieces(text)).alias("_at"))
+    found = told.select("_key", "_tokens", "_n", F.explode("_at").alias("_b")).join(F.broadcast(model.weights), "_b", "left")  # BUCKETS x MOST_DOMAINS numbers
+    own = [F.count_if(F.col("_b") == 0).alias("_copies"), F.max("_tokens").alias("_tokens"), F.max("_n").alias("_n")]
+    sums = found.groupBy("_key").agg(*own, *(F.coalesce(F.sum(f"_w{k}"), F.lit(0.0)).alias(f"_w{k}") for k in ks))
+    rows = join_hot(docs.select(*keep, key), cut(sums), "_key", "_copies")
     scale = F.when(F.col("_n") > 0, 1 / F.greatest(F.lit(1.0), F.sqrt(F.col("_n") / TEMPER))).otherwise(0.0)
-
-    def score(prior: float, weights: str) -> Column:
-        table = F.split(F.lit(weights), ",").cast("array<double>")  # folded to a constant
-        return F.lit(prior) + scale * F.aggregate("_at", F.lit(0.0), lambda s, at: s + F.get(table, at - 1))
-
-    rows = rows.select(*keep, "_tokens", *(score(*m).alias(f"_s{k}") for k, m in enumerate(model.values())))
-    top = F.greatest(*(F.col(f"_s{k}") for k in range(len(model)))) if len(model) > 1 else F.col("_s0")
-    rows = rows.select(*keep, "_tokens", *(F.exp(F.col(f"_s{k}") - top).alias(f"_e{k}") for k in range(len(model))))
-    whole = _sum([F.col(f"_e{k}") for k in range(len(model))])
-    return rows.select(*keep, "_tokens", *((F.col(f"_e{k}") / whole).alias(f"_p{k}") for k in range(len(model))))
+    rows = rows.select(*keep, "_tokens", *((F.lit(prior) + scale * F.col(f"_w{k}") / F.col("_copies")).alias(f"_s{k}") for k, prior in enumerate(model.priors.values())))
+    top = F.greatest(*(F.col(f"_s{k}") for k in ks)) if len(model.priors) > 1 else F.col("_s0")
+    rows = rows.select(*keep, "_tokens", *(F.exp(F.col(f"_s{k}") - top).alias(f"_e{k}") for k in ks))
+    whole = _sum([F.col(f"_e{k}") for k in ks])
+    return rows.select(*keep, "_tokens", *((F.col(f"_e{k}") / whole).alias(f"_p{k}") for k in ks))
 
 
 def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Column, list[float]]:
@@ -139,9 +155,9 @@ def fit_rates(rows: DataFrame, targets: list[float]) -> tuple[Column, list[float
     return rate(), now
 
 
-def rated(docs: DataFrame, model: dict[str, tuple[float, str]], keep: list[str], shares: dict[str, float]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
+def rated(docs: DataFrame, model: Model, keep: list[str], shares: dict[str, float]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """(keep, tokens, posteriors and rate per row, {domain: (target, expected tokens)})."""
-    domains = list(model)
+    domains = list(model.priors)
     rows = cut(posteriors(docs, model, keep))
     totals = rows.agg(*(F.sum(F.col("_tokens") * F.col(f"_p{k}")) for k in range(len(domains)))).first()
     targets = [(totals[k] or 0.0) * shares.get(d, shares.get(d.rpartition(":")[2], 1.0)) for k, d in enumerate(domains)]
@@ -178,7 +194,7 @@ def sample(docs: DataFrame, labels: DataFrame, shares: dict[str, float] = SHARES
     """Rows of docs repeated or dropped by their rates."""
     model = fit_classifier(docs, labels)
     rows, _ = rated(docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "text"), model, ["row"], shares)
-    copies = drawn(rows, len(model)).where("_copies > 0")
+    copies = drawn(rows, len(model.priors)).where("_copies > 0")
     return copies.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 

@@ -137,7 +137,7 @@ def test_posteriors_equal_brute_force(spark, monkeypatch):
     more = docs(spark, [*source, (90, None), (91, "never seen before"), (92, "abc $$ " * 40)])
     for r in mixing.posteriors(more, model, ["doc_id", "text"]).collect():
         want = brute_posteriors(labelled, r.text or "")
-        assert all(abs(r[f"_p{k}"] - want[d]) < 2e-3 for k, d in enumerate(model)), (r.text, want)
+        assert all(abs(r[f"_p{k}"] - want[d]) < 2e-3 for k, d in enumerate(model.priors)), (r.text, want)
 
 
 def test_forty_languages_of_two_qualities_are_told_apart(spark):
@@ -157,8 +157,8 @@ def test_forty_languages_of_two_qualities_are_told_apart(spark):
 
     def hits(known, asked):
         model = mixing.fit_classifier(df, told.where(known))
-        assert len(model) == 80
-        domain = F.element_at(F.array(*map(F.lit, model)), mixing.domain_number(80) + 1)
+        assert len(model.priors) == 80
+        domain = F.element_at(F.array(*map(F.lit, model.priors)), mixing.domain_number(80) + 1)
         right = mixing.posteriors(df, model, ["doc_id", "lang"]).select("doc_id", "lang", domain.alias("domain")).join(told, "doc_id").where(asked)
         hit = F.avg((F.col("domain") == F.concat("lang", F.lit(":"), F.when(F.col("quality") == 1, "good").otherwise("low"))).cast("int"))
         return [r.hit for r in right.groupBy("lang").agg(hit.alias("hit")).collect()]
