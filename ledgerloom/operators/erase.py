@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.errors import QueryError
 from ledgerloom.functions import text as X
-from ledgerloom.operators import lineage
-from ledgerloom.operators.windows import leading_run
+from ledgerloom.operators import family, lineage
 
 LEAST_MATCH, NEEDLES, LEAST_NEEDLE, NEEDLE_BYTES, RARE = 4, 50, 12, 48, 3
 TOMB = ["provider", "level", "session_root", "thread_id", "line", "line_sha256"]
@@ -22,9 +21,10 @@ def plan_session(event: DataFrame, source: DataFrame, session: str) -> DataFrame
 
 
 def plan_event(event: DataFrame, source: DataFrame, source_id: int, line: int) -> DataFrame:
-    """All parts of a line and its copies in the family."""
+    """All parts of a line and of the lines that copy it in the family."""
     at = event.where((F.col("source_id") == source_id) & (F.col("line") == line))
-    return at.unionByName(copies_of(event, source, at)).dropDuplicates(["id"])
+    copies = family.copies_of(event, source, at).select("source_id", "line").distinct()
+    return at.unionByName(event.join(copies, ["source_id", "line"], "left_semi").select(*event.columns)).dropDuplicates(["id"])
 
 
 def plan_match(event: DataFrame, needle: str) -> DataFrame:
@@ -33,21 +33,6 @@ def plan_match(event: DataFrame, needle: str) -> DataFrame:
     return event.where(F.instr("text", needle) > 0)
 
 
-def copies_of(event: DataFrame, source: DataFrame, doomed: DataFrame) -> DataFrame:
-    """Events with a doomed event's role and text: anywhere in its ancestors, in descendants only within the replayed run."""
-    who = source.select("source_id", "thread_id")
-    named = doomed.join(who, "source_id").select("thread_id", "role", "text").distinct()
-    asked = named.select("thread_id").distinct()
-    up = lineage.ancestors(source, asked, None).where("depth > 0").join(named, "thread_id").select(F.col("ancestor").alias("thread_id"), "role", "text").distinct()
-    above = event.join(who, "source_id").join(up, ["thread_id", "role", "text"], "left_semi").select(*event.columns)
-    ids = who.select(F.col("thread_id").alias("parent"), F.col("source_id").alias("parent_id"))
-    child = source.where("forked_from_id is not null").select("source_id", F.col("forked_from_id").alias("parent")).join(ids, "parent")
-    run = leading_run(event.join(child, "source_id").withColumn("child_id", F.col("source_id")), event, ["role", "text"])
-    down = lineage.descendants(source, asked).where("depth > 0").join(named, "thread_id").select(F.col("descendant").alias("thread_id"), "role", "text").distinct()
-    below = run.join(who, "source_id").join(down, ["thread_id", "role", "text"], "left_semi").select(*event.columns)
-    return above.unionByName(below).distinct()
-
-
 def remaining(event: DataFrame, doomed: DataFrame) -> DataFrame:
     return event.join(doomed.select("id"), "id", "left_anti")
 
@@ -68,6 +53,20 @@ def blocked(event: DataFrame, source: DataFrame, tombstone: DataFrame) -> DataFr
     return rows.join(by_thread, ["provider", "thread_id"], "left_anti").join(by_line, ["provider", "thread_id", "line"], "left_anti")
 
 
+def barred(thread: DataFrame, known: DataFrame, tombstone: DataFrame) -> DataFrame:
+    """The threads that may not be indexed, before any of their lines is read.
+
+    thread: provider, thread_id, session_root, continues (a thread, or null), forked_from_id and what else identifies it.
+    A tombstone of the thread or of the one it continues bars it, and one of its session, of the session that its
+    fork names, or of the session of the thread it was forked from, as far as `known` (provider, thread_id, session_root) tells.
+    """
+    marks = tombstone.where("level in ('thread', 'session')").select("provider", "level", F.when(F.col("level") == "thread", F.col("thread_id")).otherwise(F.col("session_root")).alias("id")).distinct()
+    parent = known.select("provider", F.col("thread_id").alias("forked_from_id"), F.col("session_root").alias("_session")).dropDuplicates(["provider", "forked_from_id"])
+    named = lambda level, c: F.struct(F.lit(level).alias("level"), F.col(c).alias("id"))
+    asked = thread.join(parent, ["provider", "forked_from_id"], "left").select(*thread.columns, F.explode(F.array(named("thread", "thread_id"), named("thread", "continues"), named("session", "session_root"), named("session", "forked_from_id"), named("session", "_session"))).alias("_n"))
+    return asked.select(*thread.columns, "_n.*").join(marks, ["provider", "level", "id"], "left_semi").select(*thread.columns).distinct()
+
+
 def missing(journal: DataFrame, table: DataFrame) -> DataFrame:
     """Journal rows that the table lacks; null equals null."""
     same = F.lit(True)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import erase, evaluate, filters, ledger, lineage, navigation, retrieval, review, stats, windows
+from ledgerloom.operators import erase, evaluate, family, filters, ledger, lineage, navigation, retrieval, review, stats, windows
 from ledgerloom.plans import transcripts
 from ledgerloom.plans.fixtures import Data, with_fixtures
 from ledgerloom.shared import shared_dir
@@ -44,6 +44,30 @@ cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_root ORD
 SEARCH = f"{J}, {TOK}, {SC}, {EL}, {RK}, {CP}"
 PREVIEW = "left(trim(regexp_replace(substr(text, 1, {}), '\\s+', ' ', 'g')), {})"
 REF = "concat(provider, ':', thread_id, ':', line, '.', part)"
+FAM = ("replay", "source")
+FAMILY = """WITH RECURSIVE pa AS (SELECT s.source_id AS child, p.source_id AS parent FROM source s JOIN source p ON p.provider = s.provider AND p.thread_id = s.forked_from_id),
+up AS (SELECT child AS root, parent AS id FROM pa UNION SELECT up.root, pa.parent FROM up JOIN pa ON pa.child = up.id),
+down AS (SELECT * FROM (SELECT root, id FROM up UNION SELECT source_id, source_id FROM source) UNION SELECT down.root, pa.child FROM down JOIN pa ON pa.parent = down.id),
+known AS (SELECT DISTINCT up.root, e.role, e.text FROM up JOIN replay e ON e.source_id = up.id),
+stop AS (SELECT e.source_id, min(e.line) AS line FROM replay e LEFT JOIN known k ON k.root = e.source_id AND k.role = e.role AND k.text = e.text WHERE k.root IS NULL GROUP BY 1),
+run AS (SELECT e.id FROM replay e LEFT JOIN stop USING (source_id) WHERE e.source_id IN (SELECT root FROM up) AND (stop.line IS NULL OR e.line < stop.line)),
+copies AS (SELECT d.source_id AS root, d.line AS place, e.id, e.source_id, e.line FROM down f JOIN replay d ON d.source_id = f.root JOIN replay e ON e.source_id = f.id AND e.role = d.role AND e.text = d.text
+  WHERE f.root <> f.id AND ((f.root, f.id) IN (SELECT (root, id) FROM up) OR e.id IN (SELECT id FROM run)))"""
+GOING = """going AS (SELECT source_id FROM source s WHERE EXISTS (SELECT 1 FROM mark m WHERE m.provider = s.provider AND (m.level = 'thread' AND m.thread_id = s.thread_id OR m.level = 'session' AND m.session_root = s.session_root))),
+named AS (SELECT e.source_id, e.line FROM replay e JOIN source s USING (source_id) JOIN mark m ON m.provider = s.provider AND m.level = 'line' AND m.thread_id = s.thread_id AND m.line = e.line)"""
+OBSTACLES = """obstacles AS (
+  SELECT c.source_id, 'copy' AS reason FROM copies c JOIN named n ON n.source_id = c.root AND n.line = c.place WHERE (c.source_id, c.line) NOT IN (SELECT (source_id, line) FROM named) AND c.source_id NOT IN (SELECT source_id FROM going)
+  UNION SELECT s.source_id, 'history' FROM source s JOIN up ON up.root = s.source_id JOIN source a ON a.source_id = up.id JOIN mark m ON m.level = 'session' AND m.provider = a.provider AND m.session_root = a.session_root WHERE s.source_id NOT IN (SELECT source_id FROM going)
+  UNION SELECT s.source_id, 'history' FROM source s JOIN mark m ON m.level = 'thread' AND m.provider = s.provider AND m.thread_id = s.parent_thread_id WHERE s.source_id NOT IN (SELECT source_id FROM going)
+  UNION SELECT s.source_id, 'ancestor' FROM source s JOIN (SELECT root, id FROM up UNION SELECT source_id, source_id FROM source) u ON u.root = s.source_id JOIN source a ON a.source_id = u.id
+    JOIN mark m ON m.level = 'line' AND m.provider = a.provider AND m.thread_id = a.forked_from_id
+    WHERE s.source_id NOT IN (SELECT source_id FROM going) AND NOT EXISTS (SELECT 1 FROM source p WHERE p.provider = a.provider AND p.thread_id = a.forked_from_id)
+    AND NOT EXISTS (SELECT 1 FROM mark o WHERE o.level = 'line' AND o.provider = s.provider AND o.thread_id = s.thread_id))"""
+FAMILIES = """touched AS (SELECT s.source_id FROM source s JOIN mark m ON m.provider = s.provider AND (m.thread_id = s.thread_id OR m.session_root = s.session_root) UNION SELECT source_id FROM obstacles),
+both_ways AS (SELECT child AS a, parent AS b FROM pa UNION SELECT parent, child FROM pa),
+walk AS (SELECT source_id AS root, source_id AS id FROM touched UNION SELECT walk.root, b.b FROM walk JOIN both_ways b ON b.a = walk.id),
+families AS (SELECT root AS source_id, min(id) AS family FROM walk GROUP BY 1)
+SELECT source_id, family, family IN (SELECT f.family FROM families f JOIN obstacles USING (source_id)) AS refused FROM families"""
 ELIGIBLE = "thread_class = 'primary' AND kind IN ('prompt', 'reply') AND flags & 1 = 0"
 
 
@@ -106,7 +130,7 @@ query("jn08_range_anti", lambda d: stats.not_in_window(rows(d), d.request.where(
 query("jn09_level_dependent", lambda d: _by_level(d), "SELECT request_id FROM request r WHERE EXISTS (SELECT 1 FROM tombstone t WHERE t.provider = r.provider AND t.thread_id = r.thread_id AND (t.level = 'thread' OR t.level = 'line' AND t.line BETWEEN r.from_line AND r.through_line))", "request", "tombstone")
 query("jn10_line_tombstones", lambda d: erase.replay_plan(d.event, d.source, d.tombstone).select("id", "provider", "thread_id", "line"), f"{J} SELECT id, provider, thread_id, line FROM j JOIN (SELECT DISTINCT provider, thread_id, line FROM tombstone WHERE level = 'line') t USING (provider, thread_id, line)", *EV, "tombstone")
 query("jn11_blocked", lambda d: erase.blocked(d.event, d.source, d.tombstone).select("id"), f"{J} SELECT id FROM j WHERE NOT EXISTS (SELECT 1 FROM tombstone t WHERE t.provider = j.provider AND t.thread_id = j.thread_id AND (t.level = 'thread' OR t.line = j.line))", *EV, "tombstone")
-query("jn12_leading_copies", lambda d: _leading(d).select("id", "source_id"), "WITH f AS (SELECT e.*, p.source_id AS parent_id FROM event e JOIN source s USING (source_id) JOIN source p ON p.thread_id = s.forked_from_id), m AS (SELECT f.*, EXISTS (SELECT 1 FROM event q WHERE q.source_id = f.parent_id AND q.role = f.role AND sha256(lower(left(q.text, 1))) = sha256(lower(left(f.text, 1)))) AS known FROM f), n AS (SELECT *, min(CASE WHEN NOT known THEN line END) OVER (PARTITION BY source_id) AS stop FROM m) SELECT id, source_id FROM n WHERE stop IS NULL OR line < stop", "event", "source")
+query("jn12_leading_copies", lambda d: d.replay.join(family.replayed(d.replay, d.source, d.source.select("source_id")).select("id"), "id", "left_anti").select("id", "source_id"), f"{FAMILY} SELECT id, source_id FROM replay WHERE id NOT IN (SELECT id FROM run)", *FAM)
 query("jn13_neighbours", lambda d: navigation.neighbours(d.event, d.event.where("line = 3").select("source_id", F.col("id").alias("pivot_id"), "line", "part"), 2), "SELECT p.id AS pivot_id, CAST(CASE WHEN e.line < p.line THEN -(SELECT count(*) FROM event q WHERE q.source_id = e.source_id AND q.line >= e.line AND q.line < p.line) WHEN e.line > p.line THEN (SELECT count(*) FROM event q WHERE q.source_id = e.source_id AND q.line <= e.line AND q.line > p.line) ELSE 0 END AS INT) AS rel, e.id, e.line, e.part, e.kind FROM event p JOIN event e USING (source_id) WHERE p.line = 3 AND abs(e.line - p.line) <= 2", "event")
 query("jn14_scope_as_of", lambda d: navigation.scope_as_of(d.event, d.request.select(F.expr("cast(substr(thread_id, 5) as bigint)").alias("source_id"), F.col("through_line").alias("at_line")).distinct()), "SELECT q.source_id, q.at_line, (SELECT e.scope_id FROM event e WHERE e.source_id = q.source_id AND e.line <= q.at_line ORDER BY e.line DESC LIMIT 1) AS scope_id FROM (SELECT DISTINCT CAST(substr(thread_id, 5) AS BIGINT) AS source_id, through_line AS at_line FROM request) q", "event", "request")
 query("jn15_lateral", lambda d: ledger.affected(d.unresolved), "SELECT unresolved_id, state, k1 AS knowledge_id, r1 AS revision FROM unresolved UNION SELECT unresolved_id, state, k2, r2 FROM unresolved", "unresolved")
@@ -123,13 +147,6 @@ def _by_level(d: Data) -> DataFrame:
     return whole.select("request_id").union(part.select("request_id")).distinct()
 
 
-def _leading(d: Data) -> DataFrame:
-    ids = d.source.select(F.col("thread_id").alias("forked_from_id"), F.col("source_id").alias("parent_id"))
-    child = d.source.where("forked_from_id is not null").select("source_id", "forked_from_id").join(ids, "forked_from_id")
-    event = d.event.withColumn("digest", F.sha2(F.lower(F.left("text", F.lit(1))), 256))
-    return windows.leading_run(event.join(child, "source_id").withColumn("child_id", F.col("source_id")), event, ["role", "digest"])
-
-
 def _reports(d: Data) -> tuple[DataFrame, DataFrame]:
     r = d.request.withColumn("key", F.col("owner"))
     return r.where("trigger = 'history'").select(F.col("request_id").alias("report_id"), "key", (F.col("created_at") + 150).alias("at")), r.where("trigger = 'live'").select("request_id", "key", "created_at")
@@ -343,9 +360,12 @@ def _changes(d: Data) -> DataFrame:
 
 # Erasure
 query("era01_plan_session", lambda d: erase.plan_session(d.event, d.source, "ses-0").select("id"), "WITH RECURSIVE w AS (SELECT thread_id FROM source WHERE session_root = 'ses-0' UNION SELECT n.thread_id FROM w JOIN source s ON s.thread_id = w.thread_id JOIN source n ON n.forked_from_id = s.thread_id OR n.session_root = s.session_root) SELECT id FROM event JOIN source USING (source_id) WHERE thread_id IN (SELECT thread_id FROM w)", "event", "source")
-query("era02_plan_event", lambda d: erase.plan_event(d.event, d.source, 6, 3).select("id"))
+query("era02_plan_event", lambda d: erase.plan_event(d.replay, d.source, 6, 2).select("id"), f"{FAMILY}, m AS (SELECT source_id, line FROM copies WHERE root = 6 AND place = 2 UNION SELECT 6, 2) SELECT id FROM replay JOIN m USING (source_id, line)", *FAM)
 query("era03_plan_match", lambda d: erase.plan_match(d.event, "thing").select("id"), "SELECT id FROM event WHERE contains(text, 'thing')", "event")
-query("era04_copies", lambda d: erase.copies_of(d.event, d.source, d.event.where("source_id = 3")).select("id"))
+query("era04_copies", lambda d: family.copies_of(d.replay, d.source, d.replay.where("line <= 2")).select("id"), f"{FAMILY} SELECT DISTINCT id FROM copies WHERE place <= 2", *FAM)
+query("era11_uncovered", lambda d: family.uncovered(d.replay, d.source, d.mark), f"{FAMILY}, {GOING}, {OBSTACLES} SELECT source_id, reason FROM obstacles", *FAM, "mark")
+query("era11_families", lambda d: family.replayable(d.replay, d.source, d.mark), f"{FAMILY}, {GOING}, {OBSTACLES}, {FAMILIES}", *FAM, "mark")
+query("win05_replayed_run", lambda d: family.replayed(d.replay, d.source, d.source.select("source_id")).select("id"), f"{FAMILY} SELECT id FROM run", *FAM)
 query("era05_scrubbed", lambda d: erase.scrubbed(d.version, ledger.disputed(d.unresolved), NOW).select("knowledge_id", "revision", "content", "erased_at"), f"WITH {DIS} SELECT knowledge_id, revision, CASE WHEN (knowledge_id, revision) NOT IN (SELECT (knowledge_id, revision) FROM ds) THEN content END AS content, CASE WHEN (knowledge_id, revision) IN (SELECT (knowledge_id, revision) FROM ds) THEN {NOW} END AS erased_at FROM version", "version", "unresolved")
 query("era06_content_tags", lambda d: rows(d).select("id", X.content_tag(b"key")("provider", "thread_id", "role", "text").alias("tag")))
 query("era07_remaining", lambda d: erase.remaining(d.event, erase.plan_match(d.event, "thing")).select("id"), "SELECT id FROM event WHERE NOT contains(text, 'thing')", "event")
@@ -401,7 +421,7 @@ query("knw35_notice", lambda d: review.notice(d.request), "SELECT request_id, st
 query("knw35_policy_status", lambda d: d.source.groupBy(review.policy_status(F.when(F.col("status") == "active", "open").otherwise("closed"), F.col("classifier_version"), 2).alias("code")).agg(F.count("*").alias("n")), "SELECT CASE WHEN status <> 'active' THEN 'paused' WHEN classifier_version < 2 THEN 'outdated' WHEN classifier_version > 2 THEN 'newer' ELSE 'ready' END AS code, count(*) AS n FROM source GROUP BY 1", "source")
 query("scl20_owner_authority", lambda d: rows(d).select("id", review.owner_authority(F.col("provider"), F.col("kind"), F.lit(None).cast("string"), F.col("thread_class")).alias("authority")), f"{J} SELECT id, CASE WHEN kind = 'prompt' AND thread_class = 'primary' AND provider IN ('codex', 'claude') THEN 'owner' WHEN kind = 'prompt' THEN 'unverified' ELSE 'agent' END AS authority FROM j", *EV)
 query("era13_decision_locators", lambda d: review.locators_hit(d.request.select("request_id", "provider", "thread_id", F.col("from_line").alias("line")), d.tombstone).select("request_id"), "SELECT request_id FROM request r WHERE EXISTS (SELECT 1 FROM tombstone t WHERE t.provider = r.provider AND t.thread_id = r.thread_id AND (t.level = 'thread' OR t.line = r.from_line))", "request", "tombstone")
-query("era12_admitted_threads", lambda d: d.source.join(d.tombstone.where("level = 'thread'").select("provider", "thread_id"), ["provider", "thread_id"], "left_anti").join(d.tombstone.where("level = 'thread'").select(F.col("thread_id").alias("forked_from_id")), "forked_from_id", "left_anti").select("source_id"), "SELECT source_id FROM source s WHERE NOT EXISTS (SELECT 1 FROM tombstone t WHERE t.level = 'thread' AND (t.provider = s.provider AND t.thread_id = s.thread_id OR t.thread_id = s.forked_from_id))", "source", "tombstone")
+query("era12_admitted_threads", lambda d: (lambda t: t.join(erase.barred(t, d.source, d.mark).select("source_id"), "source_id", "left_anti").select("source_id"))(d.source.withColumn("continues", F.col("parent_thread_id"))), "SELECT source_id FROM source s WHERE NOT EXISTS (SELECT 1 FROM mark m WHERE m.provider = s.provider AND (m.level = 'thread' AND m.thread_id IN (s.thread_id, s.parent_thread_id) OR m.level = 'session' AND (m.session_root IN (s.session_root, s.forked_from_id) OR m.session_root IN (SELECT p.session_root FROM source p WHERE p.provider = s.provider AND p.thread_id = s.forked_from_id))))", "source", "mark")
 query("flt15_log_fields", lambda d: review.log_record(d.call.select("id", "cmd", "state", F.col("matches").cast("string").alias("matches")), {"id": r"\d+", "cmd": "view|click", "state": "[a-z]+", "matches": r"\d"}), "SELECT id, CASE WHEN cmd IN ('view', 'click') THEN cmd END AS cmd, state, CASE WHEN matches < 10 THEN CAST(matches AS VARCHAR) END AS matches FROM call", "call")
 query("snk10_answer_json", lambda d: review.answer_json(d.documents.select("doc_id", "text"), ("text",)))
 query("snk08_knowledge_index", lambda d: ledger.eligible(*_ledger(d), now=NOW, everywhere=True).select("knowledge_id", F.explode(X.tokens(F.col("content"))).alias("term")).groupBy("term").agg(F.count_distinct("knowledge_id").alias("df")), f"WITH {ELG}, t AS (SELECT knowledge_id, unnest({TOKENS.format('content')}) AS term FROM eg WHERE expires_at IS NULL OR expires_at > {NOW}) SELECT term, count(DISTINCT knowledge_id) AS df FROM t GROUP BY 1", *LED)

@@ -17,11 +17,14 @@ EVENT = f"""SELECT conv_id*1000+turn AS id, conv_id AS source_id, turn+1 AS line
  CASE WHEN conv_id % 19 = 0 THEN NULL ELSE concat('/work/p', {_S.format('conv_id%7')}, '/d', {_S.format('turn%3')}) END AS cwd,
  turn*700 + (conv_id % 5)*10*turn AS byte_offset,
  CASE WHEN turn % 4 = 2 THEN 'please continue with the thing' ELSE text END AS text FROM {{conversations}}"""
+# the same events, with openings that forks share with their ancestors
+REPLAY = EVENT.replace("CASE WHEN turn % 4 = 2", f"CASE WHEN turn < 1 + conv_id % 5 THEN concat('opening ', {_S.format('turn')}) WHEN turn % 4 = 2")
 SOURCE = f"""SELECT DISTINCT conv_id AS source_id,
  CASE conv_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' ELSE 'cursor' END AS provider,
  concat('thr-', {_S.format('conv_id')}) AS thread_id, concat('ses-', {_S.format('CAST(floor(conv_id/3) AS BIGINT)')}) AS session_root,
  CASE WHEN conv_id % 10 = 9 THEN 'subagent' ELSE 'primary' END AS thread_class,
  CASE WHEN conv_id % 6 = 3 THEN concat('thr-', {_S.format('conv_id-3')}) WHEN conv_id % 12 = 6 THEN concat('thr-', {_S.format('conv_id-3')}) END AS forked_from_id,
+ CASE WHEN conv_id % 14 = 5 THEN concat('thr-', {_S.format('conv_id-4')}) END AS parent_thread_id,
  CASE WHEN conv_id % 13 = 0 THEN 'missing' ELSE 'active' END AS status, 1 + conv_id % 3 AS classifier_version, conv_id % 4 AS skipped_lines
  FROM {{conversations}}"""
 SCOPE = f"""SELECT DISTINCT conv_id % 7 AS scope_id, concat('/work/p', {_S.format('conv_id%7')}) AS key, concat('p', {_S.format('conv_id%7')}) AS label,
@@ -29,6 +32,11 @@ SCOPE = f"""SELECT DISTINCT conv_id % 7 AS scope_id, concat('/work/p', {_S.forma
 TOMBSTONE = f"""SELECT DISTINCT CASE conv_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' ELSE 'cursor' END AS provider,
  CASE conv_id % 4 WHEN 1 THEN 'thread' ELSE 'line' END AS level, concat('thr-', {_S.format('conv_id')}) AS thread_id,
  CASE conv_id % 4 WHEN 1 THEN NULL ELSE turn+1 END AS line FROM {{conversations}} WHERE conv_id % 4 = 1 AND turn = 0 OR conv_id % 4 = 3 AND turn = 2"""
+# tombstones of all levels; every other one of a line has its copies unnamed
+MARK = f"""SELECT DISTINCT CASE conv_id % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' ELSE 'cursor' END AS provider,
+ CASE conv_id % 8 WHEN 1 THEN 'thread' WHEN 2 THEN 'session' ELSE 'line' END AS level, CASE WHEN conv_id % 8 = 2 THEN concat('ses-', {_S.format('CAST(floor(conv_id/3) AS BIGINT)')}) END AS session_root,
+ CASE WHEN conv_id % 8 <> 2 THEN concat('thr-', {_S.format('conv_id')}) END AS thread_id, CASE WHEN conv_id % 8 IN (3, 6) THEN turn+1 END AS line, CAST(NULL AS VARCHAR(64)) AS line_sha256
+ FROM {{conversations}} WHERE conv_id % 40 IN (1, 2, 3, 6, 14, 30) AND (turn = 1 OR turn = 0 AND conv_id % 16 = 3) AND conv_id % 8 IN (1, 2, 3, 6)"""
 CALL = """SELECT event_id AS id, event_type AS cmd, user_id AS actor, CAST(value AS DOUBLE) AS value, event_id % 97 AS matches, event_id % 5 AS returned,
  CASE WHEN event_id % 23 = 0 THEN NULL ELSE event_id % 11 END AS input_tokens, CASE WHEN event_id % 3 = 0 THEN 'EUR' WHEN event_id % 31 = 0 THEN NULL ELSE 'USD' END AS currency,
  CASE WHEN event_id % 7 = 0 THEN 'failed' WHEN event_id % 5 = 0 THEN 'unknown' ELSE 'completed' END AS state, ts FROM {events}"""
@@ -49,7 +57,7 @@ REQUEST = f"""SELECT concat('R_', {_S.format('o_orderkey')}) AS request_id, CASE
  CASE WHEN o_orderpriority LIKE '1%' THEN 'history' ELSE 'live' END AS trigger, CAST(o_totalprice AS DOUBLE) AS created_at, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_totalprice AS DOUBLE) + 1000 END AS retry_at, o_custkey AS owner FROM {{orders}}"""
 CHARGE = """SELECT l_orderkey AS request, l_linenumber AS round, CASE WHEN l_returnflag = 'R' THEN 'unknown' WHEN l_returnflag = 'A' THEN 'failed' ELSE 'completed' END AS state,
  CAST(l_tax AS DECIMAL(18,2)) AS reserved, CASE WHEN l_linestatus = 'F' THEN CAST(l_discount AS DECIMAL(18,2)) END AS reported, l_quantity AS seconds FROM {lineitem}"""
-FIXTURES = {"event": EVENT, "source": SOURCE, "scope": SCOPE, "tombstone": TOMBSTONE, "call": CALL, "knowledge": KNOWLEDGE, "version": VERSION, "support": SUPPORT, "evidence": EVIDENCE, "unresolved": UNRESOLVED, "request": REQUEST, "charge": CHARGE}
+FIXTURES = {"event": EVENT, "replay": REPLAY, "source": SOURCE, "scope": SCOPE, "tombstone": TOMBSTONE, "mark": MARK, "call": CALL, "knowledge": KNOWLEDGE, "version": VERSION, "support": SUPPORT, "evidence": EVIDENCE, "unresolved": UNRESOLVED, "request": REQUEST, "charge": CHARGE}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -75,6 +75,22 @@ def passes(d: Data) -> tuple[ingest.Store, DataFrame]:
     return _STORES[key]
 
 
+ERASED_LINE, ERASED_FILE = "place >= 0 AND place % 30 = 0", "file % 11 = 4"
+
+
+def erased(d: Data) -> tuple[ingest.Store, DataFrame]:
+    """The store after a pass, an erasure of lines and threads, and a pass that reads everything again; and the modes of that pass."""
+    key = (d.spark.sparkContext.applicationId, d.sf_dir, "erased")
+    if key not in _STORES:
+        store = ingest.Store(d.spark, f"{shared_dir(d.spark)}/store-{uuid.uuid4().hex}", b"key")
+        ingest.run_pass(store, folder(d, "rollout", ROLLOUT), suffix=".txt")
+        events = store.events().withColumn("file", F.substr("thread_id", F.lit(5)).cast("long"))
+        # the ordinal of a message is its turn and one
+        store.erase(events.where("kind in ('prompt', 'reply', 'delegation') and (seq - 1) % 3 = 0").select("thread_id", "line"), threads=events.where(ERASED_FILE).select("thread_id").distinct())
+        _STORES[key] = store, ingest.run_pass(store, folder(d, "rollout", ROLLOUT), version=2, suffix=".txt")
+    return _STORES[key]
+
+
 def verified(d: Data) -> DataFrame:
     rows = raw_lines(d)
     sha = F.when(F.col("line") % 3 == 0, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("raw", 256))
@@ -98,7 +114,7 @@ def cursor(d: Data) -> DataFrame:
 _ISSUE = "CASE WHEN value = '{bad' THEN 'invalid_json' WHEN value = '[1]' THEN 'not_object' END"
 _EVENTS = f"""WITH f AS ({ROLLOUT}), {PLACED}, k AS (SELECT p.*, CASE WHEN place % 10 = 0 AND place >= 0 THEN json_extract_string(value, '$.payload.role') END AS role, json_extract_string(value, '$.payload.call_id') AS call_id FROM p),
 e AS (SELECT file, line, CASE WHEN role = 'assistant' THEN 'reply' WHEN role = 'user' AND file % 4 = 1 THEN 'delegation' WHEN role = 'user' THEN 'prompt' WHEN place % 10 = 1 THEN 'tool_call' WHEN place % 10 = 2 AND (place // 10) % 2 = 1 THEN 'tool_error' END AS kind,
-  concat('/w', file % 5) AS cwd, CASE WHEN place % 10 = 2 THEN line - 1 END AS parent_line FROM k WHERE place >= 0)
+  concat('/w', file % 5) AS cwd, place, CASE WHEN place % 10 = 2 THEN line - 1 END AS parent_line FROM k WHERE place >= 0)
 SELECT file, line, kind, cwd, parent_line FROM e WHERE kind IS NOT NULL"""
 
 
@@ -114,6 +130,9 @@ def register(query) -> None:
     query("scl08_thread_class", lambda d: threads(d).select("thread_id", "thread_class", "class_reason"), f"SELECT DISTINCT concat('thr-', conv_id) AS thread_id, CASE {_CLASS} WHEN 'user' THEN 'primary' WHEN 'subagent' THEN 'subagent' ELSE 'reviewer' END AS thread_class, concat('thread_source=', {_CLASS}) AS class_reason FROM conversations")
     stored = lambda d: passes(d)[0].events().select(F.substr("thread_id", F.lit(5)).cast("long").alias("file"), "line", "kind", "cwd", "parent_line")
     query("snk01_events_of_two_passes", stored, f"SELECT * FROM ({_EVENTS}) WHERE file % 4 <> 2")
+    again = lambda d: erased(d)[0].events().select(F.substr("thread_id", F.lit(5)).cast("long").alias("file"), "line", "kind", "cwd", "parent_line")
+    query("era12_reread_after_erasure", again, f"{_EVENTS} AND file % 4 <> 2 AND NOT ({ERASED_LINE}) AND NOT ({ERASED_FILE})")
+    query("era12_modes", lambda d: erased(d)[1].groupBy("mode").agg(F.count("*").alias("files")), f"SELECT CASE WHEN file % 4 <> 2 AND {ERASED_FILE} THEN 'blocked' ELSE 'replace' END AS mode, count(*) AS files FROM (SELECT DISTINCT conv_id AS file FROM conversations) GROUP BY 1")
     query("str02_modes", lambda d: passes(d)[1].groupBy("mode").agg(F.count_distinct("thread_id").alias("threads")), "SELECT m AS mode, count(DISTINCT conv_id) AS threads FROM conversations CROSS JOIN (SELECT unnest(['moved', 'missing']) AS m) GROUP BY 1")
     query("str03_cursors", lambda d: passes(d)[0].cursors().select("thread_id", "cursor_bytes", "cursor_line", "prefix_open", "status"), f"WITH f AS ({ROLLOUT}), {PLACED} SELECT concat('thr-', file) AS thread_id, max(next_offset) AS cursor_bytes, max(line) AS cursor_line, file % 4 = 2 AS prefix_open, 'active' AS status FROM p GROUP BY file")
     query("str03_open_lines", lambda d: passes(d)[0].open_lines().select("thread_id", "line"), f"WITH f AS ({ROLLOUT}), {PLACED} SELECT concat('thr-', file) AS thread_id, line FROM p WHERE line = 1")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import lineage, windows
+from ledgerloom.operators import erase, family, lineage
 from ledgerloom.shared import cut
 from ledgerloom.sources import lines, records
 
@@ -25,6 +25,7 @@ CURSORS = MANIFEST + ", classifier_version long, cursor_bytes long, cursor_line
 EVENTS = "pass long, thread_id string, line long, part long, byte_offset long, line_sha256 string, seq long, ts string, role string, kind string, tag string, cwd string, call_id string, parent_line long, parent_part long, flags int, text string"
 THREADS = "thread_id string, provider string, session_root string, parent_thread_id string, forked_from_id string, thread_class string, class_reason string, replay_mode string, replay_before long"
 OPEN = "thread_id string, line long, json string"
+TOMBSTONES = "provider string, level string, session_root string, thread_id string, line long, line_sha256 string"
 
 
 def plan(now: DataFrame, known: DataFrame, version: int) -> DataFrame:
@@ -88,6 +89,7 @@ class Store:
 
     spark: SparkSession
     folder: str
+    key: bytes | None = None  # of content tombstones; without it only lines, threads and sessions leave tombstones
 
     def passes(self) -> list[int]:
         """Numbers of the committed passes."""
@@ -106,6 +108,13 @@ class Store:
     def open_lines(self) -> DataFrame:
         return self._last("open", OPEN)
 
+    def tombstones(self) -> DataFrame:
+        """TOMBSTONES rows: levels line, thread and session, and content with the keyed tag of a role and text in line_sha256."""
+        return self._last("tombstones", TOMBSTONES)
+
+    def tag(self, role, text):
+        return X.content_tag(self.key)(F.lit(""), F.lit(""), role, text)
+
     def events(self) -> DataFrame:
         """Events of the committed passes, those of a source only since it was last read from its start."""
         done = self.passes()
@@ -124,6 +133,68 @@ class Store:
             f.write(b"")
 
 
+    def erase(self, doomed: DataFrame | None = None, threads: DataFrame | None = None, sessions: DataFrame | None = None) -> None:
+        """Removes lines (thread_id, line), threads (thread_id) and sessions (session_root) in one commit, with tombstones, and then what earlier passes still hold of them."""
+        spark, number = self.spark, (self.passes() or [0])[-1] + 1
+        none = lambda schema: spark.createDataFrame([], schema)
+        known, events = cut(self.threads()), cut(self.events())
+        who = known.select("thread_id", "provider")
+        whole = (threads if threads is not None else none("thread_id string")).select("thread_id").join(who, "thread_id")
+        by_session = (sessions if sessions is not None else none("session_root string")).select("session_root").join(known.select("session_root", "thread_id", "provider"), "session_root")
+        going = cut(whole.select("thread_id").unionByName(by_session.select("thread_id")).distinct())
+        lost = cut(events.join((doomed if doomed is not None else none("thread_id string, line long")).select("thread_id", "line").distinct(), ["thread_id", "line"]).join(who, "thread_id"))
+        null = F.lit(None).cast("string")
+        mark = lambda rows, level, session, thread, line, sha: rows.select("provider", F.lit(level).alias("level"), session.alias("session_root"), thread.alias("thread_id"), line.cast("long").alias("line"), sha.alias("line_sha256"))
+        thread = F.col("thread_id")
+        made = mark(lost, "line", null, thread, F.col("line"), F.col("line_sha256"))
+        made = made.unionByName(mark(whole, "thread", null, thread, null, null)).unionByName(mark(by_session, "session", F.col("session_root"), null, null, null))
+        if self.key:
+            made = made.unionByName(mark(lost, "content", null, thread, null, self.tag(F.col("role"), F.col("text"))))
+        touched = cut(lost.select("thread_id").distinct())
+        kept = events.join(touched, "thread_id", "left_semi").join(lost.select("thread_id", "line").distinct(), ["thread_id", "line"], "left_anti")
+        cursors = self.cursors().join(going, "thread_id", "left_anti").join(touched.withColumn("_t", F.lit(True)), "thread_id", "left")
+        cursors = cursors.withColumn("since", F.when(F.col("_t"), F.lit(number).cast("long")).otherwise(F.col("since")))
+        open_lines = self.open_lines().join(going, "thread_id", "left_anti").join(lost.select("thread_id", "line").distinct(), ["thread_id", "line"], "left_anti")
+        self.commit(number, events=kept.drop("pass"), threads=known.join(going, "thread_id", "left_anti"), cursors=cursors.select(*(c.split()[0] for c in CURSORS.split(", "))), open=open_lines, tombstones=self.tombstones().unionByName(made).distinct())
+        self.compact()
+
+    def compact(self) -> None:
+        """All live events in one pass, the folders of earlier ones removed: nothing erased stays on disk, and a pass reads few folders."""
+        done = self.passes()
+        if not done:
+            return
+        number = done[-1] + 1
+        cursors = self.cursors().withColumn("since", F.lit(number).cast("long"))
+        self.commit(number, events=self.events().drop("pass"), threads=self.threads(), cursors=cursors, open=self.open_lines(), tombstones=self.tombstones())
+        system, base = lines._fs(self.folder)
+        for n in done:  # first the markers: a folder without one does not count
+            system.delete_file(f"{base}/commits/{n}")
+        for n in done:
+            for name in ("events", "threads", "cursors", "open", "tombstones"):
+                system.delete_dir(f"{base}/{name}/pass={n}")
+
+
+def _first_lines(todo: DataFrame) -> DataFrame:
+    """(path, line, raw) of each file's first line."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column(0).to_pylist()
+            first = [next((r for _, _, _, r in lines.complete_lines(p)), None) for p in paths]
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([1] * len(paths), pa.int64()), pa.array(first, pa.binary())], names=["path", "line", "raw"])
+
+    return todo.select("path").repartition("path").mapInArrow(run, "path string, line long, raw binary")
+
+
+def _barred(store: Store, todo: DataFrame, named, schema: str, marks: DataFrame) -> DataFrame:
+    """(path) of the files that erasure forbids to index, told by their first lines."""
+    rows = records.decoded(_first_lines(todo)).where("json is not null")
+    heads = cut(named(rows.select("path", "line", F.from_json("json", schema).alias("r"))).drop("thread_id").join(todo.select("path", "thread_id"), "path"))
+    continues = F.when(F.col("replay_mode") == "history_base", F.col("parent_thread_id")).alias("continues")
+    known = store.threads().select("provider", "thread_id", "session_root").unionByName(heads.select("provider", "thread_id", "session_root"))
+    return erase.barred(heads.select("path", "provider", "thread_id", "session_root", continues, "forked_from_id"), known, marks).select("path").distinct()
+
+
 def _read(todo: DataFrame) -> DataFrame:
     """(path, thread_id, line, byte_offset, next_offset, raw) of complete lines from each file's cursor on."""
 
@@ -136,19 +207,29 @@ def _read(todo: DataFrame) -> DataFrame:
     return todo.select("path", "thread_id", "_at", "_line").repartition("path").mapInArrow(run, "path string, thread_id string, line long, byte_offset long, next_offset long, raw binary")
 
 
-def without_inherited(events: DataFrame, threads: DataFrame, earlier: DataFrame) -> DataFrame:
-    """events (thread_id, line, part, role, text, ...) without the leading run that content-prefix forks repeat of any ancestor.
+def without_inherited(events: DataFrame, threads: DataFrame, earlier: DataFrame, marks: DataFrame, store: Store) -> DataFrame:
+    """events (thread_id, line, part, role, text, line_sha256, ...) without the leading run that content-prefix forks repeat of any ancestor.
 
-    Forks come last by data flow: their ancestors' events are those committed (earlier) and all of this pass.
+    Forks come last by data flow: their ancestors' events are those committed (earlier) and all of this pass. What was
+    erased of an ancestor still belongs to the run, told by its line's hash or by the tag of its content.
     """
     forks = threads.where("replay_mode = 'content_prefix' and prefix_open").select("thread_id", "forked_from_id")
     if not forks.take(1):
         return events
-    up = lineage.ancestors(threads, of=forks.select("thread_id"), most_depth=None).where("depth > 0").select("thread_id", F.col("ancestor").alias("source_id"))
-    every = events.select("thread_id", "role", "text").unionByName(earlier.select("thread_id", "role", "text")).withColumnRenamed("thread_id", "source_id")
-    parent = up.join(every, "source_id").select(F.col("thread_id").alias("source_id"), "role", "text").distinct()
-    child = events.join(forks.select("thread_id"), "thread_id", "left_semi").withColumn("child_id", F.col("thread_id")).withColumn("parent_id", F.col("thread_id"))
-    run = windows.leading_run(child, parent, ["role", "text"]).select("thread_id", "line", "part")
+    up = cut(lineage.ancestors(threads, of=forks.select("thread_id"), most_depth=None).where("depth > 0").select("thread_id", "ancestor"))
+    of_ancestors = up.select(F.col("ancestor").alias("thread_id")).distinct()
+    told = F.sha2(F.concat_ws("\0", "role", "text"), 256).alias("_told")
+    every = events.unionByName(earlier, allowMissingColumns=True).select("thread_id", "role", "text").join(of_ancestors, "thread_id", "left_semi")
+    inherited = every.select(F.col("thread_id").alias("ancestor"), told).join(up, "ancestor").select("thread_id", "_told").distinct().withColumn("_live", F.lit(True))
+    child = events.join(forks.select("thread_id"), "thread_id", "left_semi").select("thread_id", "line", "part", "role", "text", "line_sha256", told)
+    child = child.join(inherited, ["thread_id", "_told"], "left").withColumn("_known", F.col("_live").isNotNull()).drop("_live")
+    gone = cut(marks.where("line_sha256 is not null").select(F.col("thread_id").alias("ancestor"), "level", "line_sha256").join(up, "ancestor").select("thread_id", "level", "line_sha256").distinct())
+    by_line = gone.where("level = 'line'").select("thread_id", "line_sha256", F.lit(True).alias("_gone"))
+    child = child.join(by_line, ["thread_id", "line_sha256"], "left").withColumn("_known", F.col("_known") | F.col("_gone").isNotNull()).drop("_gone")
+    by_content = gone.where("level = 'content'").select("thread_id", F.col("line_sha256").alias("_tag"), F.lit(True).alias("_gone"))
+    if store.key and by_content.take(1):
+        child = child.withColumn("_tag", store.tag(F.col("role"), F.col("text"))).join(by_content, ["thread_id", "_tag"], "left").withColumn("_known", F.col("_known") | F.col("_gone").isNotNull())
+    run = family.before_first(child.select("thread_id", "line", "part", "_known"), "_known", "thread_id").select("thread_id", "line", "part")
     return events.join(run, ["thread_id", "line", "part"], "left_anti")
 
 
@@ -156,7 +237,8 @@ def run_pass(store: Store, folder: str, provider: str = "codex", version: int =
     """One pass over a folder: plan, read what is new, decode, commit together; returns (path, thread_id, mode).
 
     Lines that earlier ones leave open (the first, the directory in force, calls without an output) are
-    read back beside the new ones, so an output finds its call however many passes lie between.
+    read back beside the new ones, so an output finds its call however many passes lie between. Files of erased
+    threads and sessions are not read (mode blocked), and lines that a tombstone names are not decoded.
     """
     spark = store.spark
     number, known = (store.passes() or [0])[-1] + 1, cut(store.cursors())
@@ -168,13 +250,20 @@ def run_pass(store: Store, folder: str, provider: str = "codex", version: int =
     old = known.select("thread_id", "cursor_bytes", "cursor_line", "since", "prefix_open", F.col("anchor_offset").alias("_anchor")).dropDuplicates(["thread_id"])
     at = modes.join(old, "thread_id", "left").withColumn("_kept", F.col("mode").isin("append", "moved") & F.col("cursor_bytes").isNotNull())
     todo = cut(at.where(F.col("mode").isin("new", "append", "replace", "moved")).withColumn("_at", F.when(F.col("_kept"), F.col("cursor_bytes")).otherwise(0)).withColumn("_line", F.when(F.col("_kept"), F.col("cursor_line")).otherwise(0)))
+    adapt = {"codex": records.codex_events, "claude": records.claude_events}[provider]
+    named = {"codex": records.codex_threads, "claude": records.claude_threads}[provider]
+    marks = cut(store.tombstones().where(F.col("provider") == provider))
+    if marks.where("level in ('thread', 'session')").take(1):
+        barred = cut(_barred(store, todo, named, records.CODEX if provider == "codex" else records.CLAUDE, marks))
+        todo = cut(todo.join(barred, "path", "left_anti"))
+        modes = cut(modes.join(barred.withColumn("_b", F.lit("blocked")), "path", "left").select("path", "thread_id", F.coalesce("_b", "mode").alias("mode")))
     raw = cut(_read(todo))
-    fresh = records.decoded(raw.withColumn("line_sha256", X.record_hash(F.col("raw").cast("string"))))
+    hashed = raw.withColumn("line_sha256", X.record_hash(F.col("raw").cast("string")))
+    erased = marks.where("level = 'line'").select("thread_id", "line", "line_sha256")
+    fresh = records.decoded(hashed.join(erased, ["thread_id", "line", "line_sha256"], "left_anti") if erased.take(1) else hashed)  # an erased line never enters again
     held = store.open_lines().join(todo.where("_kept").select("thread_id", "path"), "thread_id")
     every = cut(fresh.select("path", "thread_id", "line", "json").unionByName(held.select("path", "thread_id", "line", "json")))
     rows = every.select("path", "line", "json")
-    adapt = {"codex": records.codex_events, "claude": records.claude_events}[provider]
-    named = {"codex": records.codex_threads, "claude": records.claude_threads}[provider]
     parsed = rows.where("json is not null").select("path", "line", F.from_json("json", records.CODEX if provider == "codex" else records.CLAUDE).alias("r"))
     met = named(parsed).join(todo.select("path", F.col("thread_id").alias("_id"), "_kept", "prefix_open"), "path").drop("path", "thread_id").withColumnRenamed("_id", "thread_id")
     met = met.dropDuplicates(["thread_id"])
@@ -185,10 +274,10 @@ def run_pass(store: Store, folder: str, provider: str = "codex", version: int =
     new = new.join(threads.where(F.col("thread_class").isin(*INDEXED)).select("thread_id"), "thread_id", "left_semi")
     new = cut(new.withColumn("_f", X.finish("text", limit)).select("thread_id", "line", F.col("part").cast("long").alias("part"), "byte_offset", "line_sha256", "seq", "ts", "role", "kind", "tag", "cwd", "call_id", "parent_line", F.col("parent_part").cast("long").alias("parent_part"), F.col("_f.flags").alias("flags"), F.col("_f.text").alias("text")))
     prefix = threads.join(met.select("thread_id", F.coalesce(F.when(F.col("_kept"), F.col("prefix_open")), F.lit(True)).alias("prefix_open")), "thread_id", "left").withColumn("prefix_open", F.coalesce("prefix_open", F.lit(False)))
-    kept = cut(without_inherited(new, prefix, store.events()))
+    kept = cut(without_inherited(new, prefix, store.events(), marks, store))
     ends = raw.groupBy("thread_id").agg(F.max("next_offset").alias("_bytes"), F.max("line").alias("_lines"), F.max_by("byte_offset", "line").alias("_last"), F.max_by(X.record_hash(F.col("raw").cast("string")), "line").alias("_hash"))
     grown = kept.groupBy("thread_id").agg(F.lit(False).alias("_open"))
-    done = now.join(modes.select("path", "mode"), "path").where("mode != 'copy'").join(old, "thread_id", "left").join(ends, "thread_id", "left").join(grown, "thread_id", "left").join(known.select("thread_id", F.col("anchor_hash").alias("_old_hash"), F.col("path").alias("_old_path")).dropDuplicates(["thread_id"]), "thread_id", "left")
+    done = now.join(modes.select("path", "mode"), "path").where("mode not in ('copy', 'blocked')").join(old, "thread_id", "left").join(ends, "thread_id", "left").join(grown, "thread_id", "left").join(known.select("thread_id", F.col("anchor_hash").alias("_old_hash"), F.col("path").alias("_old_path")).dropDuplicates(["thread_id"]), "thread_id", "left")
     restarted = F.col("mode").isin("new", "replace")
     cursors = done.select(
         "path", "thread_id", "ino", "size", "mtime_ns", "first_hash", F.coalesce("_hash", F.when(~restarted, F.col("_old_hash"))).alias("anchor_hash"), F.lit(version).cast("long").alias("classifier_version"),
@@ -196,10 +285,10 @@ def run_pass(store: Store, folder: str, provider: str = "codex", version: int =
         F.coalesce("_last", F.when(~restarted, F.col("_anchor"))).alias("anchor_offset"), F.when(restarted, F.lit(number)).otherwise(F.coalesce("since", F.lit(number))).cast("long").alias("since"),
         F.coalesce("_open", F.when(~restarted, F.col("prefix_open")), F.lit(True)).alias("prefix_open"), F.lit("active").alias("status"),
     )
-    gone = known.join(cursors.select("thread_id"), "thread_id", "left_anti").withColumn("status", F.lit("missing"))
+    gone = known.join(cursors.select("thread_id"), "thread_id", "left_anti").join(modes.where("mode = 'blocked'").select("thread_id"), "thread_id", "left_anti").withColumn("status", F.lit("missing"))
     still = records.open_lines(rows, provider).join(own.select("path", "thread_id"), "path").select("thread_id", "line", "json")
     rest = store.open_lines().join(own.select("thread_id"), "thread_id", "left_anti")
-    store.commit(number, events=kept, threads=threads, cursors=cursors.unionByName(gone.select(*cursors.columns)), open=still.unionByName(rest))
+    store.commit(number, events=kept, threads=threads, cursors=cursors.unionByName(gone.select(*cursors.columns)), open=still.unionByName(rest), tombstones=store.tombstones())
     return modes
 
 

@@ -1,0 +1,205 @@
+"""What was erased does not come back: passes over files that still hold it, forks that copied it, replays that are not complete."""
+
+import os
+import pathlib
+
+import pytest
+from test_sources import item, meta, put, said
+
+from ledgerloom.operators import erase, family
+from ledgerloom.streaming import ingest
+
+ALL = "thread_id string, line long"
+
+
+def texts(store, thread):
+    return [r.text for r in store.events().where(f"thread_id = '{thread}'").orderBy("line", "part").collect()]
+
+
+def run(store, folder, **more):
+    return {r.path.rsplit("/", 1)[1]: r["mode"] for r in ingest.run_pass(store, str(folder), **more).collect()}
+
+
+def on_disk(folder, what):
+    import pyarrow.parquet as pq
+
+    return any(what in str(pq.read_table(p).to_pylist()) for p in pathlib.Path(folder).rglob("*.parquet"))
+
+
+def talk(*words):
+    return [item(k, **said("user", w)) for k, w in enumerate(words, 1)]
+
+
+def test_an_erased_line_stays_away_from_later_passes(spark, tmp_path):
+    put(tmp_path / "in" / "rollout-1.jsonl", meta(), *talk("one", "the secret", "three"))
+    store = ingest.Store(spark, str(tmp_path / "store"), b"key")
+    run(store, tmp_path / "in")
+    assert texts(store, "t1") == ["one", "the secret", "three"]
+    store.erase(spark.createDataFrame([("t1", 3)], ALL))
+    assert texts(store, "t1") == ["one", "three"] and not on_disk(tmp_path / "store", "the secret")
+    assert run(store, tmp_path / "in") == {"rollout-1.jsonl": "unchanged"}
+    put(tmp_path / "in" / "rollout-1.jsonl", *talk("four"))
+    assert run(store, tmp_path / "in") == {"rollout-1.jsonl": "append"} and texts(store, "t1") == ["one", "three", "four"]
+    assert run(store, tmp_path / "in", version=2) == {"rollout-1.jsonl": "replace"} and texts(store, "t1") == ["one", "three", "four"]
+    assert not on_disk(tmp_path / "store", "the secret")
+    # another text at the erased place is not what was erased
+    (tmp_path / "in" / "rollout-1.jsonl").write_text("")
+    put(tmp_path / "in" / "rollout-1.jsonl", meta(), *talk("one", "other", "three"))
+    assert run(store, tmp_path / "in", version=2) == {"rollout-1.jsonl": "replace"} and texts(store, "t1") == ["one", "other", "three"]
+
+
+def test_calls_that_wait_for_their_output_are_erased_too(spark, tmp_path):
+    put(tmp_path / "in" / "rollout-1.jsonl", meta(), item(1, type="function_call", name="run", arguments='{"a": "hush"}', call_id="c1"))
+    store = ingest.Store(spark, str(tmp_path / "store"))
+    run(store, tmp_path / "in")
+    assert on_disk(tmp_path / "store", "hush")
+    store.erase(spark.createDataFrame([("t1", 2)], ALL))
+    assert not on_disk(tmp_path / "store", "hush")
+    put(tmp_path / "in" / "rollout-1.jsonl", item(2, type="function_call_output", call_id="c1", output="Process exited with code 2"))
+    run(store, tmp_path / "in")
+    assert store.events().count() == 0 and not on_disk(tmp_path / "store", "hush")  # an output without its call is no event
+
+
+def test_files_of_erased_threads_and_sessions_are_not_read(spark, tmp_path):
+    put(tmp_path / "in" / "rollout-1.jsonl", meta(session_id="s1"), *talk("kept", "more"))
+    put(tmp_path / "in" / "rollout-2.jsonl", meta(id="t2", session_id="s2"), *talk("gone"))
+    put(tmp_path / "in" / "rollout-4.jsonl", meta(id="t4", session_id="s4"), *talk("gone"))
+    store = ingest.Store(spark, str(tmp_path / "store"))
+    run(store, tmp_path / "in")
+    store.erase(threads=spark.createDataFrame([("t4",)], "thread_id string"), sessions=spark.createDataFrame([("s2",)], "session_root string"))
+    assert {r.thread_id for r in store.threads().collect()} == {"t1"} and not on_disk(tmp_path / "store", "gone")
+    put(tmp_path / "in" / "rollout-3.jsonl", meta(id="t3", session_id="s3", forked_from_id="s2"), *talk("gone", "new"))
+    put(tmp_path / "in" / "rollout-5.jsonl", meta(id="t5", session_id="s5", forked_from_id="t2"), *talk("gone", "new"))
+    put(tmp_path / "in" / "rollout-6.jsonl", meta(id="t6", session_id="s6", forked_from_id="t4"), *talk("new"))
+    got = run(store, tmp_path / "in", version=2)
+    assert got == {"rollout-1.jsonl": "replace", "rollout-6.jsonl": "new"} | {f"rollout-{k}.jsonl": "blocked" for k in (2, 3, 4, 5)}
+    assert {r.thread_id for r in store.events().collect()} == {"t1", "t6"} and not on_disk(tmp_path / "store", "gone")
+    assert {r.thread_id: r.status for r in store.cursors().collect()} == {"t1": "active", "t6": "active"}
+
+
+@pytest.mark.parametrize("key", [None, b"key"])
+def test_a_new_fork_does_not_store_the_erased_copy(spark, tmp_path, key):
+    put(tmp_path / "in" / "rollout-1.jsonl", meta(), *talk("one", "the secret", "three"))
+    store = ingest.Store(spark, str(tmp_path / "store"), key)
+    run(store, tmp_path / "in")
+    store.erase(spark.createDataFrame([("t1", 3)], ALL))
+    same = talk("one", "the secret", "three")
+    if key:  # another time stamp, so another line; only the tag of its content tells
+        same[1]["timestamp"] = "2030-01-01T00:00:00Z"
+    put(tmp_path / "in" / "rollout-2.jsonl", meta(id="t2", forked_from_id="t1"), *same, item(9, **said("user", "own")), item(10, **said("user", "the secret")))
+    run(store, tmp_path / "in")
+    assert texts(store, "t2") == ["own", "the secret"]  # its own later turn stays
+    run(store, tmp_path / "in", version=2)
+    assert texts(store, "t2") == ["own", "the secret"] and texts(store, "t1") == ["one", "three"]
+
+
+def test_compaction_keeps_events_and_resumes(spark, tmp_path):
+    put(tmp_path / "in" / "rollout-1.jsonl", meta(), *talk("one"))
+    store = ingest.Store(spark, str(tmp_path / "store"))
+    run(store, tmp_path / "in")
+    put(tmp_path / "in" / "rollout-1.jsonl", *talk("two"))
+    run(store, tmp_path / "in")
+    store.compact()
+    assert len(store.passes()) == 1 and texts(store, "t1") == ["one", "two"] and len(os.listdir(tmp_path / "store" / "events")) == 1
+    put(tmp_path / "in" / "rollout-1.jsonl", *talk("three"))
+    assert run(store, tmp_path / "in") == {"rollout-1.jsonl": "append"} and texts(store, "t1") == ["one", "two", "three"]
+
+
+SOURCE = "source_id long, provider string, thread_id string, session_root string, forked_from_id string, parent_thread_id string"
+EVENT = "id long, source_id long, line long, part long, role string, text string"
+
+
+def tables(spark, threads, words):
+    """threads: {id: (parent or None)}; words: {id: [texts]}."""
+    names = {i: f"t{i}" for i in threads}
+    source = spark.createDataFrame([(i, "codex", names[i], f"s{i}", None if p is None else f"t{p}", None) for i, p in threads.items()], SOURCE)
+    event = spark.createDataFrame([(100 * i + k, i, k, 1, "user", w) for i, ws in words.items() for k, w in enumerate(ws, 1)], EVENT)
+    return event, source
+
+
+def copies(spark, threads, words, at):
+    event, source = tables(spark, threads, words)
+    return sorted(r.id for r in family.copies_of(event, source, event.where(f"id = {at}")).collect())
+
+
+def test_a_grandchilds_copy_is_found_against_all_ancestors(spark):
+    # the middle one does not hold the text that its parent and its child do
+    assert copies(spark, {1: None, 2: 1, 3: 2}, {1: ["x secret"], 2: ["y"], 3: ["x secret", "y", "z", "x secret"]}, 101) == [301]
+
+
+def test_siblings_and_ancestors(spark):
+    threads = {1: None, 2: 1, 3: 1, 4: 3, 5: None}
+    words = {1: ["a", "b", "late", "a"], 2: ["a", "b", "own2", "a"], 3: ["b", "own3"], 4: ["a", "own4", "b"], 5: ["a", "b"]}
+    assert copies(spark, threads, words, 201) == [101, 104, 401]  # any match in an ancestor, the replayed run elsewhere, unrelated ones never
+    assert copies(spark, threads, words, 102) == [202, 301]
+    assert copies(spark, threads, words, 402) == []
+
+
+def test_loops_and_absent_parents_end_the_walk(spark):
+    assert copies(spark, {1: 2, 2: 1}, {1: ["a", "c"], 2: ["b", "a"]}, 101) == [202]
+    assert copies(spark, {1: None, 2: 9}, {1: ["a"], 2: ["a"]}, 101) == []
+
+
+def test_all_parts_of_copied_lines_go(spark):
+    event, source = tables(spark, {1: None, 2: 1}, {1: ["a", "b"], 2: ["a", "c"]})
+    more = spark.createDataFrame([(250, 2, 1, 2, "user", "second part")], EVENT)
+    assert sorted(r.id for r in erase.plan_event(event.unionByName(more), source, 1, 1).collect()) == [101, 201, 250]
+
+
+def brute_copies(threads, words, at):
+    """The rule read from the description, one member after the other."""
+    def ancestors(i):
+        out, p = [], threads[i]
+        while p in threads and p not in [i, *out]:
+            out.append(p)
+            p = threads[p]
+        return out
+
+    def forks(i):
+        out, todo = set(), [i]
+        while todo:
+            new = [c for c, p in threads.items() if p in todo and c not in out and c != i]
+            out |= set(new)
+            todo = new
+        return out
+
+    i, k = divmod(at, 100)
+    word, up = words[i][k - 1], ancestors(i)
+    found = []
+    for m in (set(up) | set().union(*(forks(x) for x in [i, *up]))) - {i}:
+        known = {w for a in ancestors(m) for w in words[a]}
+        for n, w in enumerate(words[m], 1):
+            if m not in up and w not in known:
+                break
+            if w == word:
+                found.append(100 * m + n)
+    return sorted(found)
+
+
+def test_copies_equal_brute_force_on_random_families(spark):
+    import random
+
+    rng = random.Random(2)
+    threads = {i: rng.choice([None, *range(max(1, i - 4), i)]) if i > 1 else None for i in range(1, 25)}
+    threads[20], threads[21] = 21, 20
+    words = {i: [rng.choice("abc") for _ in range(rng.randrange(1, 5))] for i in threads}
+    event, source = tables(spark, threads, words)
+    asked = (101, 301, 801, 1501, 2001)
+    got = family.copies_of(event, source, event.where(f"id in {asked}")).collect()
+    assert sorted(r.id for r in got) == sorted(set().union(*(brute_copies(threads, words, at) for at in asked)))
+
+
+TOMB = "provider string, level string, session_root string, thread_id string, line long, line_sha256 string"
+
+
+def test_replays_that_would_leave_a_copy_are_refused_family_by_family(spark):
+    threads = {1: None, 2: 1, 3: None, 4: 3, 5: None, 6: 5, 7: 6, 8: 99, 9: 98, 10: None, 11: 10, 20: None}
+    words = {1: ["a", "b"], 2: ["a", "own"], 3: ["c"], 4: ["c", "d"], 5: ["a"], 6: ["b"], 7: ["c"], 8: ["d"], 9: ["e"], 10: ["f"], 11: ["f"], 20: ["a"]}
+    marks = [("line", None, "t1", 1), ("line", None, "t3", 1), ("line", None, "t4", 1), ("session", "s5", None, None), ("line", None, "t99", 1), ("line", None, "t98", 1), ("line", None, "t9", 1), ("line", None, "t10", 1), ("thread", None, "t11", None)]
+    event, source = tables(spark, threads, words)
+    told = spark.createDataFrame([("codex", *m, None) for m in marks], TOMB)
+    why = sorted(tuple(r) for r in family.uncovered(event, source, told).collect())
+    # 2 holds a copy that no tombstone names, 6 and 7 descend from an erased session, 8 from an erased line of a thread that is not there
+    assert why == [(2, "copy"), (6, "history"), (7, "history"), (8, "ancestor")]
+    refused = {r.source_id: r.refused for r in family.replayable(event, source, told).collect()}
+    assert refused == {1: True, 2: True, 3: False, 4: False, 5: True, 6: True, 7: True, 8: True, 9: False, 10: False, 11: False}
