@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import text as X
 from ledgerloom.operators.windows import merge_ranges
+from ledgerloom.shared import cut
+from ledgerloom.sources import lines
 
 HALVINGS = 16  # more than a list of one record can have
 RECALL_BYTES, RECALL_CAPS = 1500, (300, 200, 120, 100, 60, 1)
@@ -14,10 +20,53 @@ RECALL_OPEN, RECALL_CLOSE, FRAME_DELIMITER = '<recalled trust="untrusted-data">'
 STATES = ("queued", "running", "completed", "failed", "cancelled")
 
 
-def select_evidence(records: DataFrame, key: str, most_bytes: int, most_items: int) -> DataFrame:
-    """The leading records of each request that fit its read budget, in line order."""
-    w = Window.partitionBy(key).orderBy("line", "part").rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("_b", F.sum("bytes").over(w)).withColumn("_n", F.count("*").over(w)).where((F.col("_b") <= most_bytes) & (F.col("_n") <= most_items)).drop("_b", "_n")
+def select_evidence(records: DataFrame, key: str, most_bytes: int) -> DataFrame:
+    """records (key, line, part, bytes, ...) with `taken`: in line order, each that still fits its key's budget; what does not fit is skipped and the next is tried.
+
+    Whether a record fits depends on all before it, so a key's records stream through one task in their order: that is its
+    time, but never its memory. Records beyond the whole budget do not travel. Null sizes never fit.
+    """
+    rows = records.withColumn("_at", F.struct("line", "part", F.xxhash64(*records.columns)))
+    able = rows.where(F.col("bytes") <= most_bytes).select(F.col(key).alias("_key"), "line", "part", "_at", F.col("bytes").cast("long").alias("bytes"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = object(), 0
+        for batch in batches:
+            keep = []
+            for of, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if of != now:
+                    now, used = of, 0
+                keep.append(used + size <= most_bytes)
+                used += size if keep[-1] else 0
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["_key", "_at"])
+
+    kind = able.schema
+    order = able.where("_key is not null").repartition("_key").sortWithinPartitions("_key", "_at").select("_key", "bytes", "_at")
+    taken = order.mapInArrow(fold, T.StructType([kind["_key"], kind["_at"]])).withColumn("taken", F.lit(True))
+    both = rows.join(taken, (rows[key] == taken["_key"]) & (rows["_at"] == taken["_at"]), "left")
+    return both.select(*(rows[c] for c in records.columns), F.coalesce("taken", F.lit(False)).alias("taken"))
+
+
+def initial_evidence(records: DataFrame, windows: DataFrame, most_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(records taken, windows with bytes_used, truncated and problem) of review windows, read again from their files.
+
+    records: window_id, line, part, bytes, path, byte_offset, line_sha256; windows: window_id, boundary_line, boundary_hash. A
+    window is refused as a whole (problem evidence_changed, none of its records taken) if its last line is not what it was
+    or a record that fits is no longer at its place with its hash.
+    """
+    last = records.groupBy("window_id").agg(F.max("line").alias("_line"), F.max_by("line_sha256", "line").alias("_hash"))
+    judged = windows.join(last, "window_id", "left").withColumn("_same", F.coalesce((F.col("_line") == F.col("boundary_line")) & (F.col("_hash") == F.col("boundary_hash")), F.lit(False)))
+    chosen = cut(select_evidence(records, "window_id", most_bytes))
+    asked = chosen.where("taken").select("path", "byte_offset", F.col("line_sha256").alias("sha256")).distinct().withColumn("id", F.xxhash64("path", "byte_offset", "sha256"))
+    gone = lines.verified(asked).where("not intact").join(asked, "id").select("path", "byte_offset", F.col("sha256").alias("line_sha256"))
+    lost = chosen.where("taken").join(gone, ["path", "byte_offset", "line_sha256"], "left_semi").select("window_id", F.lit(True).alias("_lost")).distinct()
+    sums = chosen.groupBy("window_id").agg(F.coalesce(F.sum(F.when(F.col("taken"), F.col("bytes"))), F.lit(0)).alias("_used"), F.bool_or(~F.col("taken")).alias("_cut"))
+    told = judged.join(lost, "window_id", "left").join(sums, "window_id", "left")
+    problem = F.when(~F.col("_same") | F.col("_lost").isNotNull(), "evidence_changed")
+    good = problem.isNull()
+    summary = cut(told.select("window_id", F.when(good, F.coalesce("_used", F.lit(0))).otherwise(0).cast("long").alias("bytes_used"), (good & F.coalesce("_cut", F.lit(False))).alias("truncated"), problem.alias("problem")))
+    kept = chosen.where("taken").join(summary.where("problem is null").select("window_id"), "window_id", "left_semi").drop("taken")
+    return kept, summary
 
 
 def paired_replies(event: DataFrame) -> DataFrame:

@@ -147,6 +147,15 @@ def _by_level(d: Data) -> DataFrame:
     return whole.select("request_id").union(part.select("request_id")).distinct()
 
 
+FOLDED = """WITH RECURSIVE o AS (SELECT source_id, line, CAST(strlen(text) AS BIGINT) AS b, row_number() OVER (PARTITION BY source_id ORDER BY line) AS k FROM event),
+folded AS (SELECT DISTINCT source_id, CAST(0 AS BIGINT) AS line, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, false AS taken FROM event
+  UNION ALL SELECT o.source_id, o.line, o.k, CASE WHEN f.used + o.b <= 300 THEN f.used + o.b ELSE f.used END, f.used + o.b <= 300 FROM folded f JOIN o ON o.source_id = f.source_id AND o.k = f.k + 1)"""
+
+
+def _budgeted(d: Data) -> DataFrame:
+    return review.select_evidence(d.event.select("source_id", "line", "part", F.octet_length("text").alias("bytes")), "source_id", 300)
+
+
 def _reports(d: Data) -> tuple[DataFrame, DataFrame]:
     r = d.request.withColumn("key", F.col("owner"))
     return r.where("trigger = 'history'").select(F.col("request_id").alias("report_id"), "key", (F.col("created_at") + 150).alias("at")), r.where("trigger = 'live'").select("request_id", "key", "created_at")
@@ -408,7 +417,8 @@ query("snk07_table_digest", lambda d: stats.table_digest(d.part.select("p_partke
 query("doctor", lambda d: stats.doctor(d.event, d.source, 3), "SELECT 'missing_sources' AS name, 'warning' AS level, count(*) = 0 AS ok, count(*) AS n FROM source WHERE status = 'missing' UNION ALL SELECT 'other_threads', 'info', count(*) = 0, count(*) FROM source WHERE thread_class NOT IN ('primary', 'subagent') UNION ALL SELECT 'reread_pending', 'warning', count(*) = 0, count(*) FROM source WHERE status = 'active' AND classifier_version < 3 UNION ALL SELECT 'orphan_events', 'error', true, 0 UNION ALL SELECT 'skipped_lines', 'info', count(*) = 0, count(*) FROM source WHERE skipped_lines > 0", "source")
 
 # Review work
-query("knw27_evidence_budget", lambda d: review.select_evidence(d.event.select("source_id", "line", "part", F.octet_length("text").alias("bytes")), "source_id", 1500, 4).select("source_id", "line"), "SELECT source_id, line FROM (SELECT source_id, line, sum(strlen(text)) OVER (PARTITION BY source_id ORDER BY line) AS b, count(*) OVER (PARTITION BY source_id ORDER BY line) AS n FROM event) WHERE b <= 1500 AND n <= 4", "event")
+query("knw27_evidence_budget", lambda d: _budgeted(d).where("taken").select("source_id", "line"), f"{FOLDED} SELECT source_id, line FROM folded WHERE taken", "event")
+query("knw27_truncated", lambda d: _budgeted(d).groupBy("source_id").agg(F.coalesce(F.sum(F.when(F.col("taken"), F.col("bytes"))), F.lit(0)).alias("bytes_used"), F.bool_or(~F.col("taken")).alias("truncated")), f"{FOLDED} SELECT source_id, max(used) AS bytes_used, bool_or(NOT taken) AS truncated FROM folded WHERE k > 0 GROUP BY 1", "event")
 query("knw29_paired_replies", lambda d: review.paired_replies(d.event), "SELECT source_id, id AS prompt_id, reply_id FROM (SELECT source_id, id, kind, lead(kind) OVER w AS k, lead(id) OVER w AS reply_id FROM event WINDOW w AS (PARTITION BY source_id ORDER BY line)) WHERE kind = 'prompt' AND k = 'reply'", "event")
 query("knw16_candidate_digest", lambda d: d.version.select("knowledge_id", "revision", review.candidate_digest(F.col("project"), F.col("task"), F.col("content")).alias("digest")), "SELECT knowledge_id, revision, sha256(concat(strlen(project), ':', project, '|', CASE WHEN task IS NULL THEN '-' ELSE concat(strlen(task), ':', task) END, '|', strlen(content), ':', content)) AS digest FROM version", "version")
 query("knw16_decided", lambda d: review.decided(*_candidates(d)), "WITH c AS (SELECT p_partkey AS candidate_id, p_size AS digest FROM part WHERE p_partkey % 2 = 0), v AS (SELECT l_partkey AS candidate_id, CAST(l_linenumber * 7 AS INT) AS digest, CASE WHEN l_returnflag = 'R' THEN 'reject' ELSE 'accept' END AS verdict, l_orderkey AS o FROM lineitem), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY o, verdict, digest) AS k FROM v) WHERE k = 1) SELECT c.candidate_id, CASE WHEN verdict IS NULL THEN 'open' WHEN f.digest <> c.digest THEN 'stale' ELSE verdict END AS outcome FROM c LEFT JOIN f USING (candidate_id)")

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import review
 from ledgerloom.plans.fixtures import Data
 from ledgerloom.shared import shared_dir
 from ledgerloom.sources import lines, records
@@ -97,6 +98,16 @@ def verified(d: Data) -> DataFrame:
     return lines.verified(rows.select((F.col("file") * 1000 + F.col("line")).alias("id"), "path", "byte_offset", sha.alias("sha256")))
 
 
+def revalidated(d: Data) -> DataFrame:
+    """Files as windows of their lines: every third one's boundary is another, every fourth one holds a record that changed."""
+    rows = raw_lines(d)
+    end = rows.groupBy("file").agg(F.max("line").alias("boundary_line"), F.max_by(F.sha2("raw", 256), "line").alias("boundary_hash"))
+    windows = end.select(F.col("file").alias("window_id"), "boundary_line", F.when(F.col("file") % 3 == 0, F.lit("other")).otherwise(F.col("boundary_hash")).alias("boundary_hash"))
+    sha = F.when((F.col("file") % 4 == 0) & (F.col("line") == 1), F.sha2(F.lit("other"), 256)).otherwise(F.sha2("raw", 256))
+    records = rows.select(F.col("file").alias("window_id"), "line", F.lit(1).alias("part"), F.octet_length("raw").alias("bytes"), "path", "byte_offset", sha.alias("line_sha256"))
+    return review.initial_evidence(records, windows, 60)[1]
+
+
 def call_log(d: Data) -> DataFrame:
     return records.call_log(d.spark, [folder(d, "log", LOG)]).groupBy("cmd", "actor").agg(F.count("*").alias("n"))
 
@@ -126,6 +137,14 @@ def register(query) -> None:
     query("src04_codex_events", lambda d: _file(records.codex_events(rollout(d))).select("file", "line", "kind", "cwd", "parent_line"), _EVENTS)
     query("src06_cursor_events", cursor, "SELECT row_number() OVER (ORDER BY turn DESC) AS line, CASE role WHEN 'assistant' THEN 'reply' ELSE 'prompt' END AS kind, concat('say ', turn) AS text FROM conversations WHERE conv_id = 3")
     query("src07_call_log", call_log, "SELECT event_type AS cmd, concat('a-', user_id % 5) AS actor, count(*) AS n FROM events WHERE event_id % 13 <> 0 GROUP BY 1, 2")
+    query(
+        "knw27_revalidated", revalidated,
+        f"""WITH RECURSIVE f AS ({RAW}), {PLACED}, s AS (SELECT file, line, CAST(strlen(value) AS BIGINT) AS b FROM p),
+        folded AS (SELECT DISTINCT file, CAST(0 AS BIGINT) AS line, CAST(0 AS BIGINT) AS used, true AS taken FROM f
+          UNION ALL SELECT s.file, s.line, CASE WHEN d.used + s.b <= 60 THEN d.used + s.b ELSE d.used END, d.used + s.b <= 60 FROM folded d JOIN s ON s.file = d.file AND s.line = d.line + 1),
+        w AS (SELECT file, max(used) AS used, bool_or(NOT taken) AS cut, max(line) AS n, file % 3 = 0 OR file % 4 = 0 AND bool_or(taken AND line = 1) OR file % 4 = 0 AND max(line) = 1 AS bad FROM folded GROUP BY 1)
+        SELECT file AS window_id, CASE WHEN bad THEN 0 ELSE used END AS bytes_used, NOT bad AND cut AS truncated, CASE WHEN bad THEN 'evidence_changed' END AS problem FROM w""",
+    )
     query("src10_verified", verified, f"WITH f AS ({RAW}), {PLACED} SELECT file * 1000 + line AS id, line % 3 <> 0 AS intact FROM p")
     query("scl08_thread_class", lambda d: threads(d).select("thread_id", "thread_class", "class_reason"), f"SELECT DISTINCT concat('thr-', conv_id) AS thread_id, CASE {_CLASS} WHEN 'user' THEN 'primary' WHEN 'subagent' THEN 'subagent' ELSE 'reviewer' END AS thread_class, concat('thread_source=', {_CLASS}) AS class_reason FROM conversations")
     stored = lambda d: passes(d)[0].events().select(F.substr("thread_id", F.lit(5)).cast("long").alias("file"), "line", "kind", "cwd", "parent_line")

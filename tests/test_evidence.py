@@ -49,3 +49,42 @@ def test_selectors(spark):
     df = spark.createDataFrame([(i, "p", line, 1, pointer, a, b) for i, line, pointer, a, b in asked], "id int, path string, line long, part int, pointer string, start int, end int")
     got = {r.id: (r.problem, r.excerpt) for r in records.selected_evidence(found, df).collect()}
     assert got == {1: (None, "words"), 2: ("forbidden_selector", None), 3: ("invalid_span", None), 4: ("invalid_span", None), 5: ("redacted_span", None), 6: (None, "token=[redacted:secret] x"), 7: ("empty_evidence", None), 8: (None, "some words")}
+
+
+def test_what_does_not_fit_is_skipped_and_the_next_is_tried(spark):
+    import random
+
+    from ledgerloom.operators import review
+
+    rng = random.Random(9)
+    rows = [("a", 1, 1, 100), ("a", 2, 1, 2000), ("a", 3, 1, 100), ("b", 1, 1, None), ("b", 1, 2, 1500), (None, 1, 1, 5), ("d", 1, 1, 1501)]
+    rows += [("c", k, p, rng.randrange(1, 600)) for k in range(300) for p in (1, 2)]
+    want, used = set(), {}
+    for key, line, part, size in rows:
+        if key and size is not None and used.get(key, 0) + size <= 1500:
+            used[key] = used.get(key, 0) + size
+            want.add((key, line, part))
+    df = spark.createDataFrame(rows, "k string, line long, part int, bytes long").repartition(5)
+    got = review.select_evidence(df, "k", 1500).collect()
+    assert len(got) == len(rows) and {(r.k, r.line, r.part) for r in got if r.taken} == want
+    assert review.select_evidence(df.limit(0), "k", 1500).collect() == []
+
+
+def test_changed_files_are_refused_window_by_window(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from test_sources import put
+
+    from ledgerloom.operators import review
+    from ledgerloom.sources import lines
+
+    for name in "abc":
+        put(tmp_path / f"{name}.jsonl", *({"n": k, "pad": "x" * (500 if k == 1 else 5)} for k in range(4)))
+    rows = lines.numbered(spark, str(tmp_path)).withColumn("window_id", F.substring(F.element_at(F.split("path", "/"), -1), 1, 1))
+    records = rows.select("window_id", "line", F.lit(1).alias("part"), F.octet_length("raw").alias("bytes"), "path", "byte_offset", F.sha2("raw", 256).alias("line_sha256")).collect()
+    records = spark.createDataFrame(records)
+    windows = spark.createDataFrame([(r.window_id, r.line, "other" if r.window_id == "c" else r.line_sha256) for r in records.where("line = 4").collect()], "window_id string, boundary_line long, boundary_hash string")
+    text = (tmp_path / "b.jsonl").read_text()
+    (tmp_path / "b.jsonl").write_text(text.replace('"n": 2', '"n": 7'))
+    kept, told = review.initial_evidence(records, windows, 100)
+    assert {r.window_id: (r.bytes_used > 0, r.truncated, r.problem) for r in told.collect()} == {"a": (True, True, None), "b": (False, False, "evidence_changed"), "c": (False, False, "evidence_changed")}
+    assert sorted((r.window_id, r.line) for r in kept.collect()) == [("a", 1), ("a", 3), ("a", 4)]
