@@ -38,11 +38,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, secrets in the text replaced by a mark and n_chars counted anew; null texts stay null, rows with equal texts are masked alike."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # no name of docs can clash
+    rows = docs.select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), "text")  # no name of docs can clash
     found = secrets.scanned(rows)
     masked = found.select("row", secrets.redacted(F.col("text"), F.col("spans")).alias("masked"), (F.size("spans") > 0).alias("changed"))
     new = {"text": F.col("masked"), "n_chars": F.when(F.col("changed"), F.char_length("masked").cast("long")).otherwise(F.col("row.n_chars"))}
-    return masked.select(*(new.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns))
+    return masked.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

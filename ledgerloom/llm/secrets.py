@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.common import shared_dir, table
+from ledgerloom.llm.common import cut, shared_dir, table
 
 
 @dataclass(frozen=True)
@@ -54,15 +54,16 @@ BASE_RULES = (
     Rule("access", "AKIA[A-Z0-9]{16,}"),
     Rule("hex", "[0-9a-f]{24,}"),
 )
-# The opening line of a private key, three dotted parts of base64 of which two open like JSON, and a forge's token prefixes.
-_OPENS, _PART = "eyJ[A-Za-z0-9_-]{8,}", "[A-Za-z0-9_-]{8,}"
+# The opening line of a private key and a forge's token prefixes. A web token is, by its public format, base64url of a
+# JSON header, of a JSON payload ('{"' opens them: eyJ) and of a signature of 16 bytes or more; {"alg":"x"} and {"a":1} are the least.
 MORE_RULES = (
     Rule("pem", "-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----"),
-    Rule("jwt", "\\.".join((_OPENS, _OPENS, _PART))),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{12,}\\.eyJ[A-Za-z0-9_-]{7,}\\.[A-Za-z0-9_-]{22,}"),
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 RULES = BASE_RULES + MORE_RULES
 SALTS = 16
+MOST_TOLD = 10_000  # identifiers of 64 characters that are broadcast
 SPAN = "struct<start:long,rank:int,end:long,kind:string,version:int>"
 LEDGER = f"blob string, rules array<string>, spans array<{SPAN}>"
 RUN, PIECE = 512, 4_096  # matches, and characters of a text, that one pass over a growing value handles
@@ -115,10 +116,23 @@ def open_ledger(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def record(versions: DataFrame, folder: str, content: str = "content", rules: tuple[Rule, ...] | None = None) -> DataFrame:
-    """Scans what the ledger in folder lacks of these versions and rules, appends it there, and returns the ledger."""
-    spark = versions.sparkSession
+    """Scans what the ledger in folder lacks of these versions and rules, appends it there, and returns the ledger.
+
+    The ledger is asked with identifiers alone. Up to MOST_TOLD missing blobs are told to all tasks, so that only their
+    contents travel; more of them find their contents in a join.
+    """
+    spark, rules = versions.sparkSession, rules or RULES
     known = open_ledger(spark, folder)
-    scan(distinct_blobs(versions, content), known, rules or RULES).write.mode("append").parquet(folder)
+    has = known.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("_seen"))
+    wanted = F.array(*(F.lit(r.key) for r in rules))
+    text = F.coalesce(F.col(content).cast("string"), F.lit(""))
+    ids = versions.select(blob_id(text).alias("blob")).distinct()
+    lacking = cut(ids.join(has, "blob", "left").where(F.size(F.array_except(wanted, F.coalesce("_seen", F.array().cast("array<string>")))) > 0).select("blob"))
+    n = lacking.count()
+    if n:
+        blobs = versions.select(text.alias("content")).withColumn("blob", blob_id(F.col("content")))
+        told = blobs.join(F.broadcast(lacking) if n <= MOST_TOLD else lacking.hint("merge"), "blob", "left_semi")
+        scan(distinct_blobs(told, "content"), known, rules).write.mode("append").parquet(folder)
     return spark.read.schema(LEDGER).parquet(folder)
 
 
@@ -210,7 +224,10 @@ def op4_blob_ledger_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = findings(docs, record(docs, folder, "text"), "text")
     base = F.filter("spans", lambda s: F.array_contains(F.array(*(F.lit(r.kind) for r in BASE_RULES)), s["kind"]))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    out = cut(found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
 
 
 def _sql(rules: tuple[Rule, ...]) -> str:

@@ -53,5 +53,7 @@ def test_rows_of_one_document_and_odd_columns(spark):
     df = docs(spark, [(1, "b " * 30), (1, "a " * 30), (2, None), (2, "x"), (None, "y")]).withColumn("k", F.lit(5)).withColumn("row", F.lit("r"))
     left = corpus_pipeline.drop_near_copies(spark, df, SF)
     assert rows(left.select("doc_id", "text")) == sorted([(1, "a " * 30), (2, None), (None, "y")], key=repr) and left.columns == df.columns
+    dotted = corpus_pipeline.mask_secrets(spark, df.withColumn("a.b", F.lit(3)), SF)
+    assert dotted.columns == [*df.columns, "a.b"] and {r[0] for r in dotted.select("`a.b`").collect()} == {3}
     masked = corpus_pipeline.mask_secrets(spark, df.withColumn("m", F.create_map(F.lit("a"), F.lit(1))).withColumn("spans", F.lit(1)), SF)
     assert masked.count() == 5 and masked.columns == [*df.columns, "m", "spans"]

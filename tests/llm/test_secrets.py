@@ -92,3 +92,27 @@ def test_long_texts_with_many_secrets(spark):
     found = secrets.scanned(docs(spark, [(1, text), (2, "token=" + "x" * 9_000 + " z")]))
     got = {r.doc_id: (r.t, len(r.spans)) for r in found.select("doc_id", "spans", secrets.redacted(found["text"], found["spans"]).alias("t")).collect()}
     assert got == {1: (re.sub(r"token=\d{8}", "[redacted]", text), 6_000), 2: ("[redacted] z", 1)}
+
+
+def test_a_ledger_table_scans_only_what_it_lacks(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/ledger"
+    first = docs(spark, [(1, TEXTS[0]), (2, TEXTS[1]), (3, TEXTS[0]), (4, None)])
+    assert secrets.record(first, folder, "text", secrets.BASE_RULES).count() == 3
+    assert secrets.record(first, folder, "text", secrets.BASE_RULES).count() == 3  # nothing is lacking
+    more = first.unionByName(docs(spark, [(5, "password=abcdefgh"), (6, "password=abcdefgh")]))
+    assert secrets.record(more, folder, "text", secrets.BASE_RULES).count() == 4
+    monkeypatch.setattr(secrets, "MOST_TOLD", 0)  # contents are found in a join
+    every = secrets.record(more, folder, "text")
+    assert every.count() == 8 and {len(r.rules) for r in every.collect()} == {3}
+    found = {r.doc_id: [s.kind for s in r.spans] for r in secrets.findings(more, every, "text").collect()}
+    assert found[5] == found[6] == ["assign"] and found[1] == found[3] and found[4] == []
+
+
+def test_web_tokens_have_the_lengths_of_their_format(spark):
+    import base64
+
+    part = lambda b: base64.urlsafe_b64encode(b).decode().rstrip("=")
+    head, body, sign = part(b'{"alg":"HS256"}'), part(b'{"sub":"7"}'), part(bytes(range(32)))
+    df = docs(spark, [(1, f"a {head}.{body}.{sign} b"), (2, f"{head}.{body}"), (3, f"{head}.{body}.short"), (4, f"{part(b'{}')}.{body}.{sign}")])
+    got = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scanned(df).collect()}
+    assert got == {1: ["jwt"], 2: [], 3: [], 4: []}
