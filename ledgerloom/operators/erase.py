@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.errors import QueryError
 from ledgerloom.functions import text as X
 from ledgerloom.operators import family, lineage
+from ledgerloom.sources import lines
 
 LEAST_MATCH, NEEDLES, LEAST_NEEDLE, NEEDLE_BYTES, RARE = 4, 50, 12, 48, 3
 TOMB = ["provider", "level", "session_root", "thread_id", "line", "line_sha256"]
@@ -93,6 +96,13 @@ def survivors(kept: DataFrame, needle: DataFrame) -> DataFrame:
     return kept.join(F.broadcast(needle), F.contains(kept["text"], needle["needle"]), "left_semi")
 
 
+def residue(spark: SparkSession, folder: str, needle: DataFrame, **how) -> DataFrame:
+    """(path, needle, at) of needles that files below a folder still hold, as they are and as JSON writes them; at most NEEDLES go to the driver."""
+    plain = [r["needle"] for r in needle.limit(NEEDLES).collect()]
+    # within a JSON string quotes, breaks and, in some writers, all but ASCII are escaped
+    return lines.holding(spark, folder, sorted({form for n in plain for form in (n, json.dumps(n)[1:-1], json.dumps(n, ensure_ascii=False)[1:-1])}), **how)
+
+
 def rare_terms(index: DataFrame, doomed: DataFrame) -> DataFrame:
     """Terms in at most RARE erased events and in no other: they must vanish from the vocabulary."""
     pairs = index.select("id", "term").distinct()

@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import review
+from ledgerloom.operators import erase, review
 from ledgerloom.plans.fixtures import Data
 from ledgerloom.shared import shared_dir
 from ledgerloom.sources import lines, records
@@ -108,6 +108,12 @@ def revalidated(d: Data) -> DataFrame:
     return review.initial_evidence(records, windows, 60)[1]
 
 
+def held(d: Data) -> DataFrame:
+    """Where the files of the rollouts hold three needles, read in ranges much shorter than a file."""
+    needle = d.spark.createDataFrame([("say 1",), ("exited with code 1",), ('"role":"assistant"',)], "needle string")
+    return _file(erase.residue(d.spark, folder(d, "rollout", ROLLOUT), needle, range_bytes=300)).groupBy("file", "needle").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+
+
 def call_log(d: Data) -> DataFrame:
     return records.call_log(d.spark, [folder(d, "log", LOG)]).groupBy("cmd", "actor").agg(F.count("*").alias("n"))
 
@@ -145,6 +151,8 @@ def register(query) -> None:
         w AS (SELECT file, max(used) AS used, bool_or(NOT taken) AS cut, max(line) AS n, file % 3 = 0 OR file % 4 = 0 AND bool_or(taken AND line = 1) OR file % 4 = 0 AND max(line) = 1 AS bad FROM folded GROUP BY 1)
         SELECT file AS window_id, CASE WHEN bad THEN 0 ELSE used END AS bytes_used, NOT bad AND cut AS truncated, CASE WHEN bad THEN 'evidence_changed' END AS problem FROM w""",
     )
+    query("era09_files", held, f"""WITH f AS ({ROLLOUT}), {PLACED}, n AS (SELECT unnest(['say 1', 'exited with code 1', '"role":"assistant"']) AS needle),
+        h AS (SELECT file, needle, next_offset - strlen(value) - 1 + instr(value, needle) - 1 AS pos FROM p, n WHERE contains(value, needle)) SELECT file, needle, count(*) AS n, min(pos) AS first FROM h GROUP BY 1, 2""")
     query("src10_verified", verified, f"WITH f AS ({RAW}), {PLACED} SELECT file * 1000 + line AS id, line % 3 <> 0 AS intact FROM p")
     query("scl08_thread_class", lambda d: threads(d).select("thread_id", "thread_class", "class_reason"), f"SELECT DISTINCT concat('thr-', conv_id) AS thread_id, CASE {_CLASS} WHEN 'user' THEN 'primary' WHEN 'subagent' THEN 'subagent' ELSE 'reviewer' END AS thread_class, concat('thread_source=', {_CLASS}) AS class_reason FROM conversations")
     stored = lambda d: passes(d)[0].events().select(F.substr("thread_id", F.lit(5)).cast("long").alias("file"), "line", "kind", "cwd", "parent_line")

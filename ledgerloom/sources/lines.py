@@ -258,6 +258,42 @@ def verified(hits, key: str = "id"):
     return hits.select(key, "path", "byte_offset", "sha256").mapInArrow(run, f"{key} long, intact boolean")
 
 
+def holding(spark, folder: str, needles: list[str], range_bytes: int = 128 << 20, suffix: str = "", prefix: str = ""):
+    """(path, needle, at) of every place where a file below a folder holds one of at most a few dozen needles, as UTF-8.
+
+    Files are read in ranges, each with as many bytes of the next as the longest needle could reach into it, and in blocks
+    within a range, so memory does not depend on the file; an occurrence belongs to the range that it starts in.
+    """
+    wanted = sorted({n.encode() for n in needles if n})
+    parts = [(p, at, min(at + range_bytes, size)) for p, size in discover(folder, suffix, prefix) for at in range(0, size, range_bytes)]
+    ranges = spark.createDataFrame(parts, "path string, start long, end long").repartition(max(1, min(len(parts), 10_000)), "path", "start")
+    over = max(map(len, wanted), default=1) - 1
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                system, name = _fs(path)
+                with system.open_input_file(name) as f:
+                    f.seek(start)
+                    held, at = b"", start  # held begins at `at`; occurrences that start before the last `over` bytes are whole
+                    while True:
+                        block = f.read(max(0, min(READ, end + over - at - len(held))))
+                        held += block
+                        stop = min(len(held) - over, end - at) if block else end - at
+                        for needle in wanted:
+                            k = held.find(needle)
+                            while 0 <= k < stop:
+                                out.append((path, needle.decode(), at + k))
+                                k = held.find(needle, k + 1)
+                        if not block or at + stop >= end:
+                            break
+                        held, at = held[max(stop, 0) :], at + max(stop, 0)
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["path", "needle", "at"])
+
+    return ranges.mapInArrow(run, "path string, needle string, at long")
+
+
 def heartbeat(path: str, most_bytes: int = 16_384) -> dict:
     """A small JSON status object; {} if it is missing, too large or no object."""
     system, name = _fs(path)

@@ -327,6 +327,19 @@ def to_parquet(stream: DataFrame, folder: str, checkpoint: str, once: bool = Tru
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="60 seconds")).start()
 
 
+def poll(store: Store, folder: str, checkpoint: str, seconds: int = 60, once: bool = False, **options):
+    """A streaming query whose trigger runs a pass over the folder every so many seconds, or once.
+
+    Its own rows are ticks without content. A pass commits events, cursors and open lines together, so a batch that is
+    repeated after a failure finds what its first run committed and adds nothing twice; a pass that died left no marker.
+    """
+    ticks = store.spark.readStream.format("rate").option("rowsPerSecond", 1).option("numPartitions", 1).load()
+    if once:  # a rate source has nothing to give at its first moment
+        ticks = store.spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
+    writer = ticks.writeStream.foreachBatch(lambda _, number: run_pass(store, folder, **options)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(once=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
 def merged(old: DataFrame, new: DataFrame, keys: list[str], changed: list[str]) -> DataFrame:
     """Upsert: new rows replace old ones of the same key; `changed` columns come from new, the rest is kept."""
     o, n = old.alias("o"), new.alias("n")
