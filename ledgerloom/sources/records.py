@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerloom.functions import text as X
+from ledgerloom.shared import cut
 
 MOST_DEPTH = 1000
 BLOCKS = "array<struct<type:string,text:string,name:string,id:string,input:string,tool_use_id:string,content:string,is_error:boolean>>"
@@ -99,9 +100,10 @@ def codex_events(lines: DataFrame) -> DataFrame:
     messages = items.where("type = 'message' and role in ('user', 'assistant')").select("path", "line", F.lit(1).alias("part"), "seq", "ts", "role", F.when(F.col("role") == "assistant", "reply").otherwise(user_kind(tag, F.col("thread_class"))).alias("kind"), tag.alias("tag"), "cwd", F.lit(None).cast("string").alias("call_id"), text.alias("text")).where("trim(text) != ''")
     name = F.coalesce(F.nullif("name", F.lit("")), F.lit("unknown"))
     body = F.when(F.col("type") == "function_call", F.col("arguments")).otherwise(F.col("input"))
-    calls = items.where("type in ('function_call', 'custom_tool_call')").select("path", "line", F.lit(1).alias("part"), "seq", "ts", F.lit("assistant").alias("role"), F.lit("tool_call").alias("kind"), name.alias("tag"), "cwd", "call_id", F.concat(name, F.lit(": "), F.coalesce(body, F.lit("null"))).alias("text"))
+    owners = exec_owners(*codex_tools(rows))
+    calls = items.where("type in ('function_call', 'custom_tool_call')").where(~name.isin(*WAIT_TOOLS)).select("path", "line", F.lit(1).alias("part"), "seq", "ts", F.lit("assistant").alias("role"), F.lit("tool_call").alias("kind"), name.alias("tag"), "cwd", "call_id", F.concat(name, F.lit(": "), F.coalesce(body, F.lit("null"))).alias("text"))
     outputs = items.where("type in ('function_call_output', 'custom_tool_call_output')").select("path", "line", F.lit(1).alias("part"), "seq", "ts", "cwd", "call_id", _text_of(F.col("output")).alias("text"))
-    return messages.unionByName(calls).unionByName(tool_errors(calls, outputs.where(X.is_error_text(F.col("text")))), allowMissingColumns=True).select(*EVENT)
+    return messages.unionByName(calls).unionByName(tool_errors(calls, _with_owner(outputs.where(X.is_error_text(F.col("text"))), owners)), allowMissingColumns=True).select(*EVENT)
 
 
 def tool_errors(calls: DataFrame, outputs: DataFrame) -> DataFrame:
@@ -113,8 +115,62 @@ def tool_errors(calls: DataFrame, outputs: DataFrame) -> DataFrame:
     )
 
 
+# Tools whose calls wait for others and are no events, and how an output tells that its exec cell goes on.
+WAIT_TOOLS = ("wait", "wait_agent", "list_agents", "interrupt_agent", "sleep")
+RUNNING = r"\AScript running with cell ID (\S+)"
+
+
+def codex_tools(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, outputs) of rollout rows (path, line, r): path, line and call_id, with the name and the cell a call waits for, or the cell an output leaves running."""
+    items = rows.where("r.type = 'response_item' and r.payload.call_id is not null").select("path", "line", *(f"r.payload.{c}" for c in ("type", "name", "arguments", "input", "call_id", "output")))
+    body = F.when(F.col("type") == "function_call", F.col("arguments")).otherwise(F.col("input"))
+    cell = F.when(F.col("name") == "wait", F.nullif(F.get_json_object(body, "$.cell_id"), F.lit("")))
+    calls = items.where("type in ('function_call', 'custom_tool_call')").select("path", "line", "call_id", "name", cell.alias("cell"))
+    running = F.nullif(F.regexp_extract(_text_of(F.col("output")), RUNNING, 1), F.lit(""))
+    return calls, items.where("type in ('function_call_output', 'custom_tool_call_output')").select("path", "line", "call_id", running.alias("cell"))
+
+
+def exec_owners(calls: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(path, call_id, owner) of waits for an exec cell: the call that started what they wait for.
+
+    An output that leaves a cell running hands it to the next wait for that cell, whose output may do so again. So a wait
+    points to the call of the output right before it along its cell; these pointers are followed by joins that
+    double their reach. A wait that nothing hands its cell to has no owner.
+    """
+    along = cut(calls.where("cell is not null").select("path", "cell", "line", "call_id", F.lit(True).alias("waits")).unionByName(outputs.where("cell is not null").select("path", "cell", "line", "call_id", F.lit(False).alias("waits"))))
+    w = Window.partitionBy("path", "cell").orderBy("line", "waits", "call_id")
+    handed = along.withColumn("_id", F.lag("call_id").over(w)).withColumn("_w", F.lag("waits").over(w)).where("waits and not _w").select("path", "call_id", F.col("_id").alias("owner"), "line")
+    up = cut(handed.where("call_id != owner").groupBy("path", "call_id").agg(F.min_by("owner", "line").alias("owner")))
+    names = calls.groupBy("path", "call_id").agg(F.min_by("name", "line").alias("name"))
+    for _ in range(64):  # reach doubles: no file is longer
+        above = up.select("path", F.col("call_id").alias("owner"), F.col("owner").alias("_up"))
+        if not up.join(above, ["path", "owner"], "left_semi").take(1):
+            break
+        up = cut(up.join(above, ["path", "owner"], "left").where("_up is null or _up != call_id").select("path", "call_id", F.coalesce("_up", "owner").alias("owner")))
+    started = names.where(~F.coalesce(F.col("name"), F.lit("")).isin(*WAIT_TOOLS)).select("path", F.col("call_id").alias("owner"))
+    return up.join(started, ["path", "owner"], "left_semi").select("path", "call_id", "owner")
+
+
+def _with_owner(outputs: DataFrame, owners: DataFrame) -> DataFrame:
+    """Outputs of waits as outputs of the call that owns the cell."""
+    told = outputs.join(owners, ["path", "call_id"], "left")
+    return told.withColumn("call_id", F.coalesce("owner", "call_id")).select(*outputs.columns)
+
+
+def open_chains(rows: DataFrame) -> DataFrame:
+    """(path, line) of the calls and outputs of exec cells that later waits, or later outputs of waits, may belong to."""
+    calls, outputs = (cut(df) for df in codex_tools(rows))
+    owners = cut(exec_owners(calls, outputs))
+    of = lambda df: df.join(owners, ["path", "call_id"], "left").select("path", "line", "call_id", "cell", F.coalesce("owner", "call_id").alias("owner"))
+    last = Window.partitionBy("path", "cell").orderBy(F.desc("line"))
+    both = of(calls).withColumn("out", F.lit(False)).unionByName(of(outputs).withColumn("out", F.lit(True)))
+    running = both.where("cell is not null").withColumn("_k", F.row_number().over(last)).where("_k = 1 and out").select("path", "owner")
+    unanswered = of(calls.join(outputs.select("path", "call_id"), ["path", "call_id"], "left_anti")).join(owners.select("path", "call_id"), ["path", "call_id"], "left_semi").select("path", "owner")
+    return both.join(running.unionByName(unanswered).distinct(), ["path", "owner"], "left_semi").select("path", "line").distinct()
+
+
 def open_lines(lines: DataFrame, provider: str) -> DataFrame:
-    """The lines (path, line, json) that lines still to come may refer to: the first, the last that tells a directory, and calls without an output."""
+    """The lines (path, line, json) that lines still to come may refer to: the first, the last that tells a directory, calls without an output, and exec cells that still run."""
     text = F.col("json")
     at = lambda path: F.get_json_object(text, path)
     if provider == "codex":
@@ -132,7 +188,10 @@ def open_lines(lines: DataFrame, provider: str) -> DataFrame:
     waiting = rows.select("path", "line", F.explode("called").alias("call_id")).join(done, ["path", "call_id"], "left_anti").select("path", "line")
     last = rows.where("given").groupBy("path").agg(F.max("line").alias("line"))
     first = rows.where("line = 1").select("path", "line")
-    return rows.select("path", "line", "json").join(waiting.union(last).union(first).distinct(), ["path", "line"], "left_semi")
+    keep = waiting.union(last).union(first)
+    if provider == "codex":
+        keep = keep.union(open_chains(lines.where("json is not null").select("path", "line", F.from_json("json", CODEX).alias("r"))))
+    return rows.select("path", "line", "json").join(keep.distinct(), ["path", "line"], "left_semi")
 
 
 def claude_threads(rows: DataFrame) -> DataFrame:

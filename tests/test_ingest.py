@@ -142,3 +142,33 @@ def test_open_lines_are_those_that_later_ones_may_need(spark, tmp_path):
     lines.register(spark)
     rows = records.decoded(spark.read.format("transcript_lines").option("path", str(tmp_path)).load())
     assert sorted(r.line for r in records.open_lines(rows, "codex").collect()) == [1, 4, 7]
+
+
+def running(ordinal, call_id, cell):
+    return item(ordinal, type="function_call_output", call_id=call_id, output=f"Script running with cell ID {cell}\nso far")
+
+
+def wait(ordinal, call_id, cell):
+    return item(ordinal, type="function_call", name="wait", arguments=json.dumps({"cell_id": cell}), call_id=call_id)
+
+
+CELLS = [
+    meta(), item(1, type="custom_tool_call", name="exec", input="build it", call_id="x1"), running(2, "x1", "7"), item(3, type="custom_tool_call", name="exec", input="other", call_id="x2"), running(4, "x2", "8"),
+    wait(5, "w1", "7"), running(6, "w1", "9"), wait(7, "w2", "9"), wait(8, "w3", "8"), running(9, "w2", "9"), wait(10, "w4", "9"), item(11, type="function_call_output", call_id="w4", output="Process exited with code 3"),
+    item(12, type="function_call_output", call_id="w3", output="fine"), wait(13, "w5", "9"), item(14, type="function_call_output", call_id="w5", output="Process exited with code 4"), wait(15, "w6", "none"), item(16, type="function_call_output", call_id="w6", output="Process exited with code 5"),
+]
+
+
+def test_an_exec_cells_output_belongs_to_its_call_over_all_passes(spark, tmp_path):
+    want = [(2, "tool_call", "exec", "x1", -1), (4, "tool_call", "exec", "x2", -1), (12, "tool_error", "exec", "x1", 2)]  # a cell is handed on once, so w5 has none
+    store, at = ingest.Store(spark, str(tmp_path / "store")), 0
+    for stop in (3, 7, 10, len(CELLS)):  # the failing output comes three passes after its call
+        put(tmp_path / "in" / "rollout-1.jsonl", *CELLS[at:stop])
+        at = stop
+        modes(store, tmp_path / "in")
+    got = [(r.line, r.kind, r.tag, r.call_id, r.parent_line if r.parent_line is not None else -1) for r in store.events().orderBy("line").collect()]
+    assert got == want
+    assert {r.line for r in store.open_lines().collect()} == {1}  # nothing runs any more
+    whole = ingest.Store(spark, str(tmp_path / "whole"))
+    modes(whole, tmp_path / "in")
+    assert events(whole) == events(store)
