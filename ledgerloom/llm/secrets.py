@@ -130,9 +130,12 @@ def record(versions: DataFrame, folder: str, content: str = "content", rules: tu
     lacking = cut(ids.join(has, "blob", "left").where(F.size(F.array_except(wanted, F.coalesce("_seen", F.array().cast("array<string>")))) > 0).select("blob"))
     n = lacking.count()
     if n:
-        blobs = versions.select(text.alias("content")).withColumn("blob", blob_id(F.col("content")))
-        told = blobs.join(F.broadcast(lacking) if n <= MOST_TOLD else lacking.hint("merge"), "blob", "left_semi")
-        scan(distinct_blobs(told, "content"), known, rules).write.mode("append").parquet(folder)
+        blobs = versions.select(text.alias("content"), blob_id(text).alias("blob"))
+        if n <= MOST_TOLD:
+            fresh = distinct_blobs(blobs.join(F.broadcast(lacking), "blob", "left_semi"), "content")
+        else:  # contents are dealt by blob once, identifiers come to them
+            fresh = distinct_blobs(versions, content).join(lacking.hint("merge"), "blob", "left_semi")
+        scan(fresh, known, rules).write.mode("append").parquet(folder)
     return spark.read.schema(LEDGER).parquet(folder)
 
 
