@@ -393,7 +393,7 @@ query("scl05_excerpt", lambda d: d.documents.select("doc_id", X.excerpt("text",
 query("scl06_starting_tag", lambda d: d.events.select("event_id", X.starting_tag(F.when(F.col("event_id") % 3 == 0, F.lit("  <task id=1>go")).when(F.col("event_id") % 3 == 1, F.lit("<skill>x")).otherwise(F.lit("go <task>")), ("skill", "task")).alias("tag")), "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'task' WHEN 1 THEN 'skill' END AS tag FROM events")
 query("scl07_join_text", lambda d: d.part.select("p_partkey", X.join_text(F.array(F.struct(F.lit("text").alias("type"), F.col("p_name").alias("text")), F.struct(F.lit("image").alias("type"), F.col("p_type").alias("text")), F.struct(F.lit("text").alias("type"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("text")))).alias("text")), "SELECT p_partkey, CASE WHEN p_size > 25 THEN concat(p_name, chr(10), p_brand) ELSE p_name END AS text FROM part")
 query("scl09_record_hash", lambda d: d.documents.select("doc_id", X.record_hash(F.concat("text", F.lit("\r\n"))).alias("hash")), "SELECT doc_id, sha256(regexp_replace(text, '[\\r\\n]+$', '')) AS hash FROM documents")
-query("scl10_printable", lambda d: d.documents.select("doc_id", X.escape_delimiters(X.printable(F.left("text", F.lit(300)))).alias("text")), "SELECT doc_id, replace(replace(regexp_replace(left(text, 300), '[\\x00-\\x1f\\x7f]', '?', 'g'), '<', '&lt;'), '>', '&gt;') AS text FROM documents")
+query("scl10_printable", lambda d: d.documents.select("doc_id", X.escape_delimiters(X.printable(F.col("text"))).alias("text")), "SELECT doc_id, replace(replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]', '?', 'g'), '<', '&lt;'), '>', '&gt;') AS text FROM documents")
 query("scl10_printable_whole", lambda d: d.documents.select("doc_id", X.escape_delimiters(X.printable(F.col("text"))).alias("text")))
 query("scl11_freshness", lambda d: d.request.select("request_id", X.fresh(X.seconds_since(F.col("created_at"), 200000.0), 30000.0).alias("state")), "SELECT request_id, CASE WHEN created_at > 200000 THEN 'unknown' WHEN 200000 - created_at <= 90000 THEN 'ok' ELSE 'stale' END AS state FROM request", "request")
 query("scl12_human_bytes", lambda d: d.documents.select("doc_id", X.human_bytes(F.octet_length("text")).alias("size")), "SELECT doc_id, CASE WHEN n < 1024 THEN concat(n, ' B') ELSE concat(CAST(floor(n / 1024.0 * 10 + 0.5) / 10 AS DOUBLE), ' KiB') END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents)")
