@@ -119,7 +119,7 @@ def record(versions: DataFrame, folder: str, content: str = "content", rules: tu
     """Scans what the ledger in folder lacks of these versions and rules, appends it there, and returns the ledger.
 
     The ledger is asked with identifiers alone. Up to MOST_TOLD missing blobs are told to all tasks, so that only their
-    contents travel; more of them find their contents in a join.
+    contents travel; if more are missing, all contents are dealt by blob and meet the ledger there.
     """
     spark, rules = versions.sparkSession, rules or RULES
     known = open_ledger(spark, folder)
@@ -133,8 +133,8 @@ def record(versions: DataFrame, folder: str, content: str = "content", rules: tu
         blobs = versions.select(text.alias("content"), blob_id(text).alias("blob"))
         if n <= MOST_TOLD:
             fresh = distinct_blobs(blobs.join(F.broadcast(lacking), "blob", "left_semi"), "content")
-        else:  # contents are dealt by blob once, identifiers come to them
-            fresh = distinct_blobs(versions, content).join(lacking.hint("merge"), "blob", "left_semi")
+        else:  # contents are dealt by blob once, and the scan drops what the ledger knows
+            fresh = distinct_blobs(versions, content)
         scan(fresh, known, rules).write.mode("append").parquet(folder)
     return spark.read.schema(LEDGER).parquet(folder)
 
