@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.errors import QueryError
 from ledgerloom.functions import text as X
-from ledgerloom.operators.windows import merge_ranges
+from ledgerloom.operators.windows import MOST_LINES, merge_ranges, split_windows, subtract_ranges, within_ranges
 from ledgerloom.shared import cut
 from ledgerloom.sources import lines
 
@@ -121,9 +122,49 @@ def advance(progress: DataFrame, seen: DataFrame) -> DataFrame:
 
 def uncovered(lines: DataFrame, covered: DataFrame) -> DataFrame:
     """Runs of each source's lines that no covered range holds: what a history scan still has to plan."""
-    hit = (lines["source_id"] == covered["source_id"]) & lines["line"].between(covered["from_line"], covered["through_line"])
-    rest = lines.join(covered, hit, "left_anti").select("source_id", F.col("line").alias("from_line"), F.col("line").alias("through_line")).distinct()
-    return merge_ranges(rest, "source_id", "from_line", "through_line")
+    each = lines.select("source_id", F.col("line").alias("from_line"), F.col("line").alias("through_line"))
+    return subtract_ranges(each, covered, "source_id", "from_line", "through_line")
+
+
+def replaceable(requests: DataFrame, progress: DataFrame, policy: str, project: str | None = None, from_now: bool = False) -> DataFrame:
+    """(source_id, from_line, through_line): what earlier policies asked for and did not finish, overlapping or touching requests as one range.
+
+    requests: source_id, project, policy, candidate_id, state, cancel_code, from_line, through_line. Those of another policy count that failed
+    or were cancelled because the policy was replaced, unless they are a candidate's own. from_now: only lines after the one at which
+    the source was activated (progress: source_id, activation_line) count, and none of a source without progress.
+    """
+    dropped = (F.col("state") == "failed") | ((F.col("state") == "cancelled") & (F.col("cancel_code") == "policy_replaced"))
+    old = requests.where(~F.col("policy").eqNullSafe(F.lit(policy)) & F.col("candidate_id").isNull() & dropped)
+    old = old if project is None else old.where(F.col("project") == project)
+    if from_now:
+        since = progress.groupBy("source_id").agg(F.max("activation_line").alias("_since"))
+        old = old.join(since, "source_id").withColumn("from_line", F.greatest("from_line", F.col("_since") + 1))
+    return merge_ranges(old.where("from_line <= through_line").select("source_id", "from_line", "through_line"), "source_id", "from_line", "through_line")
+
+
+def planned_windows(lines: DataFrame, wanted: DataFrame, covered: DataFrame, most_bytes: int, most_lines: int = MOST_LINES) -> DataFrame:
+    """(source_id, run, window, from_line, through_line, lines, bytes) of review windows over the wanted ranges without the covered ones.
+
+    lines: source_id, line, bytes, is_prompt. A window never leaves its run of uncovered lines, which its first line (run) names.
+    """
+    left = subtract_ranges(wanted, covered, "source_id", "from_line", "through_line").withColumnRenamed("from_line", "run").withColumnRenamed("through_line", "_end")
+    inside = within_ranges(lines.select("source_id", "line", "bytes", "is_prompt"), left, "source_id", "line", "run", "_end")
+    return split_windows(inside, most_bytes, most_lines, ("source_id", "run"))
+
+
+def restarted(requests: DataFrame, progress: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests, progress) once learning starts from now on: every source is activated at its last line (ends: source_id, line), and no line before it is claimed as reviewed.
+
+    Waiting requests that no person asked for are cancelled with scope_from_now. While a request runs the choice is refused.
+    """
+    if requests.where("state = 'running'").take(1):
+        raise QueryError("learning_busy")
+    stop = F.col("state").isin("pending", "waiting") & F.col("trigger").isin("hook", "ingest", "reconcile", "history")
+    after = requests.withColumn("cancel_code", F.when(stop, "scope_from_now").otherwise(F.col("cancel_code"))).withColumn("retry_at", F.when(~F.coalesce(stop, F.lit(False)), F.col("retry_at"))).withColumn("state", F.when(stop, "cancelled").otherwise(F.col("state")))
+    last = ends.groupBy("source_id").agg(F.coalesce(F.max("line"), F.lit(0)).alias("_last"))
+    both = progress.join(last, "source_id", "full")
+    marks = (F.coalesce("_last", c).alias(c) for c in ("activation_line", "examined_line", "eligible_line"))
+    return after, both.select("source_id", *marks, F.greatest("completed_line", "_last").alias("completed_line"))
 
 
 def notice(requests: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.shared import cut
@@ -40,6 +43,34 @@ def merge_ranges(rows: DataFrame, by: str, start: str, end: str) -> DataFrame:
     return island.groupBy(by, "_k").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_k")
 
 
+def subtract_ranges(rows: DataFrame, gone: DataFrame, by: str, start: str, end: str) -> DataFrame:
+    """What the integer ranges of rows cover and those of gone do not, as disjoint ranges that do not touch.
+
+    A sweep over the ends of all ranges: how many of either kind are open is a running sum, so ranges of a key never meet in
+    pairs, and ends that share a place are summed before they travel. Ranges that are empty or lack an end cover nothing; rows with a null key go.
+    """
+
+    def ends(some: DataFrame, mine: int) -> DataFrame:
+        real = some.where((F.col(start) <= F.col(end)) & F.col(by).isNotNull())
+        edge = lambda at, way: F.struct(at.cast("long").alias("at"), F.lit(way * mine).alias("a"), F.lit(way * (1 - mine)).alias("g"))
+        return real.select(by, F.inline(F.array(edge(F.col(start), 1), edge(F.col(end) + 1, -1))))
+
+    w = Window.partitionBy(by).orderBy("at")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    steps = ends(rows, 1).unionByName(ends(gone, 0)).groupBy(by, "at").agg(F.sum("a").alias("a"), F.sum("g").alias("g"))
+    opened = steps.select(by, F.col("at").alias(start), (F.lead("at").over(w) - 1).alias(end), F.sum("a").over(so_far).alias("a"), F.sum("g").over(so_far).alias("g"))
+    return merge_ranges(opened.where("a > 0 and g = 0").select(by, start, end), by, start, end)
+
+
+def within_ranges(rows: DataFrame, ranges: DataFrame, by: str, at: str, start: str, end: str) -> DataFrame:
+    """rows whose `at` lies in one of its key's disjoint ranges, with that range's start. One ordered window over both, no pairs."""
+    both = rows.select(by, at, F.struct(*rows.columns).alias("_row")).withColumn("_r", F.lit(None).cast(f"struct<a:{ranges.schema[start].dataType.simpleString()},b:{ranges.schema[end].dataType.simpleString()}>"))
+    marks = ranges.select(by, F.col(start).cast(rows.schema[at].dataType).alias(at), F.lit(None).cast(both.schema["_row"].dataType).alias("_row"), F.struct(F.col(start).alias("a"), F.col(end).alias("b")).alias("_r"))
+    w = Window.partitionBy(by).orderBy(at, F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = both.unionByName(marks).withColumn("_r", F.last("_r", ignorenulls=True).over(w))
+    return last.where(F.col("_row").isNotNull() & (F.col(at) <= F.col("_r.b"))).select("_row.*", F.col("_r.a").alias(start))
+
+
 def advanced(rows: DataFrame, by: str, start: str, end: str, completed: int = 0) -> DataFrame:
     """How far each key is covered without a gap, counting from `completed`."""
     base = rows.select(by, start, end).unionByName(rows.select(by).distinct().select(by, F.lit(1).cast("long").alias(start), F.lit(completed).cast("long").alias(end)))
@@ -80,17 +111,38 @@ def fit_from_end(lines: DataFrame, most_bytes: int, most_lines: int = MOST_LINES
     return kept.groupBy("source_id").agg(F.min("line").alias("from_line"), F.count("*").alias("lines"), F.sum("bytes").alias("bytes"))
 
 
-def split_windows(lines: DataFrame, most_bytes: int, most_lines: int = MOST_LINES) -> DataFrame:
-    """Greedy windows of each source's lines (source_id, line, bytes, is_prompt).
+def followed(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """(by, pos, step): the positions that pointers (by, pos, next) reach from position 1 of each key, step counting from 0.
+
+    Pointers go forward. Joins double their reach, so that the rounds grow with the logarithm of the longest way.
+    """
+    jump = rows.where("next is not null").select(*by, "pos", "next")
+    starts, reach = rows.where("pos = 1").select(*by, "pos", F.lit(0).cast("long").alias("step")), 1
+
+    def led(left: DataFrame, column: str, *kept: Column) -> DataFrame:
+        right = jump.select(*(F.col(c).alias(f"_{c}") for c in (*by, "pos", "next")))
+        keys = reduce(and_, (left[c].eqNullSafe(right[f"_{c}"]) for c in by))
+        return left.join(right, keys & (left[column] == right["_pos"])).select(*(left[c] for c in by), *kept)
+
+    while True:
+        new = cut(led(starts, "pos", F.col("_next").alias("pos"), (F.col("step") + reach).alias("step")))
+        if not new.take(1):
+            return starts
+        starts = cut(starts.unionByName(new))
+        jump, reach = cut(led(jump, "next", F.col("pos"), F.col("_next").alias("next"))), reach * 2
+
+
+def split_windows(lines: DataFrame, most_bytes: int, most_lines: int = MOST_LINES, by: tuple[str, ...] = ("source_id",)) -> DataFrame:
+    """Greedy windows of each source's lines (source_id, line, bytes, is_prompt), or of those of each key that `by` names.
 
     A window takes lines while both limits hold. Where it would cut a turn, it ends before the
     turn's prompt, if it holds an earlier one; the next window starts there. Where the next window
     starts depends on most_lines lines ahead only; these pointers are followed from each source's
     first line by joins that double their reach, so no task holds a source.
     """
-    order = Window.partitionBy("source_id").orderBy("line", "bytes", "is_prompt")
+    order = Window.partitionBy(*by).orderBy("line", "bytes", "is_prompt")
     line = F.struct("line", F.coalesce(F.col("bytes").cast("long"), F.lit(0)).alias("b"), F.coalesce("is_prompt", F.lit(False)).alias("p"))
-    rows = lines.select("source_id", "line", F.row_number().over(order).cast("long").alias("pos"), F.collect_list(line).over(order.rowsBetween(0, most_lines)).alias("ahead"))
+    rows = lines.select(*by, "line", F.row_number().over(order).cast("long").alias("pos"), F.collect_list(line).over(order.rowsBetween(0, most_lines)).alias("ahead"))
     more = lambda acc, x: acc["on"] & (acc["m"] < most_lines) & ((acc["m"] == 0) | (acc["used"] + x["b"] <= most_bytes))
     taken = F.aggregate(
         "ahead",
@@ -102,21 +154,12 @@ def split_windows(lines: DataFrame, most_bytes: int, most_lines: int = MOST_LINE
     cuts_turn = (F.col("m") < F.size("ahead")) & ~F.try_element_at("ahead", F.col("m") + 1)["p"]
     rows = rows.withColumn("last", F.col("m") < F.size("ahead")).withColumn("m", F.when(cuts_turn, F.coalesce(back, "m")).otherwise(F.col("m")))
     size = F.aggregate(F.slice("ahead", 1, F.col("m")), F.lit(0).cast("long"), lambda acc, x: acc + x["b"])
-    rows = cut(rows.select("source_id", "pos", F.when(F.col("last"), F.col("pos") + F.col("m")).alias("next"), F.col("line").cast("long").alias("from_line"), F.element_at("ahead", F.col("m"))["line"].cast("long").alias("through_line"), F.col("m").cast("long").alias("lines"), size.alias("bytes")))
-
-    def at(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
-        r = right.select(F.col("source_id").alias("_source"), F.col("pos").alias("_pos"), *(F.col(c).alias(f"_{c}") for c in right.columns if c not in ("source_id", "pos")))
-        return left.join(r, F.col("source_id").eqNullSafe(F.col("_source")) & (F.col(column) == F.col("_pos")))
+    rows = cut(rows.select(*by, "pos", F.when(F.col("last"), F.col("pos") + F.col("m")).alias("next"), F.col("line").cast("long").alias("from_line"), F.element_at("ahead", F.col("m"))["line"].cast("long").alias("through_line"), F.col("m").cast("long").alias("lines"), size.alias("bytes")))
 
-    jump = rows.where("next is not null").select("source_id", "pos", "next")
-    starts, reach = rows.where("pos = 1").select("source_id", "pos", F.lit(0).cast("long").alias("window")), 1
-    while True:
-        new = cut(at(starts, jump, "pos").select("source_id", F.col("_next").alias("pos"), (F.col("window") + reach).alias("window")))
-        if not new.take(1):
-            break
-        starts = cut(starts.unionByName(new))
-        jump, reach = cut(at(jump, jump, "next").select("source_id", "pos", F.col("_next").alias("next"))), reach * 2
-    return at(starts, rows, "pos").select(F.col("source_id").cast("long").alias("source_id"), "window", *(F.col(f"_{c}").alias(c) for c in ("from_line", "through_line", "lines", "bytes")))
+    starts = followed(rows, by)
+    found = rows.select(*(F.col(c).alias(f"_{c}") for c in (*by, "pos")), "from_line", "through_line", "lines", "bytes")
+    same = reduce(and_, (starts[c].eqNullSafe(found[f"_{c}"]) for c in (*by, "pos")))
+    return starts.join(found, same).select(*(F.col(c).cast("long").alias(c) if c == "source_id" else c for c in by), F.col("step").alias("window"), "from_line", "through_line", "lines", "bytes")
 
 
 def page_fill(items: DataFrame, order: list[str], size: str, most_bytes: int, most_items: int) -> DataFrame:
