@@ -6,7 +6,7 @@ publishes them together. Repeating a transition changes nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.filters import scope_applies, unexpired
@@ -156,10 +156,13 @@ def latest_failure(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy("request").agg(failed.alias("f"), F.count("*").alias("attempts")).where("f is not null").select("request", "f.round", "f.seconds", "attempts")
 
 
+def start_rank() -> Column:
+    return F.when(F.col("form") == "guide", 4).otherwise(F.coalesce(F.create_map(*(x for k, v in START_ORDER.items() for x in (F.lit(k), F.lit(v))))[F.col("kind")], F.lit(3)))
+
+
 def start_order(rows: DataFrame, limit: int = 200) -> DataFrame:
     """Decisions and preferences, constraints and procedures, facts, others; guides last; newest first."""
-    rank = F.coalesce(F.create_map(*(x for k, v in START_ORDER.items() for x in (F.lit(k), F.lit(v))))[F.col("kind")], F.lit(3))
-    keys = (F.when(F.col("form") == "guide", 4).otherwise(rank), F.desc("created_at"), F.desc("knowledge_id"))
+    keys = (start_rank(), F.desc("created_at"), F.desc("knowledge_id"))
     top = rows.orderBy(*keys).limit(limit)
     return top.withColumn("place", F.row_number().over(Window.orderBy(*keys)))
 

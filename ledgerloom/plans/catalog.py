@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as X
-from ledgerloom.operators import erase, evaluate, family, filters, ledger, lineage, navigation, retrieval, review, stats, windows
+from ledgerloom.operators import erase, evaluate, family, filters, ledger, lineage, navigation, pages, retrieval, review, stats, windows
 from ledgerloom.plans import transcripts
 from ledgerloom.plans.fixtures import Data, with_fixtures
 from ledgerloom.shared import shared_dir
@@ -468,3 +468,47 @@ def _recalled(d: Data) -> DataFrame:
     newest = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("line"), F.desc("part")))
     rows = d.event.withColumn("place", newest).where("place <= 6")
     return rows.select("source_id", "place", F.concat_ws(" \u00b7 ", "kind", F.coalesce("ts", F.lit("no ts"))).alias("head"), "text")
+
+
+def _memories(d: Data) -> DataFrame:
+    now = ledger.current(d.knowledge, d.version).where("state = 'active'")
+    only = F.when(F.col("task").isNotNull(), F.array(F.concat(F.lit("the task is "), "task")))
+    return now.select("project", ledger.start_rank().alias("rank"), (-F.col("created_at")).alias("age"), F.col("knowledge_id").alias("id"), F.col("content").alias("text"), only.alias("conditions"))
+
+
+PAGE_BYTES = 1_000
+PAGE_ROOM = PAGE_BYTES - pages._bytes(review.RECALL_OPEN, pages.USAGE, *pages.HINTS, review.RECALL_CLOSE) + 1
+PAGES = f"""WITH RECURSIVE v AS (SELECT project, knowledge_id AS id, CASE WHEN form = 'guide' THEN 4 ELSE CASE kind WHEN 'decision' THEN 0 WHEN 'preference' THEN 0 WHEN 'constraint' THEN 1 WHEN 'procedure' THEN 1 WHEN 'fact' THEN 2 ELSE 3 END END AS o,
+  created_at, concat('- ', content, CASE WHEN task IS NULL THEN '' ELSE concat(chr(10), '  when the task is ', task) END) AS line FROM version JOIN knowledge USING (knowledge_id) WHERE revision = current_revision AND state = 'active'),
+k AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY o, created_at DESC, id) AS k, count(*) OVER (PARTITION BY project) AS n, strlen(line) + 1 AS b FROM v),
+r AS (SELECT *, {PAGE_ROOM} - 1 - strlen(concat('Memories of ', project, ' · ', ' of ', n)) AS room FROM k),
+f AS (SELECT DISTINCT project, 0::BIGINT AS k, 0::BIGINT AS page, 0::BIGINT AS shown, 0::BIGINT AS used, false AS opened, '' AS line FROM v
+  UNION ALL SELECT project, k, CASE WHEN joins THEN page ELSE page + 1 END, CASE WHEN joins THEN shown + 1 ELSE 1 END, CASE WHEN joins THEN used + b ELSE b END, joins OR alone, CASE WHEN joins OR alone THEN line ELSE concat('- too long for a page: open ', id) END
+  FROM (SELECT r.*, f.page, f.shown, f.used, f.opened AND f.used + b + length((f.shown + 1)::VARCHAR) + tail <= room AS joins, b + 1 + tail <= room AS alone
+    FROM f JOIN (SELECT *, CASE WHEN n > k THEN length((n - k)::VARCHAR) + strlen(' more: ask for page 2') + 1 ELSE 0 END AS tail FROM r) r ON r.project = f.project AND r.k = f.k + 1)),
+g AS (SELECT f.project, page, count(*) AS items, any_value(n) AS n, any_value(n) - max(f.k) AS "left", string_agg(f.line, chr(10) ORDER BY f.k) AS lines FROM f JOIN (SELECT project, count(*) AS n FROM v GROUP BY 1) t USING (project) WHERE f.k > 0 GROUP BY 1, 2)
+SELECT project, page, items, "left", concat_ws(chr(10), '{review.RECALL_OPEN}', '{pages.USAGE}', concat('Memories of ', project, CASE WHEN page = 1 THEN '' ELSE concat(' · page ', page, CASE WHEN "left" = 0 THEN concat(' of ', page) ELSE '' END) END, ' · ', items, ' of ', n),
+  lines, CASE WHEN "left" > 0 THEN concat("left", ' more: ask for page ', page + 1) END, CASE WHEN page = 1 THEN '{pages.HINTS[0]}' || chr(10) || '{pages.HINTS[1]}' END, '{review.RECALL_CLOSE}') AS text FROM g"""
+query("knw15_start_pages", lambda d: pages.start_pages(_memories(d), "project", ("rank", "age"), PAGE_BYTES), PAGES, "knowledge", "version")
+
+REDO = """need AS (SELECT DISTINCT source_id, unnest(generate_series(from_line, through_line)) AS line FROM asked WHERE policy <> 'now' AND candidate_id IS NULL AND (state = 'failed' OR state = 'cancelled' AND cancel_code = 'policy_replaced')),
+done AS (SELECT DISTINCT source_id, unnest(generate_series(from_line, through_line)) AS line FROM asked WHERE policy = 'now' AND state = 'completed'),
+todo AS (SELECT source_id, line, line - row_number() OVER (PARTITION BY source_id ORDER BY line) AS island FROM (SELECT * FROM need EXCEPT SELECT * FROM done)),
+runs AS (SELECT source_id, min(line) AS run, max(line) AS last FROM todo GROUP BY source_id, island)"""
+PLANNED = f"""WITH RECURSIVE {REDO},
+l AS (SELECT t.*, run, row_number() OVER w AS pos, sum(bytes) OVER w AS upto FROM thread t JOIN runs r ON r.source_id = t.source_id AND t.line BETWEEN r.run AND r.last WINDOW w AS (PARTITION BY t.source_id, run ORDER BY t.line ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT a.source_id, a.run, a.pos, max(b.pos) AS m FROM l a JOIN l b ON b.source_id = a.source_id AND b.run = a.run AND b.pos BETWEEN a.pos AND a.pos + 5 AND (b.pos = a.pos OR b.upto - a.upto + a.bytes <= 600) GROUP BY ALL),
+nx AS (SELECT e.source_id, e.run, e.pos, CASE WHEN n.pos IS NULL THEN e.m + 1 WHEN n.is_prompt THEN n.pos ELSE coalesce((SELECT max(p.pos) FROM l p WHERE p.source_id = e.source_id AND p.run = e.run AND p.is_prompt AND p.pos > e.pos AND p.pos <= e.m), n.pos) END AS nxt
+  FROM e LEFT JOIN l n ON n.source_id = e.source_id AND n.run = e.run AND n.pos = e.m + 1),
+f AS (SELECT *, 0::BIGINT AS window_no FROM nx WHERE pos = 1 UNION ALL SELECT nx.*, f.window_no + 1 FROM f JOIN nx ON nx.source_id = f.source_id AND nx.run = f.run AND nx.pos = f.nxt)
+SELECT f.source_id, f.run, window_no AS "window", min(line) AS from_line, max(line) AS through_line, count(*) AS lines, sum(bytes)::BIGINT AS bytes FROM f JOIN l ON l.source_id = f.source_id AND l.run = f.run AND l.pos >= f.pos AND l.pos < f.nxt GROUP BY ALL"""
+
+
+def _replaced(d: Data) -> tuple[DataFrame, DataFrame]:
+    """Ranges wanted again, and those that the present policy has reviewed."""
+    progress = d.spark.createDataFrame([], "source_id long, activation_line long")
+    return review.replaceable(d.asked, progress, "now"), d.asked.where("policy = 'now' and state = 'completed'").select("source_id", "from_line", "through_line")
+
+
+query("knw33_replacements", lambda d: windows.subtract_ranges(*_replaced(d), "source_id", "from_line", "through_line"), f"WITH {REDO} SELECT source_id, run AS from_line, last AS through_line FROM runs", "asked")
+query("knw33_planned_windows", lambda d: review.planned_windows(d.thread, *_replaced(d), 600, 6), PLANNED, "asked", "thread")

@@ -55,9 +55,14 @@ UNRESOLVED = f"""SELECT concat('U_', {_S.format('o_orderkey')}) AS unresolved_id
 REQUEST = f"""SELECT concat('R_', {_S.format('o_orderkey')}) AS request_id, CASE o_custkey % 3 WHEN 0 THEN 'codex' WHEN 1 THEN 'claude' ELSE 'cursor' END AS provider, concat('thr-', {_S.format('o_custkey % 100')}) AS thread_id,
  1 + o_orderkey % 5 AS from_line, 1 + o_orderkey % 5 + o_custkey % 4 AS through_line, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'failed' END AS state,
  CASE WHEN o_orderpriority LIKE '1%' THEN 'history' ELSE 'live' END AS trigger, CAST(o_totalprice AS DOUBLE) AS created_at, CASE WHEN o_orderkey % 6 = 0 THEN CAST(o_totalprice AS DOUBLE) + 1000 END AS retry_at, o_custkey AS owner FROM {{orders}}"""
+# threads of twenty conversations each, and requests to review their lines under two policies
+THREAD = """SELECT CAST(floor(conv_id / 20) AS BIGINT) AS source_id, (conv_id % 20) * 8 + turn + 1 AS line, CAST(length(text) AS BIGINT) AS bytes, role = 'user' AS is_prompt FROM {conversations}"""
+ASKED = """SELECT c_custkey AS request_id, CAST(floor(c_custkey / 300) AS BIGINT) AS source_id, c_mktsegment AS project, CASE c_custkey % 3 WHEN 0 THEN 'now' ELSE 'old' END AS policy,
+ CASE WHEN c_nationkey % 9 = 5 THEN c_custkey END AS candidate_id, CASE c_nationkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'completed' ELSE 'pending' END AS state,
+ CASE WHEN c_nationkey % 4 = 1 THEN CASE WHEN c_nationkey % 3 = 0 THEN 'asked' ELSE 'policy_replaced' END END AS cancel_code, 1 + (c_custkey * 37) % 160 AS from_line, 1 + (c_custkey * 37) % 160 + c_nationkey % 5 AS through_line FROM {customer}"""
 CHARGE = """SELECT l_orderkey AS request, l_linenumber AS round, CASE WHEN l_returnflag = 'R' THEN 'unknown' WHEN l_returnflag = 'A' THEN 'failed' ELSE 'completed' END AS state,
  CAST(l_tax AS DECIMAL(18,2)) AS reserved, CASE WHEN l_linestatus = 'F' THEN CAST(l_discount AS DECIMAL(18,2)) END AS reported, l_quantity AS seconds FROM {lineitem}"""
-FIXTURES = {"event": EVENT, "replay": REPLAY, "source": SOURCE, "scope": SCOPE, "tombstone": TOMBSTONE, "mark": MARK, "call": CALL, "knowledge": KNOWLEDGE, "version": VERSION, "support": SUPPORT, "evidence": EVIDENCE, "unresolved": UNRESOLVED, "request": REQUEST, "charge": CHARGE}
+FIXTURES = {"event": EVENT, "replay": REPLAY, "source": SOURCE, "scope": SCOPE, "tombstone": TOMBSTONE, "mark": MARK, "call": CALL, "knowledge": KNOWLEDGE, "version": VERSION, "support": SUPPORT, "evidence": EVIDENCE, "unresolved": UNRESOLVED, "request": REQUEST, "thread": THREAD, "asked": ASKED, "charge": CHARGE}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
