@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.errors import QueryError
 from ledgerloom.functions import text as X
 from ledgerloom.operators import filters
+from ledgerloom.shared import cut
 
 CANDIDATES, RECENT, PER_SESSION, MOST_LIMIT = 300, 50, 2, 30
 MOST_WORDS, MOST_PHRASES, MOST_PARTS, LEAST_DF_EVENTS = 16, 8, 12, 1000
@@ -57,48 +58,128 @@ def parse(text: str, drop: frozenset[str] | None = None) -> Query:
 
 
 def postings(event: DataFrame) -> DataFrame:
-    """(id, pos, term): one row per token. The derived index; hash it by term to serve many queries."""
-    return event.select("id", F.posexplode(X.tokens(F.col("text"))).alias("pos", "term"))
+    """(id, len, pos, term): one row per token, each with the length of its document. The derived index; hash it by term to serve many queries."""
+    rows = event.select("id", X.tokens(F.col("text")).alias("_t"))
+    return rows.select("id", F.size("_t").alias("len"), F.posexplode("_t").alias("pos", "term"))
 
 
 def lengths(event: DataFrame) -> DataFrame:
     return event.select("id", F.size(X.tokens(F.col("text"))).alias("len"))
 
 
-BUCKETS, SLICES = 64, 8
+LEAST_BUCKETS, MOST_BUCKETS, FILE_POSTINGS, MOST_SEGMENTS = 64, 4_096, 4_000_000, 16
+SEGMENT = "segment int, base boolean, buckets int, docs long, tokens long, gone long"
 
 
 @dataclass(frozen=True)
 class Index:
-    """A written index: postings by a hash of their term, lengths, and one row of totals. A search reads the buckets of its terms and tokenises nothing."""
+    """A written index: postings by a hash of their term, each with its document's length, and the totals. A search reads the buckets of its terms and tokenises nothing.
+
+    The folder holds segments. Each has postings, a row (id, len, digest) per document and the ids it takes out of earlier segments;
+    its marker, written last, makes them count together, so that a job that dies leaves the index as it was and repeats under the same number.
+    Events need an id; one without is not indexed, one without text has no tokens but counts as a document.
+    """
 
     postings: DataFrame
-    lengths: DataFrame
+    documents: DataFrame
     totals: DataFrame
+    buckets: int
 
     @staticmethod
-    def bucket(term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    def bucket(term: Column, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
     @staticmethod
     def write(event: DataFrame, folder: str) -> None:
-        """Buckets are sorted by term, so that files are skipped by their statistics; a frequent term is dealt over SLICES files."""
-        rows = postings(event).withColumn("bucket", Index.bucket(F.col("term")))
-        rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SLICES))).sortWithinPartitions("bucket", "term", "id", "pos").write.partitionBy("bucket").parquet(f"{folder}/postings")
-        lengths(event).write.parquet(f"{folder}/lengths")
-        event.sparkSession.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len")).write.parquet(f"{folder}/totals")
+        """A new index of these events, in place of what the folder held."""
+        Index._add(event.sparkSession, folder, event, None)
+
+    @staticmethod
+    def sync(event: DataFrame, folder: str) -> int:
+        """Brings the index to these events, as after a pass that added some and an erasure that took others: how many were added, changed or removed.
+
+        New and changed events become a segment, removed and changed ones are taken out of earlier ones. Ids and digests alone are compared. After
+        MOST_SEGMENTS segments all are written as one; readers that were opened before must be opened again.
+        """
+        spark = event.sparkSession
+        live = Index._live(spark, folder)
+        if not live:
+            Index.write(event, folder)
+            return event.where("id is not null").count()
+        old = Index._standing(spark, folder, live, "docs", "id long, len int, digest long").select("id", F.col("digest").alias("_old"))
+        now = event.where("id is not null").select("id", F.xxhash64("text").alias("_now"))
+        changed = cut(old.join(now, "id", "full").where(~F.col("_old").eqNullSafe(F.col("_now"))))
+        n = changed.count()
+        if n and len(live) >= MOST_SEGMENTS:
+            Index.write(event, folder)
+        elif n:
+            Index._add(spark, folder, event.join(changed.where("_now is not null").select("id"), "id", "left_semi"), changed.where("_old is not null").select("id"))
+        return n
+
+    @staticmethod
+    def _add(spark: SparkSession, folder: str, event: DataFrame, gone: DataFrame | None) -> None:
+        """A segment of these events: the first of a new index, or one that takes the ids of gone out of those before it."""
+        known = Index._markers(spark, folder)
+        live = [] if gone is None else Index._live(spark, folder)
+        k = 1 + max((m["segment"] for m in known), default=-1)
+        at = lambda part: f"{folder}/{part}/segment={k}"
+        event = event.where("id is not null")
+        event.select("id", F.size(X.tokens(F.col("text"))).alias("len"), F.xxhash64("text").alias("digest")).write.mode("overwrite").parquet(at("docs"))
+        sums = lambda docs: docs.agg(F.count("*"), F.coalesce(F.sum(F.greatest("len", F.lit(0))), F.lit(0))).first()
+        docs, tokens = sums(spark.read.schema("id long, len int, digest long").parquet(at("docs")))
+        less = (0, 0)
+        if gone is not None:
+            gone.write.mode("overwrite").parquet(at("gone"))
+            before = Index._standing(spark, folder, live, "docs", "id long, len int, digest long")
+            less = sums(before.join(spark.read.schema("id long").parquet(at("gone")), "id", "left_semi"))
+        buckets = live[-1]["buckets"] if live else min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (tokens // FILE_POSTINGS).bit_length()))
+        rows = postings(event).withColumn("bucket", Index.bucket(F.col("term"), buckets))
+        # ranges of about as many postings each: a term that a third of all rows hold is dealt over many files
+        dealt = rows.repartitionByRange(max(1, -(-tokens // FILE_POSTINGS)), "bucket", "term", "id")
+        dealt.sortWithinPartitions("bucket", "term", "id", "pos").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+        marker = spark.createDataFrame([(gone is None, buckets, docs - less[0], tokens - less[1], less[0])], SEGMENT.split(", ", 1)[1])
+        marker.coalesce(1).write.mode("overwrite").parquet(at("segments"))
+
+    @staticmethod
+    def _markers(spark: SparkSession, folder: str) -> list[Row]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/segments")
+        if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return []
+        return spark.read.schema(SEGMENT).parquet(f"{folder}/segments").orderBy("segment").collect()  # a row per segment
+
+    @staticmethod
+    def _live(spark: SparkSession, folder: str) -> list[Row]:
+        """Segments from the last whole one on, at most MOST_SEGMENTS."""
+        known = Index._markers(spark, folder)
+        first = max((m["segment"] for m in known if m["base"]), default=0)
+        return [m for m in known if m["segment"] >= first]
+
+    @staticmethod
+    def _standing(spark: SparkSession, folder: str, live: list[Row], part: str, schema: str) -> DataFrame:
+        """Rows of a part of the live segments that no later segment has taken out."""
+        read = lambda part, schema, of: spark.read.schema(f"{schema}, segment int").option("basePath", f"{folder}/{part}").parquet(*(f"{folder}/{part}/segment={m['segment']}" for m in of))
+        rows, cuts = read(part, schema, live), [m for m in live if m["gone"]]
+        if not cuts:
+            return rows
+        gone = read("gone", "id long", cuts).select(F.col("id").alias("_id"), F.col("segment").alias("_segment"))
+        return rows.join(gone, (F.col("id") == F.col("_id")) & (F.col("segment") < F.col("_segment")), "left_anti")
 
     @staticmethod
     def read(spark: SparkSession, folder: str) -> Index:
-        rows = spark.read.schema("id long, pos int, term string, bucket int").parquet(f"{folder}/postings")
-        return Index(rows, spark.read.schema("id long, len int").parquet(f"{folder}/lengths"), spark.read.schema("n_docs long, mean_len double").parquet(f"{folder}/totals"))
+        live = Index._live(spark, folder)
+        if not live:
+            raise QueryError("no_index", folder)
+        n, tokens = sum(m["docs"] for m in live), sum(m["tokens"] for m in live)
+        totals = spark.createDataFrame([(n, tokens / n if n else None)], "n_docs long, mean_len double")
+        rows = Index._standing(spark, folder, live, "postings", "id long, len int, pos int, term string, bucket int")
+        return Index(rows, Index._standing(spark, folder, live, "docs", "id long, len int, digest long").select("id", "len"), totals, live[-1]["buckets"])
 
     def of(self, terms: list[str]) -> DataFrame:
         """Postings of some terms. Their buckets are computed here, so that the scan is pruned when it is planned."""
         spark = self.postings.sparkSession
         named = spark.createDataFrame([(t,) for t in terms], "term string")
-        buckets = sorted({r[0] for r in named.select(Index.bucket(F.col("term"))).collect()})  # one row per query term
-        return self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket")
+        buckets = sorted({r[0] for r in named.select(Index.bucket(F.col("term"), self.buckets)).collect()})  # one row per query term
+        return self.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)).drop("bucket", "segment")
 
 
 def _of(index: DataFrame | Index, terms: list[str]) -> DataFrame:
@@ -106,25 +187,25 @@ def _of(index: DataFrame | Index, terms: list[str]) -> DataFrame:
 
 
 def _occurrences(index: DataFrame, element: tuple[str, ...]) -> DataFrame:
-    """(id, tf) of a word, or of a phrase as consecutive positions."""
-    at = index.where(F.col("term") == element[0]).select("id", "pos")
+    """(id, len, tf) of a word, or of a phrase as consecutive positions."""
+    at = index.where(F.col("term") == element[0]).select("id", "len", "pos")
     for k, part in enumerate(element[1:], 1):
         at = at.join(index.where(F.col("term") == part).select("id", (F.col("pos") - k).alias("pos")), ["id", "pos"], "left_semi")
-    return at.groupBy("id").agg(F.count("*").alias("tf"))
+    return at.groupBy("id").agg(F.first("len").alias("len"), F.count("*").alias("tf"))
 
 
 def matched(index: DataFrame | Index, elements: list[tuple[str, ...]]) -> DataFrame:
-    """(id, element, tf) for every element found; single words share one pass over the index."""
+    """(id, element, tf, len) for every element found, len being the document's; single words share one pass over the index."""
     index = _of(index, sorted({part for e in elements for part in e})) if isinstance(index, Index) else index
     words = [e[0] for e in elements if len(e) == 1]
     number = {e: i for i, e in enumerate(elements)}
     out = None
     if words:
         which = F.create_map(*(x for w in words for x in (F.lit(w), F.lit(number[(w,)]))))
-        out = index.where(F.col("term").isin(words)).groupBy("id", which[F.col("term")].alias("element")).agg(F.count("*").alias("tf"))
+        out = index.where(F.col("term").isin(words)).groupBy("id", which[F.col("term")].alias("element")).agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     for e in elements:
         if len(e) > 1:
-            found = _occurrences(index, e).select("id", F.lit(number[e]).alias("element"), "tf")
+            found = _occurrences(index, e).select("id", F.lit(number[e]).alias("element"), "tf", "len")
             out = found if out is None else out.unionByName(found)
     if out is None:
         raise QueryError("no_terms")
@@ -134,13 +215,12 @@ def matched(index: DataFrame | Index, elements: list[tuple[str, ...]]) -> DataFr
 def bm25(index: DataFrame | Index, sizes: DataFrame | None, elements: list[tuple[str, ...]]) -> DataFrame:
     """(id, score), lower is better; document counts and mean length are those of the whole index. A written index has its own sizes."""
     hits = matched(index, elements)
-    sizes = index.lengths if isinstance(index, Index) else sizes
     whole = index.totals if isinstance(index, Index) else sizes.agg(F.count("*").alias("n_docs"), F.avg("len").alias("mean_len"))  # one row
     df = hits.groupBy("element").agg(F.count("*").alias("df"))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean_len")))
     # df has a row per query element, whole a single one
-    rows = hits.join(F.broadcast(df), "element").join(sizes, "id").join(F.broadcast(whole))
+    rows = hits.join(F.broadcast(df), "element").join(F.broadcast(whole))
     return rows.groupBy("id").agg(F.round(-F.sum(gain), 9).alias("score"))
 
 

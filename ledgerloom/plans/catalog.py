@@ -71,17 +71,18 @@ SELECT source_id, family, family IN (SELECT f.family FROM families f JOIN obstac
 ELIGIBLE = "thread_class = 'primary' AND kind IN ('prompt', 'reply') AND flags & 1 = 0"
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str], tuple[str, object]] = {}
 
 
 def _index(d: Data) -> retrieval.Index:
-    """The written index of a folder's events; the first query of a session writes it, all read it."""
+    """The written index of a folder's events: a session's first query writes it, later ones read it, and bring it up to date if the files have changed."""
     key = (d.spark.sparkContext.applicationId, d.sf_dir)
-    if key not in _INDEXES:
-        folder = f"{shared_dir(d.spark)}/index-{uuid.uuid4().hex}"
-        retrieval.Index.write(d.event, folder)
-        _INDEXES[key] = folder
-    return retrieval.Index.read(d.spark, _INDEXES[key])
+    stamp = d.conversations.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("s"), F.col("_metadata.file_modification_time").alias("t")).distinct().agg(F.sum(F.xxhash64("p", "s", "t").cast("decimal(38,0)"))).first()[0]
+    folder, known = _INDEXES.get(key, (f"{shared_dir(d.spark)}/index-{uuid.uuid4().hex}", "none"))
+    if known != stamp:
+        retrieval.Index.sync(d.event, folder)
+        _INDEXES[key] = (folder, stamp)
+    return retrieval.Index.read(d.spark, folder)
 
 
 def searched(d: Data) -> retrieval.Search:
@@ -512,3 +513,15 @@ def _replaced(d: Data) -> tuple[DataFrame, DataFrame]:
 
 query("knw33_replacements", lambda d: windows.subtract_ranges(*_replaced(d), "source_id", "from_line", "through_line"), f"WITH {REDO} SELECT source_id, run AS from_line, last AS through_line FROM runs", "asked")
 query("knw33_planned_windows", lambda d: review.planned_windows(d.thread, *_replaced(d), 600, 6), PLANNED, "asked", "thread")
+
+
+def _passes(d: Data) -> retrieval.Index:
+    """An index after two passes: early lines, some of them with another text; then all lines, without the events that an erasure took."""
+    folder = f"{shared_dir(d.spark)}/index-{uuid.uuid4().hex}"
+    early = d.event.where("line <= 4").withColumn("text", F.when(F.col("source_id") % 5 == 2, F.concat("text", F.lit(" thing"))).otherwise(F.col("text")))
+    retrieval.Index.sync(early, folder)
+    retrieval.Index.sync(d.event.where("flags <> 2"), folder)
+    return retrieval.Index.read(d.spark, folder)
+
+
+query("snk08_index_passes", lambda d: retrieval.bm25(_passes(d), None, retrieval.parse(TEXT).elements).select("id", F.round("score", 6).alias("score")), f"WITH {TOK.replace('FROM event', 'FROM event WHERE flags <> 2')}, {SC} SELECT id, round(score, 6) AS score FROM sc", "event")

@@ -81,3 +81,41 @@ def test_a_search_of_a_written_index_reads_the_buckets_of_its_terms_only(spark,
     assert got == sorted(tuple(r) for r in retrieval.bm25(retrieval.postings(event), retrieval.lengths(event), elements).collect()) and got
     plan = index.of(["beta"])._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and "regexp_extract_all" not in plan
+
+
+def test_an_index_follows_its_events(spark, tmp_path):
+    folder = f"file://{tmp_path}/index"
+    words = lambda i, k: f"alpha{(i + k) % 5} beta gamma{i % 3} of the delta" + " beta" * (i % 4)
+    elements = retrieval.parse('alpha2 "of the" gamma1 rare').elements
+    schema = "id long, text string"
+    states = [[(i, words(i, 0)) for i in range(40)], [(i, words(i, i % 7 == 0)) for i in range(5, 60)], [(i, words(i, 0)) for i in range(60)], [(7, "rare " * 9), (8, ""), (9, None), (None, "rare")], [(7, "rare beta"), *((i, words(i, 1)) for i in range(20, 30))]]
+    for n, rows in enumerate([*states, states[-1]]):
+        event = spark.createDataFrame(rows, schema)
+        moved = retrieval.Index.sync(event, folder)
+        assert (moved == 0) == (n == len(states))
+        index, sound = retrieval.Index.read(spark, folder), event.where("id is not null")
+        got = sorted(tuple(r) for r in retrieval.bm25(index, None, elements).collect())
+        assert got == sorted(tuple(r) for r in retrieval.bm25(retrieval.postings(sound), retrieval.lengths(sound.fillna("")), elements).collect()) and got
+        assert sorted(r.id for r in index.documents.collect()) == sorted(i for i, _ in rows if i is not None)
+    plan = retrieval.bm25(index, None, elements)._jdf.queryExecution().optimizedPlan().toString()
+    assert "digest" not in plan and len(retrieval.Index._live(spark, folder)) == len(states)
+
+
+def test_many_segments_become_one_and_a_dead_job_leaves_no_trace(spark, tmp_path, monkeypatch):
+    folder = f"file://{tmp_path}/index"
+    monkeypatch.setattr(retrieval, "MOST_SEGMENTS", 3)
+    for n in range(1, 6):
+        event = spark.range(n * 3).selectExpr("id", "concat('word', id % 4, ' all') as text")
+        if n == 3:  # dies before its marker is written
+            write = spark.createDataFrame
+            monkeypatch.setattr(spark, "createDataFrame", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
+            try:
+                retrieval.Index.sync(event, folder)
+            except RuntimeError:
+                monkeypatch.setattr(spark, "createDataFrame", write)
+            assert retrieval.Index.read(spark, folder).documents.count() == 6
+        retrieval.Index.sync(event, folder)
+        found = {r.id: r.tf for r in retrieval.matched(retrieval.Index.read(spark, folder), [("all",)]).collect()}
+        assert found == {i: 1 for i in range(n * 3)}
+        assert len(retrieval.Index._live(spark, folder)) <= 3
+    assert [m["base"] for m in retrieval.Index._markers(spark, folder)] == [True, False, False, True, False]
