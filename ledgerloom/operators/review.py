@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -99,6 +100,52 @@ def commit(requests: DataFrame, results: DataFrame, receipts: DataFrame, now: fl
     return after, done
 
 
+def refusals(batches: DataFrame, changes: DataFrame, unresolved: DataFrame, knowledge: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(batch, part, index, problem): everything for which the batches of a review are refused; a batch without a row may be committed.
+
+    batches: batch, project; changes: batch, index, project, kind, knowledge_id and expected_revision (null for a new one), refs; unresolved: batch, index,
+    affected (array of knowledge_id and revision), refs; knowledge: knowledge_id, revision (the current one), project, kind; evidence: batch, evidence_id,
+    owner (whether it is the owner's). Null projects are the global scope and equal each other; null lists are empty.
+
+    candidate_scope: a change has another scope than its batch. duplicate_target: an earlier change replaces the same. rejected_revision: what is replaced or
+    affected is unknown, at another revision, or affected twice; rejected_scope: it belongs to another scope. rejected_evidence: a reference the
+    batch does not hold. owner_support: a preference, a decision, what replaces one, or a change of the global scope cites nothing of the owner.
+    target_overlap: an unresolved question affects what its batch replaces.
+    """
+    scope = batches.select("batch", F.col("project").alias("_scope"))
+    now = knowledge.select("knowledge_id", F.col("revision").alias("_revision"), F.col("project").alias("_project"), F.col("kind").alias("_kind"))
+    listed = lambda c: F.coalesce(c, F.expr("cast(array() as array<string>)"))
+    mine = changes.join(scope, "batch")
+    asked = unresolved.join(scope, "batch")
+    replaced = mine.where("knowledge_id is not null").select("batch", "knowledge_id", F.col("index").alias("_index"))
+    first = replaced.groupBy("batch", "knowledge_id").agg(F.min("_index").alias("_first"))
+    affected = asked.select("batch", F.lit("unresolved").alias("part"), "index", "_scope", F.explode("affected").alias("a")).select("batch", "part", "index", "_scope", "a.knowledge_id", F.col("a.revision").alias("expected_revision"))
+
+    def named(problem: str, rows: DataFrame, part: str | None = None) -> DataFrame:
+        return rows.select("batch", F.lit(part).alias("part") if part else "part", "index", F.lit(problem).alias("problem"))
+
+    targets = mine.where("knowledge_id is not null").select("batch", F.lit("changes").alias("part"), "index", "_scope", "knowledge_id", "expected_revision").unionByName(affected).join(now, "knowledge_id", "left")
+    stale = ~F.coalesce(F.col("_revision") == F.col("expected_revision"), F.lit(False))
+    twice = affected.groupBy("batch", "part", "index", "knowledge_id").agg(F.count("*").alias("n")).where("n > 1")
+    cited = mine.select("batch", F.lit("changes").alias("part"), "index", F.explode(listed(F.col("refs"))).alias("evidence_id")).unionByName(asked.select("batch", F.lit("unresolved").alias("part"), "index", F.explode(listed(F.col("refs"))).alias("evidence_id")))
+    known = evidence.groupBy("batch", "evidence_id").agg(F.bool_or("owner").alias("_owner"))
+    seen = cited.join(known, ["batch", "evidence_id"], "left")
+    backed = seen.where("part = 'changes' and _owner").select("batch", "index").distinct()
+    personal = lambda c: F.coalesce(F.col(c).isin("preference", "decision"), F.lit(False))
+    needy = mine.join(now, "knowledge_id", "left").where(personal("kind") | personal("_kind") | F.col("_scope").isNull())
+    found = [
+        named("candidate_scope", mine.where(~F.col("project").eqNullSafe(F.col("_scope"))), "changes"),
+        named("duplicate_target", replaced.join(first, ["batch", "knowledge_id"]).where("_index > _first").withColumnRenamed("_index", "index"), "changes"),
+        named("rejected_revision", targets.where(stale)),
+        named("rejected_revision", twice),
+        named("rejected_scope", targets.where(~stale & ~F.col("_project").eqNullSafe(F.col("_scope")))),
+        named("rejected_evidence", seen.where("_owner is null")),
+        named("owner_support", needy.join(backed, ["batch", "index"], "left_anti"), "changes"),
+        named("target_overlap", affected.join(first, ["batch", "knowledge_id"], "left_semi")),
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
 def reserve(charges: DataFrame, wanted: DataFrame, most: float) -> DataFrame:
     """Wanted reservations (request, round, cost) that the rest of each request's budget holds, in round order."""
     spent = charges.groupBy("request").agg(F.sum("cost").alias("_spent"))

@@ -110,3 +110,65 @@ def test_learning_from_now_on(spark):
     assert sorted(tuple(r) for r in marks.collect()) == [(1, 7, 7, 7, 9), (2, 8, 8, 8, 8), (3, 0, 0, 0, 0), (4, 1, 1, 1, 1)]
     with pytest.raises(QueryError, match="learning_busy"):
         review.restarted(requests.withColumn("state", F.lit("running")), progress, ends)
+
+
+def refused(scope, changes, unresolved, knowledge, evidence):
+    """Change by change, question by question."""
+    out, gone = set(), set()
+
+    def target(part, i, k, r):
+        if k not in knowledge or knowledge[k][0] != r:
+            out.add((part, i, "rejected_revision"))
+        elif knowledge[k][1] != scope:
+            out.add((part, i, "rejected_scope"))
+
+    for i, project, kind, k, r, refs in changes:
+        refs = refs or []
+        if project != scope:
+            out.add(("changes", i, "candidate_scope"))
+        owner = kind in ("preference", "decision") or scope is None
+        if k is not None:
+            if k in gone:
+                out.add(("changes", i, "duplicate_target"))
+            gone.add(k)
+            target("changes", i, k, r)
+            owner = owner or knowledge.get(k, (0, 0, ""))[2] in ("preference", "decision")
+        if not set(refs) <= evidence.keys():
+            out.add(("changes", i, "rejected_evidence"))
+        if owner and not any(evidence.get(e) for e in refs):
+            out.add(("changes", i, "owner_support"))
+    for i, affected, refs in unresolved:
+        if not set(refs or []) <= evidence.keys():
+            out.add(("unresolved", i, "rejected_evidence"))
+        for n, (k, r) in enumerate(affected):
+            if k in [x for x, _ in affected[:n]]:
+                out.add(("unresolved", i, "rejected_revision"))
+            if k in gone:
+                out.add(("unresolved", i, "target_overlap"))
+            target("unresolved", i, k, r)
+    return out
+
+
+def test_refusals_equal_a_loop(spark):
+    rng = random.Random(9)
+    knowledge = {f"K{i}": (rng.randrange(1, 3), rng.choice(["p", "p", "q", None]), rng.choice(["fact", "decision"])) for i in range(12)}
+    batches, changes, unresolved, evidence = {}, [], [], []
+    refs = lambda: rng.choice([None, [], *([f"E{rng.randrange(7)}", f"E{rng.randrange(5)}"] for _ in range(6))])
+    aim = lambda: (k := f"K{rng.randrange(13)}", knowledge.get(k, (1,))[0] if rng.random() < 0.8 else 9)
+    for b in range(60):
+        batches[b] = rng.choice(["p", "p", "q", None])
+        for i in range(rng.randrange(4)):
+            k, r = aim() if rng.random() < 0.6 else (None, None)
+            changes.append((b, i, batches[b] if rng.random() < 0.9 else "z", rng.choice(["fact", "fact", "preference"]), k, r, refs()))
+        unresolved += [(b, i, [aim() for _ in range(rng.randrange(3))], refs()) for i in range(rng.randrange(2))]
+        evidence += [(b, f"E{i}", rng.random() < 0.4) for i in range(6) if rng.random() < 0.9]
+    out = review.refusals(
+        spark.createDataFrame(list(batches.items()), "batch long, project string"),
+        spark.createDataFrame(changes, "batch long, index int, project string, kind string, knowledge_id string, expected_revision int, refs array<string>"),
+        spark.createDataFrame(unresolved, "batch long, index int, affected array<struct<knowledge_id:string,revision:int>>, refs array<string>"),
+        spark.createDataFrame([(k, *v) for k, v in knowledge.items()], "knowledge_id string, revision int, project string, kind string"),
+        spark.createDataFrame(evidence, "batch long, evidence_id string, owner boolean"),
+    )
+    want = {(b, *x) for b, scope in batches.items() for x in refused(scope, [c[1:] for c in changes if c[0] == b], [u[1:] for u in unresolved if u[0] == b], knowledge, {e: o for x, e, o in evidence if x == b})}
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want) and len({x[3] for x in want}) == 7
