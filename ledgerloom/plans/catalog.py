@@ -525,3 +525,26 @@ def _passes(d: Data) -> retrieval.Index:
 
 
 query("snk08_index_passes", lambda d: retrieval.bm25(_passes(d), None, retrieval.parse(TEXT).elements).select("id", F.round("score", 6).alias("score")), f"WITH {TOK.replace('FROM event', 'FROM event WHERE flags <> 2')}, {SC} SELECT id, round(score, 6) AS score FROM sc", "event")
+
+
+def _refused(d: Data) -> DataFrame:
+    changes = d.change.withColumnRenamed("place", "index").withColumn("refs", F.array("evidence_id"))
+    asked = d.batch.select("batch", F.lit(0).alias("index"), F.array(F.struct(F.col("k1").alias("knowledge_id"), F.col("r1").alias("revision")), F.struct(F.col("k2").alias("knowledge_id"), F.col("r2").alias("revision"))).alias("affected"), F.lit(None).cast("array<string>").alias("refs"))
+    known = ledger.current(d.knowledge, d.version).select("knowledge_id", "revision", "project", "kind")
+    return review.refusals(d.batch.select("batch", "project"), changes.drop("evidence_id", "held", "owner"), asked, known, d.change.where("held").select("batch", "evidence_id", "owner")).withColumnRenamed("index", "place")
+
+
+query("knw30_refusals", _refused, """WITH k AS (SELECT knowledge_id, revision, project, kind FROM version JOIN knowledge USING (knowledge_id) WHERE revision = current_revision),
+c AS (SELECT c.*, b.project AS scope FROM change c JOIN batch b USING (batch)),
+a AS (SELECT batch, project AS scope, k1 AS id, r1 AS r FROM batch UNION ALL SELECT batch, project, k2, r2 FROM batch),
+t AS (SELECT batch, 'changes' AS part, place, scope, knowledge_id AS id, expected_revision AS r FROM c WHERE knowledge_id IS NOT NULL UNION ALL SELECT batch, 'unresolved', 0, scope, id, r FROM a),
+held AS (SELECT batch, evidence_id, bool_or(owner) AS owner FROM change WHERE held GROUP BY 1, 2)
+SELECT batch, 'changes' AS part, place, 'candidate_scope' AS problem FROM c WHERE project IS DISTINCT FROM scope
+UNION SELECT batch, 'changes', place, 'duplicate_target' FROM c WHERE EXISTS (SELECT 1 FROM c o WHERE o.batch = c.batch AND o.knowledge_id = c.knowledge_id AND o.place < c.place)
+UNION SELECT batch, part, place, 'rejected_revision' FROM t WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.knowledge_id = t.id AND k.revision = t.r)
+UNION SELECT batch, 'unresolved', 0, 'rejected_revision' FROM batch WHERE k1 = k2
+UNION SELECT batch, part, place, 'rejected_scope' FROM t JOIN k ON k.knowledge_id = t.id AND k.revision = t.r WHERE k.project IS DISTINCT FROM t.scope
+UNION SELECT batch, 'changes', place, 'rejected_evidence' FROM c WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.batch = c.batch AND h.evidence_id = c.evidence_id)
+UNION SELECT batch, 'changes', place, 'owner_support' FROM c LEFT JOIN k USING (knowledge_id) WHERE (c.kind IN ('preference', 'decision') OR k.kind IN ('preference', 'decision') OR scope IS NULL)
+  AND NOT EXISTS (SELECT 1 FROM c o JOIN held h ON h.batch = o.batch AND h.evidence_id = o.evidence_id AND h.owner WHERE o.batch = c.batch AND o.place = c.place)
+UNION SELECT batch, 'unresolved', 0, 'target_overlap' FROM a WHERE EXISTS (SELECT 1 FROM c WHERE c.batch = a.batch AND c.knowledge_id = a.id)""", "batch", "change", "knowledge", "version")

@@ -60,9 +60,14 @@ THREAD = """SELECT CAST(floor(conv_id / 20) AS BIGINT) AS source_id, (conv_id %
 ASKED = """SELECT c_custkey AS request_id, CAST(floor(c_custkey / 300) AS BIGINT) AS source_id, c_mktsegment AS project, CASE c_custkey % 3 WHEN 0 THEN 'now' ELSE 'old' END AS policy,
  CASE WHEN c_nationkey % 9 = 5 THEN c_custkey END AS candidate_id, CASE c_nationkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'cancelled' WHEN 2 THEN 'completed' ELSE 'pending' END AS state,
  CASE WHEN c_nationkey % 4 = 1 THEN CASE WHEN c_nationkey % 3 = 0 THEN 'asked' ELSE 'policy_replaced' END END AS cancel_code, 1 + (c_custkey * 37) % 160 AS from_line, 1 + (c_custkey * 37) % 160 + c_nationkey % 5 AS through_line FROM {customer}"""
+# proposals of review batches: a batch per order, a change per line
+BATCH = """SELECT o_orderkey AS batch, CASE WHEN o_orderkey % 11 <> 0 THEN concat('Brand#1', 1 + o_orderkey % 5) END AS project, concat('K_', 1 + o_custkey % 50) AS k1, 1 + o_custkey % 3 AS r1, concat('K_', 1 + o_orderkey % 50) AS k2, 1 + o_custkey % 2 AS r2 FROM {orders}"""
+CHANGE = """SELECT l_orderkey AS batch, l_linenumber AS place, CASE WHEN l_suppkey % 7 = 0 THEN 'Brand#99' WHEN l_orderkey % 11 <> 0 THEN concat('Brand#1', 1 + l_orderkey % 5) END AS project, CASE l_suppkey % 4 WHEN 0 THEN 'decision' ELSE 'fact' END AS kind,
+ CASE WHEN l_returnflag <> 'N' THEN concat('K_', 1 + l_partkey % 50) END AS knowledge_id, CASE WHEN l_returnflag <> 'N' THEN 1 + (1 + l_partkey % 50) % 3 + CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END END AS expected_revision,
+ concat('E_', l_suppkey) AS evidence_id, l_linestatus = 'F' OR l_partkey % 4 > 0 AS held, l_suppkey % 3 = 0 AS owner FROM {lineitem}"""
 CHARGE = """SELECT l_orderkey AS request, l_linenumber AS round, CASE WHEN l_returnflag = 'R' THEN 'unknown' WHEN l_returnflag = 'A' THEN 'failed' ELSE 'completed' END AS state,
  CAST(l_tax AS DECIMAL(18,2)) AS reserved, CASE WHEN l_linestatus = 'F' THEN CAST(l_discount AS DECIMAL(18,2)) END AS reported, l_quantity AS seconds FROM {lineitem}"""
-FIXTURES = {"event": EVENT, "replay": REPLAY, "source": SOURCE, "scope": SCOPE, "tombstone": TOMBSTONE, "mark": MARK, "call": CALL, "knowledge": KNOWLEDGE, "version": VERSION, "support": SUPPORT, "evidence": EVIDENCE, "unresolved": UNRESOLVED, "request": REQUEST, "thread": THREAD, "asked": ASKED, "charge": CHARGE}
+FIXTURES = {"event": EVENT, "replay": REPLAY, "source": SOURCE, "scope": SCOPE, "tombstone": TOMBSTONE, "mark": MARK, "call": CALL, "knowledge": KNOWLEDGE, "version": VERSION, "support": SUPPORT, "evidence": EVIDENCE, "unresolved": UNRESOLVED, "request": REQUEST, "thread": THREAD, "asked": ASKED, "batch": BATCH, "change": CHANGE, "charge": CHARGE}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
