@@ -5,14 +5,17 @@ The text of every line is SQL that Spark and DuckDB read alike, so that an oracl
 
 from __future__ import annotations
 
+import itertools
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import erase, review
 from ledgerloom.plans.fixtures import Data
-from ledgerloom.shared import shared_dir
+from ledgerloom.shared import cut, shared_dir
 from ledgerloom.sources import lines, records
 from ledgerloom.streaming import ingest
 
@@ -27,10 +30,31 @@ UNION ALL SELECT conv_id, turn * 10 + 1, {_HEAD}{{"type":"function_call","name":
 UNION ALL SELECT conv_id, turn * 10 + 2, {_HEAD}{{"type":"function_call_output","call_id":"c', {_S.format('turn')}, '","output":"Process exited with code ', {_S.format('turn % 2')}, '"}}}}') FROM conversations WHERE role = 'assistant'"""
 LOG = f"""SELECT event_id % 3 AS file, event_id AS place, CASE WHEN event_id % 13 = 0 THEN '{{"at' ELSE concat('{{"at":', {_S.format('event_id')}, ',"cmd":"', event_type, '","ok":true,"actor":"A ', {_S.format('user_id % 5')}, '"}}') END AS value FROM events"""
 PLACED = "p AS (SELECT *, row_number() OVER w AS line, CAST(sum(strlen(value) + 1) OVER w AS BIGINT) AS next_offset FROM f WINDOW w AS (PARTITION BY file ORDER BY place))"
+FILES_PER_TASK = 250
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 _STORES: dict[tuple[str, str], tuple[ingest.Store, DataFrame]] = {}
 
 
+def _writer(path: str):
+    """Writes the lines of each file, which come one after another; a file has its name once it is whole, so a task may be repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = lines._fs(path)
+        rows = ((f, v or "") for batch in batches for f, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        n = 0
+        for file, held in itertools.groupby(rows, key=lambda r: r[0]):
+            at, n = f"{base}/file={file}", n + 1
+            system.create_dir(at, recursive=True)
+            part = f"{at}/.{uuid.uuid4().hex}"
+            with system.open_output_stream(part) as f:
+                while block := "".join(f"{v}\n" for _, v in itertools.islice(held, 10_000)):
+                    f.write(block.encode())
+            system.move(part, f"{at}/lines.txt")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["files"])
+
+    return run
+
+
 def folder(d: Data, name: str, sql: str) -> str:
     """A folder with a file per value of `file`, written once in a session."""
     key = (d.spark.sparkContext.applicationId, d.sf_dir, name)
@@ -44,7 +68,9 @@ def folder(d: Data, name: str, sql: str) -> str:
         for t in tables:
             safe = safe.replace(f"{{{{{t}}}}}", f"{{{t}}}")
         rows = d.spark.sql(safe, **tables)
-        rows.repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(path)
+        n = max(1, min(10_000, rows.select("file").distinct().count() // FILES_PER_TASK))
+        # the number of tasks is given: by their bytes these files would all go to one
+        rows.repartition(n, "file").sortWithinPartitions("file", "place").select("file", "value").mapInArrow(_writer(path), "files long").agg(F.sum("files")).collect()
         _WRITTEN[key] = path
     return _WRITTEN[key]
 
@@ -100,7 +126,7 @@ def verified(d: Data) -> DataFrame:
 
 def revalidated(d: Data) -> DataFrame:
     """Files as windows of their lines: every third one's boundary is another, every fourth one holds a record that changed."""
-    rows = raw_lines(d)
+    rows = cut(raw_lines(d))
     end = rows.groupBy("file").agg(F.max("line").alias("boundary_line"), F.max_by(F.sha2("raw", 256), "line").alias("boundary_hash"))
     windows = end.select(F.col("file").alias("window_id"), "boundary_line", F.when(F.col("file") % 3 == 0, F.lit("other")).otherwise(F.col("boundary_hash")).alias("boundary_hash"))
     sha = F.when((F.col("file") % 4 == 0) & (F.col("line") == 1), F.sha2(F.lit("other"), 256)).otherwise(F.sha2("raw", 256))

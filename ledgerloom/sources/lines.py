@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 MOST_LINE_BYTES = 8 * 1024 * 1024
 READ = 1 << 20
+TASK_BYTES, OPEN_BYTES = 32 << 20, 64 << 10  # what a task reads, and as how many bytes the opening of a file counts
 SCHEMA = "path string, line long, byte_offset long, next_offset long, raw binary"
 
 
@@ -66,22 +67,27 @@ def complete_lines(path: str, start: int = 0, number: int = 0, end: int | None =
     """
     system, name = _fs(path)
     with system.open_input_file(name) as f:
-        f.seek(start)
-        at, held, size, over = start, [], 0, False
-        while end is None or at + size < end:
-            block = f.read(READ if end is None else min(READ, end - at - size))
-            if not block:
-                return
-            pos = 0
-            while (nl := block.find(b"\n", pos)) >= 0:
-                number += 1
-                length = size + nl + 1 - pos
-                raw = None if over or length > MOST_LINE_BYTES else b"".join([*held, block[pos:nl]])
-                yield number, at, at + length, raw
-                at, held, size, over, pos = at + length, [], 0, False, nl + 1
-            size += len(block) - pos
-            over = over or size > MOST_LINE_BYTES
-            held = [] if over else [*held, block[pos:]]
+        yield from _lines_of(f, start, number, end)
+
+
+def _lines_of(f, start: int, number: int = 0, end: int | None = None, most: int = READ) -> Iterator[tuple[int, int, int, bytes | None]]:
+    """complete_lines of an open file, which is read in blocks of `most` bytes."""
+    f.seek(start)
+    at, held, size, over = start, [], 0, False
+    while end is None or at + size < end:
+        block = f.read(most if end is None else min(most, end - at - size))
+        if not block:
+            return
+        pos = 0
+        while (nl := block.find(b"\n", pos)) >= 0:
+            number += 1
+            length = size + nl + 1 - pos
+            raw = None if over or length > MOST_LINE_BYTES else b"".join([*held, block[pos:nl]])
+            yield number, at, at + length, raw
+            at, held, size, over, pos = at + length, [], 0, False, nl + 1
+        size += len(block) - pos
+        over = over or size > MOST_LINE_BYTES
+        held = [] if over else [*held, block[pos:]]
 
 
 def arrived_lines(path: str, start: int, end: int | None) -> Iterator[tuple[int, int, int, bytes | None]]:
@@ -108,20 +114,28 @@ def arrived_lines(path: str, start: int, end: int | None) -> Iterator[tuple[int,
             yield number, first, after, raw
 
 
-def _batches(path: str, lines) -> Iterator[pa.RecordBatch]:
-    rows, size = [], 0
+def tasks(files: int, size: int) -> int:
+    """How many tasks read so many files, or ranges of files, of that size in all."""
+    return max(1, min(files, 10_000, -(-(size + files * OPEN_BYTES) // TASK_BYTES)))
+
+
+NAMES, KINDS = ["path", "line", "byte_offset", "next_offset", "raw"], [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+
+
+def _batches(rows, names: list[str] = NAMES, kinds: list[pa.DataType] = KINDS) -> Iterator[pa.RecordBatch]:
+    """Rows that end in NAMES, of any number of files, as batches of bounded size."""
+    held, size = [], 0
 
     def out() -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], names=["path", "line", "byte_offset", "next_offset", "raw"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
 
-    for row in lines:
-        rows.append(row)
-        size += row[2] - row[1]
-        if len(rows) >= 5_000 or size > 8 * READ:
+    for row in rows:
+        held.append(row)
+        size += row[-2] - row[-3]
+        if len(held) >= 5_000 or size > 8 * READ:
             yield out()
-            rows, size = [], 0
-    if rows:
+            held, size = [], 0
+    if held:
         yield out()
 
 
@@ -133,17 +147,27 @@ class FilePart(InputPartition):
     end: int | None = None
 
 
+@dataclass
+class Files(InputPartition):
+    paths: list[str]
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.options = options
 
     def partitions(self):
         o = self.options
-        return [FilePart(p) for p, _ in discover(o["path"], o.get("suffix", ".jsonl"), o.get("prefix", ""))] or [FilePart("")]
+        out, size = [Files([])], 0
+        for path, more in discover(o["path"], o.get("suffix", ".jsonl"), o.get("prefix", "")):
+            if out[-1].paths and size + more + OPEN_BYTES > TASK_BYTES:
+                out, size = [*out, Files([])], 0
+            out[-1].paths.append(path)
+            size += more + OPEN_BYTES
+        return out
 
     def read(self, partition):
-        if partition.path:
-            yield from _batches(partition.path, complete_lines(partition.path))
+        yield from _batches((path, *row) for path in partition.paths for row in complete_lines(path))
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -166,7 +190,7 @@ class _StreamReader(DataSourceStreamReader):
         return [FilePart(p, start.get(p, 0), end=at) for p, at in sorted(end.items()) if at > start.get(p, 0)]
 
     def read(self, partition):
-        yield from _batches(partition.path, arrived_lines(partition.path, partition.start, partition.end))
+        yield from _batches((partition.path, *row) for row in arrived_lines(partition.path, partition.start, partition.end))
 
     def commit(self, end):
         pass
@@ -193,13 +217,23 @@ def register(spark) -> None:
     spark.dataSource.register(TranscriptLines)
 
 
+def _ranges(spark, folder: str, range_bytes: int, suffix: str, prefix: str):
+    """(path, start, end) of the ranges of all files below a folder, dealt over tasks by what they read, and the number of tasks."""
+    from pyspark.sql import functions as F
+
+    files = discover(folder, suffix, prefix)
+    n = tasks(sum(-(-size // range_bytes) for _, size in files), sum(size for _, size in files))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long")))
+    ranges = spark.createDataFrame(files, "path string, size long").where("size > 0").select("path", starts.alias("start"), "size")
+    return ranges.select("path", "start", F.least(F.col("start") + range_bytes, "size").alias("end")).repartition(n, "path", "start"), n
+
+
 def numbered(spark, folder: str, range_bytes: int = 128 << 20, suffix: str = ".jsonl", prefix: str = ""):
     """SCHEMA rows of all complete lines below a folder, long files in ranges: line ends are counted range by range, summed up along each file, and the lines read with what came before."""
     from pyspark.sql import Window
     from pyspark.sql import functions as F
 
-    parts = [(p, at, min(at + range_bytes, size)) for p, size in discover(folder, suffix, prefix) for at in range(0, size, range_bytes)]
-    ranges = spark.createDataFrame(parts, "path string, start long, end long").repartition(max(1, min(len(parts), 10_000)), "path", "start")
+    ranges, n_tasks = _ranges(spark, folder, range_bytes, suffix, prefix)
 
     def count(batches):
         for batch in batches:
@@ -216,12 +250,12 @@ def numbered(spark, folder: str, range_bytes: int = 128 << 20, suffix: str = ".j
 
     def read(batches):
         for batch in batches:
-            for path, start, end, before in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from _batches(path, ((before + k, a, b, raw) for k, a, b, raw in arrived_lines(path, start, end)))
+            parts = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield from _batches((path, before + k, a, b, raw) for path, start, end, before in parts for k, a, b, raw in arrived_lines(path, start, end))
 
     counts = ranges.mapInArrow(count, "path string, start long, end long, n long")
     before = F.sum("n").over(Window.partitionBy("path").orderBy("start")) - F.col("n")
-    return counts.select("path", "start", "end", before.alias("before")).repartition(max(1, min(len(parts), 10_000)), "path", "start").mapInArrow(read, SCHEMA)
+    return counts.select("path", "start", "end", before.alias("before")).repartition(n_tasks, "path", "start").mapInArrow(read, SCHEMA)
 
 
 def journal(text: str) -> list[dict]:
@@ -241,15 +275,20 @@ def journal(text: str) -> list[dict]:
 
 
 def verified(hits, key: str = "id"):
-    """(key, intact): whether the bytes at each hit's path and offset still have its digest (columns path, byte_offset, sha256)."""
+    """(key, intact): whether the bytes at each hit's path and offset still have its digest (columns path, byte_offset, sha256). A file is opened once for hits that follow one another."""
     import hashlib
 
     def run(batches):
+        at, f = None, None
         for batch in batches:
             out = []
-            for path, at, sha in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            for path, start, sha in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 try:
-                    raw = next((r for _, _, _, r in complete_lines(path, at)), None)
+                    if path != at or f is None:
+                        at, f = path, None
+                        system, name = _fs(path)
+                        f = system.open_input_file(name)
+                    raw = next((r for _, _, _, r in _lines_of(f, start, most=1 << 16)), None)
                 except OSError:
                     raw = None
                 out.append(raw is not None and hashlib.sha256(raw.rstrip(b"\r\n")).hexdigest() == sha)
@@ -265,8 +304,7 @@ def holding(spark, folder: str, needles: list[str], range_bytes: int = 128 << 20
     within a range, so memory does not depend on the file; an occurrence belongs to the range that it starts in.
     """
     wanted = sorted({n.encode() for n in needles if n})
-    parts = [(p, at, min(at + range_bytes, size)) for p, size in discover(folder, suffix, prefix) for at in range(0, size, range_bytes)]
-    ranges = spark.createDataFrame(parts, "path string, start long, end long").repartition(max(1, min(len(parts), 10_000)), "path", "start")
+    ranges, _ = _ranges(spark, folder, range_bytes, suffix, prefix)
     over = max(map(len, wanted), default=1) - 1
 
     def run(batches):

@@ -87,8 +87,8 @@ def codex_threads(rows: DataFrame) -> DataFrame:
 
 
 def codex_events(lines: DataFrame) -> DataFrame:
-    """EVENT columns of rollout lines (path, line, json)."""
-    rows = lines.where("json is not null").select("path", "line", F.from_json("json", CODEX).alias("r"))
+    """EVENT columns of rollout lines (path, line, json). The lines are read and parsed once: a dozen branches below start from them."""
+    rows = cut(lines.where("json is not null").select("path", "line", F.from_json("json", CODEX).alias("r")))
     threads = codex_threads(rows).select("path", "thread_class", "replay_before")
     own = rows.join(threads, "path", "left")
     given = F.when(((F.col("r.type") == "session_meta") & (F.col("line") == 1)) | (F.col("r.type") == "turn_context"), F.nullif(F.col("r.payload.cwd"), F.lit("")))

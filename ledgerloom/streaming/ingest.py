@@ -62,7 +62,8 @@ def _thread(raw: bytes | None, path: str) -> str:
 
 def manifest(spark: SparkSession, folder: str, known: DataFrame | None = None, suffix: str = ".jsonl", prefix: str = "") -> DataFrame:
     """MANIFEST rows of a folder's files. The driver lists; tasks read a file's first line and the line at its known anchor."""
-    found = spark.createDataFrame(lines.listed(folder, suffix, prefix), "path string, size long, mtime_ns long").repartition("path")
+    listed = lines.listed(folder, suffix, prefix)
+    found = spark.createDataFrame(listed, "path string, size long, mtime_ns long")
     anchors = (known if known is not None else spark.createDataFrame([], CURSORS)).select("path", "anchor_offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +77,8 @@ def manifest(spark: SparkSession, folder: str, known: DataFrame | None = None, s
             kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], names=[f.split()[0] for f in MANIFEST.split(", ")])
 
-    return found.join(anchors, "path", "left").select("path", "size", "mtime_ns", "anchor_offset").mapInArrow(run, MANIFEST)
+    asked = found.join(anchors, "path", "left").select("path", "size", "mtime_ns", "anchor_offset")
+    return asked.repartition(lines.tasks(len(listed), 0), "path").mapInArrow(run, MANIFEST)  # of each file two lines
 
 
 @dataclass
@@ -183,7 +185,7 @@ def _first_lines(todo: DataFrame) -> DataFrame:
             first = [next((r for _, _, _, r in lines.complete_lines(p)), None) for p in paths]
             yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([1] * len(paths), pa.int64()), pa.array(first, pa.binary())], names=["path", "line", "raw"])
 
-    return todo.select("path").repartition("path").mapInArrow(run, "path string, line long, raw binary")
+    return todo.select("path").repartition(lines.tasks(todo.count(), 0), "path").mapInArrow(run, "path string, line long, raw binary")
 
 
 def _barred(store: Store, todo: DataFrame, named, schema: str, marks: DataFrame) -> DataFrame:
@@ -198,13 +200,16 @@ def _barred(store: Store, todo: DataFrame, named, schema: str, marks: DataFrame)
 def _read(todo: DataFrame) -> DataFrame:
     """(path, thread_id, line, byte_offset, next_offset, raw) of complete lines from each file's cursor on."""
 
+    names, kinds = ["thread_id", *lines.NAMES], [pa.string(), *lines.KINDS]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, thread, at, number in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for got in lines._batches(path, lines.complete_lines(path, at, number)):
-                    yield pa.RecordBatch.from_arrays([got.column(0), pa.array([thread] * got.num_rows, pa.string()), *got.columns[1:]], names=["path", "thread_id", "line", "byte_offset", "next_offset", "raw"])
+            files = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            yield from lines._batches(((thread, path, *row) for path, thread, at, number in files for row in lines.complete_lines(path, at, number)), names, kinds)
 
-    return todo.select("path", "thread_id", "_at", "_line").repartition("path").mapInArrow(run, "path string, thread_id string, line long, byte_offset long, next_offset long, raw binary")
+    files, size = todo.agg(F.count("*"), F.coalesce(F.sum(F.col("size") - F.col("_at")), F.lit(0))).first()
+    rows = todo.select("path", "thread_id", "_at", "_line").repartition(lines.tasks(files, size), "path")
+    return rows.mapInArrow(run, "thread_id string, path string, line long, byte_offset long, next_offset long, raw binary").select("path", "thread_id", "line", "byte_offset", "next_offset", "raw")
 
 
 def without_inherited(events: DataFrame, threads: DataFrame, earlier: DataFrame, marks: DataFrame, store: Store) -> DataFrame:
@@ -249,7 +254,7 @@ def run_pass(store: Store, folder: str, provider: str = "codex", version: int =
     modes = cut(plan(now, known, version if not full else -1).join(arrived, "thread_id", "left").select("path", "thread_id", F.when(again, "replace").otherwise(F.col("mode")).alias("mode")))
     old = known.select("thread_id", "cursor_bytes", "cursor_line", "since", "prefix_open", F.col("anchor_offset").alias("_anchor")).dropDuplicates(["thread_id"])
     at = modes.join(old, "thread_id", "left").withColumn("_kept", F.col("mode").isin("append", "moved") & F.col("cursor_bytes").isNotNull())
-    todo = cut(at.where(F.col("mode").isin("new", "append", "replace", "moved")).withColumn("_at", F.when(F.col("_kept"), F.col("cursor_bytes")).otherwise(0)).withColumn("_line", F.when(F.col("_kept"), F.col("cursor_line")).otherwise(0)))
+    todo = cut(at.where(F.col("mode").isin("new", "append", "replace", "moved")).join(now.select("path", "size"), "path").withColumn("_at", F.when(F.col("_kept"), F.col("cursor_bytes")).otherwise(0)).withColumn("_line", F.when(F.col("_kept"), F.col("cursor_line")).otherwise(0)))
     adapt = {"codex": records.codex_events, "claude": records.claude_events}[provider]
     named = {"codex": records.codex_threads, "claude": records.claude_threads}[provider]
     marks = cut(store.tombstones().where(F.col("provider") == provider))

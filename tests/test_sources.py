@@ -114,3 +114,36 @@ def test_merge_and_append(spark):
     new = spark.createDataFrame([("a", 2, "y"), ("b", 3, "z")], "k string, v long, kept string")
     assert sorted(tuple(r) for r in ingest.merged(old, new, ["k"], ["v"]).collect()) == [("a", 2, "x"), ("b", 3, "z")]
     assert [r.k for r in ingest.appended_only(old, new, ["k"]).collect()] == ["b"]
+
+
+def test_small_files_share_tasks(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        put(tmp_path / f"{k:02}.jsonl", f"a{k}", f"b{k}")
+    (tmp_path / "empty.jsonl").write_text("")
+    want = sorted((f"{k:02}.jsonl", n, 4 * (n - 1) if k > 9 else 3 * (n - 1), f"{c}{k}".encode()) for k in range(40) for n, c in ((1, "a"), (2, "b")))
+    plain = lambda df: sorted((r.path.rsplit("/", 1)[1], r.line, r.byte_offset, bytes(r.raw)) for r in df.collect())
+    for rows in (read(spark, tmp_path), lines.numbered(spark, str(tmp_path)), lines.numbered(spark, str(tmp_path), 3)):
+        assert plain(rows) == want and rows.rdd.getNumPartitions() == 1
+    assert lines.holding(spark, str(tmp_path), ["a3"]).rdd.getNumPartitions() == 1 and ingest.manifest(spark, str(tmp_path)).rdd.getNumPartitions() == 1
+    assert [len(p.paths) for p in lines._Reader({"path": str(tmp_path)}).partitions()] == [41]
+    monkeypatch.setattr(lines, "TASK_BYTES", 10 * lines.OPEN_BYTES)
+    parts = lines._Reader({"path": str(tmp_path)}).partitions()
+    assert len(parts) == lines.tasks(41, 0) == 5 and sum((p.paths for p in parts), []) == [p for p, _ in lines.discover(str(tmp_path))]
+
+
+def test_codex_lines_are_read_once(spark, tmp_path):
+    put(tmp_path / "rollout-1.jsonl", meta(), item(1, **said("user", "do it")))
+    plan = records.codex_events(records.decoded(read(spark, tmp_path)))._jdf.queryExecution().toString()
+    assert "ExistingRDD" in plan and "transcript_lines" not in plan and "from_json(json" not in plan
+
+
+def test_hits_of_a_file_share_its_opening(spark, tmp_path):
+    import hashlib
+
+    put(tmp_path / "a.jsonl", "one", "x" * 200_000, "two")
+    put(tmp_path / "b.jsonl", "three")
+    a, b, none = (str(tmp_path / n) for n in ("a.jsonl", "b.jsonl", "none.jsonl"))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    hits = [(1, a, 0, sha("one")), (2, a, 4, sha("x" * 200_000)), (3, none, 0, sha("one")), (4, a, 200_005, sha("two")), (5, a, 0, sha("two")), (6, b, 0, sha("three")), (7, none, 0, sha("")), (8, a, 999_999, sha(""))]
+    got = lines.verified(spark.createDataFrame(hits, "id long, path string, byte_offset long, sha256 string").coalesce(1)).collect()
+    assert [(r.id, r.intact) for r in got] == [(1, True), (2, True), (3, False), (4, True), (5, False), (6, True), (7, False), (8, False)]
