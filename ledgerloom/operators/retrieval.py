@@ -229,13 +229,13 @@ def document_frequency(index: DataFrame | Index, words: list[str] | None = None)
     return rows.select("id", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
 
 
-def df_rule(index: DataFrame | Index, n_events: int, words: list[str], ratio: float) -> list[str]:
-    """Words in at most ratio * n_events events, the rarest if none is; small stores use the stopword list."""
+def df_rule(index: DataFrame | Index, n_events: int, words: list[str], ratio: float, keep_one: bool = True) -> list[str]:
+    """Words in at most ratio * n_events events, the rarest if none is and keep_one is set; small stores use the stopword list."""
     if n_events < LEAST_DF_EVENTS:
         return [w for w in words if w not in X.STOPWORDS]
     df = {r["term"]: r["df"] for r in document_frequency(index, words).collect()}  # at most one row per query word
     kept = [w for w in words if df.get(w, 0) <= ratio * n_events]
-    return kept or sorted(words, key=lambda w: (df.get(w, 0), words.index(w)))[:1]
+    return kept or (sorted(words, key=lambda w: (df.get(w, 0), words.index(w)))[:1] if keep_one else [])
 
 
 def tally(scored: DataFrame, inside: Column) -> DataFrame:
