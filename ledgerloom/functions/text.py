@@ -9,6 +9,7 @@ import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,7 @@ FOLDED = str.maketrans(ACCENTED, PLAIN, MARKS)
 STOPWORDS = tuple("a an and are as at be but by for from have how if in is it its of on or not that the this to was we were what when where which who will with you".split())
 REDACTION = "[redacted:secret]"
 MOST_EVENT_BYTES, MOST_CALL_BYTES = 65_536, 4_096
+SLICE_BYTES = 1 << 20  # of a batch of texts, what is held as Python objects at a time
 MARKER, REDACTED, TRUNCATED = 1, 2, 4
 
 
@@ -137,32 +139,38 @@ def redact(text: Column | str) -> Column:
     return F.coalesce(_redact(F.when(text.rlike(credentials.MAY_HOLD), text)), text)
 
 
-@F.pandas_udf(T.StructType().add("text", "string").add("flags", "integer"))
-def finish(text: pd.Series, limit: pd.Series) -> pd.DataFrame:
+def by_slices(one, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """A value of `kind` per row of Arrow columns. A batch of long texts is turned into Python objects slice by slice, so that only its Arrow form is held whole."""
+    n = len(columns[0])
+    step = max(1, n * SLICE_BYTES // max(SLICE_BYTES, columns[0].nbytes))
+    parts = [pa.array([one(*r) for r in zip(*(c.slice(at, step).to_pylist() for c in columns), strict=True)], kind) for at in range(0, n, step)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
+@F.arrow_udf(T.StructType().add("text", "string").add("flags", "integer"))
+def finish(text: pa.Array, limit: pa.Array) -> pa.Array:
     """Redacted text cut to limit UTF-8 bytes, with flag bits for what was done."""
-    out, flags = [], []
-    for t, most in zip(text, limit, strict=True):
+
+    def one(t, most):
         if t is None:
-            out.append(None)
-            flags.append(0)
-            continue
+            return {"text": None, "flags": 0}
         clean = redact_text(t)
         raw = clean.encode("utf-8", "replace")
         cut = raw[:most].decode("utf-8", "ignore") if len(raw) > most else clean
-        out.append(cut)
-        flags.append(REDACTED * (clean != t) | TRUNCATED * (len(raw) > most))
-    return pd.DataFrame({"text": out, "flags": flags})
+        return {"text": cut, "flags": REDACTED * (clean != t) | TRUNCATED * (len(raw) > most)}
 
+    return by_slices(one, pa.struct([("text", pa.string()), ("flags", pa.int32())]), text, limit)
 
-@F.pandas_udf(T.StringType())
-def excerpt(text: pd.Series, side: pd.Series) -> pd.Series:
+
+@F.arrow_udf(T.StringType())
+def excerpt(text: pa.Array, side: pa.Array) -> pa.Array:
     """Head and tail of `side` bytes each where the text is longer than both."""
 
     def cut(t, n):
         raw = (t or "").encode("utf-8", "replace")
         return t if len(raw) <= 2 * n else raw[:n].decode("utf-8", "ignore") + "\n...\n" + raw[-n:].decode("utf-8", "ignore")
 
-    return pd.Series([cut(t, n) for t, n in zip(text, side, strict=True)])
+    return by_slices(cut, pa.string(), text, side)
 
 
 @F.pandas_udf(T.StructType().add("page", "string").add("next_offset", "long"))
@@ -253,11 +261,11 @@ def iso_date(value: Column) -> Column:
     return F.coalesce(shape & F.left(value, F.lit(10)).try_cast("date").isNotNull(), F.lit(False))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def redact_parts(parts: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def redact_parts(parts: pa.Array) -> pa.Array:
     """Fields redacted as one text, so that a key in one and its value in the next are seen together."""
 
     def one(fields):
         return None if fields is None else credentials.replaced_in_parts([f or "" for f in fields], REDACTION)
 
-    return parts.map(one)
+    return by_slices(one, pa.list_(pa.string()), parts)
