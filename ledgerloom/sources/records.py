@@ -86,15 +86,20 @@ def codex_threads(rows: DataFrame) -> DataFrame:
     return meta.select("path", F.lit("codex").alias("provider"), F.col("id").alias("thread_id"), F.coalesce("session_id", "id").alias("session_root"), "parent_thread_id", "forked_from_id", cls.alias("thread_class"), reason.alias("class_reason"), mode.alias("replay_mode"), F.col("subagent_history_start_ordinal").alias("replay_before"))
 
 
-def codex_events(lines: DataFrame) -> DataFrame:
-    """EVENT columns of rollout lines (path, line, json). The lines are read and parsed once: a dozen branches below start from them."""
-    rows = cut(lines.where("json is not null").select("path", "line", F.from_json("json", CODEX).alias("r")))
+def codex_parsed(lines: DataFrame) -> DataFrame:
+    """(path, line, r) of rollout lines (path, line, json), read and parsed once."""
+    return cut(lines.where("json is not null").select("path", "line", F.from_json("json", CODEX).alias("r")))
+
+
+def codex_events(lines: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """EVENT columns of rollout lines (path, line, json), or of rows that codex_parsed gave. What runs along a file is computed once: messages, calls and outputs are filters of it."""
+    rows = codex_parsed(lines) if rows is None else rows
     threads = codex_threads(rows).select("path", "thread_class", "replay_before")
     own = rows.join(threads, "path", "left")
     given = F.when(((F.col("r.type") == "session_meta") & (F.col("line") == 1)) | (F.col("r.type") == "turn_context"), F.nullif(F.col("r.payload.cwd"), F.lit("")))
     own = own.withColumn("cwd", F.last(given, ignorenulls=True).over(_along()))
     inherited = F.coalesce(F.coalesce("r.ordinal", F.col("line") - 1) < F.col("replay_before"), F.lit(False))
-    items = own.where((F.col("r.type") == "response_item") & ~inherited).select("path", "line", F.coalesce("r.ordinal", "line").alias("seq"), F.nullif("r.timestamp", F.lit("")).alias("ts"), "cwd", "thread_class", *(f"r.payload.{c}" for c in ("type", "role", "content", "name", "arguments", "input", "call_id", "output")))
+    items = cut(own.where((F.col("r.type") == "response_item") & ~inherited).select("path", "line", F.coalesce("r.ordinal", "line").alias("seq"), F.nullif("r.timestamp", F.lit("")).alias("ts"), "cwd", "thread_class", *(f"r.payload.{c}" for c in ("type", "role", "content", "name", "arguments", "input", "call_id", "output"))))
     text = F.regexp_replace(_text_of(F.col("content")), r"^\s*(?:<image\b[^>]*>\s*(?:</image>\s*)?)+", "")
     tag = F.when(F.col("role") == "user", _opens(text, CODEX_HARNESS))
     messages = items.where("type = 'message' and role in ('user', 'assistant')").select("path", "line", F.lit(1).alias("part"), "seq", "ts", "role", F.when(F.col("role") == "assistant", "reply").otherwise(user_kind(tag, F.col("thread_class"))).alias("kind"), tag.alias("tag"), "cwd", F.lit(None).cast("string").alias("call_id"), text.alias("text")).where("trim(text) != ''")
@@ -138,6 +143,8 @@ def exec_owners(calls: DataFrame, outputs: DataFrame) -> DataFrame:
     double their reach. A wait that nothing hands its cell to has no owner.
     """
     along = cut(calls.where("cell is not null").select("path", "cell", "line", "call_id", F.lit(True).alias("waits")).unionByName(outputs.where("cell is not null").select("path", "cell", "line", "call_id", F.lit(False).alias("waits"))))
+    if not along.take(1):  # most files wait for no cell
+        return calls.sparkSession.createDataFrame([], "path string, call_id string, owner string")
     w = Window.partitionBy("path", "cell").orderBy("line", "waits", "call_id")
     handed = along.withColumn("_id", F.lag("call_id").over(w)).withColumn("_w", F.lag("waits").over(w)).where("waits and not _w").select("path", "call_id", F.col("_id").alias("owner"), "line")
     up = cut(handed.where("call_id != owner").groupBy("path", "call_id").agg(F.min_by("owner", "line").alias("owner")))
@@ -160,6 +167,8 @@ def _with_owner(outputs: DataFrame, owners: DataFrame) -> DataFrame:
 def open_chains(rows: DataFrame) -> DataFrame:
     """(path, line) of the calls and outputs of exec cells that later waits, or later outputs of waits, may belong to."""
     calls, outputs = (cut(df) for df in codex_tools(rows))
+    if not calls.where("cell is not null").take(1) and not outputs.where("cell is not null").take(1):
+        return rows.select("path", "line").limit(0)
     owners = cut(exec_owners(calls, outputs))
     of = lambda df: df.join(owners, ["path", "call_id"], "left").select("path", "line", "call_id", "cell", F.coalesce("owner", "call_id").alias("owner"))
     last = Window.partitionBy("path", "cell").orderBy(F.desc("line"))
@@ -169,8 +178,11 @@ def open_chains(rows: DataFrame) -> DataFrame:
     return both.join(running.unionByName(unanswered).distinct(), ["path", "owner"], "left_semi").select("path", "line").distinct()
 
 
-def open_lines(lines: DataFrame, provider: str) -> DataFrame:
-    """The lines (path, line, json) that lines still to come may refer to: the first, the last that tells a directory, calls without an output, and exec cells that still run."""
+def open_lines(lines: DataFrame, provider: str, parsed: DataFrame | None = None) -> DataFrame:
+    """The lines (path, line, json) that lines still to come may refer to: the first, the last that tells a directory, calls without an output, and exec cells that still run.
+
+    parsed: what codex_parsed gave for these lines, if it is at hand.
+    """
     text = F.col("json")
     at = lambda path: F.get_json_object(text, path)
     if provider == "codex":
@@ -183,15 +195,17 @@ def open_lines(lines: DataFrame, provider: str) -> DataFrame:
         ids = lambda kind, name: F.transform(F.filter(blocks, lambda b: b["type"] == kind), lambda b: b[name])
         called, answered = ids("tool_use", "id"), ids("tool_result", "tool_use_id")
         given = F.lit(None).cast("string")
-    rows = lines.where("json is not null").select("path", "line", "json", F.array_compact(called).alias("called"), F.array_compact(answered).alias("answered"), given.isNotNull().alias("given"))
+    lines = lines.where("json is not null")
+    # read out of the JSON once; the branches below take their columns
+    rows = cut(lines.select("path", "line", F.array_compact(called).alias("called"), F.array_compact(answered).alias("answered"), given.isNotNull().alias("given")))
     done = rows.select("path", F.explode("answered").alias("call_id")).distinct()
     waiting = rows.select("path", "line", F.explode("called").alias("call_id")).join(done, ["path", "call_id"], "left_anti").select("path", "line")
     last = rows.where("given").groupBy("path").agg(F.max("line").alias("line"))
     first = rows.where("line = 1").select("path", "line")
     keep = waiting.union(last).union(first)
     if provider == "codex":
-        keep = keep.union(open_chains(lines.where("json is not null").select("path", "line", F.from_json("json", CODEX).alias("r"))))
-    return rows.select("path", "line", "json").join(keep.distinct(), ["path", "line"], "left_semi")
+        keep = keep.union(open_chains(codex_parsed(lines) if parsed is None else parsed))
+    return lines.select("path", "line", "json").join(keep.distinct(), ["path", "line"], "left_semi")
 
 
 def claude_threads(rows: DataFrame) -> DataFrame:

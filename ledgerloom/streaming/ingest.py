@@ -252,7 +252,7 @@ def run_pass(store: Store, folder: str, provider: str = "codex", version: int =
     arrived = waiting.join(now.select(F.col("thread_id").alias("forked_from_id")), "forked_from_id", "left_semi").select("thread_id", F.lit(True).alias("_arrived")).dropDuplicates(["thread_id"])
     again = F.col("_arrived").isNotNull() & F.col("mode").isin("unchanged", "append")  # a fork read before its parent is read again once the parent is there
     modes = cut(plan(now, known, version if not full else -1).join(arrived, "thread_id", "left").select("path", "thread_id", F.when(again, "replace").otherwise(F.col("mode")).alias("mode")))
-    old = known.select("thread_id", "cursor_bytes", "cursor_line", "since", "prefix_open", F.col("anchor_offset").alias("_anchor")).dropDuplicates(["thread_id"])
+    old = known.select("thread_id", "cursor_bytes", "cursor_line", "since", "prefix_open", F.col("anchor_offset").alias("_anchor"), F.col("anchor_hash").alias("_old_hash")).dropDuplicates(["thread_id"])
     at = modes.join(old, "thread_id", "left").withColumn("_kept", F.col("mode").isin("append", "moved") & F.col("cursor_bytes").isNotNull())
     todo = cut(at.where(F.col("mode").isin("new", "append", "replace", "moved")).join(now.select("path", "size"), "path").withColumn("_at", F.when(F.col("_kept"), F.col("cursor_bytes")).otherwise(0)).withColumn("_line", F.when(F.col("_kept"), F.col("cursor_line")).otherwise(0)))
     adapt = {"codex": records.codex_events, "claude": records.claude_events}[provider]
@@ -262,27 +262,29 @@ def run_pass(store: Store, folder: str, provider: str = "codex", version: int =
         barred = cut(_barred(store, todo, named, records.CODEX if provider == "codex" else records.CLAUDE, marks))
         todo = cut(todo.join(barred, "path", "left_anti"))
         modes = cut(modes.join(barred.withColumn("_b", F.lit("blocked")), "path", "left").select("path", "thread_id", F.coalesce("_b", "mode").alias("mode")))
-    raw = cut(_read(todo))
-    hashed = raw.withColumn("line_sha256", X.record_hash(F.col("raw").cast("string")))
+    hashed = cut(_read(todo).withColumn("line_sha256", X.record_hash(F.col("raw").cast("string"))))
     erased = marks.where("level = 'line'").select("thread_id", "line", "line_sha256")
     fresh = records.decoded(hashed.join(erased, ["thread_id", "line", "line_sha256"], "left_anti") if erased.take(1) else hashed)  # an erased line never enters again
     held = store.open_lines().join(todo.where("_kept").select("thread_id", "path"), "thread_id")
     every = cut(fresh.select("path", "thread_id", "line", "json").unionByName(held.select("path", "thread_id", "line", "json")))
     rows = every.select("path", "line", "json")
-    parsed = rows.where("json is not null").select("path", "line", F.from_json("json", records.CODEX if provider == "codex" else records.CLAUDE).alias("r"))
+    codex = provider == "codex"
+    parsed = records.codex_parsed(rows) if codex else rows.where("json is not null").select("path", "line", F.from_json("json", records.CLAUDE).alias("r"))
     met = named(parsed).join(todo.select("path", F.col("thread_id").alias("_id"), "_kept", "prefix_open"), "path").drop("path", "thread_id").withColumnRenamed("_id", "thread_id")
     met = met.dropDuplicates(["thread_id"])
     threads = cut(met.select(*(c.split()[0] for c in THREADS.split(", "))).unionByName(store.threads().join(met.select("thread_id"), "thread_id", "left_anti")))
-    own = todo.select("path", "thread_id", "_line")
-    new = adapt(rows).join(own, "path").where(F.col("line") > F.col("_line")).join(fresh.select("path", "line", "byte_offset", "line_sha256"), ["path", "line"])
+    own = todo.select("path", "thread_id")
+    # held lines stand before the cursor, so none of them is among the fresh ones
+    new = (adapt(rows, parsed) if codex else adapt(rows)).join(fresh.select("path", "thread_id", "line", "byte_offset", "line_sha256"), ["path", "line"])
     limit = F.when(F.col("kind") == "tool_call", X.MOST_CALL_BYTES).otherwise(X.MOST_EVENT_BYTES)
     new = new.join(threads.where(F.col("thread_class").isin(*INDEXED)).select("thread_id"), "thread_id", "left_semi")
     new = cut(new.withColumn("_f", X.finish("text", limit)).select("thread_id", "line", F.col("part").cast("long").alias("part"), "byte_offset", "line_sha256", "seq", "ts", "role", "kind", "tag", "cwd", "call_id", "parent_line", F.col("parent_part").cast("long").alias("parent_part"), F.col("_f.flags").alias("flags"), F.col("_f.text").alias("text")))
     prefix = threads.join(met.select("thread_id", F.coalesce(F.when(F.col("_kept"), F.col("prefix_open")), F.lit(True)).alias("prefix_open")), "thread_id", "left").withColumn("prefix_open", F.coalesce("prefix_open", F.lit(False)))
     kept = cut(without_inherited(new, prefix, store.events(), marks, store))
-    ends = raw.groupBy("thread_id").agg(F.max("next_offset").alias("_bytes"), F.max("line").alias("_lines"), F.max_by("byte_offset", "line").alias("_last"), F.max_by(X.record_hash(F.col("raw").cast("string")), "line").alias("_hash"))
+    ends = hashed.groupBy("thread_id").agg(F.max("next_offset").alias("_bytes"), F.max("line").alias("_lines"), F.max_by("byte_offset", "line").alias("_last"), F.max_by("line_sha256", "line").alias("_hash"))
     grown = kept.groupBy("thread_id").agg(F.lit(False).alias("_open"))
-    done = now.join(modes.select("path", "mode"), "path").where("mode not in ('copy', 'blocked')").join(old, "thread_id", "left").join(ends, "thread_id", "left").join(grown, "thread_id", "left").join(known.select("thread_id", F.col("anchor_hash").alias("_old_hash"), F.col("path").alias("_old_path")).dropDuplicates(["thread_id"]), "thread_id", "left")
+    here = now.join(modes.select("path", "mode"), "path").where("mode not in ('copy', 'blocked')")
+    done = here.join(old, "thread_id", "left").join(ends, "thread_id", "left").join(grown, "thread_id", "left")
     restarted = F.col("mode").isin("new", "replace")
     cursors = done.select(
         "path", "thread_id", "ino", "size", "mtime_ns", "first_hash", F.coalesce("_hash", F.when(~restarted, F.col("_old_hash"))).alias("anchor_hash"), F.lit(version).cast("long").alias("classifier_version"),
@@ -290,8 +292,8 @@ def run_pass(store: Store, folder: str, provider: str = "codex", version: int =
         F.coalesce("_last", F.when(~restarted, F.col("_anchor"))).alias("anchor_offset"), F.when(restarted, F.lit(number)).otherwise(F.coalesce("since", F.lit(number))).cast("long").alias("since"),
         F.coalesce("_open", F.when(~restarted, F.col("prefix_open")), F.lit(True)).alias("prefix_open"), F.lit("active").alias("status"),
     )
-    gone = known.join(cursors.select("thread_id"), "thread_id", "left_anti").join(modes.where("mode = 'blocked'").select("thread_id"), "thread_id", "left_anti").withColumn("status", F.lit("missing"))
-    still = records.open_lines(rows, provider).join(own.select("path", "thread_id"), "path").select("thread_id", "line", "json")
+    gone = known.join(here.select("thread_id"), "thread_id", "left_anti").join(modes.where("mode = 'blocked'").select("thread_id"), "thread_id", "left_anti").withColumn("status", F.lit("missing"))
+    still = records.open_lines(rows, provider, parsed if codex else None).join(own, "path").select("thread_id", "line", "json")
     rest = store.open_lines().join(own.select("thread_id"), "thread_id", "left_anti")
     store.commit(number, events=kept, threads=threads, cursors=cursors.unionByName(gone.select(*cursors.columns)), open=still.unionByName(rest), tombstones=store.tombstones())
     return modes

@@ -172,3 +172,16 @@ def test_an_exec_cells_output_belongs_to_its_call_over_all_passes(spark, tmp_pat
     whole = ingest.Store(spark, str(tmp_path / "whole"))
     modes(whole, tmp_path / "in")
     assert events(whole) == events(store)
+
+
+def test_a_pass_computes_each_step_of_its_lines_once(spark, tmp_path, monkeypatch):
+    put(tmp_path / "in" / "rollout-1.jsonl", *LINES)
+    hashed, parsed, made = [], [], ingest.X.record_hash
+    monkeypatch.setattr(ingest.X, "record_hash", lambda line: hashed.append(1) or made(line))
+    of = records.F.from_json
+    monkeypatch.setattr(records.F, "from_json", lambda c, schema, *more: parsed.append(schema) or of(c, schema, *more))
+    assert modes(ingest.Store(spark, str(tmp_path / "store")), tmp_path / "in") == {"rollout-1.jsonl": "new"}
+    assert len(hashed) == 1 and parsed.count(records.CODEX) == 1
+    rows = records.decoded(lines.numbered(spark, str(tmp_path / "in")))
+    plan = records.codex_events(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan  # what runs along a file is not computed again for messages, calls and outputs
