@@ -62,10 +62,18 @@ def session_closure(source: DataFrame, session: str) -> DataFrame:
 
 
 def support_closure(start: DataFrame, support: DataFrame, unresolved: DataFrame) -> DataFrame:
-    """Labelled ids governed by start (node): evidence reaches the claims it supports, a version its unresolved items."""
+    """(node, depth) of labelled ids governed by start (node): evidence reaches the claims it supports, a version its unresolved items.
+
+    Nothing leads on from an unresolved item or back to evidence, so two joins reach everything; each table of edges is read once.
+    """
+    begin = cut(start.select("node").distinct())
+    at = lambda label: begin.where(F.col("node").startswith(label)).select("node", F.lit(0).alias("depth"))
+    nearest = lambda rows: rows.groupBy("node").agg(F.min("depth").alias("depth"))
     versions = F.concat(F.lit("K:"), "knowledge_id", F.lit("@"), "revision")
-    by_evidence = support.select(F.concat(F.lit("E:"), "evidence_id").alias("node"), versions.alias("next"))
+    supported = support.join(begin.select(F.col("node").alias("_node")), F.concat(F.lit("E:"), "evidence_id") == F.col("_node"), "left_semi")
+    version = cut(nearest(at("K:").unionByName(supported.select(versions.alias("node"), F.lit(1).alias("depth")))))
     affected = unresolved.select("unresolved_id", F.explode(F.array(F.struct(F.col("k1").alias("k"), F.col("r1").alias("r")), F.struct(F.col("k2").alias("k"), F.col("r2").alias("r")))).alias("a"))
-    by_version = affected.select(F.concat(F.lit("K:"), "a.k", F.lit("@"), "a.r").alias("node"), F.concat(F.lit("U:"), "unresolved_id").alias("next"))
-    got = walk(start.select(F.lit("all").alias("root"), "node"), by_evidence.unionByName(by_version).distinct())
-    return got.select("node", "depth")
+    reached = affected.select("unresolved_id", F.concat(F.lit("K:"), "a.k", F.lit("@"), "a.r").alias("node")).join(version, "node")
+    item = nearest(at("U:").unionByName(reached.select(F.concat(F.lit("U:"), "unresolved_id").alias("node"), (F.col("depth") + 1).alias("depth"))))
+    other = begin.where(~F.coalesce(F.col("node").rlike("^[KU]:"), F.lit(False))).select("node", F.lit(0).alias("depth"))
+    return other.unionByName(version).unionByName(item)

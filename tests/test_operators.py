@@ -128,3 +128,14 @@ def test_tokens_lose_diacritics_of_any_letter(spark):
     got = [r.t for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(X.tokens(F.col("t")).alias("t")).collect()]
     assert got == [["cestina", "oszi", "zlutoucky", "a", "ǆ", "ł"], ["cestina", "oszi", "e"], ["angstrom", "naive"]]
     assert retrieval.parse("Čeština ŐSZI").elements == [("cestina",), ("oszi",)]
+
+
+def test_support_closure_reads_its_edges_once(spark, monkeypatch):
+    levels, made = [], lineage.cut
+    monkeypatch.setattr(lineage, "cut", lambda df: levels.append(1) or made(df))
+    start = spark.createDataFrame([("E:E_1",), ("E:E_1",), ("K:K_2@1",), ("U:U_4",), ("E:none",)], "node string")
+    support = spark.createDataFrame([("E_1", "K_1", 1), ("E_1", "K_2", 1), ("E_2", "K_3", 1)], "evidence_id string, knowledge_id string, revision long")
+    unresolved = spark.createDataFrame([("U_1", "K_1", 1, "K_3", 1), ("U_2", "K_1", 1, "K_2", 1), ("U_3", "K_3", 1, "K_3", 2), ("U_4", "K_1", 1, "K_1", 1)], "unresolved_id string, k1 string, r1 long, k2 string, r2 long")
+    got = sorted(tuple(r) for r in lineage.support_closure(start, support, unresolved).collect())
+    assert got == [("E:E_1", 0), ("E:none", 0), ("K:K_1@1", 1), ("K:K_2@1", 0), ("U:U_1", 2), ("U:U_2", 1), ("U:U_4", 0)]
+    assert len(levels) == 2  # the start and the versions; nothing leads on from an unresolved item
