@@ -59,7 +59,10 @@ def parse(text: str, drop: frozenset[str] | None = None) -> Query:
 
 def postings(event: DataFrame) -> DataFrame:
     """(id, len, pos, term): one row per token, each with the length of its document. The derived index; hash it by term to serve many queries."""
-    rows = event.select("id", X.tokens(F.col("text")).alias("_t"))
+    return _positions(event.select("id", X.tokens(F.col("text")).alias("_t")))
+
+
+def _positions(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.size("_t").alias("len"), F.posexplode("_t").alias("pos", "term"))
 
 
@@ -124,7 +127,10 @@ class Index:
         k = 1 + max((m["segment"] for m in known), default=-1)
         at = lambda part: f"{folder}/{part}/segment={k}"
         event = event.where("id is not null")
-        event.select("id", F.size(X.tokens(F.col("text"))).alias("len"), F.xxhash64("text").alias("digest")).write.mode("overwrite").parquet(at("docs"))
+        # tokenised once: the lengths, the bounds of the ranges and the postings start from these rows
+        event.select("id", X.tokens(F.col("text")).alias("_t"), F.xxhash64("text").alias("digest")).write.mode("overwrite").parquet(at("tokens"))
+        tokenised = spark.read.schema("id long, _t array<string>, digest long").parquet(at("tokens"))
+        tokenised.select("id", F.size("_t").alias("len"), "digest").write.mode("overwrite").parquet(at("docs"))
         sums = lambda docs: docs.agg(F.count("*"), F.coalesce(F.sum(F.greatest("len", F.lit(0))), F.lit(0))).first()
         docs, tokens = sums(spark.read.schema("id long, len int, digest long").parquet(at("docs")))
         less = (0, 0)
@@ -133,10 +139,12 @@ class Index:
             before = Index._standing(spark, folder, live, "docs", "id long, len int, digest long")
             less = sums(before.join(spark.read.schema("id long").parquet(at("gone")), "id", "left_semi"))
         buckets = live[-1]["buckets"] if live else min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (tokens // FILE_POSTINGS).bit_length()))
-        rows = postings(event).withColumn("bucket", Index.bucket(F.col("term"), buckets))
+        rows = _positions(tokenised).withColumn("bucket", Index.bucket(F.col("term"), buckets))
         # ranges of about as many postings each: a term that a third of all rows hold is dealt over many files
         dealt = rows.repartitionByRange(max(1, -(-tokens // FILE_POSTINGS)), "bucket", "term", "id")
         dealt.sortWithinPartitions("bucket", "term", "id", "pos").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+        path = spark._jvm.org.apache.hadoop.fs.Path(at("tokens"))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
         marker = spark.createDataFrame([(gone is None, buckets, docs - less[0], tokens - less[1], less[0])], SEGMENT.split(", ", 1)[1])
         marker.coalesce(1).write.mode("overwrite").parquet(at("segments"))
 
