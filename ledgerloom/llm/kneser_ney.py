@@ -2,9 +2,18 @@
 
 Counts of word trigrams of the trusted documents, continuation counts, discounts (Chen and
 Goodman's three per order) and back-off masses are grouped sums and joins over shards, and stay
-sharded: every document's n-grams, summed per document, are joined with them order by order.
+sharded: every document's n-grams are joined with them and summed per document.
 The tables hold every word that trusted text has, in any script.
 
+A log probability is a sum over n-grams. With q the probability of a word by its spelling, b(c) the
+back-off mass of a context and D(g) the log of how much having seen g raises the probability of its last word,
+log p(w | u v) = log q(w) + D(w) + log b(v) + D(v w) + log b(u v) + D(u v w), where what trusted text lacks adds 0. So the
+tables become weights of 8-byte keys, one join finds those of all orders, and only q is asked of the text.
+
+Trigrams are dealt by a hash of their middle word, which their bigrams and contexts share, into at most SHARES
+shares that run one after another: each reads all texts, builds its part of the tables and adds to the documents' sums, and
+what it shuffled is freed before the next. Disk holds one share at a time; the texts are read that many times.
+
 Words that trusted text lacks need a base probability: that of their spelling under a Kneser-Ney model
 of characters. Its symbols are the SIZE - 2 most frequent characters, one symbol whose
 probability is dealt evenly to all other characters that occur, and one that starts a text; its
@@ -23,8 +32,11 @@ frequent; a score at the threshold is kept; an empty table gives an empty result
 
 from __future__ import annotations
 
+import gc
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 from hashlib import blake2b
 
 import numpy as np
@@ -32,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import cut, held_out, table
+from ledgerloom.llm.common import cut, held_out, n_shuffle, table
 
 SIZE, ORDER = 64, 4
 START, OTHER = 0, 1
@@ -42,9 +54,14 @@ PRIOR_ROWS = 20.0  # held-out rows that the threshold of all languages counts fo
 MOST_ROWS = SIZE**ORDER
 HELD_GRAMS = 8_000_000
 STEP = 0.001
-ROWS = 200  # texts whose n-grams a task holds at once
-WORDS = 3  # order of the word model
-KEYS = [f"g{o}" for o in range(WORDS, 0, -1)] + [f"c{o}" for o in range(WORDS, 1, -1)]  # keys of a gram, its shorter ends, and the contexts of these
+ROWS = 2_000  # texts whose n-grams a task holds at once, unless HELD_CHARS are reached before
+HELD_CHARS, CHUNK = 8_000_000, 200_000  # characters whose n-grams a task holds, and those that are hashed at once
+SHARES, SHARE_CHARS = 12, 8_000_000  # most shares, and characters of all texts for each until there are so many
+FIRST = np.uint64(0x9E3779B97F4A7C15)  # stands before a text's words
+PAIR, CONTEXT, LAST = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))  # tell the kinds of keys apart
+SPACE, MAYBE, LONG = 1, 2, 64  # bytes of white space and those that may begin it; words of more bytes are digested one by one
+WIDE = [chr(c) for c in range(128, 0x3001) if chr(c).isspace()]
+KINDS = np.array([SPACE if b < 128 and chr(b).isspace() else MAYBE if b in {c.encode()[0] for c in WIDE} else 0 for b in range(256)], np.uint8)
 
 
 class Alphabet:
@@ -114,7 +131,7 @@ def gram_counts(texts: DataFrame, alphabet: Alphabet) -> DataFrame:
         seen, held, n = np.zeros(SIZE**ORDER, np.int32), [], 0
         for batch in batches:
             for text in batch.column(0):
-                held.append(alphabet.grams(text.as_py() or ""))
+                held.append(alphabet.grams(plain(text.as_py())))
                 n += len(held[-1])
                 if n >= HELD_GRAMS:
                     seen += np.bincount(np.concatenate(held), minlength=len(seen)).astype(np.int32)
@@ -127,10 +144,18 @@ def gram_counts(texts: DataFrame, alphabet: Alphabet) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("c"))
 
 
+def sizes() -> list[Column]:
+    return [F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]
+
+
 def discount(counts: DataFrame) -> Column:
     """Chen and Goodman's discount of a count c."""
-    sizes = counts.agg(*(F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-    n1, n2, n3, n4 = (max(1, sizes[f"n{k}"] or 0) for k in (1, 2, 3, 4))
+    return discount_of(counts.agg(*sizes()).first().asDict())
+
+
+def discount_of(found: dict[str, int]) -> Column:
+    """The same from how many counts are 1 to 4."""
+    n1, n2, n3, n4 = (max(1, found[f"n{k}"] or 0) for k in (1, 2, 3, 4))
     y = n1 / (n1 + 2 * n2)
     d = [min(max(x, 0.05), k - 0.05) for k, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
     return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
@@ -198,120 +223,353 @@ def spelled(words: list[str], letters: Alphabet, log_p: np.ndarray, others: int)
     return np.add.reduceat(p, starts) if len(starts) else p
 
 
-def key(words: tuple[str, ...]) -> int:
-    """64 bits for an n-gram of words; None starts a text. Words have no whitespace, so the text is unambiguous."""
-    return int.from_bytes(blake2b(" ".join(w or "" for w in words).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+def plain(text: str | bytes | None) -> str:
+    return zlib.decompress(text).decode() if isinstance(text, bytes) else text or ""
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(KEYS, c) of the word n-grams in column text."""
+def packed(df: DataFrame) -> DataFrame:
+    """df with its text, the last column, compressed; plain() reverses it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            seen = Counter()
-            for text in batch.column(0):
-                x = [None] * (WORDS - 1) + (text.as_py() or "").split()
-                seen.update(zip(*(x[k:] for k in range(WORDS)), strict=False))
-            yield pa.RecordBatch.from_arrays([*keyed(seen), pa.array(seen.values(), pa.int64())], names=[*KEYS, "n"])
-
-    rows = texts.select("text").mapInArrow(run, ", ".join(f"{k} long" for k in [*KEYS, "n"]))
-    return rows.groupBy(f"g{WORDS}").agg(*(F.first(k).alias(k) for k in KEYS if k != f"g{WORDS}"), F.sum("n").alias("c"))
-
+        for batch in batches:
+            text = pa.array([None if t is None else zlib.compress(t.encode(), 1) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=batch.schema.names)
+
+    return df.mapInArrow(run, df.select(*df.columns[:-1]).schema.add("text", "binary"))
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Scattered 64-bit values, one to one, in place."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def word_keys(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """text in UTF-8, 64 bits for each word of text.split(), and where its bytes start and end."""
+    data = text.encode("utf-8", "replace")
+    kind = KINDS[np.frombuffer(data, np.uint8)]
+    if (kind == MAYBE).any():
+        for c in WIDE:
+            text = text.replace(c, " " * len(c.encode()))  # bytes keep their places
+        data = text.encode("utf-8", "replace")
+        kind = KINDS[np.frombuffer(data, np.uint8)]
+    edge = np.flatnonzero(np.diff(kind != SPACE, prepend=False, append=False))
+    starts, ends = edge[::2], edge[1::2]
+    size = ends - starts
+    eights = np.ndarray((len(data) + 1,), "<u8", data + bytes(8), strides=(1,))  # the 8 bytes from each place on
+    keys = FIRST + size.astype(np.uint64)
+    for k in range(0, min(LONG, int(size.max(initial=0))), 8):
+        some = np.flatnonzero(size > k)
+        cut_off = np.uint64(8) * (np.uint64(8) - np.minimum(size[some] - k, 8).astype(np.uint64))
+        keys[some] = mixed(keys[some] ^ (eights[starts[some] + k] << cut_off)) + FIRST
+    for i in np.flatnonzero(size > LONG):
+        keys[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return data, keys, starts, ends
+
+
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of at most ROWS rows, and about HELD_CHARS characters in the texts of their last column, with these texts."""
+    for whole in batches:
+        start, texts, held = 0, [], 0
+        for text in whole.column(whole.num_columns - 1):
+            texts.append(plain(text.as_py()))
+            held += len(texts[-1])
+            if len(texts) == ROWS or held >= HELD_CHARS:
+                yield whole.slice(start, len(texts)), texts
+                start, texts, held = start + len(texts), [], 0
+        if texts:
+            yield whole.slice(start, len(texts)), texts
+
+
+def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray, Callable]:
+    """(keys of the words of all texts in turn, number of words of each, a function that spells the words at some places)."""
+    keys, counts, begun, ended, data, held, n, size = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], [], [], [], 0, 0
+    for i, text in enumerate(texts):
+        held.append(text)
+        n += len(text) + 1
+        if n >= CHUNK or i == len(texts) - 1:
+            chunk, k, starts, ends = word_keys("\n".join(held))
+            after = np.cumsum([len(t.encode()) + 1 for t in held])
+            keys.append(k)
+            counts.append(np.diff(np.searchsorted(starts, after), prepend=0))
+            begun.append(starts + size)
+            ended.append(ends + size)
+            data.append(chunk)
+            held, n, size = [], 0, size + len(chunk)
+
+    def spell(places: np.ndarray) -> list[str]:
+        whole, a, b = b"".join(data), np.concatenate(begun), np.concatenate(ended)
+        return [whole[i:j].decode() for i, j in zip(a[places].tolist(), b[places].tolist(), strict=True)]
+
+    return np.concatenate(keys), np.concatenate(counts), spell
+
+
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Callable]:
+    """(x, at, doc, spell): trigrams of the texts are x[at - 2], x[at - 1], x[at]; doc is the place of the text of each; spell(i) tells the words at x[at[i]]."""
+    keys, counts, spell = hashed(texts)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    at = np.arange(len(keys)) + 2 * (doc + 1)  # two FIRST before each text
+    x = np.full(len(keys) + 2 * len(texts), FIRST)
+    x[at] = keys
+    return x, at, doc, spell
+
+
+def in_share(words: np.ndarray, share: int, shares: int) -> np.ndarray:
+    return words % np.uint64(shares) == np.uint64(share)
+
+
+def triple(u, v, w):
+    return u ^ turned(v, 21) ^ turned(w, 42)
+
+
+def pair(u, v, kind):
+    return u ^ turned(v, 21) ^ kind
+
+
+def turned_column(x: Column, bits: int) -> Column:
+    return F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(x, 64 - bits))
+
+
+def key_column(*words: str, kind: np.uint64 = np.uint64(0)) -> Column:
+    """As triple() and pair() make it."""
+    out = F.lit(int(kind.astype(np.int64)))
+    for i, w in enumerate(words):
+        out = out.bitwiseXOR(turned_column(F.col(w), 21 * i) if i else F.col(w))
+    return out
 
-def keyed(grams) -> list[pa.Array]:
-    """The columns KEYS of word n-grams."""
-    known: dict = {}
 
-    def of(words):
-        if (k := known.get(words)) is None:
-            k = known[words] = key(words)
-        return k
+def word_counts(texts: DataFrame, share: int = 0, shares: int = 1, spelling: bool = True) -> DataFrame:
+    """(w1, w2, w3, last, c): the word trigrams of a share in column text by the keys of their words; last spells the last one, once for each word."""
 
-    ends = [pa.array([key(g) for g in grams] if o == WORDS else [of(g[WORDS - o :]) for g in grams], pa.int64()) for o in range(WORDS, 0, -1)]
-    return ends + [pa.array([of(g[WORDS - o : -1]) for g in grams], pa.int64()) for o in range(WORDS, 1, -1)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in batches_of(batches):
+            x, at, _, spell = trigrams(held)
+            mine = in_share(x[at - 1], share, shares)
+            number, at = np.flatnonzero(mine), at[mine]
+            u, v, w = x[at - 2], x[at - 1], x[at]
+            order = np.argsort(triple(u, v, w))
+            u, v, w = u[order], v[order], w[order]
+            first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (w[1:] != w[:-1])]) if len(u) else np.zeros(0, int)
+            columns = [pa.array(k[first].astype(np.int64)) for k in (u, v, w)]
+            if spelling:
+                words = np.full(len(first), None, object)
+                once = np.unique(columns[2], return_index=True)[1]
+                words[once] = spell(number[order][first][once])
+                columns.append(pa.array(words, pa.string()))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(first, append=len(u)))], names=[*names, "n"])
+
+    names = ["w1", "w2", "w3", *(["last"] if spelling else [])]
+    rows = texts.select("text").mapInArrow(run, ", ".join(f"{k} {'string' if k == 'last' else 'long'}" for k in [*names, "n"]))
+    return rows.groupBy("w1", "w2", "w3").agg(*([F.first("last", ignorenulls=True).alias("last")] if spelling else []), F.sum("n").alias("c"))
+
+
+def word_tables(counts: DataFrame) -> tuple[dict | None, float]:
+    """The word model of all trigrams in one share; as shared_tables()."""
+    return shared_tables([lambda spelling: counts])
+
+
+def shared_tables(shares: list[Callable[[bool], DataFrame]]) -> tuple[dict | None, float]:
+    """({shares, discounts of orders 3 and 2, words: (w, last, kept)}, mass of unseen words); each of shares makes its trigram counts. (None, 1.0) without a word.
+
+    Discounts and the continuation counts of words are of all shares, so a first pass takes them.
+    """
+    found, words = [Counter(), Counter()], None
+    for make in shares:
+        pairs = cut(make(True).groupBy("w2", "w3").agg(F.first("last", ignorenulls=True).alias("last"), F.count("*").alias("c"), *sizes()))
+        for seen, columns in zip(found, ([F.sum(f"n{k}").alias(f"n{k}") for k in (1, 2, 3, 4)], sizes()), strict=True):
+            seen.update({k: v or 0 for k, v in pairs.agg(*columns).first().asDict().items()})
+        own = pairs.groupBy(F.col("w3").alias("w")).agg(F.first("last", ignorenulls=True).alias("last"), F.count("*").alias("c"))
+        words = cut(own if words is None else words.union(own).groupBy("w").agg(F.first("last", ignorenulls=True).alias("last"), F.sum("c").alias("c")))
+        del pairs, own
+        freed(words)
+    if not words.take(1):
+        return None, 1.0
+    rows = words.withColumn("d", discount(words))
+    got = rows.agg(F.sum("c").alias("all"), F.sum("d").alias("lost")).first()
+    kept = rows.select("w", "last", ((F.col("c") - F.col("d")) / got["all"]).alias("kept"))
+    return {"shares": shares, "discounts": [discount_of(n) for n in found], "words": kept}, got["lost"] / got["all"]
+
+
+def freed(df: DataFrame) -> None:
+    """Lets Spark's cleaner delete the shuffles and checkpoints that nothing refers to any more; it learns of them by the JVM's collector."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+def least(unseen: float, log_base: np.ndarray) -> np.ndarray:
+    """Log of the probability that a word has by its spelling alone."""
+    return np.log(np.maximum(unseen * np.exp(log_base), 1e-300))
+
+
+def spelled_words(words: DataFrame, alphabet: Alphabet, parts: dict, others: int, unseen: float) -> DataFrame:
+    """(w, q, p): words with their log probability by spelling alone, and by the model."""
+    sent = words.sparkSession.sparkContext.broadcast((alphabet.chars, parts))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters, log_p = Alphabet(sent.value[0]), log_table(sent.value[1])
+        for batch in batches:
+            q = least(unseen, spelled(batch.column(1).to_pylist(), letters, log_p, others))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q), pa.array(np.log(np.exp(q) + batch.column(2).to_numpy()))], names=["w", "q", "p"])
+
+    return words.select("w", "last", "kept").mapInArrow(run, "w long, q double, p double")
+
+
+def weights(counts: DataFrame, discounts: list[Column], words: DataFrame, share: int, shares: int) -> DataFrame:
+    """(key, weight) of the share's trigrams, bigrams, contexts and words."""
+    three, two = discounts
+    contexts = counts.groupBy("w1", "w2").agg(F.sum("c").alias("all"), F.log(F.sum(three) / F.sum("c")).alias("b"))
+    pairs = counts.groupBy("w2", "w3").agg(F.count("*").alias("c"))
+    backs = pairs.groupBy("w2").agg(F.sum("c").alias("all"), F.log(F.sum(two) / F.sum("c")).alias("b"))
+    seen = [F.log((F.col("c") - d) / F.col("all") + F.exp(F.col("b") + F.col("p"))) for d in discounts]
+    pairs = pairs.join(backs, "w2").join(words.select(F.col("w").alias("w3"), "p"), "w3")
+    pairs = cut(pairs.select("w2", "w3", seen[1].alias("p"), (seen[1] - F.col("b") - F.col("p")).alias("weight")))
+    triples = counts.join(contexts, ["w1", "w2"]).join(pairs.select("w2", "w3", "p"), ["w2", "w3"])
+    back = backs.select(F.col("w2").alias("w"), "b")
+    mine = words.where(F.expr(f"pmod(pmod(shiftrightunsigned(w, 1), {shares}) * 2 + (w & 1), {shares}) = {share}"))
+    single = mine.select(F.col("w").alias("key"), (F.col("p") - F.col("q")).alias("weight")).union(back.select("w", "b")).union(back.select(key_column("w", kind=LAST), -F.col("b")))
+    return (
+        triples.select(key_column("w1", "w2", "w3").alias("key"), (seen[0] - F.col("b") - F.col("p")).alias("weight"))
+        .union(contexts.select(key_column("w1", "w2", kind=CONTEXT), "b"))
+        .union(pairs.select(key_column("w2", "w3", kind=PAIR), "weight"))
+        .union(single.groupBy("key").agg(F.sum("weight")))
+    )
+
+
+def blocks(docs: DataFrame, share: int, shares: int, parts: int) -> DataFrame:
+    """(part, first, keys, runs, at, tag): keys of the share in a batch of rows, how many n-grams have each, and their rows counted from the batch's first _row.
+
+    part grows with the key, so a batch is sorted once. A row without a key has a tag of the texts, by which scored() sees that all shares number them alike.
+    """
 
-def word_tables(counts: DataFrame) -> tuple[dict[int, tuple[DataFrame, DataFrame]], float]:
-    """({order: ((g, kept), (c, back_off))}, mass of unseen words); as smoothed(), by sharded joins."""
-    out, now = {}, counts
-    for order in range(WORDS, 0, -1):
-        rows = now.withColumn("d", discount(now))
-        if order == 1:
-            got = rows.agg(F.sum("c").alias("all"), F.sum("d").alias("lost")).first()
-            out[1] = (rows.select("g1", ((F.col("c") - F.col("d")) / got["all"]).alias("kept1")), None)
-            return out, got["lost"] / got["all"]
-        g, c = f"g{order}", f"c{order}"
-        context = cut(rows.groupBy(c).agg(F.sum("c").alias("all"), F.sum("d").alias("lost")))
-        kept = rows.join(context, c).select(g, ((F.col("c") - F.col("d")) / F.col("all")).alias(f"kept{order}"))
-        out[order] = (cut(kept), context.select(c, (F.col("lost") / F.col("all")).alias(f"back_off{order}")))
-        now = cut(now.groupBy(f"g{order - 1}").agg(*(F.first(k).alias(k) for k in KEYS if int(k[1:]) < order and k != f"g{order - 1}"), F.count("*").alias("c")))
-
-
-def no_words(counts: DataFrame) -> tuple[dict[int, tuple[DataFrame, DataFrame]], float]:
-    """The tables of trusted text without a word: every word is unseen."""
-    out = {o: (counts.select(f"g{o}", F.lit(0.0).alias(f"kept{o}")), counts.select(f"c{o}", F.lit(1.0).alias(f"back_off{o}")) if o > 1 else None) for o in range(1, WORDS + 1)}
-    return out, 1.0
-
-
-def document_grams(docs: DataFrame, keep: list[str], alphabet: Alphabet, parts: dict, others: int) -> DataFrame:
-    """keep, n (characters), KEYS, times and base (probability of the last word's spelling): a row per document and n-gram; a document without words has one with times 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, held in batches_of(batches):
+            x, at, doc, _ = trigrams(held)
+            middle, word = in_share(x[at - 1], share, shares), in_share(x[at], share, shares)
+            last = np.diff(doc, append=-1) != 0
+            begun = np.flatnonzero(np.diff(doc, prepend=-1)) if in_share(FIRST, share, shares) else np.zeros(0, int)
+            u, v, w = (x[at[middle] - k] for k in (2, 1, 0))
+            keys = [triple(u, v, w), pair(u, v, CONTEXT), pair(v, w, PAIR), x[at[word]], x[at[word & last]] ^ LAST, np.full(len(begun), FIRST)]
+            rows = [doc[middle]] * 3 + [doc[word], doc[word & last], doc[begun]]
+            key, row = np.concatenate(keys), np.concatenate(rows).astype(np.uint16)
+            order = np.argsort(key)
+            key, row = key[order], row[order]
+            new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+            runs, key = np.diff(new, append=len(key)).astype(np.uint32), key[new]
+            new = np.append(new, len(row))
+            part = ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+            cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True)) if len(key) else []
+            first, tag = batch.column(0)[0].as_py(), zlib.crc32(np.array([zlib.crc32(t.encode()) for t in held], np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([*(int(part[a]) for a, _ in spans), first % parts], pa.int32()),
+                    pa.array([first] * (len(spans) + 1), pa.int64()),
+                    pa.array([*(key[a:b].tobytes() for a, b in spans), None], pa.binary()),
+                    pa.array([*(runs[a:b].tobytes() for a, b in spans), None], pa.binary()),
+                    pa.array([*(row[new[a] : new[b]].tobytes() for a, b in spans), None], pa.binary()),
+                    pa.array([None] * len(spans) + [tag], pa.int64()),
+                ],
+                names=["part", "first", "keys", "runs", "at", "tag"],
+            )
+
+    return docs.select("_row", "text").mapInArrow(run, "part int, first long, keys binary, runs binary, at binary, tag long")
+
+
+def weighed(left: pa.Table, right: pa.Table) -> pa.Table:
+    """(_row, total, tag): summed weights of the blocks of one part per row."""
+    key, weight = right.column("key").to_numpy().view(np.uint64), right.column("weight").to_numpy()
+    order = np.argsort(key)
+    key, weight = np.append(key[order], np.uint64(0)), np.append(weight[order], 0.0)
+    rows, totals, tags = [], [], []
+    for first, keys, runs, at, tag in zip(*(left.column(c) for c in ("first", "keys", "runs", "at", "tag")), strict=True):
+        first = first.as_py()
+        if tag.is_valid:
+            rows.append(np.array([first]))
+            totals.append(np.zeros(1))
+            tags.append(tag.as_py())
+            continue
+        asked = np.frombuffer(keys.as_buffer(), np.uint64)
+        place = np.searchsorted(key[:-1], asked)
+        found = np.where(key[place] == asked, weight[place], 0.0)
+        total = np.bincount(np.frombuffer(at.as_buffer(), np.uint16), np.repeat(found, np.frombuffer(runs.as_buffer(), np.uint32)))
+        some = np.flatnonzero(total)
+        rows.append(first + some)
+        totals.append(total[some])
+        tags += [None] * len(some)
+    return pa.table([pa.array(np.concatenate([np.zeros(0, np.int64), *rows])), pa.array(np.concatenate([np.zeros(0), *totals])), pa.array(tags, pa.int64())], names=["_row", "total", "tag"])
+
+
+def bases(docs: DataFrame, keep: list[str], alphabet: Alphabet, parts: dict, others: int, unseen: float) -> DataFrame:
+    """keep, n (characters) and base (summed log probability of the words' spelling) per row."""
     sent = docs.sparkSession.sparkContext.broadcast((alphabet.chars, parts))
-    schema = docs.select(*keep).schema.add("n", "long")
-    for k in [*KEYS, "times"]:
-        schema = schema.add(k, "long")
-    schema = schema.add("base", "double")
+    schema = docs.select(*keep).schema.add("n", "long").add("base", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, log_p = Alphabet(sent.value[0]), log_table(sent.value[1])
-        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
-            index, n, grams, times = [], [], [], []
-            for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                words = (text.as_py() or "").split()
-                x = [None] * (WORDS - 1) + words
-                seen = Counter(zip(*(x[k:] for k in range(WORDS)), strict=False)) if words else {(None,) * WORDS: 0}
-                index += [i] * len(seen)
-                n += [sum(map(len, words)) + len(words)] * len(seen)
-                grams += seen
-                times += seen.values()
-            types = {g[-1] or "": 0 for g in grams}
-            types = dict(zip(types, np.exp(spelled(list(types), letters, log_p, others)), strict=True))
-            columns = [c.take(pa.array(index, pa.int64())) for c in batch.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), *keyed(grams), pa.array(times, pa.int64()), pa.array([types[g[-1] or ""] for g in grams], pa.float64())], names=schema.names)
-
-    return docs.select(*keep, F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def scored(docs: DataFrame, keep: list[str], alphabet: Alphabet, parts: dict, others: int, tables: dict, unseen: float) -> DataFrame:
-    """keep, n (characters) and total (summed log probability of the words) per row, by joins of the documents' n-grams with the shards."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = document_grams(numbered, [*keep, "_row"], alphabet, parts, others)
-    p = F.greatest(unseen * F.col("base"), F.lit(1e-300))
-    for order in range(1, WORDS + 1):
-        kept, context = tables[order]
-        rows = rows.join(kept.hint("merge"), f"g{order}", "left")
-        if context is not None:
-            rows = rows.join(context.hint("merge"), f"c{order}", "left")
-            p = p * F.coalesce(f"back_off{order}", F.lit(1.0))
-        p = F.coalesce(f"kept{order}", F.lit(0.0)) + p
-    return rows.groupBy(*keep, "_row", "n").agg(F.sum(F.when(F.col("times") > 0, F.col("times") * F.log(p)).otherwise(0.0)).alias("total")).drop("_row")
+        for whole, held in batches_of(batches):
+            for start in range(0, len(held), 200):
+                texts = held[start : start + 200]
+                lists = [t.split() for t in texts]
+                types = {w: i for i, w in enumerate({w for words in lists for w in words})}
+                q = least(unseen, spelled(list(types), letters, log_p, others))
+                base = [float(q[[types[w] for w in words]].sum()) if words else 0.0 for words in lists]
+                columns = whole.slice(start, len(texts)).columns[:-1]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([sum(map(len, words)) + len(words) for words in lists], pa.int64()), pa.array(base, pa.float64())], names=schema.names)
+
+    return docs.select(*keep, "text").mapInArrow(run, schema)
+
+
+def scored(docs: DataFrame, keep: list[str], alphabet: Alphabet, parts: dict, others: int, tables: dict | None, unseen: float) -> DataFrame:
+    """keep, n (characters) and total (summed log probability of the words) per row, share by share of the tables."""
+    numbered = docs.withColumn("text", F.col("text").cast("string")).withColumn("_row", F.monotonically_increasing_id())
+    rows = cut(bases(numbered, [*keep, "_row"], alphabet, parts, others, unseen))
+    if tables is None:
+        return rows.select(*keep, "n", F.col("base").alias("total"))
+    words = cut(spelled_words(tables["words"], alphabet, parts, others, unseen))
+    shares, groups = len(tables["shares"]), 2 * n_shuffle(docs.sparkSession)
+    part = F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(key, 32) * {groups}L, 32) as int)")
+    totals = None
+    for share, make in enumerate(tables["shares"]):
+        known = cut(weights(cut(make(False)), tables["discounts"], words, share, shares))
+        freed(known)
+        known = known.withColumn("part", part)
+        new = blocks(numbered, share, shares, groups).groupBy("part").cogroup(known.groupBy("part")).applyInArrow(weighed, "_row long, total double, tag long")
+        new = new.select("_row", "total", F.col("tag").alias("low"), F.col("tag").alias("high"))
+        both = new if totals is None else totals.union(new)
+        totals = cut(both.groupBy("_row").agg(F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high")))
+        del known, new, both
+        freed(totals)
+    if totals.where("low <> high").take(1):
+        raise RuntimeError("the documents were not read in the same order each time")
+    return rows.join(totals.select("_row", "total"), "_row", "left").select(*keep, "n", (F.col("base") + F.coalesce("total", F.lit(0.0))).alias("total"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, score, threshold, kept) per row; perplexity and the length-shrunk log score are per character."""
     trusted = labels.where("doc_id is not null and quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("trusted", F.lit(True))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    texts = rows.select("doc_id", "text").join(trusted.hint("merge"), "doc_id", "left_semi")
+    texts = cut(packed(rows.select("doc_id", "text")).join(trusted.hint("merge"), "doc_id", "left_semi"))
     found = cut(character_counts(rows))
     alphabet = Alphabet(most_frequent(found))
     others = found.count() - len(alphabet.chars) + 1
+    freed(texts)
     counts = cut(gram_counts(texts, alphabet))
     if not counts.take(1):
         return rows.select("doc_id", "lang", F.lit(0.0).alias("perplexity"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
     parts = gathered(smoothed(counts))
-    words = cut(word_counts(texts.where(~held_out(F.col("doc_id")))))
-    split = bool(words.take(1))
-    words = words if split else cut(word_counts(texts))
-    tables, unseen = word_tables(words) if words.take(1) else no_words(words)
+    shares = min(SHARES, 1 + (found.agg(F.sum("n")).first()[0] or 0) // SHARE_CHARS)
+    each = [partial(word_counts, texts.where(~held_out(F.col("doc_id"))), k, shares) for k in range(shares)]
+    tables, unseen = shared_tables(each)
+    split = tables is not None
+    if not split:
+        tables, unseen = shared_tables([partial(word_counts, texts, k, shares) for k in range(shares)])
     marks = cut(scored(rows, ["doc_id", "lang"], alphabet, parts, others, tables, unseen)).join(trusted, "doc_id", "left")
     aside = F.col("trusted") & held_out(F.col("doc_id"))
     if not split or not marks.where(aside).take(1):

@@ -1,4 +1,5 @@
 from collections import Counter, defaultdict
+from functools import partial
 
 import numpy as np
 from frames import docs, odd_rows, prose
@@ -127,3 +128,34 @@ def test_prose_in_a_rarer_script_is_told_from_junk_in_it(spark):
     labels = spark.createDataFrame([(i, 1) for i, _ in latin + good[::2]], "doc_id long, quality int")
     got = {r.doc_id: r.perplexity for r in kn.judged(docs(spark, latin + good + junk), labels).collect()}
     assert max(got[i] for i, _ in good) * 2 < min(got[i] for i, _ in junk)
+
+
+def test_shares_add_up_to_the_whole_model(spark):
+    texts = ["the cat sat on the mat", "the dog sat", "a cat and a dog", "the cat and the dog sat on a mat", ""]
+    df = docs(spark, list(enumerate(texts)))
+    alphabet = kn.Alphabet(kn.characters(df))
+    parts = kn.gathered(kn.smoothed(kn.gram_counts(df, alphabet)))
+    tables, unseen = kn.shared_tables([partial(kn.word_counts, df, k, 3) for k in range(3)])
+    want_p = brute_words(texts, lambda w: np.exp(kn.spelled([w], alphabet, kn.log_table(parts), 3)[0]))
+    asked = [(0, "the cat sat on a cat"), (1, "zebra the zebra"), (1, "zebra the zebra"), (2, ""), (3, None)]
+    got = {r.doc_id: r.total for r in kn.scored(docs(spark, asked), ["doc_id"], alphabet, parts, 3, tables, unseen).collect()}
+    for i, text in asked:
+        x = [None, None, *(text or "").split()]
+        assert np.isclose(got[i], sum(np.log(want_p(tuple(x[k : k + 3]))) for k in range(len(x) - 2)), atol=1e-6)
+
+
+def test_a_share_sends_a_fraction_of_the_input(spark):
+    """Sent at once: all n-grams of all documents took 40 bytes and more for each word."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    df = docs(spark, [(i, " ".join(rng.choice(words, 500))) for i in range(40)]).withColumn("_row", F.monotonically_increasing_id())
+    sent = [kn.blocks(df, k, 8, 4).agg(F.sum(F.length("keys") + F.length("runs") + F.length("at"))).first()[0] for k in range(8)]
+    assert max(sent) < 12 * 20_000 and sum(sent) < 80 * 20_000
+
+
+def test_words_are_those_of_split():
+    odd = ["a b c d　e", "", "  ", "é" * 40 + " " + "x" * 200 + " y", "日本 語\x1cz\x85q", "abcdefgh abcdefghi abcdefg a"]
+    keys, counts, spell = kn.hashed(odd)
+    words = [w for t in odd for w in t.split()]
+    assert spell(np.arange(len(keys))) == words and counts.tolist() == [len(t.split()) for t in odd]
+    assert len(set(keys.tolist())) == len(set(words)) and keys[words.index("a")] == keys[-1]
