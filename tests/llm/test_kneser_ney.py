@@ -159,3 +159,24 @@ def test_words_are_those_of_split():
     words = [w for t in odd for w in t.split()]
     assert spell(np.arange(len(keys))) == words and counts.tolist() == [len(t.split()) for t in odd]
     assert len(set(keys.tolist())) == len(set(words)) and keys[words.index("a")] == keys[-1]
+
+
+def test_ngrams_travel_as_arrays(spark):
+    """A row for each n-gram, shuffled and sorted several times a share, took most of the time."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(3000)]
+    df = docs(spark, [(i, " ".join(rng.choice(words, 500))) for i in range(40)]).coalesce(2)
+    sent = [kn.word_counts(df, k, 2, spelling=False) for k in range(2)]
+    assert max(s.count() for s in sent) <= 2 * kn.PARTS
+    assert sum(s.agg(F.sum(F.length("a"))).first()[0] for s in sent) == 8 * 20_000
+
+
+def test_a_filter_misses_no_key_and_leaves_out_most_others():
+    rng = np.random.default_rng(4)
+    held, others = (rng.integers(0, 2**64, 20_000, np.uint64) for _ in range(2))
+    bits, filled = 8 * 1_700, np.zeros((24, 8 * 1_700), bool)
+    filled[kn.parts_of(held, 24), kn.places(held, bits)] = True
+    filled = np.packbits(filled, axis=1, bitorder="little")
+    assert kn.may_weigh(filled, held, held).all() and kn.may_weigh(filled, others, others).mean() < 0.1
+    for keys in (np.sort(held), held[:1], held[:0], np.array([0, 2**64 - 1], np.uint64)):
+        assert (kn.from_planes(kn.in_planes(keys)) == keys).all() and len(kn.from_planes(kn.in_planes(keys))) == len(keys)
