@@ -514,11 +514,11 @@ def shared_tables(shares: list[Callable[[bool], DataFrame]], first: list[Callabl
 
 
 def freed(df: DataFrame) -> None:
-    """Lets Spark's cleaner delete the shuffles and checkpoints that nothing refers to any more; it learns of them by the JVM's collector, the last ones a moment after their job."""
-    for _ in range(2):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    """Lets Spark's cleaner delete the shuffles and checkpoints that nothing refers to any more; it learns of them by the JVM's collector, and the JVM of what Python dropped about once a second."""
+    gc.collect()
+    time.sleep(1.5)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    time.sleep(0.5)
 
 
 def least(unseen: float, log_base: np.ndarray) -> np.ndarray:
