@@ -219,13 +219,10 @@ def register(spark) -> None:
 
 def _ranges(spark, folder: str, range_bytes: int, suffix: str, prefix: str):
     """(path, start, end) of the ranges of all files below a folder, dealt over tasks by what they read, and the number of tasks."""
-    from pyspark.sql import functions as F
-
     files = discover(folder, suffix, prefix)
-    n = tasks(sum(-(-size // range_bytes) for _, size in files), sum(size for _, size in files))
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long")))
-    ranges = spark.createDataFrame(files, "path string, size long").where("size > 0").select("path", starts.alias("start"), "size")
-    return ranges.select("path", "start", F.least(F.col("start") + range_bytes, "size").alias("end")).repartition(n, "path", "start"), n
+    ranges = [(path, start, min(start + range_bytes, size)) for path, size in files for start in range(0, size, range_bytes)]
+    n = tasks(len(ranges), sum(size for _, size in files))
+    return spark.createDataFrame(ranges, "path string, start long, end long").repartition(n, "path", "start"), n
 
 
 def numbered(spark, folder: str, range_bytes: int = 128 << 20, suffix: str = ".jsonl", prefix: str = ""):
